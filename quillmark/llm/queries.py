@@ -22,6 +22,13 @@ def held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.language_id import identify, learn
 
@@ -70,6 +77,7 @@ FROM marked GROUP BY doc_id
 """
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op3_language_id": op3_language_id,
     "op4_compression_bands": op4_compression_bands,
     "op6_token_counts": op6_token_counts,
