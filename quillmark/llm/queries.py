@@ -50,6 +50,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_definition())
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.secrets import digest, find_secrets
+
+    return digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.line_dedup import dedup_lines
 
@@ -81,6 +87,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_compression_bands": op4_compression_bands,
     "op6_token_counts": op6_token_counts,
+    "op7_secrets": op7_secrets,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {"op10_line_dedup": OP10_SQL}
