@@ -323,5 +323,6 @@ def digest(found: DataFrame) -> DataFrame:
     """The digest columns of found secrets."""
     joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
     base = F.filter("secrets", lambda s: s.kind.isin(*BASE))
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    of = lambda kind: F.filter("secrets", lambda s: s.kind == kind)
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in BASE]
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
