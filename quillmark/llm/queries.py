@@ -56,6 +56,12 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.html_extraction import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.line_dedup import dedup_lines
 
@@ -88,6 +94,7 @@ QUERIES = {
     "op4_compression_bands": op4_compression_bands,
     "op6_token_counts": op6_token_counts,
     "op7_secrets": op7_secrets,
+    "op8_html_extraction": op8_html_extraction,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {"op10_line_dedup": OP10_SQL}
