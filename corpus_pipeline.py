@@ -1,7 +1,69 @@
-"""The corpus pipeline: STAGES of (name, function), each over what its predecessor kept."""
+"""The corpus pipeline: language ID, line dedup, SimHash near-dedup, decontamination, mixing.
+
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns the documents
+that it keeps, with the columns of `documents`. The last one adds the places in the mix.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmark.llm import decontamination, language_id, line_dedup, mixing, simhash
+from quillmark.llm.queries import held_out
+from quillmark.plans.staging import drop_staged, staged
+from quillmark.sources.tables import table
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is undecided go; lang stays as it was labelled."""
+    dictionaries = language_id.learn(docs.where(~F.coalesce(held_out(), F.lit(False))))
+    found = language_id.identify(docs, dictionaries, keep=tuple(docs.columns))
+    return found.where(~F.col("rejected")).select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share go, but for one document; n_chars follows the text."""
+    kept = line_dedup.dedup_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long") if "n_chars" in docs.columns else F.lit(None)).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.keep_one(docs).select(*docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document gets its place in the mix of sources."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", benchmark_stage),
+    ("mixing", mixing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies STAGES to `documents`, each written as Parquet and read again."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_staged(before)
+        before = docs
+    return docs
+
+
+#: Compression, SimHash and Pfair scheduling have no SQL; tests hold the run against brute force.
+ORACLE_SQL = None
+QUERIES = {"pipeline": run}
+ORACLES = {"pipeline": ORACLE_SQL}

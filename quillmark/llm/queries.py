@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillmark.sources.tables import table
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Used only where spark.quillmark.pii.key is unset, as in tests. It protects nothing.
+DEMONSTRATION_KEY = "demonstration"
 
 
 def tokenizer_definition(name: str = TOKENIZER) -> str:
@@ -50,6 +52,12 @@ def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.token_counts import count_tokens
 
@@ -68,6 +76,12 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get("spark.quillmark.pii.key", DEMONSTRATION_KEY))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.line_dedup import dedup_lines
 
@@ -99,9 +113,11 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
     "op4_compression_bands": op4_compression_bands,
+    "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
     "op7_secrets": op7_secrets,
     "op8_html_extraction": op8_html_extraction,
+    "op9_pii": op9_pii,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {"op10_line_dedup": OP10_SQL}
