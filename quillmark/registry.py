@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
+from quillmark import queries_metrics
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-
-def _first(spark, folder):
-    from pyspark.sql import functions as F
-
-    from quillmark.sources.tables import table
-
-    d = table(spark, folder, "documents")
-    return d.groupBy("lang").agg(F.count("*").alias("n"))
-
-
-QUERIES["text_key_dedup"] = _first
-ORACLES["text_key_dedup"] = "SELECT lang, count(*) AS n FROM documents GROUP BY lang"
+for _module in (queries_metrics,):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
