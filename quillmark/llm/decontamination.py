@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.texts import map_rows, raw_text
+from quillmark.llm.texts import bound_batches, map_rows, raw_text
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Share of the question's and of the answer's own shingles; the answer is short, so one edit costs it much.
@@ -241,6 +241,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, similari
 
 def without_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """The rows of `docs` that hold no item, with all their columns. The texts are scanned where they lie; nothing is joined."""
+    bound_batches(docs)
     sc, out = docs.sparkSession.sparkContext, docs
     values = (settings.get("width", WIDTH), settings.get("similarity", SIMILARITY), settings.get("span", SPAN))
     for part in _parts(items, settings.get("broadcast_bytes", BROADCAST_BYTES)):
@@ -248,7 +249,8 @@ def without_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataF
 
         def run(batches, worker: _Worker = worker):
             for batch in batches:
-                clean = [not x or not worker.matches(x) for x in batch.column("text").to_pylist()]
+                texts = (x.as_py() for x in batch.column("text"))
+                clean = [not x or not worker.matches(x) for x in texts]
                 yield batch.filter(pa.array(clean))
 
         out = out.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.texts import map_rows, raw_text
+from quillmark.llm.texts import map_rows
 
 SAMPLE_DOCS, DOC_BYTES, DICT_BYTES, BLOCK, LEVEL = 256, 2048, 112 << 10, 4096, 6
 #: zstandard stores a block that hardly shrinks as it is, and all languages then tie; this much filler lets short texts be coded.
@@ -112,9 +112,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: floa
     kinds = dict(docs.dtypes)
 
     def rows(batch: pa.RecordBatch) -> dict:
-        found = [worker.predict("" if x is None else x.decode("utf-8", "replace")) for x in batch.column("_raw").to_pylist()]
+        texts = (x.as_py() for x in batch.column("text"))
+        found = [worker.predict(x or "") for x in texts]
         out = {name: batch.column(name) for name in keep}
         return out | {"lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "margin": [f[2] for f in found], "rejected": [f[0] == "und" or f[2] < least_margin for f in found]}
 
     schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + "lang_pred string, score double, margin double, rejected boolean"
-    return map_rows(docs.select(*keep, raw_text(docs).alias("_raw")), rows, schema)
+    text = [] if "text" in keep else [F.col("text").cast("string").alias("text")]
+    return map_rows(docs.select(*keep, *text), rows, schema)

@@ -26,11 +26,24 @@ def raw_text(df: DataFrame, name: str = "text") -> Column:
     return F.col(name).cast("string").cast("binary").alias(name)
 
 
+#: Most bytes of an Arrow batch: a batch is held several times over, in the JVM, in Python and as objects.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Lowers the session's bound on Arrow batches, which by rows alone would let very long texts fill an executor."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+
 def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | Iterator[dict]], schema: str) -> DataFrame:
     """Runs `rows` on each Arrow batch. It returns the output columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    bound_batches(df)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
