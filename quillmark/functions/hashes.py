@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 
 def hex_to_long(text: Column) -> Column:
@@ -28,7 +29,7 @@ def difference_hash(rising: bool):
     The two directions are different fingerprints; never compare one with the other.
     """
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(LongType())
     def run(grey: pd.Series) -> pd.Series:
         def one(values) -> int | None:
             if values is None:
@@ -42,7 +43,7 @@ def difference_hash(rising: bool):
     return run
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def block_dct(grey: pd.Series) -> pd.Series:
     """Mean of two maps of log absolute orthonormal DCT-II coefficients, over blocks of 8 and of 16. Side a multiple of 16."""
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quillmark import queries_metrics
+from quillmark import queries_metrics, queries_records
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (queries_metrics,):
+for _module in (queries_metrics, queries_records):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
