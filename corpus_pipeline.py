@@ -18,8 +18,7 @@ from quillmark.sources.tables import table
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is undecided go; lang stays as it was labelled."""
     dictionaries = language_id.learn(docs.where(~F.coalesce(held_out(), F.lit(False))))
-    found = language_id.identify(docs, dictionaries, keep=tuple(docs.columns))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    return language_id.decided(docs, dictionaries)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

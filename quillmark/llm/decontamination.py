@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.texts import bound_batches, map_rows, raw_text
+from quillmark.llm.texts import filter_rows, map_rows, raw_text
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Share of the question's and of the answer's own shingles; the answer is short, so one edit costs it much.
@@ -85,7 +85,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], width: int = WIDTH, similarity: float = SIMILARITY, span: int = SPAN):
         self.width, self.similarity = width, similarity
-        self.items = [x for x in (Item(i, t, width) for i, t in sorted(items)) if x.words]
+        self.items = [x for x in (Item(i, t, width) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1]))) if x.words]
         self.span = max(span, 2 * max((len(x.words) for x in self.items), default=0) + 2 * width)
         n = max(len(self.items), 1)
         mean = sum(len(x.words) for x in self.items) / n
@@ -241,17 +241,9 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, similari
 
 def without_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """The rows of `docs` that hold no item, with all their columns. The texts are scanned where they lie; nothing is joined."""
-    bound_batches(docs)
     sc, out = docs.sparkSession.sparkContext, docs
     values = (settings.get("width", WIDTH), settings.get("similarity", SIMILARITY), settings.get("span", SPAN))
     for part in _parts(items, settings.get("broadcast_bytes", BROADCAST_BYTES)):
         worker = _Worker(sc.broadcast([(r.item_id, r.text) for r in part.collect()]), values)
-
-        def run(batches, worker: _Worker = worker):
-            for batch in batches:
-                texts = (x.as_py() for x in batch.column("text"))
-                clean = [not x or not worker.matches(x) for x in texts]
-                yield batch.filter(pa.array(clean))
-
-        out = out.mapInArrow(run, docs.schema)
+        out = filter_rows(out, lambda text, worker=worker: not text or not worker.matches(text))
     return out

@@ -176,7 +176,7 @@ def scores(found: list[Block]) -> list[float]:
         size, share = len(b.text), b.linked / max(len(b.text), 1)
         score += min(1.5, math.log1p(size / 40)) if share < 0.5 else -3.0 * share
         score += {"p": 1.0, "blockquote": 1.0, "pre": 1.0, "h1": 1.5, "h2": 0.8, "h3": 0.6, "li": -0.2}.get(b.tag, 0.0)
-        score -= 0.5
+        score -= 0.2
         out.append(score)
     return out
 

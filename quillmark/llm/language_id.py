@@ -22,12 +22,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.texts import map_rows
+from quillmark.llm.texts import filter_rows, map_rows
 
 SAMPLE_DOCS, DOC_BYTES, DICT_BYTES, BLOCK, LEVEL = 256, 2048, 112 << 10, 4096, 6
 #: zstandard stores a block that hardly shrinks as it is, and all languages then tie; this much filler lets short texts be coded.
 SHORT, FILLER = 1024, b"\n" * 128
 LEAST_MARGIN = 0.004
+#: Languages learned at most: those with the most labelled documents.
+MOST_LANGUAGES = 512
 #: Steepness of the score: a margin of 0.05 scores 0.92.
 STEEP = 50.0
 _LETTER = regex.compile(r"\p{L}")
@@ -39,9 +41,12 @@ def training_texts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_bytes: i
     Ids are chosen on narrow rows, with Spark's partial group limit, so no language's rows meet in a task.
     """
     order = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    docs = docs.select("doc_id", "text", "lang")
+    most = docs.where("text IS NOT NULL AND lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    docs = docs.where(F.col("lang").isin([r[0] for r in most]))
     chosen = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= sample_docs)
     ids = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_k").dropDuplicates(["_id", "_lang"])
-    found = docs.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("_lang", "_k", F.substring("text", 1, doc_bytes).alias("text"))
+    found = docs.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("_lang", "_k", F.substring("text", 1, doc_bytes).alias("text")).dropDuplicates(["_lang", "_k"])
     by_lang: dict[str, list] = {}
     for row in found.toLocalIterator():
         by_lang.setdefault(row._lang, []).append((row._k, row.text))
@@ -106,6 +111,17 @@ def learn(docs: DataFrame, **bounds: int) -> dict[str, bytes]:
     return {lang: raw.decode("utf-8", "ignore").lower().encode() for lang, raw in training_texts(docs, **bounds).items()}
 
 
+def decided(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = LEAST_MARGIN) -> DataFrame:
+    """The rows of `docs` whose language isn't rejected, with all their columns, whatever their names."""
+    worker = _Worker(docs.sparkSession.sparkContext.broadcast(dictionaries))
+
+    def keep(text: str | None) -> bool:
+        lang, _, margin = worker.predict(text or "")
+        return lang != "und" and margin >= least_margin
+
+    return filter_rows(docs, keep)
+
+
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = LEAST_MARGIN, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Returns the columns `keep` of every row of `docs` with lang_pred, score, margin and rejected. Only text is read for the prediction."""
     worker = _Worker(docs.sparkSession.sparkContext.broadcast(dictionaries))

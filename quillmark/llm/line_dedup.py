@@ -258,7 +258,7 @@ def _routed(docs: DataFrame, blobs: DataFrame, n_shards: int, min_chars: int, sa
                 for j in np.flatnonzero((slot >= 0) & (shard.largest[slot] != ids)):
                     yield pa.RecordBatch.from_arrays([pa.array([None if ids[j] == NO_ID else int(ids[j])], pa.int64()), pa.array([struct.pack(">QQ", int(h1[j]), int(h2[j]))], pa.binary())], schema=schema)
 
-    return dealt.mapInArrow(stream, "doc_id long, drop binary").groupBy("doc_id").agg(F.collect_set("drop").alias("drops"))
+    return dealt.mapInArrow(stream, "doc_id long, drop binary").groupBy("doc_id").agg(F.collect_set("drop").alias("__qm_drops"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, digest: bool = False, keys_per_shard: int = 100_000, broadcast_bytes: int = 64 << 20) -> DataFrame:
@@ -279,10 +279,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         index = _Index(spark.sparkContext.broadcast({r.shard: bytes(r.blob) for r in blobs.collect()}), n_shards)
         return map_rows(wide, _probing(index, min_chars, digest), schema)
     drops = _routed(docs, blobs, n_shards, min_chars, salts=8)
-    joined = wide.join(drops.withColumnRenamed("doc_id", "_drop_id"), F.col("doc_id").eqNullSafe(F.col("_drop_id")), "left").drop("_drop_id")
+    joined = wide.join(drops.withColumnRenamed("doc_id", "__qm_drop_id"), F.col("doc_id").eqNullSafe(F.col("__qm_drop_id")), "left").drop("__qm_drop_id")
 
     def rows(batch: pa.RecordBatch) -> dict:
-        texts, lost = [x or b"" for x in batch.column("text").to_pylist()], batch.column("drops").to_pylist()
+        texts, lost = [x or b"" for x in batch.column("text").to_pylist()], batch.column("__qm_drops").to_pylist()
         gone = {k: {i for i, d in line_keys(raw, min_chars) if d in set(own)} for k, (raw, own) in enumerate(zip(texts, lost, strict=True)) if own}
         return _result(batch, texts, gone, digest)
 

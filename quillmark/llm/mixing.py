@@ -81,17 +81,17 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, bloc
         k = places[s] = places.get(s, -1) + 1
         rows.append((s is None, s or "", k, slot, shares[s]))
     length = len(rows)
-    frame_table = spark.createDataFrame(rows, "_null boolean, _source string, _k long, _slot long, _share long")
-    sizes = spark.createDataFrame([(s is None, s or "", n) for s, n in shares.items()], "_null boolean, _source string, _share long")
+    frame_table = spark.createDataFrame(rows, "__qm_null boolean, __qm_source string, __qm_k long, __qm_slot long, __qm_share long")
+    sizes = spark.createDataFrame([(s is None, s or "", n) for s, n in shares.items()], "__qm_null boolean, __qm_source string, __qm_share long")
 
     bits = max(0, math.ceil(math.log2(max(1.0, sum(counts.values()) / bucket_rows))))
     kept = [c for c in docs.columns if c not in RESULTS]
-    hashed = docs.select(*kept).withColumns({"_null": source.isNull(), "_source": F.coalesce(source, F.lit("")), "_h": F.xxhash64(F.col("doc_id"), F.lit(seed))}).withColumn("_bucket", F.shiftright("_h", 64 - bits) if bits else F.lit(0).cast("long"))
-    key = ["_null", "_source", "_bucket"]
-    before = Window.partitionBy("_null", "_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hashed.select(*key).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    ranked = hashed.join(offsets, key).withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy(*key).orderBy("_h", "doc_id")) - 1)
-    placed = ranked.withColumn("block", F.floor(F.col("_rank") / block_docs)).join(F.broadcast(sizes), ["_null", "_source"])
-    placed = placed.withColumn("_k", F.pmod("block", "_share")).join(F.broadcast(frame_table.drop("_share")), ["_null", "_source", "_k"])
-    slot = F.floor(F.col("block") / F.col("_share")) * length + F.col("_slot")
-    return placed.select(*kept, "block", slot.alias("mix_slot"), (slot * block_docs + F.pmod("_rank", F.lit(block_docs))).alias("mix_position"))
+    hashed = docs.select(*kept).withColumns({"__qm_null": source.isNull(), "__qm_source": F.coalesce(source, F.lit("")), "__qm_h": F.xxhash64(F.col("doc_id"), F.lit(seed))}).withColumn("__qm_bucket", F.shiftright("__qm_h", 64 - bits) if bits else F.lit(0).cast("long"))
+    key = ["__qm_null", "__qm_source", "__qm_bucket"]
+    before = Window.partitionBy("__qm_null", "__qm_source").orderBy("__qm_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = hashed.select(*key).groupBy(*key).agg(F.count(F.lit(1)).alias("__qm_n")).withColumn("__qm_before", F.coalesce(F.sum("__qm_n").over(before), F.lit(0))).drop("__qm_n")
+    ranked = hashed.join(offsets, key).withColumn("__qm_rank", F.col("__qm_before") + F.row_number().over(Window.partitionBy(*key).orderBy("__qm_h", "doc_id")) - 1)
+    placed = ranked.withColumn("block", F.floor(F.col("__qm_rank") / block_docs)).join(F.broadcast(sizes), ["__qm_null", "__qm_source"])
+    placed = placed.withColumn("__qm_k", F.pmod("block", "__qm_share")).join(F.broadcast(frame_table.drop("__qm_share")), ["__qm_null", "__qm_source", "__qm_k"])
+    slot = F.floor(F.col("block") / F.col("__qm_share")) * length + F.col("__qm_slot")
+    return placed.select(*kept, "block", slot.alias("mix_slot"), (slot * block_docs + F.pmod("__qm_rank", F.lit(block_docs))).alias("mix_position"))

@@ -175,11 +175,11 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     none = F.array().cast("array<struct<value: string, kind: string>>")
     text = F.col("text").cast("string")
     found = F.when(text.rlike("[0-9@]") & text.rlike(PATTERN), F.transform(F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1)), lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))).otherwise(none)
-    marked = docs.select(*kept).withColumn("_found", found)
-    some = F.exists("_found", lambda m: m["kind"].isNotNull())
-    replaced = F.concat(F.transform("_found", lambda m: pseudonym(m["value"], m["kind"], key)), F.array(F.lit("")))
+    marked = docs.select(*kept).withColumn("__qm_found", found)
+    some = F.exists("__qm_found", lambda m: m["kind"].isNotNull())
+    replaced = F.concat(F.transform("__qm_found", lambda m: pseudonym(m["value"], m["kind"], key)), F.array(F.lit("")))
     # the pieces between the matches: one more than there are matches
     joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), replaced, lambda a, b: F.concat(a, b)), "")
     out = marked.withColumn("text", F.when(some, joined).otherwise(text))
-    of = lambda kind: F.size(F.filter("_found", lambda m: m["kind"] == kind)).cast("long")
-    return out.withColumns({"n_pii": F.size(F.filter("_found", lambda m: m["kind"].isNotNull())).cast("long"), **{f"n_{k}": of(k) for k in KINDS}}).drop("_found")
+    of = lambda kind: F.size(F.filter("__qm_found", lambda m: m["kind"] == kind)).cast("long")
+    return out.withColumns({"n_pii": F.size(F.filter("__qm_found", lambda m: m["kind"].isNotNull())).cast("long"), **{f"n_{k}": of(k) for k in KINDS}}).drop("__qm_found")

@@ -44,6 +44,7 @@ from quillmark.plans.staging import staged
 
 SEED, WIDTH, RADIUS = 42, 3, 2
 SHARD_ROWS, SAMPLE, LEAF = 20_000, 512, 1 << 20
+_KEPT = "__quillmark_kept"
 _BASE = 35  # distances over a half, 0 to 32, and one to either side
 
 
@@ -210,6 +211,6 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, shard_rows: int = SHARD
 def keep_one(docs: DataFrame, **settings: int) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id; rows without doc_id stay."""
     found = near_duplicates(docs, **settings)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(_KEPT)).distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col(_KEPT), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -38,6 +38,17 @@ def bound_batches(df: DataFrame) -> None:
         conf.set(name, str(BATCH_BYTES))
 
 
+def filter_rows(df: DataFrame, keep: Callable[[str | None], bool], column: str = "text") -> DataFrame:
+    """The rows of `df` whose text `keep` approves, with all their columns."""
+    bound_batches(df)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(keep(x.as_py())) for x in batch.column(column)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def map_rows(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | Iterator[dict]], schema: str) -> DataFrame:
     """Runs `rows` on each Arrow batch. It returns the output columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
