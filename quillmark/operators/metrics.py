@@ -58,11 +58,11 @@ def auc(scored: DataFrame, label: str, score: str) -> DataFrame:
 
 def average_precision(scored: DataFrame, label: str, score: str) -> DataFrame:
     """(ap): precision at each distinct score, weighted by the recall it adds."""
-    flipped = by_score(scored, label, score).withColumn("score", -F.col("score"))
-    down = running(flipped, "score", ["pos", "neg"])
-    tp, fp = F.col("pos_before") + F.col("pos"), F.col("neg_before") + F.col("neg")
+    frame = ranked(scored, label, score)
+    whole = F.broadcast(frame.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")))
+    tp, fp = F.col("P") - F.col("pos_before"), F.col("N") - F.col("neg_before")
     gain = F.sum(F.col("pos") * F.try_divide(tp.cast("double"), (tp + fp).cast("double")))
-    return down.agg(gain.alias("g"), F.sum("pos").alias("p")).select(F.coalesce(F.try_divide(F.col("g"), F.col("p").cast("double")), F.lit(float("nan"))).alias("ap"))
+    return frame.crossJoin(whole).agg(gain.alias("g"), F.sum("pos").alias("p")).select(F.coalesce(F.try_divide(F.col("g"), F.col("p").cast("double")), F.lit(float("nan"))).alias("ap"))
 
 
 def binary_metrics(scored: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
@@ -103,20 +103,15 @@ def group_accuracy(predicted: DataFrame, key: str, truth: str, guess: str) -> Da
 
 
 def grouped_auc_ap(scored: DataFrame, key: str, label: str, score: str) -> DataFrame:
-    """(key, auc, ap) for each group with both labels. Groups are few; ranks run over (group, score) in one order."""
-    from pyspark.sql import Window
-
+    """(key, auc, ap) for each group with both labels; a group's scores are dealt over buckets, so a hot one isn't one task."""
     own = scored.groupBy(F.col(key).alias("k"), F.col(score).cast("double").alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    up = Window.partitionBy("k").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy("k").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = own.select("k", "pos", "neg", F.coalesce(F.sum("neg").over(up), F.lit(0)).alias("below"), F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
-    found = rows.groupBy("k").agg(
-        F.sum("pos").alias("p"),
-        F.sum("neg").alias("n"),
-        F.sum(F.col("pos").cast("double") * (F.col("below") + F.col("neg") / 2.0)).alias("w"),
-        F.sum(F.col("pos") * (F.col("tp").cast("double") / (F.col("tp") + F.col("fp")))).alias("g"),
-    )
-    return found.where((F.col("p") > 0) & (F.col("n") > 0)).select(F.col("k").alias(key), (F.col("w") / (F.col("p").cast("double") * F.col("n"))).alias("auc"), (F.col("g") / F.col("p").cast("double")).alias("ap"))
+    frame = running(own, "score", ["pos", "neg"], by=["k"])
+    whole = own.groupBy("k").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).where((F.col("P") > 0) & (F.col("N") > 0))
+    tp, fp = F.col("P") - F.col("pos_before"), F.col("N") - F.col("neg_before")
+    wins = F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2.0))
+    gain = F.sum(F.col("pos") * (tp.cast("double") / (tp + fp)))
+    found = frame.join(whole, "k").groupBy("k", "P", "N").agg(wins.alias("w"), gain.alias("g"))
+    return found.select(F.col("k").alias(key), (F.col("w") / (F.col("P").cast("double") * F.col("N"))).alias("auc"), (F.col("g") / F.col("P").cast("double")).alias("ap"))
 
 
 def generator_report(scored: DataFrame, key: str, label: str, score: str, threshold: float = 0.5) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.operators.metrics import by_score, ranked, rate
@@ -68,9 +68,12 @@ def youden(scored: DataFrame, label: str, score: str, weight: str | None = None)
     return _best(every, [F.round(F.col("tpr") - F.col("fpr"), 12), F.round(F.least(F.col("tpr"), 1 - F.col("fpr")), 12), _near_half(), -F.col("threshold")], ["tpr", "fpr"])
 
 
-def validation_weight(group: str = "evaluation_group", label: str = "label_binary") -> Column:
-    """Each of the four cells of domain and class weighs a quarter."""
-    return F.lit(0.25) / F.count(F.lit(1)).over(Window.partitionBy(group, label))
+def with_validation_weight(rows: DataFrame, name: str, group: str = "evaluation_group", label: str = "label_binary") -> DataFrame:
+    """Adds the weight that makes each of the four cells of domain and class a quarter; other numbers of cells are an error."""
+    cells = rows.groupBy(group, label).agg(F.count(F.lit(1)).alias("_n"))
+    number = F.broadcast(cells.agg(F.count(F.lit(1)).alias("_cells")))
+    weight = F.when(F.col("_cells") != 4, F.raise_error(F.lit("both classes of two domains are needed")).cast("double")).otherwise(F.lit(0.25) / F.col("_n"))
+    return rows.join(F.broadcast(cells.limit(5)), [group, label]).crossJoin(number).withColumn(name, weight).drop("_n", "_cells")
 
 
 def recall_constrained(scored: DataFrame, scenario: str, score: str, minimum: dict[int, float]) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.plans.sizing import shuffle_partitions
@@ -26,22 +26,40 @@ def bucketed(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
     return df.withColumn("_bucket", F.aggregate(array, F.lit(0), lambda s, b: s + F.when(F.col(key) > b, 1).otherwise(0)))
 
 
-def running(df: DataFrame, key: str, sums: Sequence[str], follow: bool = False, buckets: int | None = None) -> DataFrame:
-    """`df` has one row for each value of the number `key`. Adds `<s>_before` for each of `sums`: the sum over lower keys.
+def running(df: DataFrame, key: str, sums: Sequence[str], follow: bool = False, buckets: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """`df` has one row for each value of the number `key` (in each group `by`). Adds `<s>_before` for each of `sums`: the sum over lower keys.
 
     With `follow`, also `<key>_next`, the next higher key, null for the last.
     """
+    by = list(by)
     dealt = bucketed(df, key, buckets)
-    totals = dealt.groupBy("_bucket").agg(*(F.sum(s).alias(f"_{s}_all") for s in sums), F.min(key).alias("_least"))
-    over = Window.orderBy("_bucket")
+    totals = dealt.groupBy(*by, "_bucket").agg(*(F.sum(s).alias(f"_{s}_all") for s in sums), F.min(key).alias("_least"))
+    over = Window.partitionBy(*by).orderBy("_bucket")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(F.col("_bucket").alias("_b"), *(F.coalesce(F.sum(f"_{s}_all").over(before), F.lit(0)).alias(f"_{s}_base") for s in sums), F.lead("_least").over(over).alias("_after"))
-    inside = Window.partitionBy("_bucket").orderBy(key)
-    joined = dealt.join(F.broadcast(totals), F.col("_bucket") == F.col("_b"))
+    totals = totals.select(*by, "_bucket", *(F.coalesce(F.sum(f"_{s}_all").over(before), F.lit(0)).alias(f"_{s}_base") for s in sums), F.lead("_least").over(over).alias("_after"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(key)
+    joined = dealt.join(totals if by else F.broadcast(totals), [*by, "_bucket"])
     out = joined.withColumns({f"{s}_before": F.col(f"_{s}_base") + F.coalesce(F.sum(s).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for s in sums})
     if follow:
         out = out.withColumn(f"{key}_next", F.coalesce(F.lead(key).over(inside), F.col("_after")))
-    return out.drop("_bucket", "_b", "_after", *(f"_{s}_base" for s in sums))
+    return out.drop("_bucket", "_after", *(f"_{s}_base" for s in sums))
+
+
+def hashed_rank(df: DataFrame, group: Sequence[str], major: Sequence[Column], mark: Column, key: str, digits: int = 3) -> DataFrame:
+    """Adds `rank` from 1 in each group, by `major`, then the hex string `mark`, then `key`.
+
+    A group's rows are dealt by `major` and the first `digits` of `mark`, so that no task holds a group; ranks of
+    the parts are running counts over a table with one row for each part.
+    """
+    group, names = list(group), [f"_m{k}" for k in range(len(major))]
+    dealt = df.withColumns({**dict(zip(names, major, strict=True)), "_mark": mark}).withColumn("_part", F.substring("_mark", 1, digits))
+    part = [*group, *names, "_part"]
+    before = Window.partitionBy(*group).orderBy(*names, "_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    same = [dealt[c].eqNullSafe(F.col(f"_r_{c}")) for c in part]
+    joined = dealt.join(counts.select(*(F.col(c).alias(f"_r_{c}") for c in part), "_base"), same)
+    ranked = joined.withColumn("rank", F.col("_base") + F.row_number().over(Window.partitionBy(*part).orderBy("_mark", key)))
+    return ranked.drop("_base", "_mark", "_part", *names, *(f"_r_{c}" for c in part))
 
 
 def quantiles(distinct: DataFrame, key: str, count: str, steps: int) -> DataFrame:

@@ -246,7 +246,7 @@ def thr_f1(spark, folder):
 r AS (SELECT threshold, (SELECT coalesce(sum(w), 0) FROM w WHERE label = 1 AND prob >= threshold) / P AS tpr, (SELECT coalesce(sum(w), 0) FROM w WHERE label = 0 AND prob >= threshold) / N AS fpr FROM (SELECT DISTINCT prob AS threshold FROM w), q)
 SELECT threshold, round(tpr, 9) AS tpr, round(fpr, 9) AS fpr FROM r ORDER BY round(r.tpr - r.fpr, 12) DESC, round(least(r.tpr, 1 - r.fpr), 12) DESC, abs(threshold - 0.5), threshold LIMIT 1""")
 def thr_youden_weighted(spark, folder):
-    weighted = scored(spark, folder).withColumn("w", t.validation_weight(label="label"))
+    weighted = t.with_validation_weight(scored(spark, folder), "w", label="label")
     return _rounded(t.youden(weighted, "label", "prob", "w"))
 
 

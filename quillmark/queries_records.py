@@ -290,8 +290,8 @@ def class_weights(spark, folder):
 
 @query("stratum_weights", f"WITH {SCORED_SQL} SELECT doc_id, round((SELECT count(*) FROM scored) * (CASE WHEN scenario = 4 THEN 0.5 ELSE 0.125 END) / count(*) OVER (PARTITION BY scenario), 9) AS weight FROM scored")
 def stratum_weights(spark, folder):
-    s = scored(spark, folder)
-    return s.select("doc_id", F.round(selection.stratum_weights(s, "scenario", {4: 0.5, 1: 0.125, 2: 0.125, 3: 0.125, 5: 0.125}), 9).alias("weight"))
+    weighed = selection.stratum_weights(scored(spark, folder), "scenario", {4: 0.5, 1: 0.125, 2: 0.125, 3: 0.125, 5: 0.125})
+    return weighed.select("doc_id", F.round("weight", 9).alias("weight"))
 
 
 @query("positive_rate_spread", f"WITH {SCORED_SQL}, r AS (SELECT source, avg(CAST(label AS DOUBLE)) AS rate FROM scored GROUP BY source) SELECT round(min(rate), 9) AS low, round(max(rate), 9) AS high, round(max(rate) - min(rate), 9) AS spread, max(rate) - min(rate) > 0.05 AS note FROM r")
