@@ -44,6 +44,8 @@ from quillmark.plans.staging import staged
 
 SEED, WIDTH, RADIUS = 42, 3, 2
 SHARD_ROWS, SAMPLE, LEAF = 20_000, 512, 1 << 20
+#: Pairs compared at once: in a crowd of near copies all of them are links, held as several arrays of this length.
+CELLS = 1 << 18
 _KEPT = "__quillmark_kept"
 _BASE = 35  # distances over a half, 0 to 32, and one to either side
 
@@ -111,7 +113,7 @@ def _compare(stored: np.ndarray, queries: np.ndarray, at_s: np.ndarray, at_q: np
     """All of a branch, in blocks of bounded size."""
     if not len(at_s) or not len(at_q):
         return
-    rows = max(1, (4 << 20) // len(at_s))
+    rows = max(1, CELLS // len(at_s))
     for k in range(0, len(at_q), rows):
         own = at_q[k : k + rows]
         i, j = np.nonzero(np.bitwise_count(queries[own][:, None] ^ stored[at_s][None, :]) <= RADIUS)
