@@ -9,6 +9,7 @@ from quillmark.operators import features, joins, linear, neardup, quality, selec
 from quillmark.plans.components import components
 from quillmark.plans.fixtures import SCORED_SQL, scored
 from quillmark.queries_metrics import _rounded
+from quillmark.plans.sizing import spread
 from quillmark.sources.tables import table
 
 QUERIES: dict = {}
@@ -32,7 +33,7 @@ _GROUPS_SQL = "['ooc', 'fake_text_real_image', 'real_text_fake_image', 'genuine'
 
 def _records(spark, folder):
     """doc_id, text_key, image_key, group, scenario, label_binary, source, lang."""
-    d = table(spark, folder, "documents")
+    d = spread(table(spark, folder, "documents"))
     scenario = (F.pmod("doc_id", F.lit(5)) + 1).cast("int")
     image = F.concat(F.lit("sha1:"), F.md5(F.concat_ws(":", "lang", F.col("n_chars").cast("string")).cast("binary")))
     return d.select("doc_id", text.text_key(text.normalize_text(F.col("text"), nfkc=False)).alias("text_key"), image.alias("image_key"), labels.scenario_group(scenario).alias("group"), scenario.alias("scenario"), labels.binary_label(scenario).alias("label_binary"), "source", "lang")
@@ -45,7 +46,7 @@ _RECORDS = f"""records AS (SELECT doc_id, substr(sha1({_NORM.format(c="text")}),
 @query("text_key_dedup", f"""WITH {_RECORDS}, k AS (SELECT *, doc_id = min(doc_id) OVER (PARTITION BY text_key) AS kept FROM records)
 SELECT "group", count(*) AS n, count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE NOT kept) AS duplicates, count(l.doc_id) AS labelled FROM k LEFT JOIN labels l ON k.doc_id = l.doc_id GROUP BY "group" """)
 def text_key_dedup(spark, folder):
-    d = table(spark, folder, "documents").select("doc_id", "text")
+    d = spread(table(spark, folder, "documents").select("doc_id", "text"))
     keyed = d.select("doc_id", text.text_key(text.normalize_text(F.col("text"))).alias("text_key"), labels.scenario_group((F.pmod("doc_id", F.lit(5)) + 1).cast("int")).alias("group"))
     seen = selection.first_seen(keyed, ["text_key"], ["doc_id"], "doc_id")
     known = table(spark, folder, "labels").select("doc_id", F.lit(1).alias("known"))
@@ -60,7 +61,7 @@ def first_seen_keepers(spark, folder):
 
 @query("normalized_text", f"SELECT doc_id, {_NORM.format(c='text')} AS normalized FROM documents")
 def normalized_text(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
+    return spread(table(spark, folder, "documents")).select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
 
 
 @query("provenance_key", "SELECT doc_id, md5(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')) AS key_md5 FROM documents")
@@ -122,7 +123,7 @@ def authorship_domain(spark, folder):
 
 @query("ambiguous_key_lookup", f"""WITH k AS (SELECT doc_id, {_NORM.format(c='text')} AS key, source FROM documents), u AS (SELECT key, min(source) AS found FROM k GROUP BY key HAVING count(DISTINCT source) = 1) SELECT doc_id, found FROM k LEFT JOIN u USING (key)""")
 def ambiguous_key_lookup(spark, folder):
-    d = table(spark, folder, "documents").select("doc_id", F.sha2(text.normalize_text(F.col("text"), nfkc=False).cast("binary"), 256).alias("key"), "source")
+    d = spread(table(spark, folder, "documents")).select("doc_id", F.sha2(text.normalize_text(F.col("text"), nfkc=False).cast("binary"), 256).alias("key"), "source")
     known = joins.unambiguous(d, "key", "source").withColumnRenamed("source", "found")
     return d.join(known, "key", "left").select("doc_id", "found")
 
@@ -132,7 +133,7 @@ _REASON = f"""d AS (SELECT doc_id, {_NORM.format(c='text')} AS norm, source, lan
 
 @query("exclusion_cascade", f"""WITH {_REASON} SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1) THEN 'source_id' WHEN norm = '' THEN 'empty_caption' WHEN doc_id % 10 = 0 THEN 'sample_id' WHEN norm IN (SELECT norm FROM protected) OR norm IN (SELECT {_NORM.format(c='text')} FROM benchmark) THEN 'caption' END AS reason FROM d""")
 def exclusion_cascade(spark, folder):
-    d = table(spark, folder, "documents").select("doc_id", text.normalize_text(F.col("text"), nfkc=False).alias("norm"))
+    d = spread(table(spark, folder, "documents")).select("doc_id", text.normalize_text(F.col("text"), nfkc=False).alias("norm"))
     protected = d.where("doc_id % 10 = 0")
     captions = protected.select("norm").unionByName(table(spark, folder, "benchmark").select(text.normalize_text(F.col("text"), nfkc=False).alias("norm")))
     toxic = table(spark, folder, "labels").where("toxic = 1").select("doc_id")
@@ -142,7 +143,7 @@ def exclusion_cascade(spark, folder):
 
 @query("exclusion_counts", f"""WITH {_REASON}, r AS (SELECT source, CASE WHEN doc_id % 10 = 0 THEN 'sample_id' WHEN norm IN (SELECT norm FROM protected) THEN 'caption' END AS reason FROM d) SELECT source, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY source, reason""")
 def exclusion_counts(spark, folder):
-    d = table(spark, folder, "documents").select("doc_id", "source", text.normalize_text(F.col("text"), nfkc=False).alias("norm"))
+    d = spread(table(spark, folder, "documents")).select("doc_id", "source", text.normalize_text(F.col("text"), nfkc=False).alias("norm"))
     protected = d.where("doc_id % 10 = 0")
     out = joins.exclusion_reason(d, {"sample_id": (protected, "doc_id", "doc_id"), "caption": (protected, "norm", "norm")})
     return out.where("reason IS NOT NULL").groupBy("source", "reason").agg(F.count(F.lit(1)).alias("n"))
@@ -150,7 +151,7 @@ def exclusion_counts(spark, folder):
 
 @query("caption_anti_join", f"WITH {_REASON} SELECT doc_id FROM d WHERE norm NOT IN (SELECT norm FROM protected)")
 def caption_anti_join(spark, folder):
-    d = table(spark, folder, "documents").select("doc_id", F.sha2(text.normalize_text(F.col("text"), nfkc=False).cast("binary"), 256).alias("norm"))
+    d = spread(table(spark, folder, "documents")).select("doc_id", F.sha2(text.normalize_text(F.col("text"), nfkc=False).cast("binary"), 256).alias("norm"))
     return d.join(d.where("doc_id % 10 = 0").select("norm"), "norm", "left_anti").select("doc_id")
 
 
