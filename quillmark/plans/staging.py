@@ -42,3 +42,10 @@ def drop_staged(df: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_all_staged(spark: SparkSession) -> None:
+    """Deletes every staged table of the shared folder: for the end of a job, when no plan reads them any more."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/staged")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
