@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.sources.tables import table
+from quillmark.plans.sizing import spread
+from quillmark.sources import tables
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Used only where spark.quillmark.pii.key is unset, as in tests. It protects nothing.
 DEMONSTRATION_KEY = "demonstration"
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(tables.table(spark, sf_dir, name))
+
+
 def tokenizer_definition(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -34,7 +39,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.decontamination import contaminated
 
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "benchmark"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +60,7 @@ def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mix(tables.table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +93,49 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
 
 
+def _words(text: str) -> str:
+    return rf"list_filter(string_split(regexp_replace(lower(coalesce({text}, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
+
+def _shingles(words: str) -> str:
+    return f"list_distinct(list_transform(range(greatest(len({words}) - 4, 0)), lambda k: array_to_string({words}[k + 1 : k + 5], ' ')))"
+
+
+OP2_SQL = rf"""
+WITH raw AS (
+  SELECT item_id, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS t, string_split_regex(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '\s+') AS s FROM benchmark
+), cut AS (
+  SELECT item_id, t, CASE WHEN regexp_matches(t, '(?s)[.!?]\s+\S') THEN regexp_extract(t, '(?s)^(.*[.!?])\s+(\S.*)$', 1) ELSE array_to_string(s[1 : len(s) - greatest(1, len(s) // 4)], ' ') END AS q,
+         CASE WHEN regexp_matches(t, '(?s)[.!?]\s+\S') THEN regexp_extract(t, '(?s)^(.*[.!?])\s+(\S.*)$', 2) ELSE array_to_string(s[len(s) - greatest(1, len(s) // 4) + 1 :], ' ') END AS a FROM raw
+), item AS (
+  SELECT item_id, {_words("t")} AS w, {_words("q")} AS q, {_words("a")} AS a FROM cut
+), units AS (
+  SELECT item_id, 'whole' AS part, 'shingle' AS kind, unnest({_shingles("w")}) AS unit FROM item WHERE len(w) >= 5
+  UNION ALL SELECT item_id, 'question', 'shingle', unnest({_shingles("q")}) FROM item WHERE len(q) >= 5
+  UNION ALL SELECT item_id, 'question', 'word', unnest(list_distinct(q)) FROM item WHERE len(q) < 5
+  UNION ALL SELECT item_id, 'answer', 'shingle', unnest({_shingles("a")}) FROM item WHERE len(a) >= 5
+  UNION ALL SELECT item_id, 'answer', 'word', unnest(list_distinct(a)) FROM item WHERE len(a) < 5
+), sizes AS (
+  SELECT item_id, part, count(*) AS n FROM units GROUP BY item_id, part
+), doc AS (
+  SELECT doc_id, {_words("text")} AS w FROM documents
+), held AS (
+  SELECT doc_id, 'shingle' AS kind, unnest({_shingles("w")}) AS unit FROM doc
+  UNION ALL SELECT doc_id, 'word', unnest(list_distinct(w)) FROM doc
+), found AS (
+  SELECT h.doc_id, u.item_id, count(*) FILTER (WHERE u.part = 'whole') AS whole, count(*) FILTER (WHERE u.part = 'question') AS question, count(*) FILTER (WHERE u.part = 'answer') AS answer
+  FROM held h JOIN units u ON h.kind = u.kind AND h.unit = u.unit GROUP BY h.doc_id, u.item_id
+), long_items AS (
+  SELECT f.doc_id, f.item_id, f.whole / CAST(w.n AS DOUBLE) AS similarity, coalesce(f.question / CAST(q.n AS DOUBLE), 1) AS question_overlap, coalesce(f.answer / CAST(a.n AS DOUBLE), 1) AS answer_overlap
+  FROM found f JOIN sizes w ON f.item_id = w.item_id AND w.part = 'whole'
+  LEFT JOIN sizes q ON f.item_id = q.item_id AND q.part = 'question' LEFT JOIN sizes a ON f.item_id = a.item_id AND a.part = 'answer'
+), short_items AS (
+  SELECT d.doc_id, i.item_id, CAST(1 AS DOUBLE) AS similarity, CAST(1 AS DOUBLE) AS question_overlap, CAST(1 AS DOUBLE) AS answer_overlap
+  FROM doc d JOIN item i ON len(i.w) BETWEEN 1 AND 4 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.w, ' ') || ' ')
+)
+SELECT * FROM long_items WHERE similarity >= 0.8 AND least(question_overlap, answer_overlap) >= 0.5 UNION ALL SELECT * FROM short_items
+"""
+
 OP10_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -120,4 +168,4 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES = {"op10_line_dedup": OP10_SQL}
+ORACLES = {"op2_decontamination": OP2_SQL, "op10_line_dedup": OP10_SQL}

@@ -16,7 +16,8 @@ Hamming distance over a half is a metric of its own, so the triangle bound holds
   sent as a query to the shards at -1 or +1 in each level, with +1 in the first, for each pair needs
   one direction only. All other shards are pruned.
 * Inside a shard the tree goes on with vantage points of the shard's own until a branch is small
-  enough to compare all of it. Every pair is verified over 64 bits.
+  enough to compare all of it. Every pair is verified over 64 bits. A crowd that no vantage point
+  parts is searched by its neighbours, in time that grows with its size, not its square.
 
 Each shard reduces its pairs to a spanning forest before it emits them, so a group of n near copies
 sends fewer than n links for each tree, not n squared. `levels` grows with the logarithm of the
@@ -46,6 +47,8 @@ SEED, WIDTH, RADIUS = 42, 3, 2
 SHARD_ROWS, SAMPLE, LEAF = 20_000, 512, 1 << 20
 #: Pairs compared at once: in a crowd of near copies all of them are links, held as several arrays of this length.
 CELLS = 1 << 18
+#: Pairs of a branch beyond which looking up all 2,081 neighbours of each query costs less than comparing.
+CROWD = 1 << 34
 _KEPT = "__quillmark_kept"
 _BASE = 35  # distances over a half, 0 to 32, and one to either side
 
@@ -113,6 +116,8 @@ def _compare(stored: np.ndarray, queries: np.ndarray, at_s: np.ndarray, at_q: np
     """All of a branch, in blocks of bounded size."""
     if not len(at_s) or not len(at_q):
         return
+    if len(at_s) * len(at_q) > CROWD:
+        return _look_up(stored, queries, at_s, at_q, forest)
     rows = max(1, CELLS // len(at_s))
     for k in range(0, len(at_q), rows):
         own = at_q[k : k + rows]
@@ -121,6 +126,17 @@ def _compare(stored: np.ndarray, queries: np.ndarray, at_s: np.ndarray, at_q: np
             forest.join(own[i], at_s[j])
 
 
+def _look_up(stored: np.ndarray, queries: np.ndarray, at_s: np.ndarray, at_q: np.ndarray, forest: _Forest) -> None:
+    """A crowd that no vantage point parts: every fingerprint within the radius of a query is looked up among the sorted stored ones."""
+    order = at_s[np.argsort(stored[at_s])]
+    keys = stored[order]
+    for bits in itertools.chain.from_iterable(itertools.combinations(range(64), k) for k in range(RADIUS + 1)):
+        wanted = queries[at_q] ^ np.uint64(sum(1 << b for b in bits))
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = keys[at] == wanted
+        forest.join(at_q[hit], order[at[hit]])
+
+
 def _descend(values: np.ndarray, at_s: np.ndarray, at_q: np.ndarray, mask: np.uint64, forest: _Forest, depth: int = 0) -> None:
     """Pairs of stored and queries one bit apart over `mask`: branches by distance to a vantage point, queries to both neighbours."""
     if len(at_s) * len(at_q) <= LEAF or depth > 12:

@@ -83,6 +83,19 @@ def test_descent_prunes_nothing_it_needs(monkeypatch):
     assert all(forest.roots(np.array([i]))[0] == forest.roots(np.array([j]))[0] for i, j in pairs)
 
 
+def test_a_crowd_looked_up_gives_the_groups_of_a_crowd_compared(monkeypatch):
+    values = np.array(near_values(random.Random(11), 80), np.uint64)
+    roots = []
+    for most in (1 << 34, 0):
+        monkeypatch.setattr(simhash, "CROWD", most)
+        forest = simhash._Forest(len(values))
+        every = np.arange(len(values))
+        simhash._compare(values, values, every, every, forest)
+        roots.append(forest.roots(every).tolist())
+    assert roots[0] == roots[1]
+    assert roots[0] == [values.tolist().index(v) for v in map(brute_groups(values.tolist()).get, values.tolist())]
+
+
 def test_query_equals_brute_force_on_the_smallest_tables(spark, small):
     from quillmark.llm.queries import op1_simhash
 
