@@ -45,8 +45,8 @@ def running(df: DataFrame, key: str, sums: Sequence[str], follow: bool = False,
     return out.drop("_bucket", "_after", *(f"_{s}_base" for s in sums))
 
 
-def hashed_rank(df: DataFrame, group: Sequence[str], major: Sequence[Column], mark: Column, key: str, digits: int = 3) -> DataFrame:
-    """Adds `rank` from 1 in each group, by `major`, then the hex string `mark`, then `key`.
+def hashed_rank(df: DataFrame, group: Sequence[str], major: Sequence[Column], mark: Column, key: str, digits: int = 3, name: str = "rank") -> DataFrame:
+    """Adds `name`, a rank from 1 in each group, by `major`, then the hex string `mark`, then `key`.
 
     A group's rows are dealt by `major` and the first `digits` of `mark`, so that no task holds a group; ranks of
     the parts are running counts over a table with one row for each part.
@@ -58,7 +58,7 @@ def hashed_rank(df: DataFrame, group: Sequence[str], major: Sequence[Column], ma
     counts = dealt.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     same = [dealt[c].eqNullSafe(F.col(f"_r_{c}")) for c in part]
     joined = dealt.join(counts.select(*(F.col(c).alias(f"_r_{c}") for c in part), "_base"), same)
-    ranked = joined.withColumn("rank", F.col("_base") + F.row_number().over(Window.partitionBy(*part).orderBy("_mark", key)))
+    ranked = joined.withColumn(name, F.col("_base") + F.row_number().over(Window.partitionBy(*part).orderBy("_mark", key)))
     return ranked.drop("_base", "_mark", "_part", *names, *(f"_r_{c}" for c in part))
 
 
