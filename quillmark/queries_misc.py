@@ -92,3 +92,100 @@ def image_keys(spark, folder):
     d = table(spark, folder, "documents")
     path = F.concat(F.col("source"), F.lit("\\Img"), F.col("doc_id").cast("string"), F.lit(".PNG"))
     return d.select("doc_id", text.image_key(F.col("doc_id") % 4 != 0, F.sha1(F.col("text").cast("binary")), path).alias("image_key"))
+
+
+# --- builds, reservations, audits
+
+
+@query("dataset_build")
+def dataset_build(spark, folder):
+    from quillmark.plans.build import build_dataset
+    from quillmark.queries_records import _records
+
+    rows = _records(spark, folder).withColumn("sample_id", F.col("doc_id").cast("string"))
+    return build_dataset(rows)[0].select("sample_id", "group", "cluster", "split")
+
+
+@query("dataset_build_leaks", "SELECT 'x' AS \"check\", 'x' AS key, 'x' AS detail WHERE false")
+def dataset_build_leaks(spark, folder):
+    """The build's own checks of identity, balance, copies, labels and leaks; shares of small groups may be off."""
+    from quillmark.plans.build import build_dataset
+    from quillmark.queries_records import _records
+
+    rows = _records(spark, folder).withColumn("sample_id", F.col("doc_id").cast("string"))
+    return build_dataset(rows)[1].where("check <> 'split_share'")
+
+
+@query("reserved_quotas", """WITH o AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id) AS k FROM documents)
+SELECT doc_id, lang, CASE WHEN k <= 3 THEN 'test' WHEN k <= 5 THEN 'val' ELSE 'train' END AS split FROM o WHERE k <= 10""")
+def reserved_quotas(spark, folder):
+    from quillmark.operators.reservation import reserved
+
+    d = table(spark, folder, "documents").select("doc_id", "lang", F.col("doc_id").alias("content"))
+    return reserved(d, {"test": 3, "val": 2, "train": 5}, "doc_id", ["lang"], "content").select("doc_id", "lang", "split")
+
+
+@query("suffix_lookup", "SELECT 'doc/' || doc_id AS path, 'archive/' || lang || '/doc/' || doc_id AS member, NULL AS problem FROM documents")
+def suffix_lookup(spark, folder):
+    from quillmark.operators.audits import by_suffix
+
+    d = table(spark, folder, "documents")
+    tail = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
+    return by_suffix(d.select(tail.alias("path")), d.select(F.concat(F.lit("archive/"), "lang", F.lit("/"), tail).alias("member")))
+
+
+@query("region_coverage", """WITH b AS (SELECT doc_id, doc_id % 9 AS a, doc_id % 6 AS c FROM documents), s AS (SELECT greatest(0, least(a, 4)) * 1.0 / 4 AS s1, greatest(greatest(0, least(a, 4)), greatest(0, least(c, 4))) * 1.0 / 4 AS s2 FROM b)
+SELECT 1 AS k, count(*) AS n, count(*) FILTER (WHERE s1 = 0) AS outside, count(*) FILTER (WHERE s1 < 0.5) AS under_half FROM s UNION ALL SELECT 2, count(*), count(*) FILTER (WHERE s2 = 0), count(*) FILTER (WHERE s2 < 0.5) FROM s""")
+def region_coverage(spark, folder):
+    from quillmark.operators.audits import coverage
+
+    box = lambda w: F.array(F.lit(0.0), F.lit(0.0), w.cast("double"), F.lit(1.0))
+    d = table(spark, folder, "documents").select(F.array(box(F.col("doc_id") % 9), box(F.col("doc_id") % 6)).alias("boxes"), box(F.lit(4)).alias("target"))
+    return coverage(d, "boxes", "target", (1, 2))
+
+
+@query("gate_by_scenario", f"""WITH {SCORED_SQL}, b AS (SELECT scenario, avg(prob) AS v FROM scored GROUP BY scenario), c AS (SELECT scenario, avg(prob) AS v FROM scored WHERE doc_id % 3 <> 0 GROUP BY scenario)
+SELECT scenario, round(c.v - b.v, 9) AS difference, c.v - b.v >= -0.01 AS passes, bool_and(c.v - b.v >= -0.01) OVER () AS promote FROM b JOIN c USING (scenario)""")
+def gate_by_scenario(spark, folder):
+    from quillmark.operators.audits import promotion
+
+    s = scored(spark, folder)
+    mean = lambda df: df.groupBy("scenario").agg(F.avg("prob").alias("v"))
+    return _rounded(promotion(mean(s), mean(s.where("doc_id % 3 <> 0")), "scenario", "v", 0.01))
+
+
+@query("holdout_sizes", "SELECT count(*) FILTER (WHERE doc_id % 4 <> 0 AND lang <> 'fr') AS training, count(*) FILTER (WHERE doc_id % 4 = 0 AND (lang = 'fr' OR doc_id % 5 = 3)) AS target FROM documents")
+def holdout_sizes(spark, folder):
+    from quillmark.operators.filters import source_holdout
+
+    s = scored(spark, folder).withColumn("split", F.when(F.col("doc_id") % 4 == 0, "val").otherwise("train"))
+    train, target = source_holdout(s, "fr", category="lang")
+    return train.agg(F.count(F.lit(1)).alias("training")).crossJoin(target.agg(F.count(F.lit(1)).alias("target")))
+
+
+@query("weighted_draws")
+def weighted_draws(spark, folder):
+    from quillmark.operators.reservation import draw_audit
+    from quillmark.operators.reservation import weighted_draws as draws
+
+    s = scored(spark, folder).withColumn("w", F.when(F.col("label") == 0, 4.0).otherwise(1.0))
+    return draw_audit(draws(s, "w", 400, "doc_id", 3), ["label"])
+
+
+@query("midpoint_ridge")
+def midpoint_ridge(spark, folder):
+    from quillmark.operators.linear import midpoint_correction
+
+    e = table(spark, folder, "embeddings").select(arrays.doubles(F.col("embedding")).alias("x"), F.col("label").cast("double").alias("m"))
+    coefficients, intercept = midpoint_correction(e, "x", "m", 10.0)
+    return spark.createDataFrame([(k, round(float(c), 4)) for k, c in enumerate([*coefficients, intercept])], "position int, coefficient double")
+
+
+@query("shortcut_forest")
+def shortcut_forest(spark, folder):
+    from quillmark.operators.linear import fake_probability, random_forest
+    from quillmark.operators.metrics import binary_counts
+
+    s = scored(spark, folder).select("doc_id", "label", F.array(F.log1p("n_chars"), (F.col("lang") == "en").cast("double")).alias("x"))
+    model = random_forest(s.where("doc_id % 4 <> 0"), "x", "label")
+    return binary_counts(fake_probability(model, s.where("doc_id % 4 = 0"), "x"), "label", "prob").select("n", "tp", "tn", "fp", "fn")
