@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,10 @@ from quillmark.functions.arrays import doubles, pair_features, total
 
 
 def column_stats(df: DataFrame, features: str, population: bool = False) -> DataFrame:
-    """One row (mu, sd) of arrays; by position, so only sums by (position) are shuffled."""
-    sd = F.stddev_pop if population else F.stddev_samp
-    per = df.select(F.posexplode(doubles(F.col(features))).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), sd("x").alias("s"))
-    ordered = F.array_sort(F.collect_list(F.struct("i", "m", "s")))
-    return per.agg(ordered.alias("a")).select(F.transform("a", lambda r: r["m"]).alias("mu"), F.transform("a", lambda r: r["s"]).alias("sd"))
+    """One row (mu, sd) of arrays, in one pass that keeps one sum a position in each task."""
+    found = df.select(Summarizer.metrics("mean", "std", "count").summary(array_to_vector(doubles(F.col(features)))).alias("s"))
+    shrink = F.sqrt(F.greatest(F.col("s.count") - 1, F.lit(0)) / F.greatest(F.col("s.count"), F.lit(1))) if population else F.lit(1.0)
+    return found.select(vector_to_array("s.mean").alias("mu"), F.transform(vector_to_array("s.std"), lambda x: x * shrink).alias("sd"))
 
 
 def zscored(df: DataFrame, train: DataFrame, features: str, least: float = 1e-6, population: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmark.functions import arrays, hashes, labels, text
+from quillmark.functions import arrays, labels, text
 from quillmark.operators import features, joins, linear, neardup, quality, selection
 from quillmark.plans.components import components
 from quillmark.plans.fixtures import SCORED_SQL, scored

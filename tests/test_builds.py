@@ -35,6 +35,13 @@ def test_build_balances_drops_copies_and_keeps_shared_content_together(spark):
     assert {(r.sample_id, r.split) for r in again.collect()} == {(k, r.split) for k, r in kept.items()}
 
 
+def test_first_rows_by_either_way(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id * 7 % 300 AS r", "id")
+    small = {r.id for r in selection.first_by(df, "r", 41).collect()}
+    monkeypatch.setattr(selection, "MOST_GATHERED", 10)
+    assert {r.id for r in selection.first_by(df, "r", 41).collect()} == small and len(small) == 41
+
+
 def test_real_fake_goals():
     available = {"ooc": 6, "fake_text_real_image": 6, "real_text_fake_image": 6, "genuine": 14, "fake_text_fake_image": 6}
     assert selection.goals(available, "real_fake")["genuine"] == 12 and selection.goals(available, "real_fake")["ooc"] == 3

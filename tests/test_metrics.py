@@ -211,7 +211,8 @@ def test_logistic_is_the_optimum_of_the_c_form(spark):
 
 def test_zscores_and_early_stop(spark):
     df = spark.createDataFrame([(1, [1.0, 5.0]), (2, [3.0, 5.0])], "id long, x array<double>")
-    assert [r.x for r in features.zscored(df, df, "x", population=True).orderBy("id").collect()] == [[-1.0, 0.0], [1.0, 0.0]]
+    found = [r.x for r in features.zscored(df, df, "x", population=True).orderBy("id").collect()]
+    assert [[round(v, 9) for v in x] for x in found] == [[-1.0, 0.0], [1.0, 0.0]]
     history = spark.createDataFrame([("r", e, m) for e, m in enumerate([0.1, 0.5, 0.4, 0.3, 0.9], 1)], "run string, epoch int, metric double")
     r = features.early_stop(history, "run", "epoch", "metric", 2).first()
     assert (r.best_epoch, r.best, r.stopped) == (2, 0.5, 4)
