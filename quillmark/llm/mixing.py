@@ -88,9 +88,11 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, bloc
     kept = [c for c in docs.columns if c not in RESULTS]
     hashed = docs.select(*kept).withColumns({"__qm_null": source.isNull(), "__qm_source": F.coalesce(source, F.lit("")), "__qm_h": F.xxhash64(F.col("doc_id"), F.lit(seed))}).withColumn("__qm_bucket", F.shiftright("__qm_h", 64 - bits) if bits else F.lit(0).cast("long"))
     key = ["__qm_null", "__qm_source", "__qm_bucket"]
+    # rows that share a doc_id are told apart by their contents, so that a task run again ranks them alike
+    ties = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.select(*kept).dtypes if "map<" not in kind and kind != "variant"))
     before = Window.partitionBy("__qm_null", "__qm_source").orderBy("__qm_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = hashed.select(*key).groupBy(*key).agg(F.count(F.lit(1)).alias("__qm_n")).withColumn("__qm_before", F.coalesce(F.sum("__qm_n").over(before), F.lit(0))).drop("__qm_n")
-    ranked = hashed.join(offsets, key).withColumn("__qm_rank", F.col("__qm_before") + F.row_number().over(Window.partitionBy(*key).orderBy("__qm_h", "doc_id")) - 1)
+    ranked = hashed.join(offsets, key).withColumn("__qm_rank", F.col("__qm_before") + F.row_number().over(Window.partitionBy(*key).orderBy("__qm_h", "doc_id", ties)) - 1)
     placed = ranked.withColumn("block", F.floor(F.col("__qm_rank") / block_docs)).join(F.broadcast(sizes), ["__qm_null", "__qm_source"])
     placed = placed.withColumn("__qm_k", F.pmod("block", "__qm_share")).join(F.broadcast(frame_table.drop("__qm_share")), ["__qm_null", "__qm_source", "__qm_k"])
     slot = F.floor(F.col("block") / F.col("__qm_share")) * length + F.col("__qm_slot")
