@@ -23,7 +23,7 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_DOCS, FRAME, ALPHA, BUCKET_ROWS, SEED = 64, 4096, 0.5, 20_000, 17
@@ -63,6 +63,11 @@ def schedule(shares: dict) -> list:
     return out
 
 
+def order_mark(doc_id: Column, seed: int) -> Column:
+    """The hex string that orders a source's documents; the same in any SQL engine."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string")).cast("binary"))
+
+
 def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, block_docs: int = BLOCK_DOCS, frame: int = FRAME, bucket_rows: int = BUCKET_ROWS, seed: int = SEED) -> DataFrame:
     """Returns every row of `docs` with block, mix_slot and mix_position; reading by mix_position interleaves the sources.
 
@@ -84,9 +89,9 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, bloc
     frame_table = spark.createDataFrame(rows, "__qm_null boolean, __qm_source string, __qm_k long, __qm_slot long, __qm_share long")
     sizes = spark.createDataFrame([(s is None, s or "", n) for s, n in shares.items()], "__qm_null boolean, __qm_source string, __qm_share long")
 
-    bits = max(0, math.ceil(math.log2(max(1.0, sum(counts.values()) / bucket_rows))))
+    bits = min(32, max(0, math.ceil(math.log2(max(1.0, sum(counts.values()) / bucket_rows)))))
     kept = [c for c in docs.columns if c not in RESULTS]
-    hashed = docs.select(*kept).withColumns({"__qm_null": source.isNull(), "__qm_source": F.coalesce(source, F.lit("")), "__qm_h": F.xxhash64(F.col("doc_id"), F.lit(seed))}).withColumn("__qm_bucket", F.shiftright("__qm_h", 64 - bits) if bits else F.lit(0).cast("long"))
+    hashed = docs.select(*kept).withColumns({"__qm_null": source.isNull(), "__qm_source": F.coalesce(source, F.lit("")), "__qm_h": order_mark(F.col("doc_id"), seed)}).withColumn("__qm_bucket", F.shiftright(F.conv(F.substring("__qm_h", 1, 8), 16, 10).cast("long"), 32 - bits))
     key = ["__qm_null", "__qm_source", "__qm_bucket"]
     # rows that share a doc_id are told apart by their contents, so that a task run again ranks them alike
     ties = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.select(*kept).dtypes if "map<" not in kind and kind != "variant"))
