@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_DOCS, FRAME, ALPHA, BUCKET_ROWS, SEED = 64, 4096, 0.5, 20_000, 17
+BLOCK_DOCS, FRAME, ALPHA, BUCKET_ROWS, SEED = 64, 4096, 0.5, 4_000, 17
 #: The driver holds a count and a weight for each source.
 MOST_SOURCES = 100_000
 RESULTS = ("block", "mix_slot", "mix_position")

@@ -167,6 +167,28 @@ WITH RECURSIVE c AS (
 SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(mix_slot AS BIGINT) AS mix_slot, CAST(mix_slot * 64 + r % 64 AS BIGINT) AS mix_position FROM placed
 """
 
+def _op7_sql() -> str:
+    """Spans by every rule's expression, from the lengths of matches and of the pieces between them."""
+    from quillmark.llm.secrets import BASE, RULES
+
+    parts = []
+    for k, rule in enumerate(RULES):
+        pattern = "'" + rule.spans.replace("'", "''") + "'"
+        parts.append(f"SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(t, {pattern}) AS pieces, regexp_extract_all(t, {pattern}) AS found, regexp_extract_all(t, {pattern}, {rule.group}) AS part FROM d WHERE regexp_matches(t, {pattern})")
+    counts = ", ".join(f"count(s.kind) FILTER (WHERE s.kind = '{kind}') AS n_{kind}" for kind in BASE)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({" UNION ALL ".join(parts)}), i AS (
+  SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m
+), s AS (
+  SELECT doc_id, k, kind, CAST(list_sum(list_transform(pieces[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1 : i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(found[i]) AS n FROM i WHERE length(part[i]) >= least
+), j AS (
+  SELECT doc_id, k, kind, a, kind || ':' || a || ':' || (a + n) AS span FROM s
+)
+SELECT d.doc_id, {counts.replace("s.kind", "j.kind")}, sha256(coalesce(string_agg(span, ',' ORDER BY a, k) FILTER (WHERE k < {len(BASE)}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY a, k), '') AS spans
+FROM d LEFT JOIN j ON d.doc_id = j.doc_id GROUP BY d.doc_id
+"""
+
+
 OP10_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -199,4 +221,4 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES = {"op2_decontamination": OP2_SQL, "op5_mixing": OP5_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES = {"op2_decontamination": OP2_SQL, "op5_mixing": OP5_SQL, "op7_secrets": _op7_sql(), "op10_line_dedup": OP10_SQL}
