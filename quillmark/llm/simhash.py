@@ -45,6 +45,8 @@ from quillmark.plans.staging import staged
 
 SEED, WIDTH, RADIUS = 42, 3, 2
 SHARD_ROWS, SAMPLE, LEAF = 20_000, 512, 1 << 20
+#: Least levels that are dealt: the third parts a crowd of near copies that the first two leave in one shard.
+LEVELS = 3
 #: Pairs compared at once: in a crowd of near copies all of them are links, held as several arrays of this length.
 CELLS = 1 << 18
 #: Pairs of a branch beyond which looking up all 2,081 neighbours of each query costs less than comparing.
@@ -203,7 +205,7 @@ def _dealt(distinct: DataFrame, levels: int, points: list[list[int]]) -> DataFra
 
 def links(distinct: DataFrame, n: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(a, b): links that span every group of the `n` distinct fingerprints `fp`."""
-    levels = max(2, math.ceil(math.log10(max(n, 1) / shard_rows) + 1)) if n > shard_rows else 2
+    levels = max(LEVELS, math.ceil(math.log10(max(n, 1) / shard_rows) + 1))
     sample = [r.fp & 0xFFFFFFFFFFFFFFFF for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
     dealt = _dealt(distinct.select("fp"), levels, [vantage_points(sample, levels, half) for half in (0, 1)])
 
