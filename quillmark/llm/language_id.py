@@ -38,14 +38,20 @@ _LETTER = regex.compile(r"\p{L}")
 def training_texts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_bytes: int = DOC_BYTES, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionary bytes by language. At most languages x `sample_docs` rows of `doc_bytes` reach the driver.
 
-    Ids are chosen on narrow rows, with Spark's partial group limit, so no language's rows meet in a task.
+    Ids are chosen on narrow rows; only those below a hash bound of their language meet in its task.
     """
-    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    docs = docs.select("doc_id", "text", "lang")
-    most = docs.where("text IS NOT NULL AND lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    docs = docs.where(F.col("lang").isin([r[0] for r in most]))
-    chosen = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= sample_docs)
-    ids = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_k").dropDuplicates(["_id", "_lang"])
+    docs = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
+    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id", 0.02).alias("ids"))
+    most = sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    if not most:
+        return {}
+    docs = docs.where(F.col("lang").isin([r["lang"] for r in most]))
+    # the least hashes lie below a bound that some 8 x sample_docs ids of the language pass, however many partitions there are
+    bound = {r["lang"]: int(-(1 << 63) + min(1.0, 8 * sample_docs / max(r["ids"], 1)) * ((1 << 64) - 1)) for r in most}
+    below = F.create_map(*[F.lit(x) for lang, top in bound.items() for x in (lang, min(top, (1 << 63) - 1))])
+    hashed = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).where(F.col("_h") <= F.element_at(below, F.col("lang"))).distinct()
+    chosen = hashed.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_k") <= sample_docs)
+    ids = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_k")
     found = docs.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("_lang", "_k", F.substring("text", 1, doc_bytes).alias("text")).dropDuplicates(["_lang", "_k"])
     by_lang: dict[str, list] = {}
     for row in found.toLocalIterator():
