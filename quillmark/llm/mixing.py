@@ -12,7 +12,7 @@ depends on the number of sources alone. When a source runs out, its later slots
 others keep their proportions, so each document is placed exactly once.
 
 Ranks within a source don't need a source in one task: the order is by a hash, whose top bits deal
-each source into buckets of about `bucket_rows`; rank = rows in earlier buckets + rank in the bucket.
+each source into buckets of `bucket_rows` at most, and more of them than there are partitions; rank = rows in earlier buckets + rank in the bucket.
 
 A null source is a source of its own. Default weights are document counts to the power `alpha`.
 Rows with equal doc_ids get places of their own. Columns named as the results are replaced.
@@ -26,7 +26,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_DOCS, FRAME, ALPHA, BUCKET_ROWS, SEED = 64, 4096, 0.5, 4_000, 17
+from quillmark.plans.sizing import shuffle_partitions
+
+BLOCK_DOCS, FRAME, ALPHA, BUCKET_ROWS, SEED = 64, 4096, 0.5, 20_000, 17
 #: The driver holds a count and a weight for each source.
 MOST_SOURCES = 100_000
 RESULTS = ("block", "mix_slot", "mix_position")
@@ -89,7 +91,7 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, bloc
     frame_table = spark.createDataFrame(rows, "__qm_null boolean, __qm_source string, __qm_k long, __qm_slot long, __qm_share long")
     sizes = spark.createDataFrame([(s is None, s or "", n) for s, n in shares.items()], "__qm_null boolean, __qm_source string, __qm_share long")
 
-    bits = min(32, max(0, math.ceil(math.log2(max(1.0, sum(counts.values()) / bucket_rows)))))
+    bits = min(32, max(0, math.ceil(math.log2(max(4 * shuffle_partitions(spark), sum(counts.values()) / bucket_rows)))))
     kept = [c for c in docs.columns if c not in RESULTS]
     hashed = docs.select(*kept).withColumns({"__qm_null": source.isNull(), "__qm_source": F.coalesce(source, F.lit("")), "__qm_h": order_mark(F.col("doc_id"), seed)}).withColumn("__qm_bucket", F.shiftright(F.conv(F.substring("__qm_h", 1, 8), 16, 10).cast("long"), 32 - bits))
     key = ["__qm_null", "__qm_source", "__qm_bucket"]
