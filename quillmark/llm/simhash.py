@@ -224,7 +224,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, shard_rows: int = SHARD
     named = groups.join(distinct, groups.node == distinct.fp).select("component", "fp", "least")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = named.join(least, "component").select(F.col("fp").alias("_fp"), "component_id")
-    labels = distinct.join(linked, distinct.fp == F.col("_fp"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # staged, so that the last join stands alone and Spark can split a fingerprint that very many documents share
+    labels = staged(distinct.join(linked, distinct.fp == F.col("_fp"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "labels")
     return own.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
