@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import decontamination, language_id, line_dedup, mixing, simhash
+from quillmark.llm import decontamination, language_id, line_dedup, mixing, similar_texts
 from quillmark.llm.queries import held_out
 from quillmark.plans.staging import drop_staged, staged
 from quillmark.sources.tables import table
@@ -28,8 +28,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.keep_one(docs).select(*docs.columns)
+    """One document of each group stays, linked by SimHash or by a 5-word similarity of 0.8 or more."""
+    return similar_texts.keep_one(docs).select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
