@@ -38,8 +38,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document gets its place in the mix of sources."""
-    return mixing.mix(docs)
+    """Every document gets its place in the mix of sources, by the exact weights."""
+    return mixing.mix(docs, exact=True)
 
 
 STAGES = [

@@ -14,6 +14,10 @@ others keep their proportions, so each document is placed exactly once.
 Ranks within a source don't need a source in one task: the order is by a hash, whose top bits deal
 each source into buckets of `bucket_rows` at most, and more of them than there are partitions; rank = rows in earlier buckets + rank in the bucket.
 
+With `exact` there is no frame: the weights themselves, as exact integers, give every block of the corpus its
+window, so no rounding adds up however long the mix is. The driver then makes one slot a block; slots in which
+no block is released are skipped, not walked.
+
 A null source is a source of its own. Default weights are document counts to the power `alpha`.
 Rows with equal doc_ids get places of their own. Columns named as the results are replaced.
 """
@@ -22,8 +26,10 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.plans.sizing import shuffle_partitions
@@ -31,6 +37,8 @@ from quillmark.plans.sizing import shuffle_partitions
 BLOCK_DOCS, FRAME, ALPHA, BUCKET_ROWS, SEED = 64, 4096, 0.5, 20_000, 17
 #: The driver holds a count and a weight for each source.
 MOST_SOURCES = 100_000
+#: Blocks whose exact slots are in one row.
+CHUNK = 256
 RESULTS = ("block", "mix_slot", "mix_position")
 
 
@@ -65,15 +73,62 @@ def schedule(shares: dict) -> list:
     return out
 
 
+def exact_weights(weights: dict) -> dict:
+    """Integers in exactly the ratios of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*(x.denominator for x in exact.values())) if exact else 1
+    return {s: int(x * unit) for s, x in exact.items()}
+
+
+def exact_slots(weights: dict, blocks: dict) -> dict:
+    """The slots of each source's blocks: earliest deadline first, windows from the exact weights, until all blocks are placed."""
+    order, exact = sorted(blocks, key=str), exact_weights(weights)
+    total, n = sum(exact.values()), [exact[s] for s in order]
+    waiting, ready, slot = [(0, k) for k in range(len(order)) if blocks[order[k]]], [], 0
+    heapq.heapify(waiting)
+    out = [array("q") for _ in order]
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            k = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(len(out[k]) + 1) * total // n[k]), k))
+        k = heapq.heappop(ready)[1]
+        out[k].append(slot)
+        slot += 1
+        if len(out[k]) < blocks[order[k]]:
+            heapq.heappush(waiting, (len(out[k]) * total // n[k], k))
+    return dict(zip(order, out, strict=True))
+
+
 def order_mark(doc_id: Column, seed: int) -> Column:
     """The hex string that orders a source's documents; the same in any SQL engine."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string")).cast("binary"))
 
 
-def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, block_docs: int = BLOCK_DOCS, frame: int = FRAME, bucket_rows: int = BUCKET_ROWS, seed: int = SEED) -> DataFrame:
+def _frame_tables(spark: SparkSession, shares: dict) -> tuple[DataFrame, DataFrame, int]:
+    """The slot of each of a source's blocks in a frame, how many each has, and the frame's length."""
+    places: dict = {}
+    rows = []
+    for slot, s in enumerate(schedule(shares)):
+        k = places[s] = places.get(s, -1) + 1
+        rows.append((s is None, s or "", k, slot))
+    frame_table = spark.createDataFrame(rows, "__qm_null boolean, __qm_source string, __qm_k long, __qm_slot long")
+    sizes = spark.createDataFrame([(s is None, s or "", n) for s, n in shares.items()], "__qm_null boolean, __qm_source string, __qm_share long")
+    return frame_table, sizes, len(rows)
+
+
+def _exact_table(spark: SparkSession, slots: dict) -> DataFrame:
+    """The slots of each source's blocks, in rows of CHUNK."""
+    rows = [(s is None, s or "", k // CHUNK, own[k : k + CHUNK].tolist()) for s, own in slots.items() for k in range(0, len(own), CHUNK)]
+    return spark.createDataFrame(rows, "__qm_null boolean, __qm_source string, __qm_chunk long, __qm_slots array<long>")
+
+
+def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, block_docs: int = BLOCK_DOCS, frame: int = FRAME, bucket_rows: int = BUCKET_ROWS, seed: int = SEED, exact: bool = False) -> DataFrame:
     """Returns every row of `docs` with block, mix_slot and mix_position; reading by mix_position interleaves the sources.
 
-    `weights` maps each source, None for null, to a positive weight; a source without one is an error.
+    `weights` maps each source, None for null, to a positive weight; a source without one is an error. `exact` schedules
+    by the weights themselves, without a frame.
     """
     spark = docs.sparkSession
     source = F.col("source").cast("string")
@@ -81,16 +136,7 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, bloc
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"over {MOST_SOURCES} sources; map them to fewer first")
     own = {s: n**alpha for s, n in counts.items()} if weights is None else {s: weights[s] for s in counts}
-    shares = integer_shares(own, frame) if own else {}
-    places: dict = {}
-    rows = []
-    for slot, s in enumerate(schedule(shares)):
-        k = places[s] = places.get(s, -1) + 1
-        rows.append((s is None, s or "", k, slot, shares[s]))
-    length = len(rows)
-    frame_table = spark.createDataFrame(rows, "__qm_null boolean, __qm_source string, __qm_k long, __qm_slot long, __qm_share long")
-    sizes = spark.createDataFrame([(s is None, s or "", n) for s, n in shares.items()], "__qm_null boolean, __qm_source string, __qm_share long")
-
+    slots = _exact_table(spark, exact_slots(own, {s: -(-n // block_docs) for s, n in counts.items()})) if exact else None
     bits = min(32, max(0, math.ceil(math.log2(max(4 * shuffle_partitions(spark), sum(counts.values()) / bucket_rows)))))
     kept = [c for c in docs.columns if c not in RESULTS]
     hashed = docs.select(*kept).withColumns({"__qm_null": source.isNull(), "__qm_source": F.coalesce(source, F.lit("")), "__qm_h": order_mark(F.col("doc_id"), seed)}).withColumn("__qm_bucket", F.shiftright(F.conv(F.substring("__qm_h", 1, 8), 16, 10).cast("long"), 32 - bits))
@@ -100,7 +146,13 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, bloc
     before = Window.partitionBy("__qm_null", "__qm_source").orderBy("__qm_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = hashed.select(*key).groupBy(*key).agg(F.count(F.lit(1)).alias("__qm_n")).withColumn("__qm_before", F.coalesce(F.sum("__qm_n").over(before), F.lit(0))).drop("__qm_n")
     ranked = hashed.join(offsets, key).withColumn("__qm_rank", F.col("__qm_before") + F.row_number().over(Window.partitionBy(*key).orderBy("__qm_h", "doc_id", ties)) - 1)
-    placed = ranked.withColumn("block", F.floor(F.col("__qm_rank") / block_docs)).join(F.broadcast(sizes), ["__qm_null", "__qm_source"])
-    placed = placed.withColumn("__qm_k", F.pmod("block", "__qm_share")).join(F.broadcast(frame_table.drop("__qm_share")), ["__qm_null", "__qm_source", "__qm_k"])
-    slot = F.floor(F.col("block") / F.col("__qm_share")) * length + F.col("__qm_slot")
+    placed = ranked.withColumn("block", F.floor(F.col("__qm_rank") / block_docs))
+    if exact:
+        placed = placed.withColumn("__qm_chunk", F.floor(F.col("block") / CHUNK)).join(F.broadcast(slots), ["__qm_null", "__qm_source", "__qm_chunk"])
+        slot = F.get("__qm_slots", F.pmod("block", F.lit(CHUNK)).cast("int"))
+    else:
+        frame_table, sizes, length = _frame_tables(spark, integer_shares(own, frame) if own else {})
+        placed = placed.join(F.broadcast(sizes), ["__qm_null", "__qm_source"])
+        placed = placed.withColumn("__qm_k", F.pmod("block", "__qm_share")).join(F.broadcast(frame_table), ["__qm_null", "__qm_source", "__qm_k"])
+        slot = F.floor(F.col("block") / F.col("__qm_share")) * length + F.col("__qm_slot")
     return placed.select(*kept, "block", slot.alias("mix_slot"), (slot * block_docs + F.pmod("__qm_rank", F.lit(block_docs))).alias("mix_position"))

@@ -63,3 +63,48 @@ def test_odd_rows(spark, odd, empty):
     rows = found.collect()
     assert len(rows) == odd.count() and len({r.mix_position for r in rows}) == len(rows)
     assert mixing.mix(empty).count() == 0
+
+
+def deviations(slots, weights, blocks):
+    """The largest deviation in blocks from the target weights while every source has blocks left."""
+    total = sum(map(Fraction, weights.values()))
+    at = {slot: s for s, own in slots.items() for slot in own}
+    seen, worst = dict.fromkeys(weights, 0), Fraction(0)
+    for t, slot in enumerate(sorted(at), 1):
+        seen[at[slot]] += 1
+        worst = max(worst, *(abs(seen[s] - Fraction(w) * t / total) for s, w in weights.items()))
+        if any(seen[s] == n for s, n in blocks.items()):
+            return worst
+    return worst
+
+
+def test_exact_slots_stay_within_a_block_of_the_weights_over_several_frames():
+    for weights in ({str(k): 1.0 for k in range(20)}, {"hot": 1 / 3, **{str(k): 2 / 3 / 99 for k in range(99)}}, {"a": 0.7, "b": 2.0**0.5, None: 1e-3}):
+        total = sum(weights.values())
+        blocks = {s: int(5 * mixing.FRAME * w / total) + 1 for s, w in weights.items()}
+        slots = mixing.exact_slots(weights, blocks)
+        assert {s: len(own) for s, own in slots.items()} == blocks
+        assert len({x for own in slots.values() for x in own}) == sum(blocks.values())
+        assert deviations(slots, weights, blocks) < 1
+
+
+def test_exact_mix_places_every_document(spark, odd, empty):
+    rows = [(k, "hot" if k % 3 == 0 else f"s{k % 19}") for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    found = mixing.mix(df, block_docs=1, bucket_rows=500, exact=True).collect()
+    assert sorted(r.doc_id for r in found) == list(range(6000)) and len({r.mix_position for r in found}) == 6000
+    counts = {s: sum(x == s for _, x in rows) for s in {x for _, x in rows}}
+    slots = mixing.exact_slots({s: n**mixing.ALPHA for s, n in counts.items()}, counts)
+    assert all(r.mix_slot == slots[r.source][r.block] for r in found)
+    rare = mixing.exact_slots({"a": 1e-9, "b": 1.0}, {"a": 3, "b": 5})  # empty slots are skipped
+    assert [len(x) for x in rare.values()] == [3, 5]
+    assert len({r.mix_position for r in mixing.mix(odd, block_docs=2, exact=True).collect()}) == odd.count()
+    assert mixing.mix(empty, exact=True).count() == 0
+
+
+def test_stage_mixes_by_the_exact_weights(spark, small):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(k, "hot" if k % 3 == 0 else f"s{k % 19}") for k in range(9000)], "doc_id long, source string")
+    exact = mixing.mix(docs, exact=True)
+    assert {(r.doc_id, r.mix_position) for r in corpus_pipeline.mixing_stage(spark, docs, small).collect()} == {(r.doc_id, r.mix_position) for r in exact.collect()}
