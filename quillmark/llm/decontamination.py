@@ -15,7 +15,8 @@ blocks of items whose largest weights sum to less than 1 and walks the rest pivo
 What it retrieves is verified: of the whole document, at least `similarity` of the item's shingles
 must be there; so must the question (the words before the last sentence) and the answer (the last
 sentence, or the last quarter of an item of one sentence), each by `PART_SIMILARITY` of its own
-shingles (words, where it is shorter than a shingle). An item with fewer words than a shingle counts as
+shingles (words, where it is shorter than a shingle). With `in_order` a part of fewer than `SHORT_PART` words may instead
+have that share of its words in their order, close together: one edit costs it one word, not five shingles. An item with fewer words than a shingle counts as
 one shingle.
 
 The index is broadcast if the items measure at most `broadcast_bytes`; beyond that the items are
@@ -39,6 +40,8 @@ from quillmark.llm.texts import filter_rows, map_rows, raw_text
 WIDTH, SIMILARITY = 5, 0.8
 #: Share of the question's and of the answer's own shingles; the answer is short, so one edit costs it much.
 PART_SIMILARITY = 0.5
+#: Parts with fewer words can lose half of their shingles by few edits.
+SHORT_PART = 20
 K1, B, BLOCK = 1.2, 0.75, 8
 SPAN, BROADCAST_BYTES = 256, 32 << 20
 _OTHER = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -66,13 +69,31 @@ def parts_of(text: str) -> tuple[str, str]:
     return " ".join(words[:k]), " ".join(words[k:])
 
 
+def in_order_share(part: list[bytes], words: list[bytes]) -> float:
+    """The largest share of the part's words that stand in their order within some 2 len(part) words of the document."""
+    m, best = len(part), 0
+    own = set(part)
+    for at in range(0, max(len(words) - m, 1), max(1, m // 2)):
+        window = words[at : at + 2 * m]
+        if sum(w in own for w in window) <= best:
+            continue
+        row = [0] * (m + 1)
+        for w in window:
+            last = 0
+            for k, p in enumerate(part, 1):
+                last, row[k] = row[k], last + 1 if p == w else max(row[k], row[k - 1])
+        best = max(best, row[m])
+    return best / m
+
+
 class Item:
-    __slots__ = ("answer", "item_id", "question", "shingles", "words")
+    __slots__ = ("answer", "item_id", "parts", "question", "shingles", "words")
 
     def __init__(self, item_id: int, text: str, width: int):
         self.item_id, self.words = item_id, words_of(text)
         self.shingles = shingles_of(self.words, width)
-        self.question, self.answer = (self._part(words_of(p), width) for p in parts_of(text))
+        self.parts = [words_of(p) for p in parts_of(text)]
+        self.question, self.answer = (self._part(p, width) for p in self.parts)
 
     @staticmethod
     def _part(words: list[bytes], width: int) -> tuple[bool, frozenset]:
@@ -83,7 +104,8 @@ class Item:
 class Index:
     """Inverted index of items with weights divided by each item's threshold."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int = WIDTH, similarity: float = SIMILARITY, span: int = SPAN):
+    def __init__(self, items: list[tuple[int, str]], width: int = WIDTH, similarity: float = SIMILARITY, span: int = SPAN, in_order: bool = False):
+        self.in_order = in_order
         self.width, self.similarity = width, similarity
         self.items = [x for x in (Item(i, t, width) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1]))) if x.words]
         self.span = max(span, 2 * max((len(x.words) for x in self.items), default=0) + 2 * width)
@@ -197,6 +219,8 @@ class Index:
             if whole < self.similarity:
                 continue
             shares = [len(part & (own if long else single)) / len(part) if part else 1.0 for long, part in (item.question, item.answer)]
+            if self.in_order:
+                shares = [max(share, in_order_share(part, words)) if share < PART_SIMILARITY and len(part) < SHORT_PART else share for share, part in zip(shares, item.parts, strict=True)]
             if min(shares) >= PART_SIMILARITY:
                 out.append((item.item_id, whole, *shares))
         return out
@@ -242,7 +266,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, similari
 def without_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """The rows of `docs` that hold no item, with all their columns. The texts are scanned where they lie; nothing is joined."""
     sc, out = docs.sparkSession.sparkContext, docs
-    values = (settings.get("width", WIDTH), settings.get("similarity", SIMILARITY), settings.get("span", SPAN))
+    values = (settings.get("width", WIDTH), settings.get("similarity", SIMILARITY), settings.get("span", SPAN), settings.get("in_order", False))
     for part in _parts(items, settings.get("broadcast_bytes", BROADCAST_BYTES)):
         worker = _Worker(sc.broadcast([(r.item_id, r.text) for r in part.collect()]), values)
         out = filter_rows(out, lambda text, worker=worker: not text or not worker.matches(text))

@@ -94,3 +94,38 @@ def test_query_equals_brute_force(spark, small):
     read = lambda t, k: [(r[k], r["text"]) for r in spark.read.parquet(f"{small}/{t}.parquet").collect()]
     want = brute(read("benchmark", "item_id"), read("documents", "doc_id"))
     assert {(r.doc_id, r.item_id) for r in op2_decontamination(spark, small).collect()} == want
+
+
+def edited(items, index):
+    """(item_id, text, length of the edited part) of every one-word edit that keeps at least 0.8 of an item's shingles."""
+    of = {x.item_id: x for x in index.items}
+    for i, text in items:
+        words = text.split()
+        for k, w in enumerate(words):
+            copy = " ".join([*words[:k], "zzchanged" + (w[-1] if w[-1] in ".!?" else ""), *words[k + 1 :]])
+            if len(of[i].shingles & d.shingles_of(d.words_of(copy))) >= d.SIMILARITY * len(of[i].shingles):
+                question, answer = of[i].parts
+                at = len(d.words_of(" ".join(words[:k])))
+                yield i, f"and so {copy} and more", len(question if at < len(question) else answer)
+
+
+def test_one_word_edits_at_every_place_are_found(spark, small):
+    import corpus_pipeline
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    index = d.Index(items, in_order=True)
+    every = list(edited(items, index))
+    # a part of one word is all gone when that word is changed
+    missed = [n for i, text, n in every if i not in {m[0] for m in index.matches(text)}]
+    assert len(every) > 500 and set(missed) <= {1}
+    rows = [(k, text) for k, (_, text, n) in enumerate(every) if n > 1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert corpus_pipeline.benchmark_stage(spark, docs, small).count() == 0
+
+
+def test_another_answer_is_no_copy():
+    question = " ".join(f"q{k}" for k in range(60)) + ". "
+    index = d.Index([(1, question + "red green blue white black.")], in_order=True)
+    assert index.matches(question + "red green blue white brown.")
+    assert not index.matches(question + "red other green words stand here. " + "one two three four five.")
+    assert not index.matches(question + "black white blue green red.")
