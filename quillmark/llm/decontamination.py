@@ -1,9 +1,9 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, with block-max WAND.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased. Items form an inverted
-index: postings in item order, in blocks that know their largest weight. A document is cut into
-passages of `span` words that overlap by half, where `span` is at least twice the longest item of
-the index, so that any copy of an item lies whole in some passage. Every passage is a query.
+index: postings in item order, in blocks that know their largest weight. A document's
+distinct words are one query: verification counts the whole document, so an item whose pieces lie far apart
+must be retrieved like any other. `span`, once the words of a passage, is taken but decides nothing.
 
 A copy holds at least `similarity` of an item's distinct shingles of `width` words. If so, a word of the item can
 be missing only where shingles are missing, and each missing position costs a shingle; the BM25 weight
@@ -108,7 +108,6 @@ class Index:
         self.in_order = in_order
         self.width, self.similarity = width, similarity
         self.items = [x for x in (Item(i, t, width) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1]))) if x.words]
-        self.span = max(span, 2 * max((len(x.words) for x in self.items), default=0) + 2 * width)
         n = max(len(self.items), 1)
         mean = sum(len(x.words) for x in self.items) / n
         frequency: dict[bytes, int] = {}
@@ -187,18 +186,11 @@ class Index:
                     x[0] = bisect_left(x[2], (pivot,), x[0], x[1])
 
     def candidates(self, words: list[bytes]) -> set[int]:
-        """Items that some passage of the document retrieves."""
-        most = self.most
+        """Items that the words of the whole document retrieve, wherever in it they stand."""
         present = self.vocabulary.intersection(words)
-        if sum(map(most.__getitem__, present)) < 1.0 or not self.open_blocks(list(present)):
+        if sum(map(self.most.__getitem__, present)) < 1.0:
             return set()
-        found: set[int] = set()
-        step = self.span // 2
-        for at in range(0, max(len(words) - step, 1), step):
-            terms = self.vocabulary.intersection(words[at : at + self.span])
-            if sum(map(most.__getitem__, terms)) >= 1.0:
-                found.update(self.retrieve(sorted(terms)))
-        return found
+        return set(self.retrieve(sorted(present)))
 
     def matches(self, text: str) -> list[tuple[int, float, float, float]]:
         """(item_id, similarity, question overlap, answer overlap) of every verified item."""

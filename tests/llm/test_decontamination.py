@@ -129,3 +129,11 @@ def test_another_answer_is_no_copy():
     assert index.matches(question + "red green blue white brown.")
     assert not index.matches(question + "red other green words stand here. " + "one two three four five.")
     assert not index.matches(question + "black white blue green red.")
+
+
+def test_pieces_far_apart_are_found():
+    question, answer = ([f"{c}{k}" for k in range(n)] for c, n in (("q", 30), ("a", 30)))
+    item = " ".join(question) + ". " + " ".join(answer)
+    text = " ".join([*question, *(f"u{k}" for k in range(3000)), *answer])
+    for others in ([], [(2, " ".join(f"o{k}" for k in range(900)))]):  # the longest item decides nothing
+        assert [m[0] for m in d.Index([(1, item), *others]).matches(text)] == [1]
