@@ -39,6 +39,23 @@ def rates(spark, folder):
     return verdict_rates(verdicts(_requests(spark, folder), 0.5))
 
 
+def _all_requests(spark, folder):
+    """Every event as a request, and each fifth sent twice."""
+    e = table(spark, folder, "events")
+    once = e.select(F.col("event_id").cast("string").alias("request_id"), "ts", F.when(F.col("event_id") % 7 == 0, "  ").otherwise(F.col("event_type")).alias("text"), (F.col("value") / 100.0).alias("score"))
+    return once.unionByName(once.where(F.col("request_id").cast("long") % 5 == 0))
+
+
+@query("request_verdicts_all", "SELECT CAST(event_id AS VARCHAR) AS request_id, CASE WHEN event_id % 7 = 0 THEN 'rejected' WHEN value / 100.0 >= 0.5 THEN 'fake' ELSE 'genuine' END AS verdict, CASE WHEN event_id % 7 = 0 THEN 'empty_text' END AS reason FROM events")
+def request_verdicts_all(spark, folder):
+    return verdicts(_all_requests(spark, folder), 0.5).select("request_id", "verdict", "reason")
+
+
+@query("verdict_rates_all", "SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, CASE WHEN event_id % 7 = 0 THEN 'rejected' WHEN value / 100.0 >= 0.5 THEN 'fake' ELSE 'genuine' END AS verdict, count(*) AS n FROM events GROUP BY 1, 2")
+def rates_all(spark, folder):
+    return verdict_rates(verdicts(_all_requests(spark, folder), 0.5))
+
+
 @query("split_scan", f"WITH {SCORED_SQL} SELECT doc_id, lang FROM scored WHERE evaluation_group = 'paired_news' AND scenario IN (1, 4)")
 def split_scan(spark, folder):
     return scored(spark, folder).where("evaluation_group = 'paired_news' AND scenario IN (1, 4)").select("doc_id", "lang")
