@@ -10,8 +10,10 @@ SimHash links them. One document of each group stays.
   the keys, never the result.
 * Pairs that share a key are left out where sizes or the parities of the shingles over 256 bits rule the
   similarity out; all others are verified on their whole sets.
-* A crowd of near copies is not compared in all pairs: first each document meets one of each of its keys,
-  by a hash of key and document; then only documents of different groups that still share a key.
+  Long sets are first held against each other by their parities over 4,096 bits.
+* A crowd of near copies is not compared in all pairs: first, twice, each document meets one that shares a
+  key, the first by a hash, so that a crowd meets the same few; then only documents of different groups that
+  still share a key.
 """
 
 from __future__ import annotations
@@ -52,14 +54,19 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), raw_text(docs))
 
 
+def parities(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Whether an odd number of the hashes falls on each of `bits` bits; of two sets they differ at most where the sets do."""
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """(id, hashes) of every text."""
+    """(id, odd, hashes) of every text: parities over 4,096 bits, and the whole set."""
 
     def rows(batch: pa.RecordBatch) -> dict:
-        found = [shingle_hashes(x, width).view(np.int64) for x in batch.column("text").to_pylist()]
-        return {"id": batch.column("id"), "hashes": pa.array(found, pa.list_(pa.int64()))}
+        found = [shingle_hashes(x, width) for x in batch.column("text").to_pylist()]
+        return {"id": batch.column("id"), "odd": pa.array([parities(x, 4096) for x in found], pa.list_(pa.int64())), "hashes": pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))}
 
-    return map_rows(texts, rows, "id long, hashes array<long>")
+    return map_rows(texts, rows, "id long, odd array<long>, hashes array<long>")
 
 
 def counted(texts: DataFrame, width: int, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +91,7 @@ def keyed(texts: DataFrame, width: int, sample_docs: int = SAMPLE_DOCS) -> DataF
             at = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
             count = np.where(common[at] == own, times[at], 0) if len(common) else np.zeros(len(own), np.int64)
             sizes.append(len(own))
-            bits.append(np.packbits((np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64))
+            bits.append(parities(own, 256))
             keys.append(own[np.lexsort((own, count))[: prefix_length(len(own)) if len(own) else 0]].view(np.int64))
         bits = np.array(bits, np.int64).reshape(-1, 4)
         return {"id": batch.column("id"), "n": sizes, **{b: pa.array(bits[:, k]) for k, b in enumerate(_BITS)}, "keys": pa.array(keys, pa.list_(pa.int64()))}
@@ -97,12 +104,15 @@ def _verified(texts: DataFrame, pairs: DataFrame, marks: DataFrame, groups: Data
     side = lambda s: marks.join(groups, "id").select(*(F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "group", *_BITS)))
     both = pairs.join(side("x"), F.col("x") == F.col("x_id")).join(side("y"), F.col("y") == F.col("y_id")).where("x_group <> y_group AND 5 * x_n >= 4 * y_n AND 5 * y_n >= 4 * x_n")
     apart = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in _BITS), F.lit(0))
-    open_pairs = staged(both.where(9 * apart <= F.col("x_n") + F.col("y_n")).select("x", "y", "x_group", "y_group").distinct(), "similar-candidates")
+    open_pairs = staged(both.where(9 * apart <= F.col("x_n") + F.col("y_n")).select("x", "y", "x_n", "y_n", "x_group", "y_group").distinct(), "similar-candidates")
     ids = staged(open_pairs.select(F.col("x").alias("id")).unionByName(open_pairs.select(F.col("y").alias("id"))).distinct(), "similar-ids")
     sets = staged(_sets(texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"), width), "similar-sets")
-    whole = open_pairs.join(sets.select(F.col("id").alias("x"), F.col("hashes").alias("p")), "x").join(sets.select(F.col("id").alias("y"), F.col("hashes").alias("q")), "y")
+    far = F.aggregate(F.zip_with("p", "q", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    odd = open_pairs.join(sets.select(F.col("id").alias("x"), F.col("odd").alias("p")), "x").join(sets.select(F.col("id").alias("y"), F.col("odd").alias("q")), "y")
+    near = staged(odd.where(9 * far <= F.col("x_n") + F.col("y_n")).drop("p", "q"), "similar-near")
+    whole = near.join(sets.select(F.col("id").alias("x"), F.col("hashes").alias("p")), "x").join(sets.select(F.col("id").alias("y"), F.col("hashes").alias("q")), "y")
     links = staged(whole.where(9 * F.size(F.array_intersect("p", "q")) >= 4 * (F.size("p") + F.size("q"))).select(F.col("x_group").alias("a"), F.col("y_group").alias("b")).distinct(), "similar-links")
-    for done in (open_pairs, ids, sets):
+    for done in (open_pairs, ids, sets, near):
         drop_staged(done)
     return links
 
@@ -119,12 +129,15 @@ def groups_of(docs: DataFrame, width: int = WIDTH, sample_docs: int = SAMPLE_DOC
     texts = _texts(docs)
     marks = staged(keyed(texts, width, sample_docs), "similar-keys")
     held = marks.select("id", F.explode("keys").alias("key"))
-    # each key has a document of its own that all others meet
-    several = held.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(F.xxhash64("id", "key").alias("h"), F.col("id"))).alias("first")).where("times > 1").select("key", F.col("first.id").alias("first"))
+    several = held.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
     shared = staged(held.join(several, "key"), "similar-shared")
     marks_only = marks.drop("keys")
-    pairs = shared.where("id <> first").select(F.least("id", "first").alias("x"), F.greatest("id", "first").alias("y")).distinct()
-    groups = _joined(groups, _verified(texts, pairs, marks_only, groups, width))
+    for turn in (0, 1):
+        mark = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id"))
+        firsts = shared.groupBy("key").agg(F.min(mark).alias("first"))
+        met = shared.join(firsts, "key").where(F.col("id") != F.col("first.id")).groupBy("id").agg(F.min("first").alias("first"))
+        pairs = met.select(F.least("id", "first.id").alias("x"), F.greatest("id", "first.id").alias("y")).distinct()
+        groups = _joined(groups, _verified(texts, pairs, marks_only, groups, width))
     # what is left: keys whose documents are not all of one group
     named = shared.select("key", "id").join(groups, "id")
     open_keys = named.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("key")
