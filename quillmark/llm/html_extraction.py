@@ -1,16 +1,22 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks of text at block-level tags. A linear classifier over tags, names, link
-density and length gives each block a cost for either label; the costs are the capacities of its
-terminal edges. Blocks that follow each other, and consecutive children of one parent, are joined by
-smoothness edges that weaken with their distance in the tree. The minimum cut separates content from
-boilerplate.
+A page is cut into blocks of text at block-level tags, and its block-level elements form a tree. Blocks
+and elements are the nodes of a graph:
 
-Blocks whose own cost outweighs all their smoothness edges keep their label in every minimum cut;
-they are settled first, which is exact, and what remains is cut by Dinic's maximum flow.
+* A linear classifier gives every block a cost from what it is made of: share of linked text, length,
+  closing punctuation, kind of its own tag, neighbours' lengths and copyright sign (`WEIGHTS`, fitted by `fit_costs`).
+  Elements have the log odds of their tag, role and names, and of standing beside a marked article.
+  A cost is the capacity of the node's terminal edge, to content if positive, to boilerplate if negative.
+* Smoothness edges join a block to its element, an element to its parent, and blocks that follow each
+  other, the less the farther apart they are in the tree. An element that is itself marked as
+  something else than its surroundings is joined weakly; inside an article the others are joined firmly.
+
+The minimum cut, by Dinic's maximum flow, separates content from boilerplate. Before it, nodes that
+settle themselves are taken out and bare elements are contracted; both leave the cut's cost as it is.
 
 Content blocks are decoded, white space becomes one space, and they are joined in page order by one
-space. Null, empty and text-less pages give an empty text. Pages go whole.
+space. Null, empty and text-less pages give an empty text; repeated rows give theirs each, and extra
+columns are left out. Pages go whole; time grows with a page's length, not with its depth.
 """
 
 from __future__ import annotations
@@ -18,72 +24,132 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.texts import map_rows
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_WORDS = re.compile(r"[a-z]+")
+#: A quote opens a value only right after "="; one that never closes is a character like any other.
+_INSIDE = r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*){_INSIDE}(>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAME = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 #: Elements whose text is never shown as prose.
-DROPPED = frozenset("script style noscript template iframe object svg canvas head title select option button textarea datalist audio video map math".split())
+DROPPED = frozenset("script style noscript template iframe object svg canvas head title select option button textarea datalist audio video".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Formulas stand inside a line.
+INLINE |= frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mtable mtr mtd mspace mpadded mphantom menclose mmultiscripts mprescripts semantics annotation".split())
 #: Elements that an opening tag of the key closes while they are innermost.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
-BOILERPLATE_TAGS = {"nav": 9.0, "footer": 8.0, "aside": 8.0, "form": 9.0, "menu": 8.0, "dialog": 8.0, "header": 7.0, "address": 2.0}
-CONTENT_TAGS = {"article": 5.0, "main": 4.0}
-BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
-BOILERPLATE_NAMES = frozenset("ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert notification nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead comment comments reply replies respond disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager toolbar skip disclaimer copyright".split())
-CONTENT_NAMES = frozenset("article content main post entry story text body".split())
-SMOOTHNESS = 0.8
-
 
+# Costs of elements: log odds of content.
+STRONG = 6.0
+#: An article that is marked as such and isn't inside boilerplate is content, whatever stands in it.
+SEED = 1e6
+TAG_COSTS = {"article": SEED, "main": 4.0, "nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "menu": -6.0, "dialog": -6.0, "header": -6.0, "address": -1.0}
+ROLE_COSTS = {"article": SEED, "main": 4.0} | dict.fromkeys("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split(), -6.0)
+#: Names that mean boilerplate wherever they stand in a name, and those that do at its end only ("share-box", not "share-prices").
+BOILERPLATE = frozenset("advert adverts advertisement advertisements advertising sponsored cookie cookies gdpr navbar navigation breadcrumb breadcrumbs sidebar footer masthead comments disqus related recommended recommendations newsletter subscribe subscription signup login popup modal pagination pager".split())
+BOILERPLATE_LAST = frozenset("ad ads sponsor sponsors promo promos promotion banner consent notice notices alert alerts notification notifications nav menu menus header comment reply replies respond share sharing social overlay widget widgets toolbar skip disclaimer copyright".split())
+CONTENT_LAST = frozenset("article content main post entry story text body".split())
+#: What a name says besides its meaning.
+FILLERS = frozenset("area bar block box button buttons col column container group holder icons inner inline item items left link links list main mobile outer panel right row section slot text top unit wrap wrapper".split())
+NOT_ITS_OWN = frozenset("has with no without".split())
+
+#: Least cost of an element that marks the article, and what others lose beside it.
+FRAME, BESIDE = 4.0, 2.0
+ROOTS = frozenset(["", "html", "body"])
+
+# Smoothness.
+FIRM, JOINED, LOOSE, ROOT, ADJACENT = 12.0, 3.0, 1.0, 0.25, 1.0
+
+FEATURES = ("bias", "linked", "length", "closed", "heading", "paragraph", "item", "beside", "copyright")
+#: Log odds of content by feature, as `fit_costs` finds them on pages whose article is known, rounded.
+WEIGHTS = (-2.0, -2.26, 0.91, 1.08, 1.27, 0.91, -1.55, 1.62, -2.12)
+#: No block outweighs the edge to its element alone.
+MOST_COST = 2.5
+
+
+@dataclass(slots=True)
 class Block:
-    __slots__ = ("linked", "names", "parent", "path", "tag", "text")
-
-    def __init__(self, text: str, linked: int, path: tuple, tag: str, names: tuple):
-        self.text, self.linked, self.path, self.tag, self.names = text, linked, path, tag, names
-        self.parent = path[-1] if path else 0
-
-
-def _named(attributes: str) -> tuple[frozenset, frozenset, bool]:
-    """Words of class and id, of role, and whether the element is hidden."""
-    names, roles, hidden = set(), set(), False
+    text: str
+    linked: int
+    element: int
+    #: Steps in the tree from the block before.
+    apart: int
+
+
+@dataclass(slots=True)
+class Page:
+    """Block-level elements in page order (tag, parent, cost; the root is number 0), and the blocks of text."""
+
+    tag: list[str] = field(default_factory=lambda: [""])
+    parent: list[int] = field(default_factory=lambda: [-1])
+    cost: list[float] = field(default_factory=lambda: [0.0])
+    #: The nearest element around that is marked by its cost, itself included; 0 if none is.
+    mark: list[int] = field(default_factory=lambda: [0])
+    blocks: list[Block] = field(default_factory=list)
+
+
+def _name_cost(token: str) -> float:
+    words = _NAME.findall(_HUMP.sub("-", token).lower())
+    if not words or words[0] in NOT_ITS_OWN:
+        return 0.0
+    if not BOILERPLATE.isdisjoint(words):
+        return -STRONG
+    while len(words) > 1 and words[-1] in FILLERS and not words[-1] == "main":
+        words.pop()
+    if words[-1] in BOILERPLATE_LAST:
+        return 0.0 if words[-1] == "header" and not CONTENT_LAST.isdisjoint(words) else -STRONG
+    return 3.0 if words[-1] in CONTENT_LAST else 0.0
+
+
+def _element_cost(tag: str, attributes: str, above: float) -> float:
+    """Log odds of content of an element whose nearest marked element around has the cost `above`."""
+    costs = [TAG_COSTS.get(tag, 0.0)]
+    if tag == "header" and above > 0:
+        costs = [0.0]
     for key, *values in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), next((v for v in values if v), "").lower()
+        key, value = key.lower(), next((v for v in values if v), "")
         if key in ("class", "id"):
-            names.update(_WORDS.findall(value))
+            if tag not in ("html", "body"):
+                costs += map(_name_cost, value.split())
         elif key == "role":
-            roles.update(_WORDS.findall(value))
-        elif key == "itemprop" and value == "articlebody":
-            names.add("article")
-        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            hidden = True
-    return frozenset(names), frozenset(roles), hidden
-
-
-def blocks(page: str) -> list[Block]:
-    """The page's blocks of text, with their places in the tree."""
-    out: list[Block] = []
-    stack: list[tuple] = []  # (tag, number, names, roles, hidden)
+            costs += (ROLE_COSTS.get(x, 0.0) for x in value.lower().split())
+        elif key == "itemprop":
+            costs += [4.0] if value.lower() == "articlebody" else []
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.lower().replace(" ", ""):
+            costs.append(-STRONG)
+    least, most = min(costs), max(costs)
+    # a mark of boilerplate outdoes one of content, also one further out
+    return least if least <= -STRONG or above < 0 or not most else most
+
+
+def parse(page: str) -> Page:
+    """The page's elements and blocks."""
+    out = Page()
+    stack: list[tuple[str, int]] = []  # (tag, its element, or for an inline one that around it)
+    opened: Counter = Counter()
     parts: list[str] = []
-    linked = dropped = number = 0
+    linked = dropped = low = before = deep = 0  # deep: block-level elements around; low: the least since the last block
     at, end = 0, len(page)
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, low, before
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                shown = [e for e in stack if e[0] not in INLINE]
-                out.append(Block(text, linked, tuple(e[1] for e in shown), shown[-1][0] if shown else "", tuple(shown)))
+                out.blocks.append(Block(text, linked, stack[-1][1] if stack else 0, before + deep - 2 * low))
+                low = before = deep
             parts.clear()
         linked = 0
 
@@ -92,13 +158,16 @@ def blocks(page: str) -> list[Block]:
         if raw and not dropped:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if any(e[0] == "a" for e in stack):
+            if opened["a"]:
                 linked += len(text)
 
     def pop(k: int) -> None:
-        nonlocal dropped
-        for e in stack[k:]:
-            dropped -= e[0] in DROPPED
+        nonlocal dropped, deep, low
+        for tag, _ in stack[k:]:
+            dropped -= tag in DROPPED
+            opened[tag] -= 1
+            deep -= tag not in INLINE
+        low = min(low, deep)
         del stack[k:]
 
     while at < end:
@@ -108,130 +177,167 @@ def blocks(page: str) -> list[Block]:
             break
         add(page[at : found.start()])
         at = found.end()
-        closing, opening = found[1], found[2] or found[5]
-        if closing:
-            tag = closing.lower()
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+        if found[1]:
+            tag = found[1].lower()
             if tag not in INLINE:
                 flush()
-            if k is not None and (tag not in INLINE or all(e[0] in INLINE for e in stack[k:])):
-                pop(k)
-        elif opening:
-            whole = found[4] or found[7]
-            if not whole:
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag and (tag not in INLINE or stack[k][0] in INLINE):
+                    k -= 1
+                if stack[k][0] == tag:
+                    pop(k)
+        elif found[2]:
+            if not found[4]:
                 break  # the page ends inside a tag
-            tag, attributes = opening.lower(), (found[3] or found[6] or "")
+            tag, attributes = found[2].lower(), found[3]
             if tag not in INLINE:
                 flush()
-                k = len(stack)
-                while k and stack[k - 1][0] in INLINE:
-                    k -= 1
                 closes = CLOSES.get(tag, {"p"} if tag not in VOID else frozenset())
-                while k and stack[k - 1][0] in closes:
-                    pop(k - 1)
+                while True:
                     k = len(stack)
                     while k and stack[k - 1][0] in INLINE:
                         k -= 1
+                    if not k or stack[k - 1][0] not in closes:
+                        break
+                    pop(k - 1)
             if tag in VOID or attributes.rstrip().endswith("/") and tag in DROPPED | INLINE:
                 if tag == "img" and parts:
                     parts.append(" ")
                 continue
-            number += 1
-            names = _named(attributes) if attributes.strip() else (frozenset(), frozenset(), False)
-            stack.append((tag, number, *names))
+            around = stack[-1][1] if stack else 0
+            if tag in INLINE:
+                stack.append((tag, around))
+            else:
+                mark = out.mark[around]
+                cost = _element_cost(tag, attributes, out.cost[mark])
+                stack.append((tag, len(out.tag)))
+                out.mark.append(len(out.tag) if abs(cost) >= JOINED else mark)
+                out.tag.append(tag)
+                out.parent.append(around)
+                out.cost.append(cost)
+                deep += 1
+            opened[tag] += 1
             dropped += tag in DROPPED
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
                 pop(len(stack) - 1)
-                if not close:
+                at = page.find(">", close.start()) + 1 if close else 0
+                if not at:
                     break
-                at = page.find(">", close.start())
-                if at < 0:
-                    break
-                at += 1
     flush()
     return out
 
 
-def scores(found: list[Block]) -> list[float]:
-    """Positive where the classifier sees content, negative where it sees boilerplate; the size is the cost of the other label."""
-    framed = any(e[0] in CONTENT_TAGS or "main" in e[3] for b in found for e in b.names)
-    out = []
-    for b in found:
-        score, inside = 0.0, False
-        for tag, _, names, roles, hidden in b.names:
-            if tag in CONTENT_TAGS or "main" in roles or "article" in roles:
-                score += CONTENT_TAGS.get(tag, 4.0) if not inside else 0.0
-                inside = True
-            elif names & CONTENT_NAMES and not names & BOILERPLATE_NAMES:
-                score += 2.0
-            if tag in BOILERPLATE_TAGS:
-                score -= 1.0 if tag == "header" and inside else BOILERPLATE_TAGS[tag]
-            if roles & BOILERPLATE_ROLES or hidden:
-                score -= 9.0
-            if names & BOILERPLATE_NAMES and not (inside and names & CONTENT_NAMES and "header" in names):
-                score -= 9.0
-        if framed and not inside:
-            score -= 4.0
-        size, share = len(b.text), b.linked / max(len(b.text), 1)
-        score += min(1.5, math.log1p(size / 40)) if share < 0.5 else -3.0 * share
-        score += {"p": 1.0, "blockquote": 1.0, "pre": 1.0, "h1": 1.5, "h2": 0.8, "h3": 0.6, "li": -0.2}.get(b.tag, 0.0)
-        score -= 0.2
-        out.append(score)
+def features(page: Page) -> np.ndarray:
+    """One row of FEATURES for each block."""
+    n = len(page.blocks)
+    out = np.zeros((n, len(FEATURES)))
+    long = [math.log1p(len(b.text)) / 5 for b in page.blocks]
+    for i, b in enumerate(page.blocks):
+        tag = page.tag[b.element]
+        heading, paragraph, item = re.fullmatch("h[1-6]", tag) is not None, tag in ("p", "blockquote", "pre"), tag in ("li", "dt", "dd", "td", "th")
+        beside = long[max(i - 1, 0)] + long[min(i + 1, n - 1)]
+        out[i] = 1.0, b.linked / len(b.text), long[i], b.text[-1] in ".!?…:;\"”'»)", heading, paragraph, item, beside / 2, "©" in b.text
     return out
 
 
-def _apart(a: tuple, b: tuple) -> int:
-    """Steps between two places in the tree."""
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
+def fit_costs(pages: list[Page], content: list[list[bool]], penalty: float = 400.0, rounds: int = 20) -> np.ndarray:
+    """WEIGHTS by penalised logistic regression over blocks whose label is known: Newton's method, pages and labels in one list each."""
+    x, y = np.concatenate([features(p) for p in pages]), np.concatenate([np.array(c, float) for c in content])
+    w, hold = np.zeros(x.shape[1]), np.diag([penalty] * x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + hold, x.T @ (p - y) + penalty * w)
+    return w
+
+
+def block_costs(page: Page, weights=WEIGHTS) -> list[float]:
+    """Log odds of content of each block on its own: the classifier's verdict before any cut."""
+    if len(page.tag) == 1:  # no element, nothing to part
+        return [MOST_COST] * len(page.blocks)
+    return np.clip(features(page) @ np.array(weights), -MOST_COST, MOST_COST).tolist() if page.blocks else []
+
+
+def element_costs(page: Page) -> list[float]:
+    """Log odds of content of each element; where the page marks an article, those neither in nor around it lose."""
+    out, around = list(page.cost), set()
+    for e, c in enumerate(page.cost):
+        if c >= FRAME:
+            while e not in around:
+                around.add(e)
+                e = page.parent[e] if e else 0
+    if around:
+        for e in range(len(out)):
+            if page.tag[e] in ROOTS:
+                out[e] -= STRONG
+            elif e not in around and page.mark[e] == 0:
+                out[e] -= BESIDE
+    return out
 
 
-def edges(found: list[Block]) -> dict[tuple[int, int], float]:
-    """Smoothness between blocks that follow each other, and between consecutive children of a parent."""
-    out: dict[tuple[int, int], float] = {}
-    last: dict[int, int] = {}
-    for i, b in enumerate(found):
+def graph(page: Page) -> tuple[list[float], dict[tuple[int, int], float]]:
+    """Costs of all nodes, blocks first and elements after them, and the smoothness of their edges."""
+    n, smooth = len(page.blocks), {}
+    firm = {e for e, c in enumerate(page.cost) if c >= SEED}
+    for e in range(1, len(page.tag)):
+        p = page.parent[e]
+        around = page.mark[p]
+        if page.tag[p] in ROOTS:
+            w = ROOT
+        elif page.mark[e] == e:
+            w = LOOSE
+        else:
+            w = FIRM if around in firm else JOINED if around else LOOSE
+        smooth[n + p, n + e] = w
+    for i, b in enumerate(page.blocks):
+        smooth[i, n + b.element] = FIRM if page.mark[b.element] in firm else JOINED
         if i:
-            out[i - 1, i] = SMOOTHNESS / (1 + _apart(found[i - 1].path, b.path))
-        above = b.path[-2] if len(b.path) > 1 else 0
-        k = last.get(above)
-        if k is not None:
-            out[k, i] = out.get((k, i), 0.0) + SMOOTHNESS / 4
-        last[above] = i
-    return out
+            smooth[i - 1, i] = ADJACENT / (1 + b.apart)
+    return [*block_costs(page), *element_costs(page)], smooth
 
 
-def minimum_cut(score: list[float], smooth: dict[tuple[int, int], float]) -> list[bool]:
-    """True for blocks on the content side of a minimum cut. Ties go to boilerplate."""
+def minimum_cut(score: list[float], smooth: dict[tuple[int, int], float], labelled: int | None = None) -> list[bool]:
+    """True for nodes on the content side of a minimum cut, for the first `labelled` nodes. Ties go to boilerplate."""
     n = len(score)
+    labelled = n if labelled is None else labelled
     cost = [round(s * 1000) for s in score]
-    near: list[dict[int, int]] = [{} for _ in range(n)]
+    near: list[dict[int, int] | None] = [{} for _ in range(n)]
     for (a, b), w in smooth.items():
         w = round(w * 1000)
-        near[a][b] = near[a].get(b, 0) + w
-        near[b][a] = near[b].get(a, 0) + w
+        if w:
+            near[a][b] = near[a].get(b, 0) + w
+            near[b][a] = near[b].get(a, 0) + w
     label: list[bool | None] = [None] * n
     todo = deque(range(n))
-    while todo:  # settled blocks pass their edges on as terminal costs
+    while todo:
         i = todo.popleft()
-        if label[i] is None and abs(cost[i]) > sum(near[i].values()):
+        own = near[i]
+        if label[i] is not None or own is None:
+            continue
+        if abs(cost[i]) > sum(own.values()):  # a settled node passes its edges on as terminal costs
             label[i] = cost[i] > 0
-            for k, w in near[i].items():
+            for k, w in own.items():
                 cost[k] += w if label[i] else -w
                 del near[k][i]
                 todo.append(k)
             near[i] = {}
-    rest = [i for i in range(n) if label[i] is None]
-    if rest:
+        elif i >= labelled and not cost[i] and len(own) <= 2:  # a bare element between two nodes is one edge, a bare leaf none
+            ends = list(own)
+            for k in ends:
+                del near[k][i]
+                todo.append(k)
+            if len(ends) == 2:
+                (a, b), w = ends, min(own.values())
+                near[a][b] = near[a].get(b, 0) + w
+                near[b][a] = near[b].get(a, 0) + w
+            near[i] = None
+    rest = [i for i in range(n) if label[i] is None and near[i] is not None]
+    if any(cost[i] > 0 for i in rest):
         content = _flow_side(rest, cost, near)
         for i in rest:
             label[i] = i in content
-    return [bool(x) for x in label]
+    return [bool(x) for x in label[:labelled]]
 
 
 def _flow_side(rest: list[int], cost: list[int], near: list[dict[int, int]]) -> set[int]:
@@ -276,9 +382,11 @@ def _flow_side(rest: list[int], cost: list[int], near: list[dict[int, int]]) ->
 
 def main_text(page: str | None) -> str:
     """The main text of a page."""
-    found = blocks(page) if page else []
-    kept = minimum_cut(scores(found), edges(found))
-    return " ".join(b.text for b, k in zip(found, kept, strict=True) if k)
+    if not page:
+        return ""
+    own = parse(page)
+    kept = minimum_cut(*graph(own), len(own.blocks))
+    return " ".join(b.text for b, k in zip(own.blocks, kept, strict=True) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

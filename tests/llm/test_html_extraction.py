@@ -67,3 +67,103 @@ def test_deep_and_broken_pages_end():
     assert h.main_text("<div>" * 3000 + P) == P
     assert h.main_text("<" * 5000).count("<") >= 0
     assert P in h.main_text("</p></b></div>" * 500 + f"<p>{P}")
+
+
+def test_quotes_formulas_and_names_inside_an_article():
+    page = f"<article><p title=it's>{P}</p><p>I don't know <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.</p><p data-x=\"a>b\" class='social-issues'>One.</p><div class=notice-period>Two.</div><ul><li><a href=r>Ref</a></li></ul>"
+    out = "<div class='share-box'>no</div><section class='reader-comments'><p>no no.</p></section><div class=ad>" + P + "</div></article><p>" + P + "</p>"
+    assert h.main_text(page + out) == f"{P} I don't know x=2. One. Two. Ref"
+    assert h.main_text(f"<article><p title='open>{P}</p><p>Two.</p></article>") == f"{P} Two."
+
+
+def test_wide_quotes_end_soon():
+    assert h.main_text("<a b='" * 20_000).count("x") == 0
+    assert h.main_text("<p x=\"" + "'>" * 50_000 + f"\"></p><p>{P}</p>") == P
+
+
+def test_deep_page_with_text_at_each_level():
+    texts = [f"This is the text of level {k}, which is long enough." for k in range(10_000)]
+    assert h.main_text("<main>" + "".join(f"<div>{x}" for x in texts)) == " ".join(texts)
+
+
+def naive_blocks(page):
+    """(text, innermost block-level tag, all tags around) by the standard library's parser, for well-formed pages."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.parts, self.out = [], [], []
+
+        def flush(self):
+            text = " ".join("".join(self.parts).split())
+            self.parts = []
+            if text:
+                self.out.append((text, [t for t in self.stack if t not in h.INLINE]))
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in h.INLINE:
+                self.flush()
+            if tag not in h.VOID:
+                self.stack.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag not in h.INLINE:
+                self.flush()
+            self.stack.pop()
+
+        def handle_data(self, data):
+            if not any(t in h.DROPPED for t in self.stack):
+                self.parts.append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    reader.flush()
+    return reader.out
+
+
+def generated(rng, depth=0):
+    if depth == 4 or rng.random() < 0.2:
+        return rng.choice(["word ", "two words. ", "a &amp; b", "<b>bold</b>", "<a href='x'>link</a>", P])
+    tag = rng.choice(["div", "section", "p", "nav", "article", "aside", "ul", "footer", "main", "h2", "script", "span"])
+    inside = "" if tag == "script" else "".join(generated(rng, depth + 1 if tag not in ("p", "h2", "span") else 4) for _ in range(rng.randint(0, 3)))
+    name = rng.choice(["", " class=\"ad\"", " id='content'", " class=x title=\"a>b\""])
+    return f"<{tag}{name}>{inside}</{tag}>"
+
+
+def test_whole_pages_equal_brute_force():
+    """Blocks by another parser; labels by all cuts of small pages."""
+    rng, small = random.Random(5), 0
+    for _ in range(400):
+        page = generated(rng)
+        own = h.parse(page)
+        around = lambda e: [*around(own.parent[e]), own.tag[e]] if e else []
+        assert [(b.text, around(b.element)) for b in own.blocks] == naive_blocks(page)
+        score, smooth = h.graph(own)
+        if own.blocks and len(score) <= 12:
+            small += 1
+            n, kept = len(score), h.minimum_cut(score, smooth, len(own.blocks))
+            of = lambda m: cost([m >> i & 1 == 1 for i in range(n)], score, smooth)
+            least = min(map(of, range(1 << n)))
+            fits = [m for m in range(1 << n) if [m >> i & 1 == 1 for i in range(len(kept))] == kept]
+            assert min(map(of, fits)) < least + 0.01
+    assert small > 100
+
+
+def test_the_cut_decides_labels():
+    import pyarrow.parquet as pq
+
+    changed = 0
+    for row in pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist():
+        own = h.parse(row["html"])
+        kept = h.minimum_cut(*h.graph(own), len(own.blocks))
+        changed += sum((c > 0) != k for c, k in zip(h.block_costs(own), kept, strict=True))
+    assert changed > 0
+
+
+def test_weights_are_those_of_the_training_pages():
+    from tests.llm.html_training import labelled
+
+    found = h.fit_costs(*labelled("/root/testdata/sf0.01"))
+    assert all((a > 0) == (b > 0) for a, b in zip(found, h.WEIGHTS, strict=True))
