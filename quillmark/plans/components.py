@@ -32,7 +32,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
-    """(node, component) of every node with an edge; a component is named by its least node."""
+    """(node, component) of every node with an edge; a component is named by its least node. drop_staged takes the result."""
     x, y = F.col(left), F.col(right)
     now = staged(edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), "edges")
     state = _state(now)
@@ -43,4 +43,6 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         now = after
         if state == before:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out._staged_path = now._staged_path
+    return out
