@@ -51,7 +51,7 @@ LEVELS = 3
 CELLS = 1 << 18
 #: Pairs of a branch beyond which looking up all 2,081 neighbours of each query costs less than comparing.
 CROWD = 1 << 34
-_KEPT = "__quillmark_kept"
+_KEPT, _TIE = "__quillmark_kept", "__quillmark_tie"
 _BASE = 35  # distances over a half, 0 to 32, and one to either side
 
 
@@ -229,9 +229,21 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, shard_rows: int = SHARD
     return own.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_named(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is in the one column of `kept`, one row each, and all rows without doc_id.
+
+    Rows that share a doc_id are told apart by a hash of their columns: the least one stays, so a task run again keeps the same.
+    """
+    name = kept.columns[0]
+    tie = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"))
+    least = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias(name), tie.alias(_TIE)).groupBy(name).agg(F.min(_TIE).alias(_TIE)).join(kept, name, "left_semi")
+    rows = docs.where(F.col("doc_id").isNotNull()).withColumns({f"{name}_": F.col("doc_id").cast("long"), f"{_TIE}_": tie})
+    same = (F.col(f"{name}_") == F.col(name)) & (F.col(f"{_TIE}_") == F.col(_TIE))
+    one = rows.join(least, same, "left_semi").dropDuplicates([f"{name}_", f"{_TIE}_"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def keep_one(docs: DataFrame, **settings: int) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id; rows without doc_id stay."""
     found = near_duplicates(docs, **settings)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(_KEPT)).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col(_KEPT), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    return keep_named(docs, found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(_KEPT)).distinct())

@@ -4,16 +4,22 @@ Two documents are linked if their sets of `width`-word shingles (A-Z lower-cased
 space; fewer words: the whole sequence; none: nothing) have a Jaccard similarity of 4/5 or more, or if
 SimHash links them. One document of each group stays.
 
+Vantage-point trees serve the links of SimHash. They can't find the similar sets: at 4/5 some 10 of 64 bits
+differ, and at that radius a tree prunes nothing. So similar sets meet by keys:
+
 * In any common order of the shingles, sets of n and m with that similarity share one among the first
   n - ceil(4n/5) + 1 of the one and the like of the other: only those are keys. The order is by frequency
   in a sample, rarest first, so that a passage of very many documents is nobody's key. The sample shapes
   the keys, never the result.
-* Pairs that share a key are left out where sizes or the parities of the shingles over 256 bits rule the
+* Equal sets are one row from the start, so copies cost nothing. A set is named by a 64-bit hash.
+* Each set first meets the least and the largest set of each of its keys, so that a crowd meets a few; then,
+  under keys that still join different groups, the others meet each other.
+* Pairs are left out where sizes or the parities of the shingles over 256 bits, and then over 4,096, rule the
   similarity out; all others are verified on their whole sets.
-  Long sets are first held against each other by their parities over 4,096 bits.
-* A crowd of near copies is not compared in all pairs: first, twice, each document meets one that shares a
-  key, the first by a hash, so that a crowd meets the same few; then only documents of different groups that
-  still share a key.
+
+Null and empty texts have no shingle and are linked by SimHash alone. Rows without doc_id stay and link
+nothing. Rows that share a doc_id are one document; of different ones the same one stays whenever a task
+runs again. Very long texts are read one at a time. Columns pass unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,10 +37,11 @@ from quillmark.plans.staging import drop_staged, staged
 
 WIDTH = 5
 #: Documents whose shingles are counted for the order of keys, and most shingles that the broadcast order holds.
-SAMPLE_DOCS, MOST_COUNTED = 16_384, 1 << 19
+SAMPLE_DOCS, MOST_COUNTED = 16_384, 1 << 18
 #: Most ids of candidates that are broadcast to pick their texts; beyond it they are joined.
 BROADCAST_IDS = 1 << 20
 _BITS = ("b0", "b1", "b2", "b3")
+_KEPT = "__quillmark_kept"
 
 
 def shingle_hashes(raw: bytes, width: int = WIDTH) -> np.ndarray:
@@ -46,12 +53,12 @@ def shingle_hashes(raw: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, simhash.SEED) for s in found), np.uint64))
 
 
-def prefix_length(n: int) -> int:
-    return n - (4 * n + 4) // 5 + 1
+def set_name(hashes: np.ndarray) -> int:
+    return int(np.array(xxhash.xxh3_64_intdigest(hashes.tobytes()), np.uint64).view(np.int64))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), raw_text(docs))
+def prefix_length(n: int) -> int:
+    return n - (4 * n + 4) // 5 + 1
 
 
 def parities(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -59,14 +66,24 @@ def parities(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
+def _longs(arrays: list[np.ndarray]) -> pa.Array:
+    """A list column of the arrays, without a Python object for each number."""
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), raw_text(docs))
+
+
 def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """(id, odd, hashes) of every text: parities over 4,096 bits, and the whole set."""
+    """(set, odd, hashes) of every text with a word: its name, parities over 4,096 bits, and the whole set."""
 
     def rows(batch: pa.RecordBatch) -> dict:
-        found = [shingle_hashes(x, width) for x in batch.column("text").to_pylist()]
-        return {"id": batch.column("id"), "odd": pa.array([parities(x, 4096) for x in found], pa.list_(pa.int64())), "hashes": pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))}
+        found = [own for x in batch.column("text") if len(own := shingle_hashes(x.as_py() or b"", width))]
+        return {"set": [set_name(x) for x in found], "odd": _longs([parities(x, 4096).view(np.uint64) for x in found]), "hashes": _longs(found)}
 
-    return map_rows(texts, rows, "id long, odd array<long>, hashes array<long>")
+    return map_rows(texts, rows, "set long, odd array<long>, hashes array<long>")
 
 
 def counted(texts: DataFrame, width: int, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
@@ -79,81 +96,96 @@ def counted(texts: DataFrame, width: int, sample_docs: int = SAMPLE_DOCS) -> tup
     return h[order], found.column("count").to_numpy()[order]
 
 
-def keyed(texts: DataFrame, width: int, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(id, n, b0 to b3, keys): number of shingles, their parities over 256 bits, and the rarest of them."""
+def marked(texts: DataFrame, width: int, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """(id, fp, set, n, b0 to b3, keys): SimHash, name and size of the set, its parities over 256 bits, and its rarest shingles."""
     known = texts.sparkSession.sparkContext.broadcast(counted(texts, width, sample_docs))
 
     def rows(batch: pa.RecordBatch) -> dict:
         common, times = known.value
-        sizes, bits, keys = [], [], []
-        for raw in batch.column("text").to_pylist():
+        fps, names, sizes, bits, keys = [], [], [], [], []
+        for text in batch.column("text"):
+            raw = text.as_py() or b""
             own = shingle_hashes(raw, width)
             at = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
             count = np.where(common[at] == own, times[at], 0) if len(common) else np.zeros(len(own), np.int64)
+            fps.append(simhash.fingerprint(raw))
+            names.append(set_name(own))
             sizes.append(len(own))
             bits.append(parities(own, 256))
-            keys.append(own[np.lexsort((own, count))[: prefix_length(len(own)) if len(own) else 0]].view(np.int64))
+            keys.append(own[np.lexsort((own, count))[: prefix_length(len(own)) if len(own) else 0]])
         bits = np.array(bits, np.int64).reshape(-1, 4)
-        return {"id": batch.column("id"), "n": sizes, **{b: pa.array(bits[:, k]) for k, b in enumerate(_BITS)}, "keys": pa.array(keys, pa.list_(pa.int64()))}
+        return {"id": batch.column("id"), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "set": names, "n": sizes, **{b: pa.array(bits[:, k]) for k, b in enumerate(_BITS)}, "keys": _longs(keys)}
 
-    return map_rows(texts, rows, "id long, n long, b0 long, b1 long, b2 long, b3 long, keys array<long>")
+    return map_rows(texts, rows, "id long, fp long, set long, n long, b0 long, b1 long, b2 long, b3 long, keys array<long>")
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, marks: DataFrame, groups: DataFrame, width: int) -> DataFrame:
-    """(a, b): the groups of those pairs (x, y) of documents in different groups that are similar."""
-    side = lambda s: marks.join(groups, "id").select(*(F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "group", *_BITS)))
-    both = pairs.join(side("x"), F.col("x") == F.col("x_id")).join(side("y"), F.col("y") == F.col("y_id")).where("x_group <> y_group AND 5 * x_n >= 4 * y_n AND 5 * y_n >= 4 * x_n")
+def _near_sizes() -> tuple:
+    """Conditions on columns x_n, y_n and their parities that every similar pair meets."""
     apart = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in _BITS), F.lit(0))
-    open_pairs = staged(both.where(9 * apart <= F.col("x_n") + F.col("y_n")).select("x", "y", "x_n", "y_n", "x_group", "y_group").distinct(), "similar-candidates")
-    ids = staged(open_pairs.select(F.col("x").alias("id")).unionByName(open_pairs.select(F.col("y").alias("id"))).distinct(), "similar-ids")
-    sets = staged(_sets(texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"), width), "similar-sets")
-    far = F.aggregate(F.zip_with("p", "q", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    odd = open_pairs.join(sets.select(F.col("id").alias("x"), F.col("odd").alias("p")), "x").join(sets.select(F.col("id").alias("y"), F.col("odd").alias("q")), "y")
-    near = staged(odd.where(9 * far <= F.col("x_n") + F.col("y_n")).drop("p", "q"), "similar-near")
-    whole = near.join(sets.select(F.col("id").alias("x"), F.col("hashes").alias("p")), "x").join(sets.select(F.col("id").alias("y"), F.col("hashes").alias("q")), "y")
-    links = staged(whole.where(9 * F.size(F.array_intersect("p", "q")) >= 4 * (F.size("p") + F.size("q"))).select(F.col("x_group").alias("a"), F.col("y_group").alias("b")).distinct(), "similar-links")
-    for done in (open_pairs, ids, sets, near):
-        drop_staged(done)
-    return links
+    return F.expr("5 * x_n >= 4 * y_n AND 5 * y_n >= 4 * x_n"), 9 * apart <= F.col("x_n") + F.col("y_n")
 
 
-def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """`groups` (id, group) after the groups that `links` names have become one, named by its least."""
-    found = components(links, "a", "b")
-    return staged(groups.join(found, groups.group == found.node, "left").select("id", F.coalesce("component", "group").alias("group")), "groups")
+def _side(table: DataFrame, name: str, *more: str) -> DataFrame:
+    return table.select(*(F.col(c).alias(f"{name}_{c}") for c in ("set", "n", *_BITS, *more)))
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """(a, b): the documents that stand for those pairs (x, y) of sets that are similar."""
+    sizes, odd = _near_sizes()
+    both = pairs.join(_side(sets, "x", "id"), F.col("x") == F.col("x_set")).join(_side(sets, "y", "id"), F.col("y") == F.col("y_set")).where(sizes & odd)
+    wanted = staged(both.select("x", "y", "x_n", "y_n", "x_id", "y_id"), "similar-candidates")
+    ids = staged(wanted.select(F.col("x_id").alias("id")).unionByName(wanted.select(F.col("y_id").alias("id"))).distinct(), "similar-ids")
+    whole = staged(_sets(texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"), width).dropDuplicates(["set"]), "similar-sets")
+    far = F.aggregate(F.zip_with("p", "q", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    of = lambda column, name, end: whole.select(F.col("set").alias(end), F.col(column).alias(name))
+    near = staged(wanted.join(of("odd", "p", "x"), "x").join(of("odd", "q", "y"), "y").where(9 * far <= F.col("x_n") + F.col("y_n")).drop("p", "q"), "similar-near")
+    links = near.join(of("hashes", "p", "x"), "x").join(of("hashes", "q", "y"), "y").where(9 * F.size(F.array_intersect("p", "q")) >= 4 * (F.size("p") + F.size("q")))
+    out = staged(links.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")), "similar-links")
+    for done in (wanted, ids, whole, near):
+        drop_staged(done)
+    return out
 
 
 def groups_of(docs: DataFrame, width: int = WIDTH, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(id, group) of every doc_id of `docs`; group is the smallest doc_id that links reach."""
-    groups = staged(simhash.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.min("component_id").alias("group")), "groups")
+    """(id, fp, set, group) of every distinct text; id is its least doc_id, group the least doc_id that links reach."""
     texts = _texts(docs)
-    marks = staged(keyed(texts, width, sample_docs), "similar-keys")
-    held = marks.select("id", F.explode("keys").alias("key"))
-    several = held.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
-    shared = staged(held.join(several, "key"), "similar-shared")
-    marks_only = marks.drop("keys")
-    for turn in (0, 1):
-        mark = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id"))
-        firsts = shared.groupBy("key").agg(F.min(mark).alias("first"))
-        met = shared.join(firsts, "key").where(F.col("id") != F.col("first.id")).groupBy("id").agg(F.min("first").alias("first"))
-        pairs = met.select(F.least("id", "first.id").alias("x"), F.greatest("id", "first.id").alias("y")).distinct()
-        groups = _joined(groups, _verified(texts, pairs, marks_only, groups, width))
-    # what is left: keys whose documents are not all of one group
-    named = shared.select("key", "id").join(groups, "id")
-    open_keys = named.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("key")
-    left = staged(named.join(open_keys, "key").join(marks_only.select("id", "n", *_BITS), "id").distinct(), "similar-open")
-    x, y = (left.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "group", *_BITS))) for s in "xy")
-    apart = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in _BITS), F.lit(0))
-    near = (x.key == y.key) & F.expr("x_group < y_group AND 5 * x_n >= 4 * y_n AND 5 * y_n >= 4 * x_n") & (9 * apart <= F.col("x_n") + F.col("y_n"))
-    pairs = x.join(y, near).select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct()
-    groups = _joined(groups, _verified(texts, pairs, marks_only, groups, width))
-    for done in (marks, shared, left):
+    marks = staged(marked(texts, width, sample_docs), "similar-keys")
+    own = staged(marks.groupBy("fp", "set").agg(F.min("id").alias("id"), *(F.min(c).alias(c) for c in ("n", *_BITS))), "similar-texts")
+    sets = staged(own.groupBy("set").agg(F.min("id").alias("id"), *(F.min(c).alias(c) for c in ("n", *_BITS))), "similar-distinct")
+    prints = staged(own.groupBy("fp").agg(F.min("id").alias("id")), "similar-fingerprints")
+    held = marks.select("set", F.explode("keys").alias("key"))
+    several = held.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high")
+    shared = staged(held.join(several, "key").distinct(), "similar-shared")
+    meet = lambda end: shared.where(F.col("set") != F.col(end)).select(F.least("set", end).alias("x"), F.greatest("set", end).alias("y"))
+    found = _verified(texts, meet("low").unionByName(meet("high")).distinct(), sets, width)
+    trees = simhash.links(prints, prints.count())
+    named = lambda end: prints.select(F.col("fp").alias(end), F.col("id").alias(f"{end}_id"))
+    edges = (
+        own.select("set", F.col("id").alias("a")).join(sets.select("set", F.col("id").alias("b")), "set").where("a <> b").select("a", "b")
+        .unionByName(own.select("fp", F.col("id").alias("a")).join(prints.select("fp", F.col("id").alias("b")), "fp").where("a <> b").select("a", "b"))
+        .unionByName(trees.join(named("a"), "a").join(named("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+        .unionByName(found)
+    )
+    edges = staged(edges, "similar-edges")
+    linked = components(edges, "a", "b")
+    group = F.coalesce("component", "id").alias("group")
+    grouped = staged(sets.join(linked, F.col("id") == F.col("node"), "left").select("set", "id", "n", *_BITS, group), "similar-grouped")
+    # what is left: keys of more than two sets, of which some are neither the least nor the largest and in different groups
+    middle = shared.where("set <> low AND set <> high").select("key", "set").join(grouped.select("set", "group"), "set")
+    open_keys = middle.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("key")
+    left = staged(middle.join(open_keys, "key").select("key", "set").join(grouped, "set"), "similar-open")
+    sizes, odd = _near_sizes()
+    x, y = _side(left, "x", "key", "group"), _side(left, "y", "key", "group")
+    pairs = x.join(y, (F.col("x_key") == F.col("y_key")) & F.expr("x_group < y_group") & sizes & odd).select(F.col("x_set").alias("x"), F.col("y_set").alias("y")).distinct()
+    more = _verified(texts, pairs, grouped, width)
+    again = components(edges.unionByName(more), "a", "b") if more.head() else linked
+    out = staged(own.join(again, F.col("id") == F.col("node"), "left").select("id", "fp", "set", group), "similar-groups")
+    for done in (marks, own, sets, prints, shared, found, edges, grouped, left, more, linked, again):
         drop_staged(done)
-    return groups
+    return out
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id; rows without doc_id stay."""
-    kept = groups_of(docs, width, sample_docs).where("id = group").select(F.col("id").alias(simhash._KEPT))
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col(simhash._KEPT), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    groups = groups_of(docs, width, sample_docs)
+    return simhash.keep_named(docs, groups.groupBy(F.col("id").alias(_KEPT)).agg(F.min("group").alias("group")).where(F.col(_KEPT) == F.col("group")).select(_KEPT))

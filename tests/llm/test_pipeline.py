@@ -50,15 +50,11 @@ def test_line_stage_equals_brute_force(stages):
 
 
 def test_near_duplicate_stage_equals_brute_force(stages):
-    from tests.llm.test_simhash import brute_fingerprint, brute_groups
+    """The stage's own rule: SimHash links, and a similarity of 0.8 or more over five-word shingles."""
+    from tests.llm.test_similar_texts import brute
 
     before, after = rows(stages[2]), rows(stages[3])
-    fps = {d: brute_fingerprint(r.text) for d, r in before.items()}
-    group = brute_groups(set(fps.values()))
-    least = {}
-    for d, f in fps.items():
-        least[group[f]] = min(d, least.get(group[f], d))
-    assert set(after) == set(least.values())
+    assert set(after) == set(brute({d: r.text or "" for d, r in before.items()}).values())
 
 
 def test_benchmark_stage_equals_brute_force(spark, small, stages):

@@ -1,6 +1,8 @@
 import random
 
-from quillmark.llm import similar_texts
+import numpy as np
+
+from quillmark.llm import simhash, similar_texts
 from tests.llm.test_simhash import brute_fingerprint, brute_groups
 
 
@@ -51,7 +53,9 @@ def test_groups_equal_brute_force(spark):
     want = brute(texts)
     assert len(set(want.values())) < len(set(brute_groups({brute_fingerprint(t) for t in texts.values()}).values()))
     for sample in (similar_texts.SAMPLE_DOCS, 20):  # the sample never shapes the result
-        assert {r.id: r.group for r in similar_texts.groups_of(df, sample_docs=sample).collect()} == want
+        groups = {(r.fp, r.set): r.group for r in similar_texts.groups_of(df, sample_docs=sample).collect()}
+        of = lambda t: tuple(np.array([simhash.fingerprint(t.encode())], np.uint64).view(np.int64).tolist()) + (similar_texts.set_name(similar_texts.shingle_hashes(t.encode())),)
+        assert {d: groups[of(t)] for d, t in texts.items()} == want
     assert sorted(r.doc_id for r in similar_texts.keep_one(df).collect()) == sorted(set(want.values()))
 
 
