@@ -1,104 +1,199 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents, in a keyed random order, form blocks of `block_docs`. Block j of a source
-of weight w is released at slot floor(j / w) and due by slot ceil((j + 1) / w); in every slot the
-released block with the earliest deadline goes next. On one processor that keeps every deadline, so
-after t slots each source has had w t blocks, more or less than one.
+Each source's documents, in a keyed random order, form blocks of `block_docs`. In the fluid mix every
+source with blocks left is served at its weight's share of each slot; block j of a source occupies the
+time from its j-th to its (j+1)-th unit of service. Rounded outwards that is the block's window: released
+at the floor, due by the ceiling. In every slot the released block with the earliest deadline goes next
+(ties by the name of the source), so each block stays in its window and after t slots each source has had
+its fluid share of t, more or less than one block. While all sources last that is weight x t; when one
+runs out, the others share its slots in their proportions, so no slot is empty and each document is placed once.
 
-Weights become integers n_i that sum to a frame of `frame` slots. At a frame's end every source has
-had exactly its share, so the schedule repeats, and one frame, made on the driver, tells the slot of
-every block of any corpus: frame number x frame + slot of the block in the frame. The frame's size
-depends on the number of sources alone. When a source runs out, its later slots stay empty and the
-others keep their proportions, so each document is placed exactly once.
+Weights are taken exactly, as integers in their ratio; no rounding adds up however long the mix is. Fluid
+service is linear between the times at which sources run out, so every window is a closed form:
 
-Ranks within a source don't need a source in one task: the order is by a hash, whose top bits deal
-each source into buckets of `bucket_rows` at most, and more of them than there are partitions; rank = rows in earlier buckets + rank in the bucket.
+* The schedule is cut into segments of `segment` slots, more if there are many sources. At a boundary at
+  most one block of each source lies across it. The driver walks over the boundaries alone and chooses which
+  of those blocks go before, so that no interval on either side holds more windows than slots
+  (`boundaries`). Then earliest-deadline-first fills every segment, and tasks schedule them side by side.
+* A mix shorter than a segment is earliest-deadline-first in one go.
 
-With `exact` there is no frame: the weights themselves, as exact integers, give every block of the corpus its
-window, so no rounding adds up however long the mix is. The driver then makes one slot a block; slots in which
-no block is released are skipped, not walked.
+Ranks within a source don't need a source in one task: the order is by a hash, whose top bits deal
+each source into buckets of `bucket_rows` at most, and more of them than there are partitions; rank =
+rows in earlier buckets + rank in the bucket. A bucket brings the slots of its blocks with it, so rows are
+shuffled once, to their buckets. The driver holds a count and a weight of each source.
 
-A null source is a source of its own. Default weights are document counts to the power `alpha`.
-Rows with equal doc_ids get places of their own. Columns named as the results are replaced.
+A null source is a source of its own. Default weights are document counts to the power `alpha`. Rows
+that share a doc_id, and repeated rows, get places of their own. Texts are carried, never read. An empty
+table gives no row. Columns named as the results are replaced.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from array import array
+from bisect import bisect_left, bisect_right
+from dataclasses import dataclass
 from fractions import Fraction
+from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmark.llm.texts import map_rows
 from quillmark.plans.sizing import shuffle_partitions
+from quillmark.plans.staging import staged
 
-BLOCK_DOCS, FRAME, ALPHA, BUCKET_ROWS, SEED = 64, 4096, 0.5, 20_000, 17
-#: The driver holds a count and a weight for each source.
-MOST_SOURCES = 100_000
-#: Blocks whose exact slots are in one row.
+BLOCK_DOCS, ALPHA, BUCKET_ROWS, SEED, SEGMENT = 64, 0.5, 20_000, 17, 1 << 16
+#: Blocks whose slots are in one row.
 CHUNK = 256
 RESULTS = ("block", "mix_slot", "mix_position")
 
 
-def integer_shares(weights: dict, frame: int = FRAME) -> dict:
-    """Slots of each source in a frame: by largest remainder, one at least. The frame grows with the number of sources."""
-    frame = max(frame, 16 * len(weights))
-    total = math.fsum(weights.values())
-    exact = {s: w / total * (frame - len(weights)) for s, w in weights.items()}
-    shares = {s: 1 + math.floor(x) for s, x in exact.items()}
-    rest = frame - sum(shares.values())
-    for s in sorted(exact, key=lambda s: (math.floor(exact[s]) - exact[s], str(s)))[:rest]:
-        shares[s] += 1
-    return shares
-
-
-def schedule(shares: dict) -> list:
-    """The source of each slot of a frame: earliest deadline first among released blocks. Integers throughout."""
-    frame, order = sum(shares.values()), sorted(shares, key=str)
-    waiting = [(0, k) for k in range(len(order))]
-    heapq.heapify(waiting)
-    given, ready, out = [0] * len(order), [], []
-    for slot in range(frame):
-        while waiting and waiting[0][0] <= slot:
-            k = heapq.heappop(waiting)[1]
-            n = shares[order[k]]
-            heapq.heappush(ready, (-(-(given[k] + 1) * frame // n), k))
-        k = heapq.heappop(ready)[1]
-        out.append(order[k])
-        given[k] += 1
-        if given[k] < shares[order[k]]:
-            heapq.heappush(waiting, (given[k] * frame // shares[order[k]], k))
-    return out
-
-
 def exact_weights(weights: dict) -> dict:
     """Integers in exactly the ratios of the weights."""
     exact = {s: Fraction(w) for s, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("weights must be positive")
     unit = math.lcm(*(x.denominator for x in exact.values())) if exact else 1
     return {s: int(x * unit) for s, x in exact.items()}
 
 
-def exact_slots(weights: dict, blocks: dict) -> dict:
-    """The slots of each source's blocks: earliest deadline first, windows from the exact weights, until all blocks are placed."""
-    order, exact = sorted(blocks, key=str), exact_weights(weights)
-    total, n = sum(exact.values()), [exact[s] for s in order]
-    waiting, ready, slot = [(0, k) for k in range(len(order)) if blocks[order[k]]], [], 0
-    heapq.heapify(waiting)
-    out = [array("q") for _ in order]
+@dataclass(frozen=True)
+class Plan:
+    """Sources by name with integer weights and numbers of blocks, and the phases between the times at which sources run out."""
+
+    names: tuple
+    weights: tuple[int, ...]
+    blocks: tuple[int, ...]
+    #: By time: blocks of the sources that ran out before, weight of those still served, and the time at which it starts.
+    phases: tuple[tuple[int, int, Fraction], ...]
+    #: Service for a unit of weight by the end of each phase.
+    levels: tuple[Fraction, ...]
+    #: The phase in which each source runs out.
+    last: tuple[int, ...]
+
+    def whole(self, t: int) -> np.ndarray:
+        """Whole blocks of fluid service by time t. Where a float is too close to a whole number, integers decide."""
+        p = self.phase(t)
+        gone, weight, _ = self.phases[p]
+        last, w, blocks = self.arrays
+        out = w * (float(t - gone) / float(weight))
+        close = np.abs(out - np.round(out)) < 1e-9 * (1 + out)
+        out = np.floor(out).astype(np.int64)
+        for k in np.flatnonzero(close & (last >= p)).tolist():
+            out[k] = self.weights[k] * (t - gone) // weight
+        return np.where(last >= p, out, blocks)
+
+    @cached_property
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array(self.last, np.int64), np.array(self.weights, float), np.array(self.blocks, np.int64)
+
+    def phase(self, t: int) -> int:
+        return max(0, bisect_right(self.phases, t, key=lambda p: p[2]) - 1)
+
+    def time(self, k: int, j: int) -> tuple[int, int]:
+        """When a source has had j units of service: numerator and denominator."""
+        w = self.weights[k]
+        p = min(self.last[k], bisect_left(self.levels, Fraction(j, w))) if len(self.levels) > 1 else 0
+        gone, weight, _ = self.phases[p]
+        return j * weight + gone * w, w
+
+
+def plan(weights: dict, blocks: dict) -> Plan:
+    names = tuple(sorted(blocks, key=lambda s: (s is None, s or "")))
+    exact = exact_weights(weights)
+    w, b = tuple(exact[s] for s in names), tuple(blocks[s] for s in names)
+    order = sorted(range(len(names)), key=lambda k: (Fraction(b[k], w[k]), k))
+    phases, levels, last, gone, left, before = [], [], [0] * len(names), 0, sum(w), Fraction(-1)
+    for k in order:
+        level = Fraction(b[k], w[k])
+        if level > before:  # ends in a phase of its own
+            start = phases[-1][0] + before * phases[-1][1] if phases else Fraction(0)
+            phases.append((gone, left, start))
+            levels.append(level)
+            before = level
+        last[k] = len(phases) - 1
+        gone, left = gone + b[k], left - w[k]
+    return Plan(names, w, b, tuple(phases), tuple(levels), tuple(last))
+
+
+def boundaries(own: Plan, segment: int) -> list[list[int]]:
+    """How many blocks of each source go before each boundary, from 0 to the end.
+
+    Let R(t) be t less the whole blocks of all sources by t: as many of the blocks that lie across t go before it. For every
+    later y, those due by y that stay behind must find room before y, so R(t) - R(y) of them at least must go. Whenever
+    that calls for one, the one released first goes, for it asks least of the slots before t; so does the rest.
+    """
+    total, count = sum(own.blocks), len(own.names)
+    given, out = np.zeros(count, np.int64), [[0] * count]
+    for t in [*range(segment, total, segment), *([total] if total else [])]:
+        whole = own.whole(t)
+        room, across, due = t - int(whole.sum()), [], []
+        for k in range(count):
+            top, bottom = own.time(k, int(whole[k]))
+            if whole[k] < own.blocks[k] and top < t * bottom:
+                end, below = own.time(k, int(whole[k]) + 1)
+                due.append((-(-end // below), top // bottom, k))
+        due.sort()
+        gone = {k for _, _, k in due if given[k] > whole[k]}
+        at = met = 0
+        while at < len(due) and len(gone) < room:
+            y = due[at][0]
+            while at < len(due) and due[at][0] == y:
+                if due[at][2] in gone:
+                    met += 1
+                else:
+                    heapq.heappush(across, due[at][1:])
+                at += 1
+            need = room - (y - int(own.whole(y).sum()) if y < total else 0)
+            while met < need:
+                gone.add(heapq.heappop(across)[1])
+                met += 1
+        rest = sorted([*across, *(x[1:] for x in due[at:] if x[2] not in gone)])
+        gone.update(k for _, k in rest[: room - len(gone)])
+        given = whole.copy()
+        given[list(gone)] += 1
+        out.append(given.tolist())
+    return out
+
+
+def fill(own: Plan, first: int, given: list[int], upto: list[int]) -> list[list[int]]:
+    """The slots of each source's blocks from `given` to `upto`, in slots from `first` on: earliest deadline first."""
+    at, waiting, ready, out = list(given), [], [], [[] for _ in given]
+
+    def enter(k: int) -> None:
+        top, bottom = own.time(k, at[k])
+        heapq.heappush(waiting, (top // bottom, k))
+
+    for k, (a, b) in enumerate(zip(given, upto, strict=True)):
+        if a < b:
+            enter(k)
+    slot = first
     while waiting or ready:
-        if not ready:
-            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             k = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-(-(len(out[k]) + 1) * total // n[k]), k))
+            top, bottom = own.time(k, at[k] + 1)
+            heapq.heappush(ready, (-(-top // bottom), k))
         k = heapq.heappop(ready)[1]
         out[k].append(slot)
         slot += 1
-        if len(out[k]) < blocks[order[k]]:
-            heapq.heappush(waiting, (len(out[k]) * total // n[k], k))
-    return dict(zip(order, out, strict=True))
+        at[k] += 1
+        if at[k] < upto[k]:
+            enter(k)
+    return out
+
+
+def exact_slots(weights: dict, blocks: dict, segment: int = SEGMENT) -> dict:
+    """The slots of each source's blocks, all in one place: what the tasks find together."""
+    own = plan(weights, blocks)
+    out = {s: [] for s in own.names}
+    marks = boundaries(own, segment)
+    for i, (a, b) in enumerate(zip(marks, marks[1:], strict=False)):
+        for s, slots in zip(own.names, fill(own, i * segment, a, b), strict=True):
+            out[s] += slots
+    return out
 
 
 def order_mark(doc_id: Column, seed: int) -> Column:
@@ -106,53 +201,59 @@ def order_mark(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string")).cast("binary"))
 
 
-def _frame_tables(spark: SparkSession, shares: dict) -> tuple[DataFrame, DataFrame, int]:
-    """The slot of each of a source's blocks in a frame, how many each has, and the frame's length."""
-    places: dict = {}
-    rows = []
-    for slot, s in enumerate(schedule(shares)):
-        k = places[s] = places.get(s, -1) + 1
-        rows.append((s is None, s or "", k, slot))
-    frame_table = spark.createDataFrame(rows, "__qm_null boolean, __qm_source string, __qm_k long, __qm_slot long")
-    sizes = spark.createDataFrame([(s is None, s or "", n) for s, n in shares.items()], "__qm_null boolean, __qm_source string, __qm_share long")
-    return frame_table, sizes, len(rows)
+def _slot_table(spark: SparkSession, own: Plan, segment: int) -> DataFrame:
+    """(source, chunk, first, slots): the slots of each source's blocks, in pieces of CHUNK blocks at most; a task for each segment."""
+    marks = boundaries(own, segment)
+    pack = lambda row: np.array(row, np.int64).tobytes()
+    rows = [(k, pack(a), pack(b)) for k, (a, b) in enumerate(zip(marks, marks[1:], strict=False))]
+    shared = spark.sparkContext.broadcast(own)
 
+    def schedule(batch: pa.RecordBatch) -> dict:
+        out = {"__qm_null": [], "__qm_source": [], "__qm_chunk": [], "__qm_first": [], "__qm_slots": []}
+        for i, a, b in zip(*(batch.column(c).to_pylist() for c in ("i", "a", "b")), strict=True):
+            start, end = (np.frombuffer(x, np.int64).tolist() for x in (a, b))
+            for k, slots in enumerate(fill(shared.value, i * segment, start, end)):
+                at = start[k]
+                while at < end[k]:
+                    upto = min(end[k], (at // CHUNK + 1) * CHUNK)
+                    s = shared.value.names[k]
+                    for name, value in zip(out, (s is None, s or "", at // CHUNK, at, slots[at - start[k] : upto - start[k]]), strict=True):
+                        out[name].append(value)
+                    at = upto
+        return out
 
-def _exact_table(spark: SparkSession, slots: dict) -> DataFrame:
-    """The slots of each source's blocks, in rows of CHUNK."""
-    rows = [(s is None, s or "", k // CHUNK, own[k : k + CHUNK].tolist()) for s, own in slots.items() for k in range(0, len(own), CHUNK)]
-    return spark.createDataFrame(rows, "__qm_null boolean, __qm_source string, __qm_chunk long, __qm_slots array<long>")
+    table = spark.createDataFrame(rows, "i long, a binary, b binary").repartition(max(1, min(len(rows), 16 * shuffle_partitions(spark))), "i")
+    return map_rows(table, schedule, "__qm_null boolean, __qm_source string, __qm_chunk long, __qm_first long, __qm_slots array<long>")
 
 
-def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, block_docs: int = BLOCK_DOCS, frame: int = FRAME, bucket_rows: int = BUCKET_ROWS, seed: int = SEED, exact: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, block_docs: int = BLOCK_DOCS, bucket_rows: int = BUCKET_ROWS, seed: int = SEED, segment: int = SEGMENT) -> DataFrame:
     """Returns every row of `docs` with block, mix_slot and mix_position; reading by mix_position interleaves the sources.
 
-    `weights` maps each source, None for null, to a positive weight; a source without one is an error. `exact` schedules
-    by the weights themselves, without a frame.
+    `weights` maps each source, None for null, to a positive weight; a source without one is an error.
     """
     spark = docs.sparkSession
-    source = F.col("source").cast("string")
-    counts = {r[0]: r[1] for r in docs.select(source.alias("s")).groupBy("s").count().limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"over {MOST_SOURCES} sources; map them to fewer first")
-    own = {s: n**alpha for s, n in counts.items()} if weights is None else {s: weights[s] for s in counts}
-    slots = _exact_table(spark, exact_slots(own, {s: -(-n // block_docs) for s, n in counts.items()})) if exact else None
-    bits = min(32, max(0, math.ceil(math.log2(max(4 * shuffle_partitions(spark), sum(counts.values()) / bucket_rows)))))
+    source, key = F.col("source").cast("string"), ["__qm_null", "__qm_source", "__qm_bucket"]
     kept = [c for c in docs.columns if c not in RESULTS]
-    hashed = docs.select(*kept).withColumns({"__qm_null": source.isNull(), "__qm_source": F.coalesce(source, F.lit("")), "__qm_h": order_mark(F.col("doc_id"), seed)}).withColumn("__qm_bucket", F.shiftright(F.conv(F.substring("__qm_h", 1, 8), 16, 10).cast("long"), 32 - bits))
-    key = ["__qm_null", "__qm_source", "__qm_bucket"]
+    named = {"__qm_null": source.isNull(), "__qm_source": F.coalesce(source, F.lit("")), "__qm_h": order_mark(F.col("doc_id"), seed)}
+    # 32 bits of the hash: buckets are runs of them
+    narrow = docs.select(*(c.alias(name) for name, c in named.items())).withColumn("__qm_32", F.conv(F.substring("__qm_h", 1, 8), 16, 10).cast("long"))
+    counts = {(None if r[0] else r[1]): r[2] for r in narrow.groupBy("__qm_null", "__qm_source").count().collect()}
+    own = plan({s: n**alpha for s, n in counts.items()} if weights is None else {s: weights[s] for s in counts}, {s: -(-n // block_docs) for s, n in counts.items()})
+    bits = min(32, max(0, math.ceil(math.log2(max(4 * shuffle_partitions(spark), sum(counts.values()) / bucket_rows)))))
+    bucket = F.shiftright("__qm_32", 32 - bits).alias("__qm_bucket")
+    before = Window.partitionBy("__qm_null", "__qm_source").orderBy("__qm_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = narrow.select("__qm_null", "__qm_source", bucket).groupBy(*key).agg(F.count(F.lit(1)).alias("__qm_n")).withColumn("__qm_before", F.coalesce(F.sum("__qm_n").over(before), F.lit(0)))
+    slots = _slot_table(spark, own, max(segment, 4 * len(counts)))
+    chunk = lambda row: F.floor(row / (block_docs * CHUNK)).cast("long")
+    spans = offsets.select(*key, "__qm_before", F.explode(F.sequence(chunk(F.col("__qm_before")), chunk(F.col("__qm_before") + F.col("__qm_n") - 1))).alias("__qm_chunk"))
+    pieces = F.sort_array(F.collect_list(F.struct("__qm_first", "__qm_slots")))
+    brought = spans.join(slots, ["__qm_null", "__qm_source", "__qm_chunk"]).groupBy(*key).agg(F.first("__qm_before").alias("__qm_before"), pieces.alias("__qm_p"))
+    buckets = staged(brought.select(*key, "__qm_before", F.col("__qm_p")[0]["__qm_first"].alias("__qm_first"), F.flatten("__qm_p.__qm_slots").alias("__qm_slots")), "mix-buckets")
+    hashed = docs.select(*kept).withColumns(named).withColumn("__qm_bucket", F.shiftright(F.conv(F.substring("__qm_h", 1, 8), 16, 10).cast("long"), 32 - bits))
     # rows that share a doc_id are told apart by their contents, so that a task run again ranks them alike
     ties = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.select(*kept).dtypes if "map<" not in kind and kind != "variant"))
-    before = Window.partitionBy("__qm_null", "__qm_source").orderBy("__qm_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hashed.select(*key).groupBy(*key).agg(F.count(F.lit(1)).alias("__qm_n")).withColumn("__qm_before", F.coalesce(F.sum("__qm_n").over(before), F.lit(0))).drop("__qm_n")
-    ranked = hashed.join(offsets, key).withColumn("__qm_rank", F.col("__qm_before") + F.row_number().over(Window.partitionBy(*key).orderBy("__qm_h", "doc_id", ties)) - 1)
+    inside = F.row_number().over(Window.partitionBy(*key).orderBy("__qm_h", "doc_id", ties)) - 1
+    ranked = hashed.withColumn("__qm_rank", inside).join(buckets, key).withColumn("__qm_rank", F.col("__qm_before") + F.col("__qm_rank"))
     placed = ranked.withColumn("block", F.floor(F.col("__qm_rank") / block_docs))
-    if exact:
-        placed = placed.withColumn("__qm_chunk", F.floor(F.col("block") / CHUNK)).join(F.broadcast(slots), ["__qm_null", "__qm_source", "__qm_chunk"])
-        slot = F.get("__qm_slots", F.pmod("block", F.lit(CHUNK)).cast("int"))
-    else:
-        frame_table, sizes, length = _frame_tables(spark, integer_shares(own, frame) if own else {})
-        placed = placed.join(F.broadcast(sizes), ["__qm_null", "__qm_source"])
-        placed = placed.withColumn("__qm_k", F.pmod("block", "__qm_share")).join(F.broadcast(frame_table), ["__qm_null", "__qm_source", "__qm_k"])
-        slot = F.floor(F.col("block") / F.col("__qm_share")) * length + F.col("__qm_slot")
-    return placed.select(*kept, "block", slot.alias("mix_slot"), (slot * block_docs + F.pmod("__qm_rank", F.lit(block_docs))).alias("mix_position"))
+    slot = F.get("__qm_slots", (F.col("block") - F.col("__qm_first")).cast("int"))
+    return placed.select(*(F.col(f"`{c}`") for c in kept), "block", slot.alias("mix_slot"), (slot * block_docs + F.pmod("__qm_rank", F.lit(block_docs))).alias("mix_position"))

@@ -136,37 +136,37 @@ WITH raw AS (
 SELECT * FROM long_items WHERE similarity >= 0.8 AND least(question_overlap, answer_overlap) >= 0.5 UNION ALL SELECT * FROM short_items
 """
 
+#: Windows from the weights themselves: fluid time of a unit of service is a sum over the sources, in 128-bit integers.
 OP5_SQL = """
 WITH RECURSIVE c AS (
-  SELECT source, count(*) AS n FROM documents GROUP BY source
-), p AS (
-  SELECT CAST(greatest(4096, 16 * count(*)) AS BIGINT) AS frame, count(*) AS k, sum(pow(n, 0.5)) AS total FROM c
-), e AS (
-  SELECT source, pow(n, 0.5) / total * (frame - k) AS x, frame FROM c, p
+  SELECT source, count(*) AS n, CAST(ceil(count(*) / 64) AS HUGEINT) AS b, CAST(pow(count(*), 0.5) * 4503599627370496 AS HUGEINT) AS w FROM documents GROUP BY source
+), j AS (
+  SELECT source, w, unnest(range(CAST(b AS BIGINT) + 1)) AS j FROM c
 ), f AS (
-  SELECT source, 1 + CAST(floor(x) AS BIGINT) AS share, row_number() OVER (ORDER BY floor(x) - x, source) AS r, frame FROM e
+  SELECT j.source, j.j, j.w, sum(least(c.w * j.j, c.b * j.w)) AS num FROM j, c GROUP BY j.source, j.j, j.w
 ), g AS (
-  SELECT source, share + CASE WHEN r <= frame - (SELECT sum(share) FROM f) THEN 1 ELSE 0 END AS share, frame FROM f
+  SELECT source, j, CAST(CAST(num AS HUGEINT) // w AS BIGINT) AS low, CAST((CAST(num AS HUGEINT) + w - 1) // w AS BIGINT) AS high FROM f
+), wins AS (
+  SELECT source, list(low ORDER BY j) AS release, list(high ORDER BY j)[2:] AS due FROM g GROUP BY source
 ), o AS (
-  SELECT list(CAST(share AS BIGINT) ORDER BY source) AS shares, list(source ORDER BY source) AS names, max(frame) AS frame FROM g
+  SELECT list(source ORDER BY source NULLS LAST) AS names, list(release ORDER BY source NULLS LAST) AS release, list(due ORDER BY source NULLS LAST) AS due FROM wins
 ), s(t, given, pick) AS (
-  SELECT CAST(0 AS BIGINT), list_transform(shares, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT) FROM o
+  SELECT CAST(0 AS BIGINT), list_transform(names, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT) FROM o
   UNION ALL
-  SELECT t + 1, list_transform(range(1, len(given) + 1), lambda i: given[i] + CASE WHEN i = b THEN 1 ELSE 0 END), b
-  FROM (SELECT s.t, s.given, list_min(list_transform(range(1, len(s.given) + 1), lambda i: CASE WHEN s.given[i] < o.shares[i] AND s.given[i] * o.frame // o.shares[i] <= s.t
-                 THEN (((s.given[i] + 1) * o.frame + o.shares[i] - 1) // o.shares[i]) * 1000000 + i ELSE 9000000000000000000 END)) % 1000000 AS b
-        FROM s, o WHERE s.t < o.frame)
+  SELECT t + 1, list_transform(range(1, len(given) + 1), lambda i: given[i] + CASE WHEN i = pick THEN 1 ELSE 0 END), pick
+  FROM (SELECT s.t, s.given, list_min(list_transform(range(1, len(s.given) + 1), lambda i: CASE WHEN s.given[i] < len(o.due[i]) AND o.release[i][s.given[i] + 1] <= s.t
+                 THEN o.due[i][s.given[i] + 1] * 1000000 + i ELSE 9000000000000000000 END)) % 1000000 AS pick
+        FROM s, o WHERE s.t < list_sum(list_transform(o.due, lambda d: len(d))))
 ), slots AS (
   SELECT names[pick] AS source, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM s, o WHERE pick IS NOT NULL
 ), ranked AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('17:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r FROM documents
-), placed AS (
-  SELECT d.doc_id, d.source, d.r, d.r // 64 AS block, d.r // 64 // g.share * g.frame + x.slot AS mix_slot
-  FROM ranked d JOIN g ON d.source = g.source JOIN slots x ON x.source = d.source AND x.k = (d.r // 64) % g.share
 )
-SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(mix_slot AS BIGINT) AS mix_slot, CAST(mix_slot * 64 + r % 64 AS BIGINT) AS mix_position FROM placed
+SELECT d.doc_id, d.source, CAST(d.r // 64 AS BIGINT) AS block, CAST(x.slot AS BIGINT) AS mix_slot, CAST(x.slot * 64 + d.r % 64 AS BIGINT) AS mix_position
+FROM ranked d JOIN slots x ON x.source IS NOT DISTINCT FROM d.source AND x.k = d.r // 64
 """
 
+
 def _op7_sql() -> str:
     """Spans by every rule's expression, from the lengths of matches and of the pieces between them."""
     from quillmark.llm.secrets import BASE, RULES
