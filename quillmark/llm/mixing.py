@@ -93,13 +93,21 @@ class Plan:
     def phase(self, t: int) -> int:
         return max(0, bisect_right(self.phases, t, key=lambda p: p[2]) - 1)
 
-    def time(self, k: int, j: int) -> tuple[int, int]:
-        """When a source has had j units of service: numerator and denominator."""
-        w = self.weights[k]
-        p = min(self.last[k], bisect_left(self.levels, Fraction(j, w))) if len(self.levels) > 1 else 0
+    def time(self, k: int, j: int, near: int) -> tuple[int, int]:
+        """When a source has had j units of service: numerator and denominator. `near` is a phase to look at first."""
+        w, last, p = self.weights[k], self.last[k], min(near, self.last[k])
+        ends = self.ends
+        if p and j * ends[p - 1][1] <= ends[p - 1][0] * w:
+            p = bisect_left(self.levels, Fraction(j, w))
+        while p < last and j * ends[p][1] > ends[p][0] * w:
+            p += 1
         gone, weight, _ = self.phases[p]
         return j * weight + gone * w, w
 
+    @cached_property
+    def ends(self) -> list[tuple[int, int]]:
+        return [(x.numerator, x.denominator) for x in self.levels]
+
 
 def plan(weights: dict, blocks: dict) -> Plan:
     names = tuple(sorted(blocks, key=lambda s: (s is None, s or "")))
@@ -129,12 +137,12 @@ def boundaries(own: Plan, segment: int) -> list[list[int]]:
     total, count = sum(own.blocks), len(own.names)
     given, out = np.zeros(count, np.int64), [[0] * count]
     for t in [*range(segment, total, segment), *([total] if total else [])]:
-        whole = own.whole(t)
+        whole, p = own.whole(t), own.phase(t)
         room, across, due = t - int(whole.sum()), [], []
         for k in range(count):
-            top, bottom = own.time(k, int(whole[k]))
+            top, bottom = own.time(k, int(whole[k]), p)
             if whole[k] < own.blocks[k] and top < t * bottom:
-                end, below = own.time(k, int(whole[k]) + 1)
+                end, below = own.time(k, int(whole[k]) + 1, p)
                 due.append((-(-end // below), top // bottom, k))
         due.sort()
         gone = {k for _, _, k in due if given[k] > whole[k]}
@@ -161,10 +169,10 @@ def boundaries(own: Plan, segment: int) -> list[list[int]]:
 
 def fill(own: Plan, first: int, given: list[int], upto: list[int]) -> list[list[int]]:
     """The slots of each source's blocks from `given` to `upto`, in slots from `first` on: earliest deadline first."""
-    at, waiting, ready, out = list(given), [], [], [[] for _ in given]
+    at, waiting, ready, out, p = list(given), [], [], [[] for _ in given], own.phase(first)
 
     def enter(k: int) -> None:
-        top, bottom = own.time(k, at[k])
+        top, bottom = own.time(k, at[k], p)
         heapq.heappush(waiting, (top // bottom, k))
 
     for k, (a, b) in enumerate(zip(given, upto, strict=True)):
@@ -174,7 +182,7 @@ def fill(own: Plan, first: int, given: list[int], upto: list[int]) -> list[list[
     while waiting or ready:
         while waiting and waiting[0][0] <= slot:
             k = heapq.heappop(waiting)[1]
-            top, bottom = own.time(k, at[k] + 1)
+            top, bottom = own.time(k, at[k] + 1, p)
             heapq.heappush(ready, (-(-top // bottom), k))
         k = heapq.heappop(ready)[1]
         out[k].append(slot)
