@@ -1,22 +1,25 @@
 """Secret scans with one combined deterministic automaton.
 
 Every rule is a regular expression over bytes. Thompson's construction gives each rule's states,
-subset construction joins all rules into one search automaton, Hopcroft-style partition refinement
-minimises it, and the result is a flat transition array: state x byte class -> state, with a bit set
-of rules accepted in each state. A batch of texts is scanned in lock step, one byte of every text at
-a time, so the inner loop is three array look-ups, whatever the number of rules.
-
-The pass names the (text, rule) pairs that can match at all; their spans are then cut out by the
-rule's exact expression, leftmost and non-overlapping, and failing matches are dropped. A text with
-no accepted rule is never looked at again.
+subset construction joins all rules' triggers into one search automaton, partition refinement
+minimises it, and the result is a flat transition array: state x byte class -> state. Texts are cut
+into lanes of `LANE` bytes that are scanned in lock step, one byte of every lane at a time, so the inner
+loop is two array look-ups, whatever the number of rules and however long a text is. A lane starts a
+little earlier than its bytes; if its state at their beginning isn't the one in which the lane
+before ended, it is scanned again from there, so lanes never decide what is found.
+
+The pass names the ends of triggers. From an end, the rule's reversed automaton walks back to where
+the trigger begins, and from there the rule's own automaton walks on to the longest match, telling where
+the measured group begins. Matches are leftmost and non-overlapping for each rule; failing ones are
+dropped after they have taken their bytes. What follows inside a match is never walked again.
 
 `assign`, `access` and `hex` are the base kinds; the other rules add spans of their own kinds.
-Null texts count as empty. Spans are in code points, end exclusive.
+Null texts count as empty. Spans are in code points, end exclusive. Repeated rows give their spans each;
+extra columns are left out.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,16 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.texts import map_rows, raw_text
+from quillmark.llm.texts import code_points, map_rows, raw_text
 
 
 @dataclass(frozen=True)
 class Rule:
-    """`spans` cuts out matches; `trigger` is the automaton's form of it: something that every match contains.
-
-    A trigger shortens counted repeats, for a repeat that can hold its own beginning multiplies the automaton's states.
+    """`spans` is the rule; `trigger` a shorter expression that every match which can pass begins with.
 
-    A match passes if group `group` has at least `least` characters.
+    A trigger shortens counted repeats, for in a search a repeat that can hold its own beginning multiplies the automaton's
+    states. Of two triggers of a rule the one that begins first must not end last. A match passes if group `group` has at
+    least `least` characters.
     """
 
     kind: str
@@ -49,39 +52,37 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{4}", 0, 18),
     Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{16}", 0, 16),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"[A-Za-z0-9_-]{3}\.eyJ[A-Za-z0-9_-]{3}"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\."),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}", r"gh[pousr]_[A-Za-z0-9]{4}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"xox[abprs]-[A-Za-z0-9-]{3}"),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35}", r"AIza[A-Za-z0-9_-]{3}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]*://[^\s/:@\"'<>]+:[^\s/:@\"'<>]+@", r"://[^\s/:@\"'<>]+:[^\s/:@\"'<>]+@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D/:@\"'<>]+:[^\x20\x09-\x0D/:@\"'<>]+@", r"[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D/:@\"'<>]+:[^\x20\x09-\x0D/:@\"'<>]+@"),
 )
 BASE = ("assign", "access", "hex")
 
 
-# --- regular expressions to one minimal automaton
+# --- regular expressions to automata
 
 
-class _Nfa:
-    """Thompson's construction for literals, classes, groups, alternation, ? * + and {n}."""
+class Nfa:
+    """Thompson's construction for literals, classes, groups, alternation, ? * + {n} and {n,}."""
 
-    def __init__(self):
+    def __init__(self, pattern: str):
         self.empty: list[list[int]] = []
-        self.step: list[tuple[frozenset, int] | None] = []
-        self.accepts: dict[int, int] = {}
+        self.steps: list[list[tuple[frozenset, int]]] = []
+        #: The states created for each group.
+        self.groups: list[range] = []
+        self.text, self.at = pattern, 0
+        self.first, self.last = self._either()
+        if self.at < len(pattern):
+            raise ValueError(f"can't read {pattern!r} at {self.at}")
+        self.groups.insert(0, range(len(self.empty)))
 
     def state(self) -> int:
         self.empty.append([])
-        self.step.append(None)
+        self.steps.append([])
         return len(self.empty) - 1
 
-    def rule(self, pattern: str, number: int) -> int:
-        self.text, self.at = pattern, 0
-        first, last = self._either()
-        if self.at < len(pattern):
-            raise ValueError(f"can't read {pattern!r} at {self.at}")
-        self.accepts[last] = number
-        return first
-
     def _either(self) -> tuple[int, int]:
         ways = [self._row()]
         while self.at < len(self.text) and self.text[self.at] == "|":
@@ -103,15 +104,20 @@ class _Nfa:
             ended = self.at
             mark = self.text[self.at] if self.at < len(self.text) else ""
             if mark == "{":
-                n = int(self.text[self.at + 1 : self.text.index("}", self.at)])
-                after = self.text.index("}", self.at) + 1
-                for _ in range(n - 1):
+                close = self.text.index("}", self.at)
+                least, comma, _ = self.text[self.at + 1 : close].partition(",")
+                for _ in range(int(least) - 1):
                     self.at = began
                     c, d = self._atom()
                     self.empty[b].append(c)
                     b = d
+                if comma:
+                    self.at = began
+                    c, d = self._atom()
+                    self.empty[b].append(c)
+                    self.empty[d].append(b)
                 assert self.at == ended
-                self.at = after
+                self.at = close + 1
             elif mark and mark in "?*+":
                 self.at += 1
                 c, d = self.state(), self.state()
@@ -126,173 +132,315 @@ class _Nfa:
             last = b
         return first, last
 
-    def _escape(self) -> frozenset:
-        c = self.text[self.at + 1]
-        if c == "x":
-            self.at += 4
-            return frozenset([int(self.text[self.at - 2 : self.at], 16)])
-        self.at += 2
-        return frozenset(b" \t\n\x0b\x0c\r") if c == "s" else frozenset([ord(c)])
-
     def _atom(self) -> tuple[int, int]:
         c = self.text[self.at]
         if c == "(":
             self.at += 1
+            place, began = len(self.groups), len(self.empty)
+            self.groups.append(range(0))
             out = self._either()
+            self.groups[place] = range(began, len(self.empty))
             self.at += 1
             return out
-        if c == "[":
-            chars = self._class()
-        elif c == "\\":
-            chars = self._escape()
-        else:
-            self.at += 1
-            chars = frozenset([ord(c)])
+        chars = self._class() if c == "[" else frozenset([self._char()])
         a, b = self.state(), self.state()
-        self.step[a] = (chars, b)
+        self.steps[a].append((chars, b))
         return a, b
 
+    def _char(self) -> int:
+        c = self.text[self.at]
+        if c != "\\":
+            self.at += 1
+            return ord(c)
+        if self.text[self.at + 1] == "x":
+            self.at += 4
+            return int(self.text[self.at - 2 : self.at], 16)
+        self.at += 2
+        return ord(self.text[self.at - 1])
+
     def _class(self) -> frozenset:
         self.at += 1
         invert = self.text[self.at] == "^"
         self.at += invert
         chars: set[int] = set()
         while self.text[self.at] != "]":
-            if self.text[self.at] == "\\":
-                chars |= self._escape()
-                continue
-            low = ord(self.text[self.at])
-            self.at += 1
+            low = high = self._char()
             if self.text[self.at] == "-" and self.text[self.at + 1] != "]":
-                chars |= set(range(low, ord(self.text[self.at + 1]) + 1))
-                self.at += 2
-            else:
-                chars.add(low)
+                self.at += 1
+                high = self._char()
+            chars |= set(range(low, high + 1))
         self.at += 1
         return frozenset(range(256)) - chars if invert else frozenset(chars)
 
-    def closure(self, states) -> frozenset:
-        seen, todo = set(states), list(states)
-        while todo:
-            for s in self.empty[todo.pop()]:
-                if s not in seen:
-                    seen.add(s)
-                    todo.append(s)
-        return frozenset(seen)
+    def reversed(self) -> Nfa:
+        """The automaton of all matches read backwards."""
+        out = object.__new__(Nfa)
+        out.first, out.last, out.groups = self.last, self.first, self.groups
+        out.empty, out.steps = [[] for _ in self.empty], [[] for _ in self.steps]
+        for a, (to, moves) in enumerate(zip(self.empty, self.steps, strict=True)):
+            for b in to:
+                out.empty[b].append(a)
+            for chars, b in moves:
+                out.steps[b].append((chars, a))
+        return out
 
 
 #: Subsets before minimisation. Counted parts that can overlap themselves multiply subsets.
 MOST_STATES = 50_000
 
 
+def subsets(rules: list[Nfa], search: bool, keep: int = 0) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """Subset construction over all rules: rows of states by byte class, rules accepted by each state (bits), its NFA states (bits), byte classes.
+
+    State 0 is the start; state -1 is none. A search starts anew at every byte. NFA states of `keep` tell sets apart, too.
+    """
+    base, shift = [], 0
+    for nfa in rules:
+        base.append(shift)
+        shift += len(nfa.empty)
+    moves = [(b + a, chars, b + to) for nfa, b in zip(rules, base, strict=True) for a, own in enumerate(nfa.steps) for chars, to in own]
+    sets = sorted({chars for _, chars, _ in moves}, key=sorted)
+    traits: dict[tuple, int] = {}
+    byte_class = np.array([traits.setdefault(tuple(b in s for s in sets), len(traits)) for b in range(256)], np.uint8)
+    sample = [int(np.flatnonzero(byte_class == c)[0]) for c in range(len(traits))]
+    closed: list[int] = []
+    for nfa, b in zip(rules, base, strict=True):
+        for s in range(len(nfa.empty)):
+            seen, todo = {s}, [s]
+            while todo:
+                new = [x for x in nfa.empty[todo.pop()] if x not in seen]
+                seen.update(new)
+                todo += new
+            closed.append(sum(1 << (b + x) for x in seen))
+    to: dict[int, list[int]] = {}  # by NFA state: where each byte class leads, as bits
+    for a, chars, b in moves:
+        own = to.setdefault(1 << a, [0] * len(sample))
+        for c, byte in enumerate(sample):
+            if byte in chars:
+                own[c] |= closed[b]
+    starts, ends = sum(closed[b + nfa.first] for nfa, b in zip(rules, base, strict=True)), [1 << (b + nfa.last) for nfa, b in zip(rules, base, strict=True)]
+    moving = sum(to)
+    # of a set only the states that move or accept matter
+    matter = moving | sum(ends) | keep
+    number, masks, rows = {starts & matter: 0}, [starts & matter], []
+    for here in masks:
+        if len(masks) > MOST_STATES:
+            raise ValueError("the triggers overlap too much; shorten their counted parts")
+        row, left = [starts if search else 0] * len(sample), here & moving
+        while left:
+            bit = left & -left
+            left ^= bit
+            row = [x | y for x, y in zip(row, to[bit], strict=True)]
+        out = []
+        for there in row:
+            there &= matter
+            if not there:
+                out.append(-1)
+                continue
+            if there not in number:
+                number[there] = len(masks)
+                masks.append(there)
+            out.append(number[there])
+        rows.append(out)
+    accept = np.array([sum(1 << k for k, e in enumerate(ends) if m & e) for m in masks], np.int64)
+    return np.array(rows), accept, masks, byte_class
+
+
+#: Bytes of a lane, and bytes before them that it reads to find its state.
+LANE, BEFORE = 4096, 64
+
+
 class Automaton:
-    """The minimal search automaton of all `patterns`: `next[state * classes + byte_class[byte]]` and `accept[state]`."""
+    """The minimal search automaton of all `patterns`: `next[state + byte_class[byte]]`, states in steps of `classes`.
+
+    States that accept come last, from `accepting` on; `accept` has the bits of their rules.
+    """
 
     def __init__(self, patterns: tuple[str, ...]):
-        nfa = _Nfa()
-        starts = nfa.closure([nfa.rule(p, k) for k, p in enumerate(patterns)])
-        sets = sorted({x[0] for x in nfa.step if x}, key=sorted)
-        traits: dict[tuple, int] = {}
-        self.byte_class = np.array([traits.setdefault(tuple(b in s for s in sets), len(traits)) for b in range(256)], np.uint8)
-        self.classes = len(traits)
-        sample = [int(np.flatnonzero(self.byte_class == c)[0]) for c in range(self.classes)]
-        accepted = lambda states: sum(1 << r for r in {nfa.accepts[s] for s in states if s in nfa.accepts})
-        number, rows, accept, todo = {starts: 0}, [], [accepted(starts)], [starts]
-        while todo:
-            if len(number) > MOST_STATES:
-                raise ValueError("the triggers overlap too much; shorten their counted parts")
-            # subset construction; a search starts anew at every byte
-            here, row = todo.pop(0), []
-            moves = [nfa.step[s] for s in here if nfa.step[s]]
-            for byte in sample:
-                there = nfa.closure({to for chars, to in moves if byte in chars}) | starts
-                if there not in number:
-                    number[there] = len(number)
-                    accept.append(accepted(there))
-                    todo.append(there)
-                row.append(number[there])
-            rows.append(row)
-        self._minimise(np.array(rows), np.array(accept, np.int64))
-
-    def _minimise(self, rows: np.ndarray, accept: np.ndarray) -> None:
-        """Splits blocks of states by what they accept and where they lead, until none splits."""
-        self.subsets = len(rows)
+        rows, accept, _, self.byte_class = subsets([Nfa(p) for p in patterns], search=True)
+        self.subsets, self.classes = len(rows), rows.shape[1]
         block = np.unique(accept, return_inverse=True)[1]
-        while True:
+        while True:  # splits blocks of states by what they accept and where they lead, until none splits
             _, finer = np.unique(np.column_stack([block, block[rows]]), axis=0, return_inverse=True)
             finer = finer.reshape(-1)
             if finer.max() == block.max():
                 break
             block = finer
         _, first = np.unique(block, return_index=True)
-        self.start, self.states = int(block[0]), len(first)
-        self.next = block[rows[first]].reshape(-1).astype(np.int32) * self.classes
-        self.accept = accept[first]
-
-    def scan(self, texts: list[bytes]) -> np.ndarray:
-        """Bit set of the rules that each text accepts somewhere, in one pass over all bytes in lock step."""
-        found = np.zeros(len(texts), np.int64)
+        order = np.argsort(accept[first] != 0, kind="stable")
+        place = np.argsort(order)
+        self.states = len(first)
+        self.start = int(place[block[0]]) * self.classes
+        self.next = (place[block[rows[first[order]]]] * self.classes).reshape(-1).astype(np.int32)
+        self.accept = accept[first[order]]
+        self.accepting = int((self.accept == 0).sum()) * self.classes
+        self.slow: tuple[list[int], list[int]] | None = None
+
+    def hits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the text, end, bits of the rules) wherever triggers end, in order; one pass over all bytes."""
         sizes = np.array([len(x) for x in texts], np.int64)
-        order = np.argsort(-sizes, kind="stable")
-        live = int((sizes > 0).sum())
-        if not live:
-            return found
+        parts = -(-sizes // LANE)
+        n = int(parts.sum())
         data = self.byte_class[np.frombuffer(b"".join(texts), np.uint8)]
-        begins = (np.cumsum(sizes) - sizes)[order]
-        state = np.full(live, self.start * self.classes, np.int32)
-        hits = np.zeros(live, np.int64)
-        accept = np.repeat(self.accept, self.classes)
-        ends, at = sizes[order], 0
-        ascending = ends[::-1]
+        text = np.repeat(np.arange(len(texts)), parts)
+        base = (np.cumsum(sizes) - sizes)[text]
+        bound = base + (np.arange(n) - (np.cumsum(parts) - parts)[text]) * LANE
+        end = np.minimum(bound + LANE, base + sizes[text])
+        later = bound > base
+        begin = bound - np.where(later, BEFORE, 0)
+        order = np.argsort(begin - end, kind="stable")  # longest first
+        start_at, length, is_later = begin[order], (end - begin)[order], later[order]
+        state, met, final = np.full(n, self.start, np.int32), np.full(n, -1, np.int32), np.full(n, self.start, np.int32)
+        found: list[tuple[np.ndarray, int, np.ndarray]] = []
+        live, k, ascending = n, 0, length[::-1]
         while live:
-            upto = int(ends[live - 1])  # no text ends before this byte
-            begin = begins[:live]
-            for k in range(at, upto):
-                state = self.next[state + data[begin + k]]
-                hits[:live] |= accept[state]
-            at = upto
-            live = len(ends) - int(np.searchsorted(ascending, at, "right"))
-            state = state[:live]
-        found[order[: len(hits)]] = hits
-        return found
+            upto = int(length[live - 1])
+            at = start_at[:live]
+            while k < upto:
+                if k == BEFORE:
+                    met[:live] = np.where(is_later[:live], state, -1)
+                state = self.next[state + data[at + k]]
+                k += 1
+                if int(state.max()) >= self.accepting:
+                    hit = np.flatnonzero(state >= self.accepting)
+                    found.append((hit, k, state[hit]))
+            left = n - int(np.searchsorted(ascending, k, "right"))
+            final[left:live] = state[left:live]
+            live, state = left, state[:left]
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        met, final = met[place], final[place]
+        lane = order[np.concatenate([h for h, _, _ in found])] if found else np.zeros(0, np.int64)
+        where = begin[lane] + (np.repeat([k for _, k, _ in found], [len(h) for h, _, _ in found]) if found else 0)
+        bits = self.accept[np.concatenate([x for _, _, x in found]) // self.classes] if found else np.zeros(0, np.int64)
+        good = where > bound[lane]
+        wrong = self._again(data, bound, end, later, met, final)
+        if wrong:
+            good &= ~np.isin(lane, [i for i, _ in wrong])
+            more = [(i, p, b) for i, own in wrong for p, b in own]
+            lane, where, bits = (np.concatenate([x[good], np.array([m[c] for m in more], np.int64)]) for c, x in enumerate((lane, where, bits)))
+        else:
+            lane, where, bits = lane[good], where[good], bits[good]
+        sort = np.argsort(where, kind="stable")
+        lane, where, bits = lane[sort], where[sort], bits[sort]
+        return text[lane], where - base[lane], bits
+
+    def _again(self, data: np.ndarray, bound: np.ndarray, end: np.ndarray, later: np.ndarray, met: np.ndarray, final: np.ndarray) -> list[tuple[int, list]]:
+        """Lanes that didn't find their state in time, scanned from where the lane before ended: (lane, its hits)."""
+        out = []
+        todo = np.flatnonzero(later[1:] & (met[1:] != final[:-1])) + 1 if len(later) > 1 else []
+        for i in todo:
+            while i < len(later) and later[i] and met[i] != final[i - 1] and not (out and out[-1][0] >= i):
+                if self.slow is None:
+                    self.slow = self.next.tolist(), self.accept.tolist()
+                (step, accept), state, own = self.slow, int(final[i - 1]), []
+                for at, c in enumerate(data[bound[i] : end[i]].tolist(), int(bound[i]) + 1):
+                    state = step[state + c]
+                    if state >= self.accepting:
+                        own.append((at, accept[state // self.classes]))
+                out.append((int(i), own))
+                final[i] = state
+                i += 1
+        return out
+
+    def scan(self, texts: list[bytes]) -> np.ndarray:
+        """Bit set of the rules whose triggers each text holds."""
+        out = np.zeros(len(texts), np.int64)
+        which, _, bits = self.hits(texts)
+        np.bitwise_or.at(out, which, bits)
+        return out
+
+
+class Walk:
+    """One rule's automaton from a fixed place, for single steps; state -1 is none."""
+
+    def __init__(self, nfa: Nfa, group: int = 0):
+        own = set(nfa.groups[group])
+        inside = sum(1 << s for s in {to for a in own for _, to in nfa.steps[a]} & own)
+        rows, accept, masks, byte_class = subsets([nfa], search=False, keep=inside)
+        self.rows = [[int(row[c]) for c in byte_class] for row in rows]
+        self.accept = (accept > 0).tolist()
+        self.inside = [bool(m & inside) for m in masks]
+
+    def longest(self, raw: bytes, start: int) -> tuple[int, int]:
+        """(end of the longest match from `start`, or -1; begin of its group)."""
+        rows, accept, inside = self.rows, self.accept, self.inside
+        state, end, begin = 0, -1, -1
+        for i in range(start, len(raw)):
+            state = rows[state][raw[i]]
+            if state < 0:
+                break
+            if begin < 0 and inside[state]:
+                begin = i
+            if accept[state]:
+                end = i + 1
+        return end, begin
+
+    def backwards(self, raw: bytes, end: int, least: int) -> list[int]:
+        """Where matches that end at `end` begin, from `least` on, leftmost first."""
+        rows, accept, state, out = self.rows, self.accept, 0, []
+        for i in range(end - 1, least - 1, -1):
+            state = rows[state][raw[i]]
+            if state < 0:
+                break
+            if accept[state]:
+                out.append(i)
+        return out[::-1]
 
 
 # --- spans
 
 
 class Scanner:
-    """The automaton and the expressions; built once in each worker."""
+    """All automata of the rules."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
         self.automaton = Automaton(tuple(r.trigger for r in rules))
-        self.exact = [re.compile(r.spans) for r in rules]
+        self.forwards = [Walk(Nfa(r.spans), r.group) for r in rules]
+        self.back = [Walk(Nfa(r.trigger).reversed()) for r in rules]
 
     def spans(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
         """(start, number of the rule, end) of each text's secrets, by start, then rule."""
-        out = []
-        for raw, bits in zip(texts, self.automaton.scan(texts).tolist(), strict=True):
-            own = []
-            if bits:
-                text = raw.decode("utf-8", "replace")
-                for k, rule in enumerate(self.rules):
-                    if bits >> k & 1:
-                        own += [(m.start(), k, m.end()) for m in self.exact[k].finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
-            out.append(sorted(own))
+        out: list[list] = [[] for _ in texts]
+        which, ends, bits = self.automaton.hits(texts)
+        cuts = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), len(which)] if len(which) else [0]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            raw = texts[which[a]]
+            out[which[a]] = sorted(_in_code_points(raw, self._own(raw, ends[a:b], bits[a:b])))
         return out
 
-
-_SCANNERS: dict[tuple[Rule, ...], Scanner] = {}
+    def _own(self, raw: bytes, ends: np.ndarray, bits: np.ndarray) -> list[tuple[int, int, int]]:
+        out, present = [], int(np.bitwise_or.reduce(bits))
+        for k, rule in enumerate(self.rules):
+            if not present >> k & 1:
+                continue
+            at, i, taken = ends[bits >> k & 1 == 1], 0, 0
+            while i < len(at):
+                end = -1
+                for start in self.back[k].backwards(raw, int(at[i]), taken):
+                    end, begin = self.forwards[k].longest(raw, start)
+                    if end > 0:
+                        break
+                if end > 0:
+                    taken = end
+                    if code_points(raw[begin:end]) >= rule.least:
+                        out.append((start, k, end))
+                    i = int(np.searchsorted(at, end, "right"))
+                else:
+                    i += 1
+        return out
 
 
-def scanner(rules: tuple[Rule, ...]) -> Scanner:
-    if rules not in _SCANNERS:
-        _SCANNERS[rules] = Scanner(rules)
-    return _SCANNERS[rules]
+def _in_code_points(raw: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    if not spans or raw.isascii():
+        return spans
+    before = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+    return [(int(before[a]), k, int(before[b])) for a, k, b in spans]
 
 
-#: Texts scanned in lock step: enough to amortise a step, little enough to bound memory.
-BLOCK_BYTES = 16 << 20
+#: Bytes scanned at once: enough to amortise a step, little enough to bound memory. A longer text is scanned alone.
+BLOCK_BYTES = 8 << 20
 
 
 def _blocks(texts: list[bytes]):
@@ -309,10 +457,12 @@ def _blocks(texts: list[bytes]):
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Returns doc_id and secrets, an array of (kind, start, end), for every row of `docs`."""
+    # built once, and broadcast: its size depends on the rules alone
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner(rules))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def rows(batch: pa.RecordBatch) -> dict:
-        own = scanner(rules)
+        own = shared.value
         found = [s for part in _blocks([x or b"" for x in batch.column("text").to_pylist()]) for s in own.spans(part)]
         return {"doc_id": batch.column("doc_id"), "secrets": pa.array([[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in own] for own in found], kind)}
 

@@ -44,6 +44,41 @@ def test_every_match_holds_its_trigger():
                     assert re.search(rule.trigger, t), (rule.kind, t)
 
 
+def every_rule(text):
+    return sorted((m.start(), k, m.end()) for k, r in enumerate(s.RULES) for m in re.finditer(r.spans, text) if m.end(r.group) - m.start(r.group) >= r.least)
+
+
+def test_spans_of_all_rules_equal_brute_force():
+    rng, own = random.Random(12), s.Scanner()
+    words = ["eyJ", "eyJ", ".", "aB3_-xY9", "ghp_", "gho_", "xoxb-", "AIza", "Z" * 33, "q" * 9, "a1B2" * 9, "https", "+", "://", "me", ":", "pw", "@", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", " ", "é", "token=", "AKIA", "deadbeef" * 2, '"', "\n"]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(6000)]
+    for t, found in zip(texts, own.spans([t.encode() for t in texts]), strict=True):
+        assert found == every_rule(t), t
+
+
+def test_lanes_change_nothing(monkeypatch):
+    monkeypatch.setattr(s, "LANE", 80)
+    own, texts = s.Scanner(), ["".join(samples(60)) for _ in range(20)]
+    texts += ["a://" + "u" * 700 + ":p@ " + "f" * 500 + " eyJ" + "k" * 300 + ".eyJ" + "k" * 300 + "." + "k" * 300, "", "é" * 300 + " secret:" + " " * 200 + "abcdefghijklmnop"]
+    for t, found in zip(texts, own.spans([t.encode() for t in texts]), strict=True):
+        assert found == every_rule(t)
+    assert own.automaton.slow is not None  # some lanes found their state too late
+
+
+def test_a_long_text_costs_what_short_ones_cost():
+    import time
+
+    own, n = s.Scanner(), 10 << 20
+    long = (" ".join(samples(2000)) * 1000).encode()[:n].decode("utf-8", "ignore").encode()
+    short = [long[k : k + 4096] for k in range(0, len(long), 4096)]
+    times = []
+    for texts in (short, [long], short, [long]):
+        began = time.perf_counter()
+        own.spans(texts)
+        times.append(time.perf_counter() - began)
+    assert min(times[1], times[3]) < 3 * min(times[0], times[2])
+
+
 def test_minimal_automaton_keeps_the_language():
     a = s.Automaton(("ab", "b[ab]{2}c"))
     assert a.states <= a.subsets
