@@ -1,15 +1,18 @@
 """Language identification by compression.
 
-Training takes, for each language, whole lines of text from a bounded sample of labelled documents:
-those with the least hashes of doc_id, `sample_docs` at most, `doc_bytes` of each at most, until
-`dict_bytes` are full. Each language's bytes become a zstandard raw-content dictionary. A text is
-cut into blocks of `block` bytes (a whole number of characters is not needed: sizes are all that
-counts); every block is compressed with each dictionary, and the language whose sizes sum to the
-least wins. The margin is the relative gap to the second; below `least_margin` the prediction is
-marked as rejected, and lang_pred stays the best guess.
+Training takes, for each language, the beginnings of a bounded sample of labelled documents: those with
+the least hashes of doc_id, `sample_docs` at most, `doc_bytes` of each, until `dict_bytes` are full. Each
+language's bytes become a zstandard raw-content dictionary. Every language is learned; where there are
+very many, their samples and dictionaries get smaller, so that all of them hold MOST_ROWS and MOST_BYTES at most.
+
+A text is cut into blocks of `block` bytes (a whole number of characters is not needed: sizes are all
+that counts); every block, with some filler, is compressed with each dictionary, and the language whose
+sizes sum to the least wins, the first by name among equals. The margin is the relative gap to the second;
+below `least_margin` the prediction is marked as rejected, and lang_pred stays the best guess.
 
 Null texts and texts without a letter are `und` with score 0 and are rejected. Without any labelled
-document every text is `und`.
+document every text is `und`. Very long texts go block by block. Repeated rows get their prediction each;
+extra columns are neither read nor returned, but for those named in `keep`.
 """
 
 from __future__ import annotations
@@ -24,35 +27,35 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.texts import filter_rows, map_rows
 
-SAMPLE_DOCS, DOC_BYTES, DICT_BYTES, BLOCK, LEVEL = 256, 2048, 112 << 10, 4096, 6
-#: zstandard stores a block that hardly shrinks as it is, and all languages then tie; this much filler lets short texts be coded.
-SHORT, FILLER = 1024, b"\n" * 128
+SAMPLE_DOCS, DOC_BYTES, DICT_BYTES, BLOCK, LEVEL = 256, 448, 112 << 10, 4096, 6
+#: Sampled documents and dictionary bytes of all languages together.
+MOST_ROWS, MOST_BYTES = 1 << 17, 56 << 20
+#: zstandard stores a block that hardly shrinks as it is, and all languages then tie; with this in every block short texts are coded, too.
+FILLER = b"\n" * 128
 LEAST_MARGIN = 0.004
-#: Languages learned at most: those with the most labelled documents.
-MOST_LANGUAGES = 512
 #: Steepness of the score: a margin of 0.05 scores 0.92.
 STEEP = 50.0
 _LETTER = regex.compile(r"\p{L}")
 
 
 def training_texts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_bytes: int = DOC_BYTES, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """Dictionary bytes by language. At most languages x `sample_docs` rows of `doc_bytes` reach the driver.
+    """Dictionary bytes by language. At most MOST_ROWS rows of `doc_bytes`, and one a language, reach the driver.
 
     Ids are chosen on narrow rows; only those below a hash bound of their language meet in its task.
     """
     docs = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id", 0.02).alias("ids"))
-    most = sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    if not most:
+    sizes = docs.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("_ids"))
+    languages = sizes.count()
+    if not languages:
         return {}
-    docs = docs.where(F.col("lang").isin([r["lang"] for r in most]))
+    sample_docs, dict_bytes = max(1, min(sample_docs, MOST_ROWS // languages)), max(64, min(dict_bytes, MOST_BYTES // languages))
     # the least hashes lie below a bound that some 8 x sample_docs ids of the language pass, however many partitions there are
-    bound = {r["lang"]: int(-(1 << 63) + min(1.0, 8 * sample_docs / max(r["ids"], 1)) * ((1 << 64) - 1)) for r in most}
-    below = F.create_map(*[F.lit(x) for lang, top in bound.items() for x in (lang, min(top, (1 << 63) - 1))])
-    hashed = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).where(F.col("_h") <= F.element_at(below, F.col("lang"))).distinct()
+    share = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5
+    hashed = docs.select("doc_id", "lang").join(sizes, "lang").where(share <= 8.0 * sample_docs / F.greatest("_ids", F.lit(1))).select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).distinct()
     chosen = hashed.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_k") <= sample_docs)
     ids = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_k")
-    found = docs.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("_lang", "_k", F.substring("text", 1, doc_bytes).alias("text")).dropDuplicates(["_lang", "_k"])
+    # of rows that share a doc_id the least text, so that a task run again learns the same
+    found = docs.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).groupBy("_lang", "_k").agg(F.min(F.substring("text", 1, doc_bytes)).alias("text"))
     by_lang: dict[str, list] = {}
     for row in found.toLocalIterator():
         by_lang.setdefault(row._lang, []).append((row._k, row.text))
@@ -75,7 +78,7 @@ class Compressors:
 
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL, block: int = BLOCK):
         self.block, self.compressors = block, {}
-        params = zstandard.ZstdCompressionParameters.from_level(level, source_size=block, dict_size=max(map(len, dictionaries.values()), default=0), write_content_size=0, write_checksum=0, write_dict_id=0)
+        params = zstandard.ZstdCompressionParameters.from_level(level, source_size=block + len(FILLER), dict_size=max(map(len, dictionaries.values()), default=0), write_content_size=0, write_checksum=0, write_dict_id=0)
         for lang, raw in dictionaries.items():
             own = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             own.precompute_compress(compression_params=params)
@@ -83,9 +86,7 @@ class Compressors:
 
     def sizes(self, raw: bytes) -> list[tuple[int, str]]:
         """Bytes out for each language, least first; equal sizes go by name."""
-        if len(raw) < SHORT:
-            raw += FILLER
-        blocks = [raw[i : i + self.block] for i in range(0, len(raw), self.block)]
+        blocks = [raw[i : i + self.block] + FILLER for i in range(0, len(raw), self.block)]
         return sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in self.compressors.items())
 
     def predict(self, text: str) -> tuple[str, float, float]:

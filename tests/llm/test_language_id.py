@@ -43,3 +43,45 @@ def test_odd_rows(spark, odd, empty):
     assert {r.lang_pred for r in li.identify(odd, {}).collect()} == {"und"}
     kept = li.decided(odd, dictionaries)
     assert kept.columns == odd.columns and 2 not in {r.doc_id for r in kept.collect()}
+
+
+def test_predictions_equal_plain_compression():
+    import random
+
+    import zstandard
+
+    rng = random.Random(4)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(60)] for lang, letters in {"a": "abcdefg", "b": "defghij", "c": "éèaebcd"}.items()}
+    made = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    dictionaries = {lang: made(lang, 900).encode() for lang in words}
+    own = li.Compressors(dictionaries)
+    params = zstandard.ZstdCompressionParameters.from_level(li.LEVEL, source_size=li.BLOCK + len(li.FILLER), dict_size=max(map(len, dictionaries.values())), write_content_size=0, write_checksum=0, write_dict_id=0)
+    for n in (1, 3, 30, 150, 170, 200, 700, 3000):  # on both sides of a kilobyte and of a block
+        for lang in words:
+            text = made(lang, n)
+            raw, sizes = text.lower().encode(), {}
+            for name, content in dictionaries.items():
+                sizes[name] = 0
+                for k in range(0, len(raw), li.BLOCK):
+                    plain = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                    plain.precompute_compress(compression_params=params)
+                    sizes[name] += len(zstandard.ZstdCompressor(dict_data=plain, compression_params=params).compress(raw[k : k + li.BLOCK] + li.FILLER))
+            best, second = sorted((size, name) for name, size in sizes.items())[:2]
+            found, score, margin = own.predict(text)
+            assert found == best[1] and abs(margin - (1 - best[0] / second[0])) < 1e-12 and 0 <= score <= 1
+            if n >= 30:
+                assert found == lang
+
+
+def test_every_language_is_learned(spark):
+    df = spark.range(1400).selectExpr("id AS doc_id", "concat('l', id % 700) AS lang", "concat_ws(' ', transform(sequence(1, 20), k -> sha2(concat(id % 700, ':', k), 256))) AS text")
+    dictionaries = li.learn(df)
+    assert len(dictionaries) == 700
+    wanted = {r.doc_id: r.lang for r in df.where("doc_id < 40").collect()}
+    assert all(r.lang_pred == wanted[r.doc_id] for r in li.identify(df.where("doc_id < 40"), dictionaries).collect())
+
+
+def test_samples_get_smaller_with_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(li, "MOST_BYTES", 3000)
+    df = spark.range(900).selectExpr("id AS doc_id", "repeat('word ', 1000) AS text", "concat('l', id % 9) AS lang")
+    assert all(len(raw) <= 333 for raw in li.training_texts(df).values())
