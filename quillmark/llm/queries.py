@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,14 @@ from quillmark.plans.sizing import spread
 from quillmark.sources import tables
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Used only where spark.quillmark.pii.key is unset, as in tests. It protects nothing.
-DEMONSTRATION_KEY = "demonstration"
+#: Spark redacts settings with "secret" in their names. Where it is unset each application has a random key that nobody learns.
+PII_KEY = "spark.quillmark.pii.secret"
+_RANDOM_KEYS: dict[str, str] = {}
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The key of the setting. Without it pseudonyms link within one application, and to nothing after it."""
+    return spark.conf.get(PII_KEY, None) or _RANDOM_KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,7 +92,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.pii import pseudonymise
 
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get("spark.quillmark.pii.key", DEMONSTRATION_KEY))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

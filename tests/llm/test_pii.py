@@ -95,3 +95,99 @@ def test_odd_rows(spark, odd, empty):
     rows = {(r.doc_id): r for r in out.collect()}
     assert rows[2].text is None and rows[4].text == "" and rows[6].text == odd.where("doc_id = 6").first().text
     assert out.count() == odd.count() and pii.pseudonymise(empty, "k").count() == 0
+
+
+def plain_stream(key, kind, r, n, other):
+    import hashlib
+
+    return hashlib.sha512(f"{key}:{kind}:{r}:{n}:{other}".encode()).hexdigest()
+
+
+def plain_permuted(text, key, kind):
+    """A second Feistel network, character by character."""
+    n, (a, b) = len(text), (text[: len(text) // 2], text[len(text) // 2 :])
+    for r in range(1, pii.ROUNDS + 1):
+        stream, moved = plain_stream(key, kind, r, n, b), ""
+        for i, c in enumerate(a):
+            k = int(stream[i % 32 * 4 : i % 32 * 4 + 4], 16)
+            moved += chr((ord(c) - 48 + k) % 10 + 48) if c.isdigit() else chr((ord(c) - 97 + k) % 26 + 97) if "a" <= c <= "z" else c
+        a, b = b, moved
+    return a + b
+
+
+def plain_date(text, key):
+    import datetime
+
+    first = datetime.date(1900, 1, 1)
+    forms = {"-": "%Y-%m-%d", ".": "%d.%m.%Y", "/": "%m/%d/%Y" if int(text[:2]) <= 12 else "%d/%m/%Y"}
+    form = forms["-" if text[4] == "-" else text[2]]
+    day = (datetime.datetime.strptime(text, form).date() - first).days
+    while True:
+        a, b = divmod(day, 270)
+        for r in range(1, pii.ROUNDS + 1):
+            word = int(plain_stream(key, "date", r, 73049, b if r % 2 else a)[:4], 16)
+            a, b = ((a + word) % 271, b) if r % 2 else (a, (b + word) % 270)
+        day = a * 270 + b
+        if day < 73049:
+            date = first + datetime.timedelta(days=day)
+            if form != "%d/%m/%Y" or date.day > 12:
+                return date.strftime(form)
+
+
+def mod97(text):
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+
+
+def iban(rng):
+    body = "DE00" + "".join(rng.choice("0123456789") for _ in range(18))
+    return f"DE{98 - mod97(body):02d}" + body[4:]
+
+
+def test_values_equal_a_plain_network(spark):
+    rng = random.Random(7)
+    ssn = [f"{rng.choice([1, 200, 665, 667, 899]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}" for _ in range(150)]
+    dates = [*(f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}" for _ in range(30)), *(f"{rng.randint(13, 28)}/{rng.randint(1, 12):02d}/1980" for _ in range(60)), "12/25/1980", "31.12.1999"]
+    phones = ["+1 (017) 555-7713", "(017) 555-7713", "555 123 4567", "0049 30 123456", "+4930123456"]
+    ibans = [iban(rng) for _ in range(20)] + ["GB82 WEST 1234 5698 7654 32"]
+    got = [r.text for r in rewritten(spark, [*ssn, *dates, *phones, *ibans, "at 1980-12-25T10:00:00Z", "mail a.b9@x.org"])]
+    bare = lambda t: re.sub(r"\D", "", t)
+    for old, new in zip(ssn, got, strict=False):
+        want = bare(old)
+        while True:
+            want = plain_permuted(want, "k", "ssn")
+            if not re.search(r"^(000|666|9)|^\d{3}00|0000$", want):
+                break
+        assert bare(new) == want and re.fullmatch(r"\d{3}-\d\d-\d{4}", new)
+    assert len(set(got[:150])) == len(set(ssn))
+    got = got[150:]
+    assert got[: len(dates)] == [plain_date(d, "k") for d in dates]
+    got = got[len(dates) :]
+    national = {"0175557713": plain_permuted("0175557713", "k", "phone"), "5551234567": plain_permuted("5551234567", "k", "phone"), "30123456": plain_permuted("30123456", "k", "phone")}
+    assert [bare(t) for t in got[:5]] == ["1" + national["0175557713"], national["0175557713"], national["5551234567"], "0049" + national["30123456"], "49" + national["30123456"]]
+    assert re.fullmatch(r"0049 \d\d \d{6}", got[3])
+    got = got[5:]
+    for old, new in zip(ibans, got, strict=False):
+        o, n = old.replace(" ", ""), new.replace(" ", "")
+        assert mod97(n) == 1 and n[:2] == o[:2] and n[4:] == plain_permuted(o[4:].lower(), "k", "iban").upper() and len(old) == len(new)
+    assert got[len(ibans)] == f"at {plain_date('1980-12-25', 'k')}T10:00:00Z"
+    assert got[len(ibans) + 1] == f"mail {plain_permuted('a.b9', 'k', 'mail')}@x.org"
+
+
+def test_no_plan_shows_the_key(spark):
+    df = spark.createDataFrame([(1, "pay 4111111111111111")], "doc_id long, text string")
+    out = pii.pseudonymise(df, "hush-hush-key")
+    out.collect()
+    query = out._jdf.queryExecution()
+    for mode in ("simple", "extended", "codegen", "cost", "formatted"):
+        assert "hush-hush-key" not in query.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+    with pytest.raises(ValueError):
+        pii.pseudonymise(df, "")
+
+
+def test_key_of_the_setting(spark):
+    from quillmark.llm.queries import PII_KEY, pii_key
+
+    assert pii_key(spark) == pii_key(spark) and len(pii_key(spark)) == 64
+    spark.conf.set(PII_KEY, "own")
+    assert pii_key(spark) == "own"
+    spark.conf.unset(PII_KEY)
