@@ -13,10 +13,13 @@ differ, and at that radius a tree prunes nothing. So similar sets meet by keys:
   the keys, never the result.
 * Equal sets are one row from the start, so copies cost nothing. A set is named by a 64-bit hash.
 * Each set first meets the least and the largest set of each of its keys, so that a crowd meets a few; then,
-  under keys that still join different groups, the others meet each other.
-* Pairs are left out where sizes or the parities of the shingles over 256 bits, and then over 4,096, rule the
+  under keys that still join different groups, those outside a key's largest group meet the others.
+* Pairs are left out where sizes or the parities of the shingles over 1,024 bits, and then over 4,096, rule the
   similarity out; all others are verified on their whole sets.
 
+A key that very many sets share, most of them not similar, costs comparisons (not rows) in the number of its sets
+times those outside its largest group.
+
 Null and empty texts have no shingle and are linked by SimHash alone. Rows without doc_id stay and link
 nothing. Rows that share a doc_id are one document; of different ones the same one stays whenever a task
 runs again. Very long texts are read one at a time. Columns pass unchanged, whatever their names.
@@ -40,7 +43,8 @@ WIDTH = 5
 SAMPLE_DOCS, MOST_COUNTED = 16_384, 1 << 18
 #: Most ids of candidates that are broadcast to pick their texts; beyond it they are joined.
 BROADCAST_IDS = 1 << 20
-_BITS = ("b0", "b1", "b2", "b3")
+#: Parities of the shingles over 1,024 bits, in longs.
+_BITS = tuple(f"b{k}" for k in range(16))
 _KEPT = "__quillmark_kept"
 
 
@@ -97,7 +101,7 @@ def counted(texts: DataFrame, width: int, sample_docs: int = SAMPLE_DOCS) -> tup
 
 
 def marked(texts: DataFrame, width: int, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(id, fp, set, n, b0 to b3, keys): SimHash, name and size of the set, its parities over 256 bits, and its rarest shingles."""
+    """(id, fp, set, n, b0 to b15, keys): SimHash, name and size of the set, its parities over 1,024 bits, and its rarest shingles."""
     known = texts.sparkSession.sparkContext.broadcast(counted(texts, width, sample_docs))
 
     def rows(batch: pa.RecordBatch) -> dict:
@@ -111,12 +115,12 @@ def marked(texts: DataFrame, width: int, sample_docs: int = SAMPLE_DOCS) -> Data
             fps.append(simhash.fingerprint(raw))
             names.append(set_name(own))
             sizes.append(len(own))
-            bits.append(parities(own, 256))
+            bits.append(parities(own, 1024))
             keys.append(own[np.lexsort((own, count))[: prefix_length(len(own)) if len(own) else 0]])
-        bits = np.array(bits, np.int64).reshape(-1, 4)
+        bits = np.array(bits, np.int64).reshape(-1, len(_BITS))
         return {"id": batch.column("id"), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "set": names, "n": sizes, **{b: pa.array(bits[:, k]) for k, b in enumerate(_BITS)}, "keys": _longs(keys)}
 
-    return map_rows(texts, rows, "id long, fp long, set long, n long, b0 long, b1 long, b2 long, b3 long, keys array<long>")
+    return map_rows(texts, rows, "id long, fp long, set long, n long, " + "".join(f"{b} long, " for b in _BITS) + "keys array<long>")
 
 
 def _near_sizes() -> tuple:
@@ -172,11 +176,12 @@ def groups_of(docs: DataFrame, width: int = WIDTH, sample_docs: int = SAMPLE_DOC
     grouped = staged(sets.join(linked, F.col("id") == F.col("node"), "left").select("set", "id", "n", *_BITS, group), "similar-grouped")
     # what is left: keys of more than two sets, of which some are neither the least nor the largest and in different groups
     middle = shared.where("set <> low AND set <> high").select("key", "set").join(grouped.select("set", "group"), "set")
-    open_keys = middle.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("key")
-    left = staged(middle.join(open_keys, "key").select("key", "set").join(grouped, "set"), "similar-open")
+    counts = middle.groupBy("key", "group").agg(F.count(F.lit(1)).alias("times"))
+    open_keys = counts.groupBy("key").agg(F.max_by("group", F.struct("times", "group")).alias("bulk"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups")
+    left = staged(middle.join(open_keys, "key").select("key", "set", "bulk").join(grouped, "set"), "similar-open")
     sizes, odd = _near_sizes()
-    x, y = _side(left, "x", "key", "group"), _side(left, "y", "key", "group")
-    pairs = x.join(y, (F.col("x_key") == F.col("y_key")) & F.expr("x_group < y_group") & sizes & odd).select(F.col("x_set").alias("x"), F.col("y_set").alias("y")).distinct()
+    x, y = _side(left.where("group <> bulk"), "x", "key", "group"), _side(left, "y", "key", "group", "bulk")
+    pairs = x.join(y, (F.col("x_key") == F.col("y_key")) & F.expr("x_group < y_group OR x_group > y_group AND y_group = y_bulk") & sizes & odd).select(F.least("x_set", "y_set").alias("x"), F.greatest("x_set", "y_set").alias("y")).distinct()
     more = _verified(texts, pairs, grouped, width)
     again = components(edges.unionByName(more), "a", "b") if more.head() else linked
     out = staged(own.join(again, F.col("id") == F.col("node"), "left").select("id", "fp", "set", group), "similar-groups")
