@@ -5,19 +5,21 @@ A line's key is the line without white space at its ends, A-Z lower-cased. Keys
 largest doc_id that holds them.
 
 1. Each document emits one 128-bit hash for each distinct long key: (h1, h2, doc_id).
-2. groupBy(h1, h2) with partial sums gives count and largest doc_id; keys below `min_docs` can
-   never drop a line and leave here.
+2. Each key's distinct doc_ids are counted and the largest found, with partial sums; keys below
+   `min_docs` can never drop a line and leave here.
 3. The rest is dealt into shards by h1. Each shard becomes a minimal perfect hash: levels of bit
    arrays in which every key owns one bit, whose rank is the key's slot in the arrays of
    fingerprints (h2), counts and largest doc_ids.
-4. Documents probe the arrays. Whatever h2 differs from the fingerprint isn't an indexed key.
+4. Documents probe the arrays: a line goes if its fingerprint is right, its count reaches `min_docs`
+   and the largest doc_id is another. Whatever h2 differs from the fingerprint isn't an indexed key.
 
 The arrays are broadcast if they measure at most `broadcast_bytes`. Beyond it, probes (h1, h2,
 doc_id; no texts) are dealt to the shards over salted partitions, where each task streams them
-past its shard's arrays, and only the drop lists return to the documents.
+past its shard's arrays, and the drop lists are joined to the documents by doc_id.
 
-Nulls and empty texts are one empty line. A repeated row counts as a document of its own. A null
-doc_id is smaller than any other; if only null ids hold a key, all of them keep it.
+Nulls and empty texts are one empty line. Rows that share a doc_id are one document when documents
+are counted, and each loses its lines. Rows without doc_id are no document and keep all their lines.
+Very long texts go whole.
 """
 
 from __future__ import annotations
@@ -36,8 +38,6 @@ from quillmark.plans.sizing import shuffle_partitions
 from quillmark.plans.staging import staged
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Least doc_id, for null.
-NO_ID = -(1 << 63)
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -113,6 +113,11 @@ class Shard:
                     out[i] = self.ranked + k
         return out
 
+    def drops(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, min_docs: int) -> np.ndarray:
+        """Which lines go: those of keys in enough documents, but in the largest of them."""
+        slot = self.slots(h1, h2)
+        return (slot >= 0) & (self.count[slot] >= min_docs) & (self.largest[slot] != ids) if len(self.count) else np.zeros(len(h1), bool)
+
 
 # --- keys of lines
 
@@ -137,7 +142,7 @@ def _emitted(min_chars: int):
     def rows(batch: pa.RecordBatch) -> dict:
         digests, ids = [], []
         for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if raw:
+            if raw and doc_id is not None:
                 own = {d for _, d in line_keys(raw, min_chars)}
                 digests += own
                 ids += [doc_id] * len(own)
@@ -150,7 +155,7 @@ def _emitted(min_chars: int):
 def frequent_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(h1, h2, n_docs, largest) of the keys that lose lines."""
     lines = map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text(docs)), _emitted(min_chars), "h1 long, h2 long, doc_id long")
-    return lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.max("doc_id"), F.lit(NO_ID)).alias("largest")).where(F.col("n_docs") >= min_docs)
+    return lines.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("largest")).where(F.col("n_docs") >= min_docs)
 
 
 def shard_table(keys: DataFrame, n_shards: int) -> DataFrame:
@@ -170,11 +175,11 @@ def _shard_of(h1: np.ndarray, n_shards: int) -> np.ndarray:
 class _Index:
     """Broadcast blobs, opened once in each Python worker."""
 
-    def __init__(self, broadcast, n_shards: int):
-        self.broadcast, self.n_shards, self.shards = broadcast, n_shards, None
+    def __init__(self, broadcast, n_shards: int, min_docs: int):
+        self.broadcast, self.n_shards, self.min_docs, self.shards = broadcast, n_shards, min_docs, None
 
     def __getstate__(self):
-        return {"broadcast": self.broadcast, "n_shards": self.n_shards, "shards": None}
+        return self.__dict__ | {"shards": None}
 
     def dropping(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> np.ndarray:
         if self.shards is None:
@@ -185,8 +190,7 @@ class _Index:
             shard = self.shards.get(int(k))
             if shard is not None:
                 at = np.flatnonzero(where == k)
-                slot = shard.slots(h1[at], h2[at])
-                out[at] = (slot >= 0) & (shard.largest[slot] != ids[at])
+                out[at] = shard.drops(h1[at], h2[at], ids[at], self.min_docs)
         return out
 
 
@@ -200,14 +204,14 @@ def _probing(index: _Index, min_chars: int, digest: bool):
         ids, texts = batch.column("doc_id").to_pylist(), [x or b"" for x in batch.column("text").to_pylist()]
         digests, doc, line = [], [], []
         for k, raw in enumerate(texts):
-            for i, d in line_keys(raw, min_chars):
+            for i, d in line_keys(raw, min_chars) if ids[k] is not None else ():
                 digests.append(d)
                 doc.append(k)
                 line.append(i)
         drops: dict[int, set[int]] = {}
         if digests:
             h1, h2 = _halves(digests)
-            own = np.array([NO_ID if ids[k] is None else ids[k] for k in doc], np.int64)
+            own = np.array([ids[k] for k in doc], np.int64)
             for j in np.flatnonzero(index.dropping(h1, h2, own)):
                 drops.setdefault(doc[j], set()).add(line[j])
         return _result(batch, texts, drops, digest)
@@ -227,7 +231,7 @@ def _result(batch: pa.RecordBatch, texts: list[bytes], drops: dict[int, set[int]
     return out
 
 
-def _routed(docs: DataFrame, blobs: DataFrame, n_shards: int, min_chars: int, salts: int) -> DataFrame:
+def _routed(docs: DataFrame, blobs: DataFrame, n_shards: int, min_chars: int, min_docs: int, salts: int) -> DataFrame:
     """(doc_id, drops): hashes of the lines that each document loses, by streaming probes past the shards."""
     lines = map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text(docs)), _emitted(min_chars), "h1 long, h2 long, doc_id long")
     probes = lines.select(F.pmod(F.shiftright("h1", 17), F.lit(n_shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id", "h2"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "h1", "h2", "doc_id", F.lit(None).cast("binary").alias("blob"))
@@ -253,10 +257,11 @@ def _routed(docs: DataFrame, blobs: DataFrame, n_shards: int, min_chars: int, sa
                 if shard is None or not len(at):
                     continue
                 h1, h2 = (batch.column(c).to_numpy()[at].view(np.uint64) for c in ("h1", "h2"))
-                ids = np.array([NO_ID if x is None else x for x in batch.column("doc_id").take(pa.array(at)).to_pylist()], np.int64)
-                slot = shard.slots(h1, h2)
-                for j in np.flatnonzero((slot >= 0) & (shard.largest[slot] != ids)):
-                    yield pa.RecordBatch.from_arrays([pa.array([None if ids[j] == NO_ID else int(ids[j])], pa.int64()), pa.array([struct.pack(">QQ", int(h1[j]), int(h2[j]))], pa.binary())], schema=schema)
+                ids = batch.column("doc_id").to_numpy()[at]
+                lost = np.flatnonzero(shard.drops(h1, h2, ids, min_docs))
+                if len(lost):
+                    keys = np.column_stack([h1[lost], h2[lost]]).astype(">u8").tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lost]), pa.array([keys[k : k + 16] for k in range(0, len(keys), 16)], pa.binary())], schema=schema)
 
     return dealt.mapInArrow(stream, "doc_id long, drop binary").groupBy("doc_id").agg(F.collect_set("drop").alias("__qm_drops"))
 
@@ -276,14 +281,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     kinds = dict(docs.select(*extra).dtypes)
     schema = "doc_id long" + ("" if digest else ", text string") + "".join(f", `{c}` {kinds[c]}" for c in extra) + ", n_lines long, n_dropped long" + (", kept_sha256 string" if digest else "")
     if measured <= broadcast_bytes:
-        index = _Index(spark.sparkContext.broadcast({r.shard: bytes(r.blob) for r in blobs.collect()}), n_shards)
+        index = _Index(spark.sparkContext.broadcast({r.shard: bytes(r.blob) for r in blobs.collect()}), n_shards, min_docs)
         return map_rows(wide, _probing(index, min_chars, digest), schema)
-    drops = _routed(docs, blobs, n_shards, min_chars, salts=8)
-    joined = wide.join(drops.withColumnRenamed("doc_id", "__qm_drop_id"), F.col("doc_id").eqNullSafe(F.col("__qm_drop_id")), "left").drop("__qm_drop_id")
+    drops = _routed(docs, blobs, n_shards, min_chars, min_docs, salts=8)
+    joined = wide.join(drops.withColumnRenamed("doc_id", "__qm_drop_id"), F.col("doc_id") == F.col("__qm_drop_id"), "left").drop("__qm_drop_id")
 
     def rows(batch: pa.RecordBatch) -> dict:
         texts, lost = [x or b"" for x in batch.column("text").to_pylist()], batch.column("__qm_drops").to_pylist()
-        gone = {k: {i for i, d in line_keys(raw, min_chars) if d in set(own)} for k, (raw, own) in enumerate(zip(texts, lost, strict=True)) if own}
+        gone = {}
+        for k, (raw, keys) in enumerate(zip(texts, lost, strict=True)):
+            if keys:
+                own = set(keys)
+                gone[k] = {i for i, d in line_keys(raw, min_chars) if d in own}
         return _result(batch, texts, gone, digest)
 
     return map_rows(joined, rows, schema)

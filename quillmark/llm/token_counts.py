@@ -3,9 +3,9 @@
 Offline, on the driver, every vocabulary string is encoded alone; those that come out as one token
 are proven whole. A text is cut into pre-tokens as the library cuts it; proven pre-tokens count one
 each, and only the rest are merged, by rank, with a heap. Merged counts are remembered in each
-worker up to `memory` entries, then forgotten.
+worker up to `memory` entries (and 64 characters for each), then forgotten.
 
-Texts go whole; null counts as empty. Added special tokens are matched first and count one each, as
+Texts go whole; null counts as empty. Repeated rows are counted each, extra columns left out. Added special tokens are matched first and count one each, as
 the library does by default. Where a text holds code points that this Python's Unicode tables don't
 know, the library's own pre-tokenizer cuts it, since tables of another age may class them otherwise.
 """
@@ -83,13 +83,15 @@ class _Memory(dict):
 
     def __init__(self, merges: Merges, most: int):
         super().__init__(merges.whole)
-        self.merges, self.most = merges, most
+        self.merges, self.most, self.held = merges, most, 0
 
     def __missing__(self, piece: str) -> int:
-        if len(self) > self.most:
+        if len(self) > self.most or self.held > 64 * self.most:
             self.clear()
             self.update(self.merges.whole)
+            self.held = 0
         self[piece] = n = self.merges.count(piece.encode("utf-8", "replace"))
+        self.held += len(piece)
         return n
 
 
@@ -98,7 +100,8 @@ class Counter:
 
     def __init__(self, merges: Merges, definition: str, memory: int = 500_000):
         self.counts = _Memory(merges, memory)
-        self.special = regex.compile("|".join(map(regex.escape, merges.special))) if merges.special else None
+        self.tokens = tuple(merges.special)
+        self.special = regex.compile("|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
         self.cut = regex.compile(PRE_TOKEN)
         self.definition, self.library = definition, None
 
@@ -120,7 +123,7 @@ class Counter:
 
     def __call__(self, text: str) -> int:
         total, at = 0, 0
-        if self.special is not None and "<" in text:
+        if self.special is not None and any(token in text for token in self.tokens):
             for found in self.special.finditer(text):
                 total += 1 + sum(map(self.counts.__getitem__, self.pieces(text[at : found.start()])))
                 at = found.end()

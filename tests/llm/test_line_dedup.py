@@ -12,15 +12,15 @@ LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 def brute(rows, min_chars=40, min_docs=5):
     key = lambda line: line.strip(SPACE).translate(LOWER)
     holders = {}
-    for i, (d, text) in enumerate(rows):
+    for d, text in rows:
         for k in {key(x) for x in (text or "").split("\n")}:
-            if len(k) >= min_chars:
-                holders.setdefault(k, []).append((i, d))
-    largest = {k: max((d for _, d in h if d is not None), default=None) for k, h in holders.items() if len(h) >= min_docs}
+            if len(k) >= min_chars and d is not None:
+                holders.setdefault(k, set()).add(d)
+    largest = {k: max(h) for k, h in holders.items() if len(h) >= min_docs}
     out = []
     for d, text in rows:
         lines = (text or "").split("\n")
-        kept = [x for x in lines if not (key(x) in largest and largest[key(x)] != d)]
+        kept = [x for x in lines if d is None or not (key(x) in largest and largest[key(x)] != d)]
         out.append((d, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return sorted(out, key=repr)
 
@@ -42,6 +42,14 @@ def test_equals_brute_force_both_ways(spark):
     assert digests(ld.dedup_lines(df, digest=True, keys_per_shard=3, broadcast_bytes=0)) == brute(rows)
 
 
+def test_rows_that_share_a_doc_id_are_one_document(spark):
+    line = "a line that is long enough to be a key of its own, surely"
+    for rows in ([(1, line)] * 4 + [(2, line)], [(1, line), (1, f"{line}\nx")] + [(k, line) for k in range(2, 6)] + [(5, f"y\n{line}"), (None, line)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        for limit in (64 << 20, 0):
+            assert digests(ld.dedup_lines(df, digest=True, broadcast_bytes=limit)) == brute(rows)
+
+
 def test_perfect_hash_is_minimal_and_exact():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 63, 5000):

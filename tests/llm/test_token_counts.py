@@ -44,6 +44,28 @@ def test_proven_strings_are_single_tokens_of_the_library(both):
         assert ours.counts.merges.count(token.encode()) == 1
 
 
+def test_added_tokens_of_any_form():
+    import json
+
+    from tokenizers import Tokenizer
+
+    model = json.loads(tokenizer_definition())
+    model["added_tokens"] += [dict(model["added_tokens"][0], id=60_000, content="[SEP]"), dict(model["added_tokens"][0], id=60_001, content="[SEP]]")]
+    definition = json.dumps(model)
+    ours, library = tc.Counter(tc.Merges(definition), definition), Tokenizer.from_str(definition)
+    for text in ("a[SEP]b", "[SEP]] [SEP] x", "no special <", "<|endoftext|>[SEP]"):
+        assert ours(text) == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_memory_is_bounded_by_length(both):
+    counts = tc._Memory(both[0].counts.merges, 60_000)
+    counts["abc" * 3000]
+    assert counts.held == 9000
+    counts.held = 64 * 60_000 + 1
+    counts["cba" * 2000]
+    assert counts.held == 6000 and "abc" * 3000 not in counts
+
+
 def test_odd_rows(spark, odd, empty, both):
     found = tc.count_tokens(odd, tokenizer_definition()).collect()
     texts = {r.doc_id: r.text or "" for r in odd.collect()}
