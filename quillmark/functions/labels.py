@@ -75,7 +75,7 @@ def binary_label(scenario: Column) -> Column:
 
 # Who wrote the text of a folder; folders in neither set are edited by rule and have no label.
 AI_WRITTEN = ("chatgpt_match", "fever_AI", "llm_rewrite", "llm_gossip_md_generation", "llm_science_md_generation")
-HUMAN_WRITTEN = ("bbc", "guardian", "usa_today", "wash", "coco", "fakeddit", "Newsclipings_person", "Newsclipings_scene", "Newsclipings_semantic", "rumor_match", "gossipcop_midjourney", "Fakeddit_photo_edit", "antifact_image_generation", "coco_image_edit")
+HUMAN_WRITTEN = ("bbc", "guardian", "usa_today", "wash", "coco", "fakeddit", "Newsclipings_person", "Newsclipings_scene", "Newsclipings_semantic", "rumor_match", "politicat_match", "gossipcop_match", "gossipcop_midjourney", "Fakeddit_photo_edit", "antifact_image_generation", "coco_image_edit")
 
 # Topic domains; any other folder is `other`.
 DOMAINS = {

@@ -32,18 +32,25 @@ def encoded(rows: DataFrame, make: Callable[[], Callable[..., np.ndarray]], inpu
 
 
 def residual_head(parameters: dict[str, np.ndarray]):
-    """Vectors -> class probabilities of a linear skip plus one hidden layer of rectified units."""
+    """Vectors -> class probabilities of a linear skip plus one hidden layer of rectified units.
+
+    Both layers are one matrix each: the first gives skip and hidden units side by side, the second passes the former on
+    and weighs the latter.
+    """
     p = {k: np.asarray(v, float) for k, v in parameters.items()}
+    classes = len(p["skip.bias"])
+    into = np.vstack([p["skip.weight"], p["hidden.weight"]])
+    shift = np.concatenate([p["skip.bias"] + p["output.bias"], p["hidden.bias"]])
+    floor = np.concatenate([np.full(classes, -np.inf), np.zeros(len(p["hidden.bias"]))])
+    onward = np.hstack([np.eye(classes), p["output.weight"]])
 
     @F.pandas_udf(ArrayType(DoubleType()))
-    def run(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return x
-        z = np.stack(x.to_numpy()).astype(float)
-        hidden = np.maximum(z @ p["hidden.weight"].T + p["hidden.bias"], 0)
-        logits = z @ p["skip.weight"].T + p["skip.bias"] + hidden @ p["output.weight"].T + p["output.bias"]
-        e = np.exp(logits - logits.max(axis=1, keepdims=True))
-        return pd.Series(list(e / e.sum(axis=1, keepdims=True)))
+    def run(vectors: pd.Series) -> pd.Series:
+        if vectors.empty:
+            return vectors
+        scores = np.clip(np.einsum("nd,hd->nh", np.vstack(vectors.to_list()), into, optimize=True) + shift, floor, None) @ onward.T
+        odds = np.exp(scores - scores.max(1, keepdims=True))
+        return pd.Series(list(odds / odds.sum(1, keepdims=True)))
 
     return run
 
