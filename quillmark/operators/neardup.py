@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.hashes import hamming
 from quillmark.plans.sizing import shuffle_partitions
+from quillmark.plans.staging import staged
 
 #: Above this radius bands are too narrow to select.
 MOST_BANDED = 8
@@ -61,6 +62,18 @@ def near_pairs(rows: DataFrame, radius: int, key: str, fingerprint: str = "fp")
     return y.select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"), "distance")
 
 
+def near_classes(rows: DataFrame, radius: int, key: str, fingerprint: str = "fp") -> DataFrame:
+    """(key, class, links) of every row: the least key with its fingerprint, and how many other fingerprints are within `radius`.
+
+    Nothing is expanded into pairs of rows, so copies cost one row each.
+    """
+    own = rows.select(F.col(key), F.col(fingerprint).alias("_f"))
+    near = pairs_within(rows, rows, radius, fingerprint).where("a <> b").groupBy(F.col("a").alias("_a")).agg(F.count(F.lit(1)).alias("links"))
+    classes = own.groupBy(F.col("_f").alias("_g")).agg(F.min(key).alias("class"))
+    named = classes.join(near, F.col("_g") == F.col("_a"), "left").select("_g", "class", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+    return own.join(named, F.col("_f").eqNullSafe(F.col("_g")), "left").select(key, "class", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
+
+
 def without_near(rows: DataFrame, protected: DataFrame, radius: int, fingerprint: str = "fp") -> DataFrame:
     """Rows with no protected fingerprint within `radius`."""
     hit = pairs_within(rows, protected, radius, fingerprint).select(F.col("a").alias("_hit")).distinct()
@@ -68,10 +81,20 @@ def without_near(rows: DataFrame, protected: DataFrame, radius: int, fingerprint
 
 
 def nearest_distance(rows: DataFrame, key: str, fingerprint: str = "fp") -> DataFrame:
-    """(key, nearest): the least distance to any other row. All pairs are compared: for audits of bounded tables."""
-    own = rows.select(F.col(key).alias("k"), F.col(fingerprint).alias("f"))
-    other = own.toDF("ok", "of")
-    return own.join(other, F.col("k") != F.col("ok")).groupBy(F.col("k").alias(key)).agg(F.min(hamming(F.col("f"), F.col("of"))).alias("nearest"))
+    """(key, nearest): the least distance to any other row, null for a row that is alone.
+
+    Radii grow: copies first, then bands of 2, 4 and 8 bits, each for the fingerprints that have found nothing yet; only those
+    that have nothing within 8 bits are compared with all.
+    """
+    own = rows.select(F.col(key), F.col(fingerprint).alias("_f"))
+    counted = own.groupBy("_f").agg(F.count(F.lit(1)).alias("_n"))
+    all_ = staged(counted.select(F.col("_f").alias(fingerprint)), "nearest-all")
+    found = staged(counted.where("_n > 1 AND _f IS NOT NULL").select(F.col("_f").alias("a"), F.lit(0).alias("nearest")), "nearest")
+    for radius in (2, 4, MOST_BANDED, 64):
+        left = all_.join(found, F.col(fingerprint) == F.col("a"), "left_anti")
+        more = pairs_within(left, all_, radius, fingerprint).where("a <> b").groupBy("a").agg(F.min("distance").cast("int").alias("nearest"))
+        found = staged(found.unionByName(more), "nearest")
+    return own.join(found, F.col("_f") == F.col("a"), "left").select(key, "nearest")
 
 
 def quarantine(rows: DataFrame, radius: int, split: str = "split", fingerprint: str = "fp") -> DataFrame:

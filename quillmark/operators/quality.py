@@ -21,6 +21,12 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return sorted(set(required) - set(df.columns))
 
 
+def required(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """A row for each required column that isn't there, and one if there is no row."""
+    found = [("missing_column", c, None) for c in missing_columns(df, list(columns))] + ([("no_rows", None, None)] if df.isEmpty() else [])
+    return df.sparkSession.createDataFrame(found, "`check` string, key string, detail string")
+
+
 def duplicates(df: DataFrame, keys: list[str], check: str = "duplicate") -> DataFrame:
     found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return _report(found, check, F.concat_ws("|", *keys), F.col("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmark.functions import arrays, text
+from quillmark.operators import filters
 from quillmark.plans.fixtures import SCORED_SQL, scored
 from quillmark.queries_metrics import _rounded
 from quillmark.sources.tables import table
@@ -25,16 +26,21 @@ def query(name: str, sql: str | None = None):
 
 
 def _requests(spark, folder):
+    """All events; three that follow each other share a request_id, so requests come up to three times, with other texts and scores."""
     e = table(spark, folder, "events")
-    return e.select((F.col("event_id") % 900).cast("string").alias("request_id"), "ts", F.when(F.col("event_id") % 7 == 0, "  ").otherwise(F.col("event_type")).alias("text"), (F.col("value") / 100.0).alias("score")).where("event_id < 900")
+    return e.select(F.floor(F.col("event_id") / 3).cast("string").alias("request_id"), "ts", F.when(F.col("event_id") % 7 == 0, "  ").otherwise(F.col("event_type")).alias("text"), (F.col("value") / 100.0).alias("score"))
 
 
-@query("request_verdicts", "SELECT CAST(event_id % 900 AS VARCHAR) AS request_id, CASE WHEN event_id % 7 = 0 THEN 'rejected' WHEN value / 100.0 >= 0.5 THEN 'fake' ELSE 'genuine' END AS verdict, CASE WHEN event_id % 7 = 0 THEN 'empty_text' END AS reason FROM events WHERE event_id < 900")
+_FIRST_REQUEST = "r AS (SELECT CAST(event_id // 3 AS VARCHAR) AS request_id, ts, CASE WHEN event_id % 7 = 0 THEN '  ' ELSE event_type END AS text, value / 100.0 AS score FROM events), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ts, text, score) AS k FROM r) WHERE k = 1)"
+_VERDICT = "CASE WHEN trim(text) = '' THEN 'rejected' WHEN score >= 0.5 THEN 'fake' ELSE 'genuine' END"
+
+
+@query("request_verdicts", f"WITH {_FIRST_REQUEST} SELECT request_id, {_VERDICT} AS verdict, CASE WHEN trim(text) = '' THEN 'empty_text' END AS reason FROM f")
 def request_verdicts(spark, folder):
     return verdicts(_requests(spark, folder), 0.5).select("request_id", "verdict", "reason")
 
 
-@query("verdict_rates", "SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, CASE WHEN event_id % 7 = 0 THEN 'rejected' WHEN value / 100.0 >= 0.5 THEN 'fake' ELSE 'genuine' END AS verdict, count(*) AS n FROM events WHERE event_id < 900 GROUP BY 1, 2")
+@query("verdict_rates", f"WITH {_FIRST_REQUEST} SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, {_VERDICT} AS verdict, count(*) AS n FROM f GROUP BY 1, 2")
 def rates(spark, folder):
     return verdict_rates(verdicts(_requests(spark, folder), 0.5))
 
@@ -58,17 +64,21 @@ def rates_all(spark, folder):
 
 @query("split_scan", f"WITH {SCORED_SQL} SELECT doc_id, lang FROM scored WHERE evaluation_group = 'paired_news' AND scenario IN (1, 4)")
 def split_scan(spark, folder):
-    return scored(spark, folder).where("evaluation_group = 'paired_news' AND scenario IN (1, 4)").select("doc_id", "lang")
+    paired = filters.of_splits(scored(spark, folder), ("paired_news",), split="evaluation_group")
+    return filters.mismatch_population(paired).select("doc_id", "lang")
 
 
 @query("known_labels", "SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic IS NOT NULL")
 def known_labels(spark, folder):
-    return table(spark, folder, "documents").select("doc_id").join(table(spark, folder, "labels").select("doc_id", "toxic"), "doc_id", "left").where("toxic IS NOT NULL")
+    both = table(spark, folder, "documents").select("doc_id").join(table(spark, folder, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    return filters.known(both, "toxic")
 
 
-@query("json_props", "SELECT event_id, length(props) AS n, md5(props) AS digest FROM events")
+@query("json_props", "SELECT event_id, length(props) AS n, md5(props) AS digest, len(json_keys(props)) AS keys, props ->> json_keys(props)[1] AS first FROM events")
 def json_props(spark, folder):
-    return table(spark, folder, "events").select("event_id", F.length("props").cast("long").alias("n"), F.md5(F.col("props").cast("binary")).alias("digest"))
+    """The properties of events as text, and parsed: how many there are, and the first one's value."""
+    keys = F.json_object_keys("props")
+    return table(spark, folder, "events").select("event_id", F.length("props").cast("long").alias("n"), F.md5(F.col("props").cast("binary")).alias("digest"), F.size(keys).cast("long").alias("keys"), F.expr("get_json_object(props, concat('$.', json_object_keys(props)[0]))").alias("first"))
 
 
 @query("first_turns", "SELECT conv_id, min(turn) AS first_turn, count(*) AS turns, min_by(role, turn) AS role FROM conversations GROUP BY conv_id")
@@ -89,19 +99,32 @@ def box_geometry(spark, folder):
     return d.select("doc_id", F.round(arrays.box_area_share(a, F.lit(200), F.lit(100)), 9).alias("share"), arrays.overlap_area(a, b).alias("overlap"))
 
 
-@query("masked_mean", "SELECT vec_id, round((CAST(embedding[1] AS DOUBLE) + CAST(embedding[5] AS DOUBLE)) / 2, 9) AS m1 FROM embeddings")
+@query("masked_mean", "SELECT vec_id, " + ", ".join(f"round((" + " + ".join(f"CAST(embedding[{4 * k + c}] AS DOUBLE)" for k in range(16) if k % 3 != 2) + f") / 11, 9) AS m{c}" for c in range(1, 5)) + " FROM embeddings")
 def masked_mean(spark, folder):
-    e = table(spark, folder, "embeddings").select("vec_id", F.array(*(F.slice(arrays.doubles(F.col("embedding")), 4 * k + 1, 4) for k in range(3))).alias("tokens"))
-    return _rounded(e.select("vec_id", arrays.masked_mean(F.col("tokens"), F.array(F.lit(1), F.lit(1), F.lit(0)))[0].alias("m1")))
+    """Whole vectors as 16 tokens of four values, of which each third is masked."""
+    e = table(spark, folder, "embeddings").select("vec_id", F.array(*(F.slice(arrays.doubles(F.col("embedding")), 4 * k + 1, 4) for k in range(16))).alias("tokens"))
+    mean = arrays.masked_mean(F.col("tokens"), F.array(*(F.lit(int(k % 3 != 2)) for k in range(16))))
+    return _rounded(e.select("vec_id", mean.alias("m")).select("vec_id", *(F.col("m")[c - 1].alias(f"m{c}") for c in range(1, 5))))
+
+
+def _total_encoder():
+    return lambda x: x.sum(axis=1, keepdims=True)
 
 
-@query("label_isolation", "SELECT 0 AS differences")
+@query("label_isolation", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 3) + 0.0 AS score, true AS same, true AS refused FROM embeddings")
 def label_isolation(spark, folder):
-    """Scores computed from vectors alone don't move when labels do."""
-    e = table(spark, folder, "embeddings")
-    score = lambda df: df.select("vec_id", arrays.sigmoid(arrays.total(arrays.doubles(F.slice("embedding", 1, 8)))).alias("p"))
+    """Scores of an encoder over whole vectors: the same when labels move, and an encoder that asks for a label is refused."""
+    from quillmark.functions.models import encoded
+
+    e = table(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<float>").alias("image"))
+    score = lambda df: encoded(df, _total_encoder, ["image"], shapes=[[64]]).select("vec_id", F.col("features")[0].cast("double").alias("p"))
+    try:
+        encoded(e, _total_encoder, ["image", "label"])
+        refused = False
+    except ValueError:
+        refused = True
     moved = score(e.withColumn("label", 9 - F.col("label"))).withColumnRenamed("p", "q")
-    return score(e).join(moved, "vec_id").agg(F.count_if(F.col("p") != F.col("q")).cast("int").alias("differences"))
+    return score(e).join(moved, "vec_id").select("vec_id", (F.round("p", 3) + 0.0).alias("score"), (F.col("p") == F.col("q")).alias("same"), F.lit(refused).alias("refused"))
 
 
 @query("image_keys", "SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN 'sha1:' || sha1(text) ELSE 'path:' || lower(source || '/Img' || doc_id || '.PNG') END AS image_key FROM documents")
@@ -125,12 +148,12 @@ def dataset_build(spark, folder):
 
 @query("dataset_build_leaks", "SELECT 'x' AS \"check\", 'x' AS key, 'x' AS detail WHERE false")
 def dataset_build_leaks(spark, folder):
-    """The build's own checks of identity, balance, copies, labels and leaks; shares of small groups may be off."""
+    """The build's own checks: identity, balance, copies, labels, leaks and the groups' shares of the splits."""
     from quillmark.plans.build import build_dataset
     from quillmark.queries_records import _records
 
     rows = _records(spark, folder).withColumn("sample_id", F.col("doc_id").cast("string"))
-    return build_dataset(rows)[1].where("check <> 'split_share'")
+    return build_dataset(rows)[1]
 
 
 @query("reserved_quotas", """WITH o AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id) AS k FROM documents)
@@ -142,13 +165,16 @@ def reserved_quotas(spark, folder):
     return reserved(d, {"test": 3, "val": 2, "train": 5}, "doc_id", ["lang"], "content").select("doc_id", "lang", "split")
 
 
-@query("suffix_lookup", "SELECT 'doc/' || doc_id AS path, 'archive/' || lang || '/doc/' || doc_id AS member, NULL AS problem FROM documents")
+@query("suffix_lookup", "SELECT 'doc/' || doc_id AS path, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN 'archive/' || lang || '/doc/' || doc_id END AS member, CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'ambiguous' END AS problem FROM documents")
 def suffix_lookup(spark, folder):
+    """Each fifth member is missing, each seventh of the others there twice."""
     from quillmark.operators.audits import by_suffix
 
     d = table(spark, folder, "documents")
     tail = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
-    return by_suffix(d.select(tail.alias("path")), d.select(F.concat(F.lit("archive/"), "lang", F.lit("/"), tail).alias("member")))
+    there = d.where("doc_id % 5 <> 0")
+    twice = there.where("doc_id % 7 = 0").select(F.concat(F.lit("copy/"), tail).alias("member"))
+    return by_suffix(d.select(tail.alias("path")), there.select(F.concat(F.lit("archive/"), "lang", F.lit("/"), tail).alias("member")).unionByName(twice))
 
 
 @query("region_coverage", """WITH b AS (SELECT doc_id, doc_id % 9 AS a, doc_id % 6 AS c FROM documents), s AS (SELECT greatest(0, least(a, 4)) * 1.0 / 4 AS s1, greatest(greatest(0, least(a, 4)), greatest(0, least(c, 4))) * 1.0 / 4 AS s2 FROM b)

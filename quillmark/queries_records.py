@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmark.functions import arrays, labels, text
-from quillmark.operators import features, joins, linear, neardup, quality, selection
+from quillmark.operators import features, filters, joins, linear, neardup, quality, selection
 from quillmark.plans.components import components
 from quillmark.plans.fixtures import SCORED_SQL, scored
 from quillmark.queries_metrics import _rounded
@@ -103,16 +103,19 @@ def _folder_of(key: str = "doc_id"):
     return F.element_at(F.array(*map(F.lit, names)), (F.pmod(key, F.lit(len(names))) + 1).cast("int"))
 
 
-_FOLDER_SQL = "[" + ", ".join(f"'{f}'" for f in sorted(f for g in labels.FOLDERS.values() for f in g)) + "][CAST(doc_id % 23 + 1 AS INTEGER)]"
-_IN = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
+# Folders in order, and what each one says. The SQL states them itself, so that it can find a wrong table.
+_FOLDER_SQL = "['DGM4_text_edit_senti', 'Fakeddit_photo_edit', 'Newsclipings_person', 'Newsclipings_scene', 'Newsclipings_semantic', 'antifact_image_generation', 'bbc', 'chatgpt_match', 'coco', 'coco_image_edit', 'coco_text_edit', 'fakeddit', 'fever_AI', 'gossipcop_match', 'gossipcop_midjourney', 'guardian', 'llm_gossip_md_generation', 'llm_rewrite', 'llm_science_md_generation', 'politicat_match', 'rumor_match', 'usa_today', 'wash'][CAST(doc_id % 23 + 1 AS INTEGER)]"
+_FOLDER_GROUP_SQL = "CASE WHEN folder IN ('bbc', 'guardian', 'usa_today', 'wash', 'coco', 'fakeddit') THEN 'genuine' WHEN folder IN ('Newsclipings_person', 'Newsclipings_scene', 'Newsclipings_semantic') THEN 'ooc' WHEN folder IN ('rumor_match', 'politicat_match', 'gossipcop_match', 'chatgpt_match', 'DGM4_text_edit_senti') THEN 'fake_text_real_image' WHEN folder IN ('Fakeddit_photo_edit', 'antifact_image_generation', 'coco_image_edit') THEN 'real_text_fake_image' WHEN folder IN ('fever_AI', 'llm_rewrite', 'llm_gossip_md_generation', 'llm_science_md_generation', 'gossipcop_midjourney', 'coco_text_edit') THEN 'fake_text_fake_image' END"
+_AUTHOR_SQL = "CASE WHEN folder IN ('chatgpt_match', 'fever_AI', 'llm_rewrite', 'llm_gossip_md_generation', 'llm_science_md_generation') THEN 1 WHEN folder NOT IN ('DGM4_text_edit_senti', 'coco_text_edit') THEN 0 END"
+_DOMAIN_SQL = "CASE WHEN folder IN ('gossipcop_match', 'gossipcop_midjourney', 'llm_gossip_md_generation') THEN 'gossip' WHEN folder = 'llm_science_md_generation' THEN 'science' WHEN folder = 'fever_AI' THEN 'fact' WHEN folder = 'politicat_match' THEN 'politics' WHEN folder = 'rumor_match' THEN 'rumour' WHEN folder IN ('bbc', 'guardian', 'usa_today', 'wash', 'Newsclipings_person', 'Newsclipings_scene', 'Newsclipings_semantic', 'DGM4_text_edit_senti') THEN 'news' WHEN folder IN ('coco', 'coco_image_edit', 'coco_text_edit') THEN 'captions' WHEN folder IN ('fakeddit', 'Fakeddit_photo_edit') THEN 'social' WHEN folder IN ('chatgpt_match', 'llm_rewrite', 'antifact_image_generation') THEN 'mixed' ELSE 'other' END"
 
 
-@query("folder_classify", f"SELECT doc_id, folder, CASE {' '.join(f'WHEN folder IN {_IN(fs)} THEN {chr(39)}{g}{chr(39)}' for g, fs in labels.FOLDERS.items())} END AS \"group\" FROM (SELECT doc_id, {_FOLDER_SQL} AS folder FROM documents)")
+@query("folder_classify", f"SELECT doc_id, folder, {_FOLDER_GROUP_SQL} AS \"group\" FROM (SELECT doc_id, {_FOLDER_SQL} AS folder FROM documents)")
 def folder_classify(spark, folder):
     return labels.classify_folders(table(spark, folder, "documents").select("doc_id", _folder_of().alias("folder")), "folder").select("doc_id", "folder", "group")
 
 
-@query("authorship_domain", f"SELECT doc_id, CASE WHEN folder IN {_IN(labels.AI_WRITTEN)} THEN 1 WHEN folder IN {_IN(labels.HUMAN_WRITTEN)} THEN 0 END AS ai_text, CASE {' '.join(f'WHEN folder IN {_IN(fs)} THEN {chr(39)}{d}{chr(39)}' for d, fs in labels.DOMAINS.items())} ELSE 'other' END AS domain FROM (SELECT doc_id, {_FOLDER_SQL} AS folder FROM documents)")
+@query("authorship_domain", f"SELECT doc_id, {_AUTHOR_SQL} AS ai_text, {_DOMAIN_SQL} AS domain FROM (SELECT doc_id, {_FOLDER_SQL} AS folder FROM documents)")
 def authorship_domain(spark, folder):
     d = table(spark, folder, "documents").select("doc_id", _folder_of().alias("f"))
     return d.select("doc_id", labels.authorship(F.col("f")).alias("ai_text"), labels.domain(F.col("f")).alias("domain"))
@@ -200,9 +203,22 @@ def candidate_paths(spark, folder):
 _BITS = "fp AS (SELECT vec_id, label, list_sum(list_transform(range({n}), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS HUGEINT) << CAST({n} - 1 - i AS INTEGER) ELSE CAST(0 AS HUGEINT) END))::HUGEINT AS fp FROM embeddings)"
 
 
-def _fingerprints(spark, folder, bits: int = 64):
-    e = table(spark, folder, "embeddings")
-    return e.select("vec_id", "label", arrays.sign_bits(F.slice("embedding", 1, bits)).alias("fp"))
+#: Each third fingerprint again with one to four bits turned, as a row of its own.
+_COPIED = """own AS (SELECT vec_id, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS HUGEINT) << CAST(63 - i AS INTEGER) ELSE CAST(0 AS HUGEINT) END))::HUGEINT AS fp FROM embeddings),
+fp AS (SELECT vec_id, fp FROM own UNION ALL SELECT vec_id + 1000000, xor(fp, list_reduce([CAST(1 AS HUGEINT) << CAST(vec_id * (7 * k + 1) % 64 AS INTEGER) for k in range(CAST(vec_id % 4 + 1 AS BIGINT))], lambda x, y: xor(x, y))) FROM own WHERE vec_id % 3 = 0)"""
+
+
+def _fingerprints(spark, folder):
+    return table(spark, folder, "embeddings").select("vec_id", "label", arrays.sign_bits(F.col("embedding")).alias("fp"))
+
+
+def _with_near_copies(spark, folder):
+    f = _fingerprints(spark, folder).select("vec_id", "fp")
+    bit = lambda k: F.expr(f"shiftleft(1L, cast(pmod(vec_id * {7 * k + 1}, 64) as int))")
+    turned = F.col("fp")
+    for k in range(4):
+        turned = F.when(F.col("vec_id") % 4 >= k, turned.bitwiseXOR(bit(k))).otherwise(turned)
+    return f.unionByName(f.where("vec_id % 3 = 0").select((F.col("vec_id") + 1_000_000).alias("vec_id"), turned.alias("fp")))
 
 
 @query("hamming_pairs", f"WITH {_BITS.format(n=64)} SELECT a.vec_id AS \"left\", b.vec_id AS \"right\", CAST(bit_count(xor(a.fp, b.fp)) AS INTEGER) AS distance FROM fp a JOIN fp b ON a.vec_id < b.vec_id AND bit_count(xor(a.fp, b.fp)) <= 18")
@@ -210,9 +226,9 @@ def hamming_pairs(spark, folder):
     return neardup.near_pairs(_fingerprints(spark, folder), 18, "vec_id")
 
 
-@query("hamming_banded", f"WITH {_BITS.format(n=24)} SELECT a.vec_id AS \"left\", b.vec_id AS \"right\", CAST(bit_count(xor(a.fp, b.fp)) AS INTEGER) AS distance FROM fp a JOIN fp b ON a.vec_id < b.vec_id AND bit_count(xor(a.fp, b.fp)) <= 4")
+@query("hamming_banded", f"WITH {_COPIED} SELECT a.vec_id AS \"left\", b.vec_id AS \"right\", CAST(bit_count(xor(a.fp, b.fp)) AS INTEGER) AS distance FROM fp a JOIN fp b ON a.vec_id < b.vec_id AND bit_count(xor(a.fp, b.fp)) <= 4")
 def hamming_banded(spark, folder):
-    return neardup.near_pairs(_fingerprints(spark, folder, 24), 4, "vec_id")
+    return neardup.near_pairs(_with_near_copies(spark, folder), 4, "vec_id")
 
 
 @query("hamming_min_cross", f"WITH {_BITS.format(n=64)} SELECT a.vec_id, CAST(min(bit_count(xor(a.fp, b.fp))) AS INTEGER) AS nearest FROM fp a JOIN fp b ON a.vec_id <> b.vec_id GROUP BY a.vec_id")
@@ -220,14 +236,14 @@ def hamming_min_cross(spark, folder):
     return neardup.nearest_distance(_fingerprints(spark, folder), "vec_id")
 
 
-@query("cross_split_quarantine", f"""WITH {_BITS.format(n=24)}, s AS (SELECT vec_id, fp, CASE vec_id % 4 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split FROM fp),
+@query("cross_split_quarantine", f"""WITH {_COPIED}, s AS (SELECT vec_id, fp, CASE vec_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split FROM fp),
 v AS (SELECT *, EXISTS (SELECT 1 FROM s t WHERE t.split = 'test' AND bit_count(xor(s.fp, t.fp)) <= 3) AS q FROM s WHERE split = 'val'),
 k AS (SELECT fp FROM s WHERE split = 'test' UNION ALL SELECT fp FROM v WHERE NOT q),
 t AS (SELECT *, EXISTS (SELECT 1 FROM k WHERE bit_count(xor(s.fp, k.fp)) <= 3) AS q FROM s WHERE split = 'train')
 SELECT vec_id, split, false AS quarantined FROM s WHERE split = 'test' UNION ALL SELECT vec_id, split, q FROM v UNION ALL SELECT vec_id, split, q FROM t""")
 def cross_split_quarantine(spark, folder):
-    split = F.when(F.col("vec_id") % 4 == 0, "test").when(F.col("vec_id") % 4 == 1, "val").otherwise("train")
-    return neardup.quarantine(_fingerprints(spark, folder, 24).withColumn("split", split), 3).select("vec_id", "split", "quarantined")
+    split = F.when(F.col("vec_id") % 5 == 0, "test").when(F.col("vec_id") % 5 == 1, "val").otherwise("train")
+    return neardup.quarantine(_with_near_copies(spark, folder).withColumn("split", split), 3).select("vec_id", "split", "quarantined")
 
 
 # --- vectors
@@ -396,15 +412,20 @@ def early_stopping(spark, folder):
     return _rounded(features.early_stop(e, "run", "epoch", "metric", 3))
 
 
-@query("running_moments")
+@query("running_moments", """WITH e AS (SELECT event_type, user_id % 20 AS step, avg(value) AS m, var_pop(value) AS v FROM events GROUP BY 1, 2),
+o AS (SELECT *, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY step) AS k FROM e)
+SELECT event_type, round(sum(0.1 * pow(0.9, n - k) * m), 9) AS mean, round(pow(0.9, max(n)) + sum(0.1 * pow(0.9, n - k) * v), 9) AS variance FROM o GROUP BY event_type""")
 def running_moments(spark, folder):
     e = table(spark, folder, "events").groupBy("event_type", F.pmod("user_id", F.lit(20)).alias("step")).agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"))
     return _rounded(features.exponential_moments(e, "event_type", "step", "m", "v"))
 
 
-@query("greedy_accept")
+@query("greedy_accept", f"""WITH RECURSIVE {_COPIED}, o AS (SELECT vec_id, fp, row_number() OVER (ORDER BY md5('5:' || CAST(vec_id AS VARCHAR)), vec_id) AS k FROM fp),
+g(k, taken) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(i BIGINT, f HUGEINT)[]) UNION ALL
+  SELECT o.k, CASE WHEN len(list_filter(g.taken, lambda x: bit_count(xor(x.f, o.fp)) <= 3)) = 0 THEN list_append(g.taken, {{'i': o.vec_id, 'f': o.fp}}) ELSE g.taken END FROM g JOIN o ON o.k = g.k + 1)
+SELECT unnest(taken).i AS vec_id FROM g WHERE k = (SELECT count(*) FROM o)""")
 def greedy_accept(spark, folder):
-    f = _fingerprints(spark, folder, 24).withColumn("rank", selection.shuffled("vec_id", 5))
+    f = _with_near_copies(spark, folder).withColumn("rank", selection.shuffled("vec_id", 5))
     edges = neardup.near_pairs(f, 3, "vec_id").toDF("a", "b", "distance")
     return selection.independent(f.select("vec_id", "rank"), edges, "vec_id", "rank").select("vec_id")
 
@@ -530,7 +551,13 @@ def dq_bad_vectors(spark, folder):
     return quality.bad_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding", 64)
 
 
-@query("dq_verified")
+@query("dq_verified", f"""{_WITH_SPLIT}, s AS (SELECT "group" AS g, count(*) AS n FROM r GROUP BY 1), e AS (SELECT min(n) FILTER (WHERE g <> 'genuine') AS low, max(n) FILTER (WHERE g <> 'genuine') AS high, max(n) FILTER (WHERE g = 'genuine') AS gen FROM s),
+l AS (SELECT 'text_key' AS c, text_key AS v, split FROM r UNION ALL SELECT 'image_key', image_key, split FROM r),
+w AS (SELECT * FROM (VALUES ('train', 0.7), ('val', 0.15), ('test', 0.15)) AS w(s, want)), c AS (SELECT "group" AS g, s, want, count(*) FILTER (WHERE split = s) / CAST(count(*) AS DOUBLE) AS share FROM r, w GROUP BY "group", s, want)
+SELECT 'fake_groups_unequal' AS "check", CAST(low AS VARCHAR) AS key, CAST(high AS VARCHAR) AS detail FROM e WHERE low <> high UNION ALL SELECT 'genuine_size', CAST(gen AS VARCHAR), CAST(low AS VARCHAR) FROM e WHERE gen <> low
+UNION ALL SELECT 'duplicate_pair', text_key || '|' || image_key, CAST(count(*) AS VARCHAR) FROM r GROUP BY text_key, image_key HAVING count(*) > 1
+UNION ALL SELECT 'leak', c || '=' || v, min(split) || ',' || max(split) FROM l GROUP BY c, v HAVING min(split) <> max(split)
+UNION ALL SELECT 'split_share', g || '/' || s, CAST(round(share, 6) AS VARCHAR) FROM c WHERE abs(share - want) > 0.03""")
 def dq_verified(spark, folder):
     return quality.verified(_split(spark, folder), "doc_id")
 
@@ -552,7 +579,7 @@ def train_val_overlap(spark, folder):
 
 @query("missing_ids", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def missing_ids(spark, folder):
-    return table(spark, folder, "documents").select("doc_id").join(table(spark, folder, "labels").select("doc_id"), "doc_id", "left_anti").distinct()
+    return filters.not_in(table(spark, folder, "documents").select("doc_id"), table(spark, folder, "labels"), "doc_id").distinct()
 
 
 @query("symmetric_difference", "(SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 EXCEPT SELECT doc_id FROM labels) UNION ALL (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)")

@@ -8,6 +8,7 @@ every member's CRC is checked.
 from __future__ import annotations
 
 import io
+import time
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -18,10 +19,13 @@ Transport = Callable[[str, int, int], bytes]
 
 
 class Parts(io.RawIOBase):
-    """Parts laid end to end as one seekable file; only what is asked for is fetched. Failed fetches are tried again."""
+    """Parts laid end to end as one seekable file; only what is asked for is fetched.
 
-    def __init__(self, parts: list[tuple[str, int]], read: Transport, tries: int = 3):
-        self.parts, self.fetch, self.tries, self.at = parts, read, tries, 0
+    Failed and short fetches are tried again, each time after twice the wait.
+    """
+
+    def __init__(self, parts: list[tuple[str, int]], read: Transport, tries: int = 3, wait: float = 0.5):
+        self.parts, self.fetch, self.tries, self.wait, self.at = parts, read, tries, wait, 0
         self.size = sum(n for _, n in parts)
 
     def seekable(self) -> bool:
@@ -39,6 +43,8 @@ class Parts(io.RawIOBase):
 
     def _range(self, name: str, start: int, end: int) -> bytes:
         for k in range(self.tries):
+            if k:
+                time.sleep(self.wait * 2 ** (k - 1))
             try:
                 raw = self.fetch(name, start, end)
                 if len(raw) == end - start:

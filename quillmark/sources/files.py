@@ -93,10 +93,22 @@ def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return spark.read.schema(schema).json(path) if schema else spark.read.json(path)
 
 
+#: Classes of the face-manipulation source that are used.
+ANNOTATED_CLASSES = ("orig", "face_swap", "face_attribute")
+
+
+def class_annotations(spark: SparkSession, path: str | list[str], schema: str, classes: tuple[str, ...] = ANNOTATED_CLASSES) -> DataFrame:
+    """Annotations (JSON lines, or one array in a file, which one task then reads) of the wanted classes; an image twice is an error."""
+    rows = spark.read.schema(schema).json(path).where(F.col("fake_cls").isin(*classes))
+    if not rows.groupBy("image").count().where("count > 1").isEmpty():
+        raise ValueError("an image is annotated more than once")
+    return rows
+
+
 def named_files(spark: SparkSession, glob: str, pattern: str, name: str, reader: str = "csv") -> DataFrame:
-    """Files whose names carry a number: CSV (or JSON) rows with the number that `pattern` finds as column `name`."""
+    """Files (or their folders) whose names carry a number: CSV (or JSON) rows with the number that `pattern` finds as column `name`."""
     rows = spark.read.csv(glob, header=True) if reader == "csv" else spark.read.json(glob)
-    return rows.withColumn(name, F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).cast("int"))
+    return rows.withColumn(name, F.regexp_extract(F.substring_index("_metadata.file_path", "/", -2), pattern, 1).cast("int"))
 
 
 def feature_rows(spark: SparkSession, store: str, encoder: str, dataset: str, condition: str | None = None) -> DataFrame:

@@ -45,7 +45,17 @@ def grey_grid(pixels: np.ndarray, width: int = 9, height: int = 8) -> np.ndarray
     return np.array([[grey[min(cell(rows, i).start, grey.shape[0] - 1) : cell(rows, i).stop, min(cell(cols, j).start, grey.shape[1] - 1) : cell(cols, j).stop].mean() for j in range(width)] for i in range(height)])
 
 
-INFO = StructType().add("ok", BooleanType()).add("sha1", StringType()).add("sha256", StringType()).add("pixel_sha256", StringType()).add("dhash", LongType()).add("width", IntegerType()).add("height", IntegerType()).add("error", StringType())
+INFO = StructType().add("ok", BooleanType()).add("sha1", StringType()).add("sha256", StringType()).add("pixel_sha256", StringType()).add("dhash", LongType()).add("width", IntegerType()).add("height", IntegerType()).add("format", StringType()).add("error", StringType())
+
+
+#: What the first bytes of a file say of its format.
+SIGNATURES = ((b"\x89PNG\r\n\x1a\n", "PNG"), (b"\xff\xd8\xff", "JPEG"), (b"GIF8", "GIF"), (b"BM", "BMP"), (b"P5", "PGM"), (b"P6", "PPM"))
+
+
+def image_format(raw: bytes) -> str | None:
+    if raw[:4] == b"RIFF" and raw[8:12] == b"WEBP":
+        return "WEBP"
+    return next((name for start, name in SIGNATURES if raw.startswith(start)), None)
 
 
 def fingerprint_udf(decode: Callable[[bytes], np.ndarray] = decode_netpbm, rising: bool = False):
@@ -55,18 +65,21 @@ def fingerprint_udf(decode: Callable[[bytes], np.ndarray] = decode_netpbm, risin
     def run(content: pd.Series) -> pd.DataFrame:
         def one(raw):
             if raw is None:
-                return (False, None, None, None, None, None, None, "missing")
+                return (False, None, None, None, None, None, None, None, "missing")
+            kind = image_format(bytes(raw))
             sums = hashlib.sha1(raw).hexdigest(), hashlib.sha256(raw).hexdigest()
             try:
                 pixels = decode(bytes(raw))
                 g = grey_grid(pixels)
             except Exception:  # any fault of any decoder is a property of the file
-                return (False, *sums, None, None, None, None, "corrupt")
+                return (False, *sums, None, None, None, None, kind, "corrupt")
             bits = g[:, 1:] > g[:, :-1] if rising else g[:, :-1] > g[:, 1:]
             dhash = int(np.packbits(bits.reshape(-1)).view(">u8")[0].astype(np.int64))
-            return (True, *sums, hashlib.sha256(np.ascontiguousarray(pixels).tobytes()).hexdigest(), dhash, pixels.shape[1], pixels.shape[0], None)
+            return (True, *sums, hashlib.sha256(np.ascontiguousarray(pixels).tobytes()).hexdigest(), dhash, pixels.shape[1], pixels.shape[0], kind, None)
 
-        return pd.DataFrame([one(x) for x in content], columns=INFO.names).astype({"dhash": "Int64", "width": "Int64", "height": "Int64"})
+        # whole numbers never pass through floats, which would round fingerprints beside missing ones
+        columns = list(zip(*map(one, content), strict=True)) or [[] for _ in INFO.names]
+        return pd.DataFrame({name: pd.array(values, "Int64") if name in ("dhash", "width", "height") else values for name, values in zip(INFO.names, columns, strict=True)})
 
     return run
 

@@ -1,7 +1,8 @@
 """Scoring requests as they arrive: files of (request_id, ts, text, vectors) in, verdicts out.
 
 The batch expressions score streams too. Requests without text are turned away with a reason; a
-request sent twice within the watermark is answered once.
+request sent twice within the watermark is answered once. In a batch the first by time is answered (of those
+at the same time, the least by all columns); a stream answers the one that arrives first.
 """
 
 from __future__ import annotations
@@ -20,7 +21,11 @@ def verdicts(requests: DataFrame, threshold: float, lateness: str = "10 minutes"
     """request_id, ts, verdict and reason; one for each request_id seen within `lateness`."""
     value = F.col("score") if score is None else score
     blank = F.trim(F.coalesce("text", F.lit(""))) == ""
-    once = requests.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["request_id"]) if requests.isStreaming else requests.dropDuplicates(["request_id"])
+    if requests.isStreaming:
+        once = requests.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["request_id"])
+    else:
+        every = F.struct(*requests.columns)
+        once = requests.groupBy(F.col("request_id").alias("_id")).agg(F.min_by(every, F.struct("ts", every)).alias("_r")).select("_r.*")
     reason = F.when(blank, F.lit("empty_text")).when(value.isNull(), F.lit("no_score"))
     return once.select("request_id", "ts", F.when(reason.isNull(), F.when(value >= threshold, "fake").otherwise("genuine")).otherwise("rejected").alias("verdict"), reason.alias("reason"))
 
