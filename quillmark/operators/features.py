@@ -64,6 +64,12 @@ def exponential_moments(df: DataFrame, key: str, step: str, mean: str, variance:
     return df.groupBy(key).agg(folded.alias("r")).select(key, F.col("r.m").alias("mean"), F.col("r.v").alias("variance"))
 
 
+def length_stats(rows: DataFrame, length: str, by: str, limit: int) -> DataFrame:
+    """(by, longest, mean, truncated, truncated_share) of token lengths; longer ones than `limit` are truncated."""
+    n = F.col(length)
+    return rows.groupBy(by).agg(F.max(n).alias("longest"), F.round(F.avg(n), 2).alias("mean"), F.count_if(n > limit).alias("truncated"), F.round(F.avg((n > limit).cast("double")), 4).alias("truncated_share"))
+
+
 def early_stop(history: DataFrame, run: str, epoch: str, metric: str, patience: int) -> DataFrame:
     """(run, best_epoch, best, stopped): the best epoch before `patience` epochs bring nothing better, by windows over each run's history."""
     from pyspark.sql import Window

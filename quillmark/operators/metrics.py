@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -208,25 +210,68 @@ def source_recall(rows: DataFrame, threshold: float, source: str = "source", sub
     return rows.where(F.col(scenario) == 4).groupBy(name.alias("origin")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(score) < threshold).cast("double")).alias("genuine_recall"))
 
 
-def bootstrap_difference(values: DataFrame, key: str, metrics: list[str], repetitions: int = 1000, seed: int = 7) -> DataFrame:
-    """(metric, difference, low, high): percentile intervals of means, by a keyed Poisson bootstrap over rows.
+#: Blocks that rows are dealt into for a bootstrap, and repetitions whose draws are held at once.
+BOOTSTRAP_BLOCKS, BOOTSTRAP_CHUNK = 64, 250
 
-    Every row draws, for every repetition, how often it counts, from a hash of seed, key and
-    repetition, so the result doesn't depend on partitions. Only sums by repetition are shuffled.
+
+def bootstrap_difference(values: DataFrame, key: str, metrics: list[str], repetitions: int = 5000, seed: int = 7) -> DataFrame:
+    """(metric, difference, low, high): 95 % percentile intervals of means; each repetition draws n of the n rows with replacement.
+
+    Rows are dealt into blocks by a hash of the key. How many of a repetition's n draws fall into each block is one
+    multinomial draw by the blocks' sizes; which rows of the block they are, is drawn in the block. Both come from
+    generators of seed, repetition and block, so the result doesn't depend on partitions, and only sums are shuffled.
     """
-    draws = F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("rep")
-    # cumulative chances of a Poisson variable of mean 1
-    chances, p, total = [], 0.36787944117144233, 0.0
-    for k in range(8):
-        total += p
-        chances.append(total)
-        p /= k + 1
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("rep")), F.lit(1 << 30)) / float(1 << 30)).cast("double")
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in chances), F.lit(0))
-    drawn = values.select(key, *metrics, draws).withColumn("_w", weight).where("_w > 0")
-    sums = drawn.groupBy("rep").agg(F.sum("_w").alias("_n"), *(F.sum(F.col(m) * F.col("_w")).alias(m) for m in metrics))
-    means = sums.select(*(F.col(m) / F.col("_n") for m in metrics)).toDF(*metrics)
+    dealt = values.select(F.col(key).alias("_k"), *(F.col(m).cast("double").alias(m) for m in metrics), F.pmod(F.xxhash64(key), F.lit(BOOTSTRAP_BLOCKS)).cast("int").alias("_b"))
+    sizes = {r[0]: r[1] for r in dealt.groupBy("_b").count().collect()}
+    n, blocks = sum(sizes.values()), sorted(sizes)
+    if not n:
+        raise ValueError("no rows to draw from")
+    share = np.array([sizes[b] for b in blocks]) / n
+    draws = np.array([np.random.default_rng([seed, rep]).multinomial(n, share) for rep in range(repetitions)])
+    of_block = dealt.sparkSession.sparkContext.broadcast({b: draws[:, i] for i, b in enumerate(blocks)})
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        block = int(group["_b"].iloc[0])
+        rows = group.sort_values("_k")[metrics].to_numpy(float)
+        sums = np.zeros((repetitions, len(metrics)))
+        for rep, times in enumerate(of_block.value[block].tolist()):
+            picked = np.random.default_rng([seed, rep, block + 1]).integers(0, len(rows), times)
+            sums[rep] = np.bincount(picked, minlength=len(rows)) @ rows
+        return pd.DataFrame({"rep": np.arange(repetitions), **{m: sums[:, i] for i, m in enumerate(metrics)}})
+
+    parts = dealt.groupBy("_b").applyInPandas(run, "rep long, " + ", ".join(f"`{m}` double" for m in metrics))
+    means = parts.groupBy("rep").agg(*((F.sum(m) / n).alias(m) for m in metrics))
     low_high = means.agg(*(F.percentile(m, [0.025, 0.975]).alias(m) for m in metrics))
     whole = values.agg(*(F.avg(m).alias(m) for m in metrics))
     stacked = lambda df, value: df.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias(value)) for m in metrics))).alias("s")).select("s.*")
     return stacked(whole, "difference").join(stacked(low_high, "bounds"), "metric").select("metric", "difference", F.col("bounds")[0].alias("low"), F.col("bounds")[1].alias("high"))
+
+
+def enriched_metrics(scored: DataFrame, label: str, score: str, threshold: float, breakdown: DataFrame | None = None, part: str = "part") -> DataFrame:
+    """(part, n, accuracy, recall, recall_low, recall_high, real_recall, real_low, real_high): the whole and each row of `breakdown`.
+
+    `breakdown` names the part of each row in column `part` (a method, an area, a category, as its data set has them);
+    recalls come with their Wilson intervals, null where a part has no such row.
+    """
+    every = scored.withColumn(part, F.lit("all"))
+    rows = every if breakdown is None else every.unionByName(breakdown.select(*every.columns))
+    found = binary_counts(rows, label, score, threshold, by=[part])
+    fake, real = wilson(F.col("tp"), F.col("tp") + F.col("fn")), wilson(F.col("tn"), F.col("tn") + F.col("fp"))
+    bound = lambda ends, n, name: [F.when(n > 0, e).alias(f"{name}_{w}") for e, w in zip(ends, ("low", "high"), strict=True)]
+    share = lambda name, n: F.when(n > 0, F.col(name)).alias(name)
+    fakes, reals = F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp")
+    return found.select(part, "n", "accuracy", share("recall", fakes), *bound(fake, fakes, "recall"), share("real_recall", reals), *bound(real, reals, "real"))
+
+
+def majority_baseline(train: DataFrame, test: DataFrame, label: str, classes: int) -> DataFrame:
+    """(majority_class, majority_accuracy, random_expected); of classes of equal size the least is the majority."""
+    sizes = train.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    major = F.broadcast(sizes.agg(F.max_by(label, F.struct("n", -F.col(label))).alias("majority_class")))
+    right = F.avg((F.col(label) == F.col("majority_class")).cast("double")).alias("majority_accuracy")
+    return test.crossJoin(major).groupBy("majority_class").agg(right).withColumn("random_expected", F.lit(1.0 / classes))
+
+
+def rate_spread(rows: DataFrame, label: str, part: str, most: float = 0.05) -> DataFrame:
+    """(low, high, spread, note): the positive rate's range over parts; `note` where it is wider than `most`."""
+    rates = rows.groupBy(part).agg(F.avg(F.col(label).cast("double")).alias("rate"))
+    return rates.agg(F.min("rate").alias("low"), F.max("rate").alias("high"), (F.max("rate") - F.min("rate")).alias("spread")).withColumn("note", F.col("spread") > most)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillmark.operators import metrics as m
 from quillmark.operators import thresholds as t
 from quillmark.plans.fixtures import SCORED_SQL, scored
+from quillmark.sources.tables import table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -196,7 +197,7 @@ def bootstrap_diff(spark, folder):
     other = m.pair_values(m.caption_pairs(s.withColumn("prob", F.col("rough")), scenario="pair_scenario"), 0.45)
     names = list(m.PAIR_METRICS)
     joined = base.select("caption_id", *(F.col(n).alias(f"_{n}") for n in names)).join(other, "caption_id").select("caption_id", *((F.col(n) - F.col(f"_{n}")).alias(n) for n in names))
-    return _rounded(m.bootstrap_difference(joined, "caption_id", names, repetitions=500))
+    return _rounded(m.bootstrap_difference(joined, "caption_id", names))
 
 
 _Z = "CAST(1.959963984540054 AS DOUBLE)"
@@ -308,3 +309,37 @@ def thr_quantile(spark, folder):
 @query("thr_operating", _worst_sql(_MIDS, "evaluation_group", ("paired_news", "v1_five_scenarios")))
 def thr_operating(spark, folder):
     return _rounded(t.operating(scored(spark, folder), "label", "prob", "evaluation_group"))
+
+
+def _wilson_sql(s: str, n: str, low: bool) -> str:
+    z2 = "3.841458820694124"
+    middle, half = f"({s} / {n} + {z2} / (2 * {n})) / (1 + {z2} / {n})", f"sqrt({z2}) * sqrt({s} / {n} * (1 - {s} / {n}) / {n} + {z2} / (4 * {n} * {n})) / (1 + {z2} / {n})"
+    return f"CASE WHEN {n} > 0 THEN round(" + (f"greatest(0, {middle} - {half})" if low else f"least(1, {middle} + {half})") + ", 6) END"
+
+
+@query("enriched_metrics", f"""WITH {SCORED_SQL}, x AS (SELECT 'all' AS part, * FROM scored UNION ALL SELECT lang, * FROM scored), c AS (SELECT part, count(*) AS n, CAST(count(*) FILTER (WHERE label = 1 AND prob >= 0.5) AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE label = 0 AND prob < 0.5) AS DOUBLE) AS tn, CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) AS f, CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) AS r FROM x GROUP BY part)
+SELECT part, n, round((tp + tn) / n, 6) AS accuracy, round(tp / f, 6) AS recall, {_wilson_sql('tp', 'f', True)} AS recall_low, {_wilson_sql('tp', 'f', False)} AS recall_high, round(tn / r, 6) AS real_recall, {_wilson_sql('tn', 'r', True)} AS real_low, {_wilson_sql('tn', 'r', False)} AS real_high FROM c""")
+def enriched_metrics(spark, folder):
+    s = scored(spark, folder)
+    found = m.enriched_metrics(s, "label", "prob", 0.5, s.withColumn("part", F.col("lang")))
+    return found.select("part", "n", *(F.round(c, 6).alias(c) for c in found.columns[2:]))
+
+
+@query("positive_weight", f"WITH {SCORED_SQL} SELECT round(count(*) FILTER (WHERE label = 0) / CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE), 9) AS weight, NULL AS one_class FROM scored")
+def positive_weight(spark, folder):
+    from quillmark.operators.selection import positive_weight as weight
+
+    s = scored(spark, folder)
+    return spark.createDataFrame([(round(weight(s, "label"), 9), weight(s.where("label = 1"), "label"))], "weight double, one_class double")
+
+
+@query("probe_grid")
+def probe_grid(spark, folder):
+    """Kinds of features and C, on whole vectors; the best by balanced accuracy, then AUC."""
+    from quillmark.functions import arrays
+    from quillmark.operators.linear import grid_search
+
+    v = arrays.doubles(F.col("embedding"))
+    e = table(spark, folder, "embeddings").withColumn("y", (F.col("label") >= 5).cast("int"))
+    kinds = {"vector": v, "absolute": F.transform(v, F.abs)}
+    return grid_search(e.where("vec_id % 4 <> 0"), e.where("vec_id % 4 = 0"), kinds, "y", (0.01, 1.0))[0].select("kind", "c", F.round("balanced_accuracy", 6).alias("balanced_accuracy"), F.round("auc", 6).alias("auc"), "chosen")

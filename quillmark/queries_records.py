@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmark.functions import arrays, labels, text
-from quillmark.operators import features, filters, joins, linear, neardup, quality, selection
+from quillmark.operators import features, filters, joins, linear, metrics, neardup, quality, selection
 from quillmark.plans.components import components
 from quillmark.plans.fixtures import SCORED_SQL, scored
 from quillmark.queries_metrics import _rounded
@@ -313,21 +313,19 @@ def stratum_weights(spark, folder):
 
 @query("positive_rate_spread", f"WITH {SCORED_SQL}, r AS (SELECT source, avg(CAST(label AS DOUBLE)) AS rate FROM scored GROUP BY source) SELECT round(min(rate), 9) AS low, round(max(rate), 9) AS high, round(max(rate) - min(rate), 9) AS spread, max(rate) - min(rate) > 0.05 AS note FROM r")
 def positive_rate_spread(spark, folder):
-    r = scored(spark, folder).groupBy("source").agg(F.avg(F.col("label").cast("double")).alias("rate"))
-    return _rounded(r.agg(F.min("rate").alias("low"), F.max("rate").alias("high"), (F.max("rate") - F.min("rate")).alias("spread"))).withColumn("note", F.col("spread") > 0.05)
+    return _rounded(metrics.rate_spread(scored(spark, folder), "label", "source"))
 
 
 @query("baselines", f"WITH {SCORED_SQL}, m AS (SELECT scenario FROM scored WHERE doc_id % 4 <> 0 GROUP BY scenario ORDER BY count(*) DESC, scenario LIMIT 1) SELECT (SELECT scenario FROM m) AS majority_class, round(avg(CASE WHEN scenario = (SELECT scenario FROM m) THEN 1.0 ELSE 0.0 END), 9) AS majority_accuracy, 0.2 AS random_expected FROM scored WHERE doc_id % 4 = 0")
 def baselines(spark, folder):
     s = scored(spark, folder)
-    major = s.where("doc_id % 4 <> 0").groupBy("scenario").agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("scenario", F.struct("n", -F.col("scenario"))).alias("majority_class"))
-    return _rounded(s.where("doc_id % 4 = 0").crossJoin(F.broadcast(major)).groupBy("majority_class").agg(F.avg((F.col("scenario") == F.col("majority_class")).cast("double")).alias("majority_accuracy"))).withColumn("random_expected", F.lit(0.2))
+    return _rounded(metrics.majority_baseline(s.where("doc_id % 4 <> 0"), s.where("doc_id % 4 = 0"), "scenario", 5))
 
 
 @query("length_stats", "SELECT lang, max(n) AS longest, round(avg(n), 2) AS mean, count(*) FILTER (WHERE n > 96) AS truncated, round(avg(CASE WHEN n > 96 THEN 1.0 ELSE 0.0 END), 4) AS truncated_share FROM (SELECT lang, len(string_split(text, ' ')) AS n FROM documents) GROUP BY lang")
 def length_stats(spark, folder):
     d = table(spark, folder, "documents").select("lang", F.size(F.split("text", " ")).cast("long").alias("n"))
-    return d.groupBy("lang").agg(F.max("n").alias("longest"), F.round(F.avg("n"), 2).alias("mean"), F.count_if(F.col("n") > 96).alias("truncated"), F.round(F.avg((F.col("n") > 96).cast("double")), 4).alias("truncated_share"))
+    return features.length_stats(d, "n", "lang", 96)
 
 
 @query("value_coverage", "SELECT count(*) AS n, count(*) FILTER (WHERE value > 50) AS over_50, round(median(value), 6) AS median, round(avg(value), 6) AS mean FROM events")
