@@ -30,6 +30,8 @@ from quillmark.llm.texts import filter_rows, map_rows
 SAMPLE_DOCS, DOC_BYTES, DICT_BYTES, BLOCK, LEVEL = 256, 448, 112 << 10, 4096, 6
 #: Sampled documents and dictionary bytes of all languages together.
 MOST_ROWS, MOST_BYTES = 1 << 17, 56 << 20
+#: Languages whose sizes are broadcast; beyond it they are joined.
+MOST_BROADCAST = 1 << 20
 #: zstandard stores a block that hardly shrinks as it is, and all languages then tie; with this in every block short texts are coded, too.
 FILLER = b"\n" * 128
 LEAST_MARGIN = 0.004
@@ -51,7 +53,8 @@ def training_texts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_bytes: i
     sample_docs, dict_bytes = max(1, min(sample_docs, MOST_ROWS // languages)), max(64, min(dict_bytes, MOST_BYTES // languages))
     # the least hashes lie below a bound that some 8 x sample_docs ids of the language pass, however many partitions there are
     share = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5
-    hashed = docs.select("doc_id", "lang").join(sizes, "lang").where(share <= 8.0 * sample_docs / F.greatest("_ids", F.lit(1))).select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).distinct()
+    known = F.broadcast(sizes) if languages <= MOST_BROADCAST else sizes
+    hashed = docs.select("doc_id", "lang").join(known, "lang").where(share <= 8.0 * sample_docs / F.greatest("_ids", F.lit(1))).select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).distinct()
     chosen = hashed.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_k") <= sample_docs)
     ids = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_k")
     # of rows that share a doc_id the least text, so that a task run again learns the same

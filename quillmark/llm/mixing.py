@@ -11,16 +11,16 @@ runs out, the others share its slots in their proportions, so no slot is empty a
 Weights are taken exactly, as integers in their ratio; no rounding adds up however long the mix is. Fluid
 service is linear between the times at which sources run out, so every window is a closed form:
 
-* The schedule is cut into segments of `segment` slots, more if there are many sources. At a boundary at
+* The schedule is cut into segments of `segment` slots, or more, so that there are SEGMENTS at most. At a boundary at
   most one block of each source lies across it. The driver walks over the boundaries alone and chooses which
   of those blocks go before, so that no interval on either side holds more windows than slots
   (`boundaries`). Then earliest-deadline-first fills every segment, and tasks schedule them side by side.
 * A mix shorter than a segment is earliest-deadline-first in one go.
 
 Ranks within a source don't need a source in one task: the order is by a hash, whose top bits deal
-each source into buckets of `bucket_rows` at most, and more of them than there are partitions; rank =
-rows in earlier buckets + rank in the bucket. A bucket brings the slots of its blocks with it, so rows are
-shuffled once, to their buckets. The driver holds a count and a weight of each source.
+each source into buckets of about `bucket_rows` at most, small enough that all partitions have some;
+rank = rows in earlier buckets + rank in the bucket. A bucket brings the slots of its blocks with it, so
+rows are shuffled once, to their buckets. The driver holds a count and a weight of each source.
 
 A null source is a source of its own. Default weights are document counts to the power `alpha`. Rows
 that share a doc_id, and repeated rows, get places of their own. Texts are carried, never read. An empty
@@ -46,6 +46,10 @@ from quillmark.plans.sizing import shuffle_partitions
 from quillmark.plans.staging import staged
 
 BLOCK_DOCS, ALPHA, BUCKET_ROWS, SEED, SEGMENT = 64, 0.5, 20_000, 17, 1 << 16
+#: Most segments of a schedule; a longer mix has longer ones.
+SEGMENTS = 128
+#: Sources whose numbers of buckets are broadcast.
+MOST_BROADCAST = 1 << 20
 #: Blocks whose slots are in one row.
 CHUNK = 256
 RESULTS = ("block", "mix_slot", "mix_position")
@@ -74,21 +78,28 @@ class Plan:
     #: The phase in which each source runs out.
     last: tuple[int, ...]
 
-    def whole(self, t: int) -> np.ndarray:
-        """Whole blocks of fluid service by time t. Where a float is too close to a whole number, integers decide."""
-        p = self.phase(t)
+    def whole(self, times: range) -> np.ndarray:
+        """Whole blocks of fluid service by each of the times, a row each. Where a float is too close to a whole number, integers decide."""
+        p, q = self.phase(times[0]), self.phase(times[-1])
+        if p != q:
+            cut = len(times) // 2
+            return np.concatenate([self.whole(times[:cut]), self.whole(times[cut:])])
         gone, weight, _ = self.phases[p]
-        last, w, blocks = self.arrays
-        out = w * (float(t - gone) / float(weight))
-        close = np.abs(out - np.round(out)) < 1e-9 * (1 + out)
+        last, w, blocks, small = self.arrays
+        t = np.array(times, np.int64)[:, None] - gone
+        if small is not None and max(self.weights) * max(abs(times[-1] - gone), 1) < 1 << 62:
+            return np.where(last >= p, small * t // weight, blocks)
+        out = w / float(weight) * t
+        close = (np.abs(out - np.round(out)) < 1e-9 * (1 + np.abs(out))) & (last >= p)
         out = np.floor(out).astype(np.int64)
-        for k in np.flatnonzero(close & (last >= p)).tolist():
-            out[k] = self.weights[k] * (t - gone) // weight
+        for i, k in np.argwhere(close).tolist():
+            out[i, k] = self.weights[k] * (times[i] - gone) // weight
         return np.where(last >= p, out, blocks)
 
     @cached_property
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.array(self.last, np.int64), np.array(self.weights, float), np.array(self.blocks, np.int64)
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+        small = np.array(self.weights, np.int64) if sum(self.weights) < 1 << 62 else None
+        return np.array(self.last, np.int64), np.array([float(w) for w in self.weights]), np.array(self.blocks, np.int64), small
 
     def phase(self, t: int) -> int:
         return max(0, bisect_right(self.phases, t, key=lambda p: p[2]) - 1)
@@ -127,6 +138,10 @@ def plan(weights: dict, blocks: dict) -> Plan:
     return Plan(names, w, b, tuple(phases), tuple(levels), tuple(last))
 
 
+#: Times whose whole blocks are held at once.
+TIMES = 512
+
+
 def boundaries(own: Plan, segment: int) -> list[list[int]]:
     """How many blocks of each source go before each boundary, from 0 to the end.
 
@@ -137,7 +152,7 @@ def boundaries(own: Plan, segment: int) -> list[list[int]]:
     total, count = sum(own.blocks), len(own.names)
     given, out = np.zeros(count, np.int64), [[0] * count]
     for t in [*range(segment, total, segment), *([total] if total else [])]:
-        whole, p = own.whole(t), own.phase(t)
+        whole, p = own.whole(range(t, t + 1))[0], own.phase(t)
         room, across, due = t - int(whole.sum()), [], []
         for k in range(count):
             top, bottom = own.time(k, int(whole[k]), p)
@@ -155,10 +170,14 @@ def boundaries(own: Plan, segment: int) -> list[list[int]]:
                 else:
                     heapq.heappush(across, due[at][1:])
                 at += 1
-            need = room - (y - int(own.whole(y).sum()) if y < total else 0)
-            while met < need:
-                gone.add(heapq.heappop(across)[1])
-                met += 1
+            upto = due[at][0] if at < len(due) else y  # after the last one any choice of as many as there is room for will do
+            while y < upto and len(gone) < room:
+                times = range(y, min(y + TIMES, upto))
+                least = int((np.array(times) - own.whole(times).sum(1)).min())
+                while met < room - least:
+                    gone.add(heapq.heappop(across)[1])
+                    met += 1
+                y = times[-1] + 1
         rest = sorted([*across, *(x[1:] for x in due[at:] if x[2] not in gone)])
         gone.update(k for _, k in rest[: room - len(gone)])
         given = whole.copy()
@@ -243,23 +262,34 @@ def mix(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, bloc
     source, key = F.col("source").cast("string"), ["__qm_null", "__qm_source", "__qm_bucket"]
     kept = [c for c in docs.columns if c not in RESULTS]
     named = {"__qm_null": source.isNull(), "__qm_source": F.coalesce(source, F.lit("")), "__qm_h": order_mark(F.col("doc_id"), seed)}
-    # 32 bits of the hash: buckets are runs of them
-    narrow = docs.select(*(c.alias(name) for name, c in named.items())).withColumn("__qm_32", F.conv(F.substring("__qm_h", 1, 8), 16, 10).cast("long"))
+    narrow = docs.select(*(c.alias(name) for name, c in named.items()))
     counts = {(None if r[0] else r[1]): r[2] for r in narrow.groupBy("__qm_null", "__qm_source").count().collect()}
     own = plan({s: n**alpha for s, n in counts.items()} if weights is None else {s: weights[s] for s in counts}, {s: -(-n // block_docs) for s, n in counts.items()})
-    bits = min(32, max(0, math.ceil(math.log2(max(4 * shuffle_partitions(spark), sum(counts.values()) / bucket_rows)))))
-    bucket = F.shiftright("__qm_32", 32 - bits).alias("__qm_bucket")
+    size = max(1.0, min(bucket_rows, sum(counts.values()) / (4 * shuffle_partitions(spark))))
+    bits_of = {s: min(32, max(0, math.ceil(math.log2(n / size)))) for s, n in counts.items()}
+    few = len(counts) <= MOST_BROADCAST
+    table = spark.createDataFrame([(s is None, s or "", b) for s, b in bits_of.items()] if few else [], "__qm_null boolean, __qm_source string, __qm_bits int")
+
+    def in_buckets(rows: DataFrame) -> DataFrame:
+        """Adds the bucket: the top bits of the hash, as many as the source needs, or as the largest one does where sources are too many to broadcast."""
+        top = F.conv(F.substring("__qm_h", 1, 8), 16, 10).cast("long")
+        if not few:
+            return rows.withColumn("__qm_bucket", F.shiftright(top, 32 - max(bits_of.values())))
+        return rows.join(F.broadcast(table), key[:2]).withColumn("__qm_bucket", F.floor(top / F.pow(F.lit(2.0), 32 - F.col("__qm_bits")))).drop("__qm_bits")
+
     before = Window.partitionBy("__qm_null", "__qm_source").orderBy("__qm_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = narrow.select("__qm_null", "__qm_source", bucket).groupBy(*key).agg(F.count(F.lit(1)).alias("__qm_n")).withColumn("__qm_before", F.coalesce(F.sum("__qm_n").over(before), F.lit(0)))
-    slots = _slot_table(spark, own, max(segment, 4 * len(counts)))
+    offsets = in_buckets(narrow).groupBy(*key).agg(F.count(F.lit(1)).alias("__qm_n")).withColumn("__qm_before", F.coalesce(F.sum("__qm_n").over(before), F.lit(0)))
+    slots = _slot_table(spark, own, max(segment, 4 * len(counts), -(-sum(own.blocks) // SEGMENTS)))
     chunk = lambda row: F.floor(row / (block_docs * CHUNK)).cast("long")
-    spans = offsets.select(*key, "__qm_before", F.explode(F.sequence(chunk(F.col("__qm_before")), chunk(F.col("__qm_before") + F.col("__qm_n") - 1))).alias("__qm_chunk"))
+    spans = offsets.select(*key, "__qm_before", "__qm_n", F.explode(F.sequence(chunk(F.col("__qm_before")), chunk(F.col("__qm_before") + F.col("__qm_n") - 1))).alias("__qm_chunk"))
     pieces = F.sort_array(F.collect_list(F.struct("__qm_first", "__qm_slots")))
-    brought = spans.join(slots, ["__qm_null", "__qm_source", "__qm_chunk"]).groupBy(*key).agg(F.first("__qm_before").alias("__qm_before"), pieces.alias("__qm_p"))
-    buckets = staged(brought.select(*key, "__qm_before", F.col("__qm_p")[0]["__qm_first"].alias("__qm_first"), F.flatten("__qm_p.__qm_slots").alias("__qm_slots")), "mix-buckets")
-    hashed = docs.select(*kept).withColumns(named).withColumn("__qm_bucket", F.shiftright(F.conv(F.substring("__qm_h", 1, 8), 16, 10).cast("long"), 32 - bits))
+    brought = spans.join(slots, ["__qm_null", "__qm_source", "__qm_chunk"]).groupBy(*key).agg(F.max("__qm_before").alias("__qm_before"), F.max("__qm_n").alias("__qm_n"), pieces.alias("__qm_p"))
+    first, last = (F.floor(r / block_docs) for r in (F.col("__qm_before"), F.col("__qm_before") + F.col("__qm_n") - 1))
+    own_slots = F.slice(F.flatten("__qm_p.__qm_slots"), (first - F.col("__qm_p")[0]["__qm_first"] + 1).cast("int"), (last - first + 1).cast("int"))
+    buckets = staged(brought.select(*key, "__qm_before", first.alias("__qm_first"), own_slots.alias("__qm_slots")), "mix-buckets")
+    hashed = in_buckets(docs.select(*(F.col(f"`{c}`") for c in kept)).withColumns(named))
     # rows that share a doc_id are told apart by their contents, so that a task run again ranks them alike
-    ties = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.select(*kept).dtypes if "map<" not in kind and kind != "variant"))
+    ties = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.select(*(F.col(f"`{c}`") for c in kept)).dtypes if "map<" not in kind and kind != "variant"))
     inside = F.row_number().over(Window.partitionBy(*key).orderBy("__qm_h", "doc_id", ties)) - 1
     ranked = hashed.withColumn("__qm_rank", inside).join(buckets, key).withColumn("__qm_rank", F.col("__qm_before") + F.col("__qm_rank"))
     placed = ranked.withColumn("block", F.floor(F.col("__qm_rank") / block_docs))

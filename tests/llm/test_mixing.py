@@ -2,7 +2,7 @@ import hashlib
 from fractions import Fraction
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from quillmark.llm import mixing
@@ -30,7 +30,8 @@ def check(weights, blocks, slots, times):
         assert all(abs(sum(x < t for x in own) - had[s]) < 1 for s, own in slots.items())
 
 
-@settings(max_examples=80, deadline=None)
+@settings(max_examples=400, deadline=None)
+@example([(1, 1), (1, 1), (32, 13), (48, 17)], 1)
 @given(st.lists(st.tuples(st.integers(1, 60), st.integers(0, 40)), min_size=1, max_size=7), st.integers(1, 50))
 def test_schedule_deviates_by_less_than_one_block_from_the_fluid_mix(parts, segment):
     weights, blocks = {f"s{k}": w for k, (w, _) in enumerate(parts)}, {f"s{k}": n for k, (_, n) in enumerate(parts)}
@@ -38,6 +39,14 @@ def test_schedule_deviates_by_less_than_one_block_from_the_fluid_mix(parts, segm
     check(weights, blocks, slots, range(sum(blocks.values()) + 1))
 
 
+def test_floats_and_integers_give_the_same_whole_blocks():
+    for weights in ({"a": 1 / 3, "b": 2 / 3 / 7, "c": 0.1}, {"a": 3, "b": 5, "c": 1}):
+        own = mixing.plan(weights, {"a": 300, "b": 90, "c": 10})
+        for t in (0, 1, 17, 200, 399, 400):
+            had = fluid(weights, {"a": 300, "b": 90, "c": 10}, t)
+            assert own.whole(range(t, t + 1))[0].tolist() == [had[s].__floor__() for s in "abc"]
+
+
 def test_one_segment_is_earliest_deadline_first():
     weights, blocks = {"a": 0.5, "b": 0.3, None: 0.2}, {"a": 30, "b": 9, None: 14}
     total = sum(blocks.values())
