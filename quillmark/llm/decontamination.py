@@ -21,7 +21,9 @@ one shingle.
 
 The index is broadcast if the items measure at most `broadcast_bytes`; beyond that the items are
 dealt into parts of that size, and each part has its own pass over the documents. Null and empty
-texts match nothing, nor do items without a word. Repeated documents each give their rows.
+texts match nothing, nor do items without a word. Repeated documents each give their rows. Very long
+texts go whole: a document's distinct words are one query however long it is. Extra columns are neither
+read nor returned, whatever their names; `without_contaminated` passes them unchanged.
 """
 
 from __future__ import annotations

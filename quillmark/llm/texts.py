@@ -31,7 +31,10 @@ BATCH_BYTES = 16 << 20
 
 
 def bound_batches(df: DataFrame) -> None:
-    """Lowers the session's bound on Arrow batches, which by rows alone would let very long texts fill an executor."""
+    """Lowers the session's bound on Arrow batches, which by rows alone would let very long texts fill an executor.
+
+    `build_session` sets it already. In other sessions it stays lowered: plans read it when they run, not when they are made.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = conf.get(name).rstrip("b")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
