@@ -2,6 +2,14 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns the documents
 that it keeps, with the columns of `documents`. The last one adds the places in the mix.
+
+Defined for odd rows: a null or empty text has no language and goes in the first stage; given to a later one
+it stays (near copies: one of those without a word stays). A null lang is never learned, a null source is a
+source of its own, rows without doc_id are nobody's copy, lose no line and stay. Rows that share a doc_id
+are one document to the near-copy stage, which keeps the one of least content hash, the same whenever a task
+runs again; the other stages treat each row for itself. Ties go to the least doc_id there, to the first
+name among languages and sources. An empty table gives an empty table. Very long texts go whole; extra columns
+pass, whatever their names.
 """
 
 from __future__ import annotations
