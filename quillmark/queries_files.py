@@ -425,3 +425,10 @@ def near_classes(spark, folder):
     """One row a vector: the least id with its fingerprint, and how many other fingerprints are within 8 bits."""
     e = table(spark, folder, "embeddings").select("vec_id", arrays.sign_bits(F.col("embedding")).alias("fp"))
     return neardup.near_classes(e, 8, "vec_id")
+
+
+@query("split_report", f"""WITH r AS (SELECT lang, {_SPLIT} AS split FROM documents), c AS (SELECT lang, count(*) FILTER (WHERE split = 'train') AS a, count(*) FILTER (WHERE split = 'val') AS b, count(*) FILTER (WHERE split = 'test') AS c FROM r GROUP BY lang UNION ALL SELECT 'total', count(*) FILTER (WHERE split = 'train'), count(*) FILTER (WHERE split = 'val'), count(*) FILTER (WHERE split = 'test') FROM r)
+SELECT rpad(lang, 22, ' ') || ' ' || lpad(CAST(a AS VARCHAR), 8, ' ') || ' ' || lpad(CAST(b AS VARCHAR), 8, ' ') || ' ' || lpad(CAST(c AS VARCHAR), 8, ' ') AS line FROM c UNION ALL SELECT rpad('', 22, ' ') || '    train      val     test'""")
+def split_report(spark, folder):
+    lines = sinks.report_lines(_rows(spark, folder), "lang", "split", ("train", "val", "test"))
+    return spark.createDataFrame([(x,) for x in lines], "line string")

@@ -104,5 +104,16 @@ def matrix_text(rows: list[tuple], row: str = "true", column: str = "predicted")
     return "\n".join("  ".join(x.rjust(w) for x, w in zip(r, widths, strict=True)) for r in table)
 
 
+def report_lines(rows: DataFrame, row: str, column: str, columns: tuple[str, ...], width: int = 22) -> list[str]:
+    """Counts as aligned lines, a line for each value of `row` and a last one of totals: of a selection by source, a split by group, a loaded file by folder.
+
+    `columns` are the values that get a column, in order; rows with another value count in none. Few values of `row` are assumed.
+    """
+    counts = rows.groupBy(row).pivot(column, list(columns)).count().na.fill(0).orderBy(row).collect()
+    lines = [" ".join(["".ljust(width), *(f"{c:>8}" for c in columns)])]
+    lines += [" ".join([str(r[row]).ljust(width), *(f"{r[c]:8d}" for c in columns)]) for r in counts]
+    return [*lines, " ".join(["total".ljust(width), *(f"{sum(r[c] for r in counts):8d}" for c in columns)])]
+
+
 def percent(share: float, digits: int = 1) -> str:
     return f"{100 * share:.{digits}f}%"
