@@ -25,10 +25,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark)}/staged/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of this application's part of the shared folder that nothing is at yet."""
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` once to the shared folder and returns the table read back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
@@ -45,7 +55,7 @@ def drop_staged(df: DataFrame) -> None:
 
 
 def drop_all_staged(spark: SparkSession) -> None:
-    """Deletes every staged table of the shared folder: for the end of a job, when no plan reads them any more."""
+    """Deletes every table that this application staged: for the end of a job, when no plan reads them any more."""
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/staged")
+    at = jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -6,14 +6,12 @@ how they were written.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillmark.functions import arrays, hashes, models, plugins
 from quillmark.operators import audits, filters, neardup, quality
 from quillmark.plans.fixtures import SCORED_SQL, scored
-from quillmark.plans.staging import shared_folder
+from quillmark.plans.staging import new_path as _new
 from quillmark.sources import archives, files, images, sinks
 from quillmark.sources.tables import table
 
@@ -31,11 +29,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _new(spark, name: str) -> str:
-    """A path of the shared folder that nothing is at yet."""
-    return f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4().hex}"
-
-
 def _md5(column: str):
     return F.md5(F.col(column).cast("binary"))
 
