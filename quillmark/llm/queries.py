@@ -101,6 +101,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.periodic_runs import looped, run_digests
+
+    return run_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), looped)
+
+
 def _words(text: str) -> str:
     return rf"list_filter(string_split(regexp_replace(lower(coalesce({text}, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '')"
 
@@ -228,5 +234,6 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_pii": op9_pii,
     "op10_line_dedup": op10_line_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLES = {"op2_decontamination": OP2_SQL, "op5_mixing": OP5_SQL, "op7_secrets": _op7_sql(), "op10_line_dedup": OP10_SQL}
