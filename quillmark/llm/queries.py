@@ -101,6 +101,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"), rebuild=True)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.periodic_runs import looped, run_digests
 
@@ -223,6 +229,51 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN dropped THEN 1 ELSE 0 END
 FROM marked GROUP BY doc_id
 """
 
+def _crc32(number: str) -> str:
+    """CRC-32 of a number's decimal digits, bit by bit."""
+    step = "list_reduce(list_concat([xor(c, b)], CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    digits = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {digits}), lambda c, b: {step}), CAST(4294967295 AS BIGINT))"
+
+
+#: Prefixes as lists of digests; a node's sums go to all the prefixes of its least member.
+OP11_SQL = rf"""
+WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place,
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), conv AS (
+  SELECT conv_id, {_crc32("conv_id")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM own)
+), built AS (
+  SELECT c.conv_id, 0 AS mine, o.place, o.digest, o.words FROM conv c JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 20 AND o.place <= c.h
+  UNION ALL SELECT o.conv_id, 1, o.place, o.digest, o.words FROM own o JOIN conv c ON c.conv_id = o.conv_id AND o.place > c.h
+), turned AS (
+  SELECT conv_id, digest, words, row_number() OVER (PARTITION BY conv_id ORDER BY mine, place) AS depth FROM built
+), chained AS (
+  SELECT conv_id, depth, words, sha256(string_agg(digest, ',') OVER (PARTITION BY conv_id ORDER BY depth)) AS prefix FROM turned
+  UNION ALL SELECT conv_id, 0, 0, '' FROM conv
+), sizes AS (
+  SELECT conv_id, max(depth) AS n_turns FROM chained GROUP BY conv_id
+), node AS (
+  SELECT c.depth, c.prefix, min(c.conv_id) AS conv_id, count(*) AS n_convs, any_value(c.words) AS words,
+         sha256(coalesce(string_agg(CAST(c.conv_id AS VARCHAR), ',' ORDER BY c.conv_id) FILTER (WHERE s.n_turns = c.depth), '')) AS ends_sha256
+  FROM chained c JOIN sizes s ON s.conv_id = c.conv_id GROUP BY c.depth, c.prefix
+), placed AS (
+  SELECT c.conv_id AS member, c.depth, n.conv_id FROM chained c JOIN node n ON n.depth = c.depth AND n.prefix = c.prefix
+), linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id FROM node n LEFT JOIN placed p ON p.member = n.conv_id AND p.depth = n.depth - 1
+), kids AS (
+  SELECT depth - 1 AS depth, parent_conv_id AS conv_id, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY 1, 2
+), counted AS (
+  SELECT l.*, coalesce(k.n_children, 0) AS n_children FROM linked l LEFT JOIN kids k ON k.depth = l.depth AND k.conv_id = l.conv_id
+), summed AS (
+  SELECT p.depth, p.conv_id, sum(CASE WHEN x.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((x.n_convs - 1) * x.words) AS saved_tokens
+  FROM counted x JOIN placed p ON p.member = x.conv_id AND p.depth <= x.depth GROUP BY p.depth, p.conv_id
+)
+SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, c.parent_conv_id, c.n_convs, c.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN summed s ON s.depth = c.depth AND s.conv_id = c.conv_id
+"""
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontamination": op2_decontamination,
@@ -234,6 +285,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_pii": op9_pii,
     "op10_line_dedup": op10_line_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_periodic_runs": op12_periodic_runs,
 }
-ORACLES = {"op2_decontamination": OP2_SQL, "op5_mixing": OP5_SQL, "op7_secrets": _op7_sql(), "op10_line_dedup": OP10_SQL}
+ORACLES = {"op2_decontamination": OP2_SQL, "op5_mixing": OP5_SQL, "op7_secrets": _op7_sql(), "op10_line_dedup": OP10_SQL, "op11_prefix_trie": OP11_SQL}
