@@ -113,6 +113,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), looped)
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.substring_dedup import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
 def _words(text: str) -> str:
     return rf"list_filter(string_split(regexp_replace(lower(coalesce({text}, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '')"
 
@@ -240,7 +246,8 @@ def _crc32(number: str) -> str:
 OP11_SQL = rf"""
 WITH own AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place,
-         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS words
   FROM conversations WHERE conv_id IS NOT NULL
 ), conv AS (
   SELECT conv_id, {_crc32("conv_id")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM own)
@@ -274,6 +281,25 @@ SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, c.parent_conv_id, c.n_convs,
 FROM counted c JOIN summed s ON s.depth = c.depth AND s.conv_id = c.conv_id
 """
 
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), words AS (
+  SELECT doc_id, w, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d
+), windows AS (
+  SELECT doc_id, k, CASE WHEN k + 12 <= len(w) THEN array_to_string(w[k : k + 12], ' ') END AS grams, word FROM words
+), least AS (
+  SELECT grams, min(doc_id) AS first_doc FROM windows WHERE grams IS NOT NULL GROUP BY grams
+), marked AS (
+  SELECT w.doc_id, w.k, w.word, max(CASE WHEN l.first_doc < w.doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY w.doc_id ORDER BY w.k ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+  FROM windows w LEFT JOIN least l ON l.grams = w.grams
+), kept AS (
+  SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (WHERE gone = 0) AS kept FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontamination": op2_decontamination,
@@ -287,5 +313,6 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_substring_dedup": op13_substring_dedup,
 }
-ORACLES = {"op2_decontamination": OP2_SQL, "op5_mixing": OP5_SQL, "op7_secrets": _op7_sql(), "op10_line_dedup": OP10_SQL, "op11_prefix_trie": OP11_SQL}
+ORACLES = {"op2_decontamination": OP2_SQL, "op5_mixing": OP5_SQL, "op7_secrets": _op7_sql(), "op10_line_dedup": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_substring_dedup": OP13_SQL}
