@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 KINDS = ("email", "ip", "iban", "date", "ssn", "phone", "card")
 #: One expression for all kinds; KIND_PATTERNS tells them apart afterwards. No alternative can start inside a longer run.
-_MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+"
+#: Java's matcher calls itself once for each turn of a repeated group, so every such repeat is bounded: a host
+#: name has 127 labels at most, and what follows them is left as it is.
+_MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,}+"
 _IP = r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 _DATE = r"(?<![0-9A-Za-z.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./](?:19|20)[0-9]{2})(?:(?=T[0-9]{2}:[0-9]{2})|(?![0-9A-Za-z-]))"
 _SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
@@ -73,7 +75,12 @@ def permuted(text: Column, key: Column | str, kind: str) -> Column:
     n = F.length(text)
     half = F.floor(n / 2).cast("int")
     start = F.struct(F.substr(text, F.lit(1), half).alias("a"), F.substr(text, half + 1, n).alias("b"))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, r: F.struct(s["b"].alias("a"), _moved(s["a"], _stream(key, kind, r, n, s["b"])).alias("b")))
+
+    def turned(s: Column, r: Column) -> Column:
+        # bound to a variable, so that the stream is hashed once a round, not once a character
+        return F.aggregate(F.array(_stream(key, kind, r, n, s["b"])), F.lit(""), lambda _, stream: _moved(s["a"], stream))
+
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, r: F.struct(s["b"].alias("a"), turned(s, r).alias("b")))
     return F.concat(done["a"], done["b"])
 
 

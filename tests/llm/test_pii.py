@@ -191,3 +191,21 @@ def test_key_of_the_setting(spark):
     spark.conf.set(PII_KEY, "own")
     assert pii_key(spark) == "own"
     spark.conf.unset(PII_KEY)
+
+
+def test_no_text_ends_an_executor(spark):
+    """Repeats of a million: host labels, digits in groups, @ and blanks, one long local part; a value after each is still found."""
+    n = 1_000_000
+    mail = "jane.doe@mail.example.org"
+    long = ["x@" + "a1." * n, "x@" + "label." * n, "@" * n, "a@" * n, "1234 " * n, "12-" * n, "1." * n, "(555) " * (n // 4), " " * n, "a" * n + "@b.org", "+1" * n, "DE12 " * (n // 10), "." * n, "x@y" + "." * n]
+    df = spark.createDataFrame([(k, f"{x} {mail} .") for k, x in enumerate(long)], "doc_id long, text string").repartition(len(long))
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").select("doc_id", "n_email", F.length("text").alias("n"), F.col("text").contains(mail).alias("there")).collect()}
+    assert all(r.n_email >= 1 and not r.there and r.n == len(long[k]) + len(mail) + 3 for k, r in got.items())
+    assert len(got) == len(long)
+
+
+def test_hosts_of_many_labels(spark):
+    hosts = ["b." * k + "org" for k in (1, 2, 126, 127, 200)]
+    rows = spark.createDataFrame([(k, f"to a@{h}") for k, h in enumerate(hosts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(rows, "k").collect()}
+    assert [got[k].n_email for k in range(5)] == [1, 1, 1, 0, 0]
