@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.arrays import doubles, pair_features, total
+from quillmark.plans.prefix import bucketed
 
 
 def column_stats(df: DataFrame, features: str, population: bool = False) -> DataFrame:
@@ -57,11 +58,21 @@ def feature_kind(kind: str, image: str = "clip_image", text: str = "clip_text")
     return F.concat(*parts)
 
 
-def exponential_moments(df: DataFrame, key: str, step: str, mean: str, variance: str, momentum: float = 0.1) -> DataFrame:
-    """(key, mean, variance): running moments folded in the order of `step`, from 0 and 1. One key's steps are one row: for histories."""
-    history = F.array_sort(F.collect_list(F.struct(F.col(step).alias("step"), F.col(mean).alias("m"), F.col(variance).alias("v"))))
-    folded = F.aggregate(history, F.struct(F.lit(0.0).alias("m"), F.lit(1.0).alias("v")), lambda s, x: F.struct((s["m"] * (1 - momentum) + x["m"] * momentum).alias("m"), (s["v"] * (1 - momentum) + x["v"] * momentum).alias("v")))
-    return df.groupBy(key).agg(folded.alias("r")).select(key, F.col("r.m").alias("mean"), F.col("r.v").alias("variance"))
+def exponential_moments(df: DataFrame, key: str, step: str, mean: str, variance: str, momentum: float = 0.1, buckets: int | None = None) -> DataFrame:
+    """(key, mean, variance): running moments folded in the order of `step` (a number), from 0 and 1.
+
+    A step is the map s -> (1 - momentum) s + momentum x, and maps of steps in a row compose to one such map. Steps are dealt into
+    buckets of their order; inside a bucket a key's steps become one map, by their ranks from the bucket's end, and a key's maps, as
+    many as buckets, are applied in order. So a key's history is no row of its own and lies in many tasks.
+    """
+    keep = 1 - momentum
+    dealt = bucketed(df.where(F.col(step).isNotNull()), step, buckets)
+    back = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(F.col(step).desc(), mean, variance)) - 1
+    shares = dealt.withColumn("_share", F.lit(momentum) * F.pow(F.lit(keep), back))
+    maps = shares.groupBy(key, "_bucket").agg(F.pow(F.lit(keep), F.count(F.lit(1))).alias("a"), F.sum(F.col("_share") * F.col(mean)).alias("m"), F.sum(F.col("_share") * F.col(variance)).alias("v"))
+    ordered = F.array_sort(F.collect_list(F.struct("_bucket", "a", "m", "v")))
+    folded = F.aggregate(ordered, F.struct(F.lit(0.0).alias("m"), F.lit(1.0).alias("v")), lambda s, x: F.struct((s["m"] * x["a"] + x["m"]).alias("m"), (s["v"] * x["a"] + x["v"]).alias("v")))
+    return maps.groupBy(key).agg(folded.alias("r")).select(key, F.col("r.m").alias("mean"), F.col("r.v").alias("variance"))
 
 
 def length_stats(rows: DataFrame, length: str, by: str, limit: int) -> DataFrame:
@@ -72,8 +83,6 @@ def length_stats(rows: DataFrame, length: str, by: str, limit: int) -> DataFrame
 
 def early_stop(history: DataFrame, run: str, epoch: str, metric: str, patience: int) -> DataFrame:
     """(run, best_epoch, best, stopped): the best epoch before `patience` epochs bring nothing better, by windows over each run's history."""
-    from pyspark.sql import Window
-
     past = Window.partitionBy(run).orderBy(epoch)
     so_far = F.max(metric).over(past.rowsBetween(Window.unboundedPreceding, -1))
     better = history.withColumn("_up", so_far.isNull() | (F.col(metric) > so_far))

@@ -1,56 +1,99 @@
 """Hamming-radius joins over 64-bit fingerprints (signed longs), exact at every radius.
 
-Small radii use the pigeonhole principle: of radius + 1 bands of the bits at least one is equal, so
-an equi-join on (band, value) finds all pairs, and the distance verifies them. Copies of a
-fingerprint are joined once: pairs are of distinct fingerprints, and membership tells the rows.
-Wide radii have no selective band. There, one side is broadcast if its measured size allows;
-otherwise both are cut into square tiles, so that no task meets more than two blocks.
+The bits are cut into parts, and the radius is shared out over them: of m parts with radius r = a m + b, either one of
+the first b + 1 differs in a bits at most, or one of the others in a - 1. So one side stands once under each of
+its parts' values, the other asks for all values within the part's radius, and an equi-join on (part, value) finds
+every pair. How many parts pays depends on the number of fingerprints: many parts ask for little and meet much, few
+parts the other way round; `best_parts` takes the least sum. With a part for each bit of radius and one more this is plain banding.
+A pair is given by the first part that finds it, so nothing is made distinct afterwards. Copies of a fingerprint are
+joined once: pairs are of distinct fingerprints, and membership tells the rows.
+
+Where even the best parts would meet more than all fingerprints (few of them, or a radius that most pairs are within)
+both sides are cut into square tiles, so that no task meets more than two blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import combinations
+from math import comb
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.hashes import hamming
 from quillmark.plans.sizing import shuffle_partitions
 from quillmark.plans.staging import staged
 
-#: Above this radius bands are too narrow to select.
-MOST_BANDED = 8
-BROADCAST_ROWS = 500_000
+#: Values that a fingerprint asks for under one part, at most.
+MOST_ASKED = 1 << 13
+Part = tuple[int, int, int]
 
 
-def bands(fingerprint: str, radius: int):
-    """An array of (band, value) that covers the 64 bits."""
-    n, out, at = radius + 1, [], 0
-    for k in range(n):
-        width = (64 - at) // (n - k)
-        value = F.shiftrightunsigned(fingerprint, at)
-        value = value.bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else value
-        out.append(F.struct(F.lit(k).alias("band"), value.alias("value")))
+def cut(radius: int, parts: int) -> list[Part]:
+    """(first bit, bits, radius) of each part that is asked for."""
+    own, more = divmod(radius, parts)
+    out, at = [], 0
+    for k in range(parts):
+        width = (64 - at) // (parts - k)
+        out.append((at, width, own if k <= more else own - 1))
         at += width
-    return F.array(*out)
+    return [p for p in out if p[2] >= 0]
 
 
-def pairs_within(left: DataFrame, right: DataFrame, radius: int, fingerprint: str = "fp") -> DataFrame:
-    """(a, b, distance) of the distinct fingerprints of both sides within `radius`."""
-    a = left.select(F.col(fingerprint).alias("a")).where("a IS NOT NULL").distinct()
-    b = right.select(F.col(fingerprint).alias("b")).where("b IS NOT NULL").distinct()
-    distance = hamming(F.col("a"), F.col("b"))
-    if radius <= MOST_BANDED:
-        x = a.select("a", F.explode(bands("a", radius)).alias("k")).select("a", "k.*")
-        y = b.select("b", F.explode(bands("b", radius)).alias("k")).select("b", "k.*")
-        near = x.join(y, ["band", "value"]).select("a", "b", distance.alias("distance")).where(F.col("distance") <= radius)
-        return near.distinct()
-    rows = b.limit(BROADCAST_ROWS + 1).count()
-    if rows <= BROADCAST_ROWS:
-        return a.join(F.broadcast(b), distance <= radius).select("a", "b", distance.alias("distance"))
-    side = max(2, int(shuffle_partitions(left.sparkSession) ** 0.5))
+def asked(width: int, radius: int) -> int:
+    return sum(comb(width, k) for k in range(min(radius, width) + 1))
+
+
+def best_parts(radius: int, n: int) -> list[Part] | None:
+    """The parts by which a fingerprint meets the fewest of `n` others; None if that is more than all of them."""
+    tried = [cut(radius, m) for m in range(1, min(radius + 1, 32) + 1)]
+    cost = lambda parts: sum(asked(w, r) * (1 + n / 2.0**w) for _, w, r in parts)
+    best = min((p for p in tried if all(asked(w, r) <= MOST_ASKED for _, w, r in p)), key=cost, default=None)
+    return best if best and cost(best) < max(n, 2) else None
+
+
+def _value(fingerprint: str, part: Part) -> Column:
+    at, width, _ = part
+    value = F.shiftrightunsigned(fingerprint, at)
+    return value.bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else value
+
+
+def _turned(width: int, radius: int) -> Column:
+    """All numbers of `width` bits with `radius` ones at most, as one constant array."""
+    numbers = (sum(1 << b for b in bits) for k in range(min(radius, width) + 1) for bits in combinations(range(width), k))
+    return F.split(F.lit(",".join(str(x - (1 << 64) if x >> 63 else x) for x in numbers)), ",").cast("array<bigint>")
+
+
+def _asked_values(k: int, part: Part) -> Column:
+    return F.transform(_turned(part[1], part[2]), lambda m: F.struct(F.lit(k).alias("part"), _value("a", part).bitwiseXOR(m).alias("value")))
+
+
+def _by_parts(a: DataFrame, b: DataFrame, radius: int, parts: list[Part]) -> DataFrame:
+    asks = F.concat(*(_asked_values(k, p) for k, p in enumerate(parts)))
+    stands = F.array(*(F.struct(F.lit(k).alias("part"), _value("b", p).alias("value")) for k, p in enumerate(parts)))
+    x = a.select("a", F.explode(asks).alias("k")).select("a", "k.*")
+    y = b.select("b", F.explode(stands).alias("k")).select("b", "k.*")
+    met = x.join(y, ["part", "value"]).withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= radius)
+    first = F.lit(len(parts))
+    for k, p in reversed(list(enumerate(parts))):
+        first = F.when(F.bit_count(_value("a", p).bitwiseXOR(_value("b", p))) <= p[2], k).otherwise(first)
+    return met.where(F.col("part") == first).select("a", "b", "distance")
+
+
+def _by_tiles(a: DataFrame, b: DataFrame, radius: int) -> DataFrame:
+    side = max(2, int(shuffle_partitions(a.sparkSession) ** 0.5))
     tile = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
     x = a.select("a", tile("a").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("j"))
     y = b.select("b", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("i"), tile("b").alias("j"))
-    return x.join(y, ["i", "j"]).select("a", "b", distance.alias("distance")).where(F.col("distance") <= radius)
+    return x.join(y, ["i", "j"]).select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance")).where(F.col("distance") <= radius)
+
+
+def pairs_within(left: DataFrame, right: DataFrame, radius: int, fingerprint: str = "fp", parts: list[Part] | None = None) -> DataFrame:
+    """(a, b, distance) of the distinct fingerprints of both sides within `radius`. `parts` overrules the choice by size."""
+    a = left.select(F.col(fingerprint).alias("a")).where("a IS NOT NULL").distinct()
+    b = right.select(F.col(fingerprint).alias("b")).where("b IS NOT NULL").distinct()
+    parts = parts or best_parts(radius, b.count())
+    return _by_parts(a, b, radius, parts) if parts else _by_tiles(a, b, radius)
 
 
 def near_pairs(rows: DataFrame, radius: int, key: str, fingerprint: str = "fp") -> DataFrame:
@@ -62,13 +105,13 @@ def near_pairs(rows: DataFrame, radius: int, key: str, fingerprint: str = "fp")
     return y.select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"), "distance")
 
 
-def near_classes(rows: DataFrame, radius: int, key: str, fingerprint: str = "fp") -> DataFrame:
+def near_classes(rows: DataFrame, radius: int, key: str, fingerprint: str = "fp", parts: list[Part] | None = None) -> DataFrame:
     """(key, class, links) of every row: the least key with its fingerprint, and how many other fingerprints are within `radius`.
 
     Nothing is expanded into pairs of rows, so copies cost one row each.
     """
     own = rows.select(F.col(key), F.col(fingerprint).alias("_f"))
-    near = pairs_within(rows, rows, radius, fingerprint).where("a <> b").groupBy(F.col("a").alias("_a")).agg(F.count(F.lit(1)).alias("links"))
+    near = pairs_within(rows, rows, radius, fingerprint, parts).where("a <> b").groupBy(F.col("a").alias("_a")).agg(F.count(F.lit(1)).alias("links"))
     classes = own.groupBy(F.col("_f").alias("_g")).agg(F.min(key).alias("class"))
     named = classes.join(near, F.col("_g") == F.col("_a"), "left").select("_g", "class", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
     return own.join(named, F.col("_f").eqNullSafe(F.col("_g")), "left").select(key, "class", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
@@ -83,17 +126,21 @@ def without_near(rows: DataFrame, protected: DataFrame, radius: int, fingerprint
 def nearest_distance(rows: DataFrame, key: str, fingerprint: str = "fp") -> DataFrame:
     """(key, nearest): the least distance to any other row, null for a row that is alone.
 
-    Radii grow: copies first, then bands of 2, 4 and 8 bits, each for the fingerprints that have found nothing yet; only those
-    that have nothing within 8 bits are compared with all.
+    Radii grow: copies first, then wider ones, each for the fingerprints that have found nothing yet. Once
+    meeting all is cheaper than the parts of a radius, the rest, few by then, meets all.
     """
     own = rows.select(F.col(key), F.col(fingerprint).alias("_f"))
     counted = own.groupBy("_f").agg(F.count(F.lit(1)).alias("_n"))
     all_ = staged(counted.select(F.col("_f").alias(fingerprint)), "nearest-all")
+    n = all_.count()
     found = staged(counted.where("_n > 1 AND _f IS NOT NULL").select(F.col("_f").alias("a"), F.lit(0).alias("nearest")), "nearest")
-    for radius in (2, 4, MOST_BANDED, 64):
+    for radius in (2, 4, 8, 12, 16, 20, 64):
+        parts = best_parts(radius, n)
         left = all_.join(found, F.col(fingerprint) == F.col("a"), "left_anti")
-        more = pairs_within(left, all_, radius, fingerprint).where("a <> b").groupBy("a").agg(F.min("distance").cast("int").alias("nearest"))
+        more = pairs_within(left, all_, radius if parts else 64, fingerprint, parts).where("a <> b").groupBy("a").agg(F.min("distance").cast("int").alias("nearest"))
         found = staged(found.unionByName(more), "nearest")
+        if not parts:
+            break
     return own.join(found, F.col("_f") == F.col("a"), "left").select(key, "nearest")
 
 

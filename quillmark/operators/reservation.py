@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.operators.neardup import without_near
 from quillmark.operators.selection import shuffled
+from quillmark.plans.prefix import bucketed, running
+from quillmark.plans.sizing import shuffle_partitions
 from quillmark.plans.staging import staged
 
 
@@ -43,18 +45,58 @@ def reserved(rows: DataFrame, targets: dict[str, int], key: str, cells: list[str
     return taken
 
 
-def weighted_draws(rows: DataFrame, weight: str, expected: int, key: str, seed: int, epoch: int = 0) -> DataFrame:
-    """Draws with replacement, `expected` rows in the mean, as many copies of a row as its hash says: repeatable, without a driver loop.
+def uniform_draws(spark: SparkSession, n: int, seed: int, epoch: int = 0) -> DataFrame:
+    """(draw, u): `n` keyed uniform numbers of 52 bits, the same whenever a task runs again."""
+    text = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col("id").cast("string")).cast("binary"))
+    return spark.range(n).select(F.col("id").alias("draw"), F.conv(F.substring(text, 1, 13), 16, 10).cast("long").alias("u"))
 
-    The copies of a row are whole parts of its expected count and one more with the chance of the rest.
+
+#: Weights are whole parts of the largest one, so that sums don't depend on their order.
+PARTS = 1 << 30
+
+
+def weighted_draws(rows: DataFrame, weight: str, draws: int, key: str, seed: int, epoch: int = 0, cells: int | None = None) -> DataFrame:
+    """`draws` rows drawn with replacement by their weights, exactly so many; adds `draw`, from 0. An epoch draws anew.
+
+    Every row has an interval of the line from 0 to the weights' sum, in the order of `key` (a unique number), and each
+    draw is a keyed uniform point on it. Interval starts are running sums over buckets of rows. The line is also cut
+    into cells of one width; a row that covers several stands at the beginning of each. Draws meet the rows of their
+    bucket and cell by a sort and take the last row that starts before them: no pairs are made, a bucket has about
+    as many rows as any other and a cell as many draws, also where one row has most of the weight. Rows of weight null, zero
+    or less are never drawn; without any other row, draws are an error.
     """
-    mass = F.broadcast(rows.agg(F.sum(weight).alias("_mass")))
-    mean = F.col(weight) * F.lit(float(expected)) / F.col("_mass")
-    u = F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    times = (F.floor(mean) + F.when(u < mean - F.floor(mean), 1).otherwise(0)).cast("int")
-    return rows.crossJoin(mass).withColumn("_times", times).where("_times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times", "_mass")
+    largest = rows.agg(F.max(weight)).first()[0]
+    if not draws:
+        return rows.limit(0).withColumn("draw", F.lit(None).cast("long"))
+    if not largest or largest <= 0:
+        raise ValueError("no row has a weight")
+    n = cells or 2 * shuffle_partitions(rows.sparkSession)
+    parts = rows.where(F.col(weight) > 0).select(F.col(key).alias("_key"), F.greatest(F.floor(F.col(weight) / F.lit(float(largest)) * PARTS), F.lit(1)).cast("long").alias("_parts"))
+    placed = staged(bucketed(running(parts, "_key", ["_parts"]), "_key"), "draw-intervals")
+    starts = [(r[0], r[1], r[2]) for r in placed.groupBy("_bucket").agg(F.min("_parts_before"), F.max(F.col("_parts_before") + F.col("_parts"))).orderBy("_bucket").collect()]
+    whole = starts[-1][2]
+    width = F.lit(-(-whole // n))
+    cell = lambda at: F.expr(f"{at} div {-(-whole // n)}")
+    end = placed.withColumn("_end", F.col("_parts_before") + F.col("_parts") - 1)
+    held = end.withColumn("_cell", F.explode(F.sequence(cell("_parts_before"), cell("_end")))).select("_bucket", "_cell", F.greatest("_parts_before", F.col("_cell") * width).alias("_at"), F.lit(0).alias("_kind"), "_key", F.lit(None).cast("long").alias("draw"))
+    point = F.expr(f"(cast(u as decimal(18,0)) * cast({whole} as decimal(20,0))) div cast({1 << 52} as decimal(18,0))")
+    points = uniform_draws(rows.sparkSession, draws, seed, epoch).select("draw", point.alias("_at"))
+    bucket = F.element_at(F.array(*(F.lit(b) for b, _, _ in starts)), F.greatest(F.size(F.filter(F.array(*(F.lit(s).cast("long") for _, s, _ in starts)), lambda s: s <= F.col("_at"))), F.lit(1)))
+    thrown = points.withColumn("_bucket", bucket).withColumn("_cell", cell("_at")).select("_bucket", "_cell", "_at", F.lit(1).alias("_kind"), F.lit(None).cast(placed.schema["_key"].dataType).alias("_key"), "draw")
+    line = Window.partitionBy("_bucket", "_cell").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = held.unionByName(thrown).withColumn("_key", F.last("_key", ignorenulls=True).over(line)).where("_kind = 1").select("_key", "draw")
+    return met.join(rows, met["_key"] == rows[key]).select(*(rows[c] for c in rows.columns), "draw")
 
 
 def draw_audit(drawn: DataFrame, keys: list[str]) -> DataFrame:
-    """What an epoch drew: rows and distinct ids by `keys`."""
+    """What an epoch drew: rows by `keys`."""
     return drawn.groupBy(*keys).agg(F.count(F.lit(1)).alias("drawn"))
+
+
+def draw_report(rows: DataFrame, weight: str, draws: int, key: str, seed: int, epochs: int, keys: list[str]) -> DataFrame:
+    """The audit of several epochs: (epoch, keys, drawn, distinct rows drawn)."""
+    every = None
+    for epoch in range(epochs):
+        own = weighted_draws(rows, weight, draws, key, seed, epoch).withColumn("epoch", F.lit(epoch))
+        every = own if every is None else every.unionByName(own)
+    return every.groupBy("epoch", *keys).agg(F.count(F.lit(1)).alias("drawn"), F.count_distinct(key).alias("distinct_rows"))

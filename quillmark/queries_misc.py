@@ -206,13 +206,40 @@ def holdout_sizes(spark, folder):
     return train.agg(F.count(F.lit(1)).alias("training")).crossJoin(target.agg(F.count(F.lit(1)).alias("target")))
 
 
-@query("weighted_draws")
+_DRAWN = f"""WITH {SCORED_SQL}, w AS (SELECT doc_id, label, CAST(CASE WHEN label = 0 THEN 4 ELSE 1 END AS DOUBLE) AS w FROM scored), p AS (SELECT doc_id, label, greatest(CAST(floor(w / (SELECT max(w) FROM w) * 1073741824) AS BIGINT), 1) AS parts FROM w),
+c AS (SELECT doc_id, label, CAST(sum(parts) OVER (ORDER BY doc_id) AS HUGEINT) AS upto FROM p), e AS (SELECT unnest([0, 1, 2]) AS epoch), d AS (SELECT epoch, i AS draw, md5('3:' || epoch || ':' || i) AS h FROM e, range((SELECT count(*) FROM documents)) t(i)),
+t AS (SELECT epoch, draw, (list_reduce(list_transform(range(1, 14), lambda k: CAST(strpos('0123456789abcdef', h[k]) - 1 AS HUGEINT)), lambda x, y: x * 16 + y) * (SELECT CAST(sum(parts) AS HUGEINT) FROM p)) // 4503599627370496 AS at FROM d),
+drawn AS (SELECT t.epoch, t.draw, c.doc_id, c.label FROM t ASOF JOIN c ON t.at < c.upto)"""
+
+
+def _weighted(spark, folder):
+    return scored(spark, folder).withColumn("w", F.when(F.col("label") == 0, 4.0).otherwise(1.0))
+
+
+@query("weighted_draws", f"{_DRAWN} SELECT label, count(*) AS drawn FROM drawn WHERE epoch = 0 GROUP BY label")
 def weighted_draws(spark, folder):
+    """An epoch as long as the table."""
     from quillmark.operators.reservation import draw_audit
     from quillmark.operators.reservation import weighted_draws as draws
 
-    s = scored(spark, folder).withColumn("w", F.when(F.col("label") == 0, 4.0).otherwise(1.0))
-    return draw_audit(draws(s, "w", 400, "doc_id", 3), ["label"])
+    s = _weighted(spark, folder)
+    return draw_audit(draws(s, "w", s.count(), "doc_id", 3), ["label"])
+
+
+@query("weighted_draw_rows", f"{_DRAWN} SELECT draw, doc_id, label FROM drawn WHERE epoch = 1")
+def weighted_draw_rows(spark, folder):
+    from quillmark.operators.reservation import weighted_draws as draws
+
+    s = _weighted(spark, folder)
+    return draws(s, "w", s.count(), "doc_id", 3, epoch=1).select("draw", "doc_id", "label")
+
+
+@query("draw_report", f"{_DRAWN} SELECT epoch, label, count(*) AS drawn, count(DISTINCT doc_id) AS distinct_rows FROM drawn GROUP BY epoch, label")
+def draw_report(spark, folder):
+    from quillmark.operators import reservation
+
+    s = _weighted(spark, folder)
+    return reservation.draw_report(s, "w", s.count(), "doc_id", 3, 3, ["label"])
 
 
 @query("midpoint_ridge")

@@ -231,6 +231,23 @@ def hamming_banded(spark, folder):
     return neardup.near_pairs(_with_near_copies(spark, folder), 4, "vec_id")
 
 
+def _classes_sql(fingerprints, radius):
+    """One row a vector: the least id with its fingerprint, and how many other fingerprints are within the radius."""
+    return f"""WITH {fingerprints}, g AS (SELECT fp, min(vec_id) AS class FROM fp GROUP BY fp), l AS (SELECT a.fp, count(*) AS links FROM g a JOIN g b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= {radius} GROUP BY a.fp)
+SELECT fp.vec_id, g.class, coalesce(l.links, 0) AS links FROM fp JOIN g ON g.fp = fp.fp LEFT JOIN l ON l.fp = fp.fp"""
+
+
+@query("hamming_classes_4", _classes_sql(_COPIED, 4))
+def hamming_classes_4(spark, folder):
+    return neardup.near_classes(_with_near_copies(spark, folder), 4, "vec_id")
+
+
+@query("hamming_classes_18", _classes_sql(_BITS.format(n=64), 18))
+def hamming_classes_18(spark, folder):
+    """By four parts, whose neighbours within four bits are asked for, whatever the size of the table."""
+    return neardup.near_classes(_fingerprints(spark, folder), 18, "vec_id", parts=neardup.cut(18, 4))
+
+
 @query("hamming_min_cross", f"WITH {_BITS.format(n=64)} SELECT a.vec_id, CAST(min(bit_count(xor(a.fp, b.fp))) AS INTEGER) AS nearest FROM fp a JOIN fp b ON a.vec_id <> b.vec_id GROUP BY a.vec_id")
 def hamming_min_cross(spark, folder):
     return neardup.nearest_distance(_fingerprints(spark, folder), "vec_id")
@@ -451,14 +468,37 @@ def cluster_stats(spark, folder):
     return s.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("n") > 1).alias("multi"), F.max("n").alias("largest"))
 
 
-@query("cluster_split")
+#: One cluster after another, each where the largest share of a quota is least; then kinds of clusters are dealt by ranks.
+_GREEDY = f"""{_RECORDS}, {_EDGES}, cl AS (SELECT c.cluster, r."group" AS g, count(*) AS n FROM comp c JOIN records r ON r.doc_id = c.doc_id GROUP BY 1, 2),
+prof AS (SELECT cluster, string_agg(g || '=' || n, ',' ORDER BY g) AS profile, CAST(sum(n) AS BIGINT) AS size FROM cl GROUP BY cluster),
+ord AS (SELECT *, row_number() OVER (ORDER BY size DESC, profile, md5('42:' || CAST(cluster AS VARCHAR)), cluster) AS i, row_number() OVER (PARTITION BY profile ORDER BY md5('42:' || CAST(cluster AS VARCHAR)), cluster) AS k FROM prof),
+gs AS (SELECT "group" AS g, CAST(count(*) AS DOUBLE) AS n FROM records GROUP BY 1),
+vec AS (SELECT o.i, o.size, list(CAST(coalesce(cl.n, 0) AS DOUBLE) ORDER BY gs.g) AS c FROM ord o CROSS JOIN gs LEFT JOIN cl ON cl.cluster = o.cluster AND cl.g = gs.g GROUP BY o.i, o.size),
+quo AS (SELECT [list(0.7::DOUBLE * n ORDER BY g), list(0.15::DOUBLE * n ORDER BY g), list(0.15::DOUBLE * n ORDER BY g)] AS q FROM gs),
+walked(i, have, total, pick) AS (
+  SELECT CAST(0 AS BIGINT), list_transform(q, lambda x: list_transform(x, lambda y: CAST(0 AS DOUBLE))), [CAST(0 AS BIGINT), 0, 0], CAST(0 AS BIGINT) FROM quo
+  UNION ALL
+  SELECT i + 1, list_transform([1, 2, 3], lambda p: CASE WHEN p = best THEN list_transform(range(1, len(c) + 1), lambda g: have[p][g] + c[g]) ELSE have[p] END),
+         list_transform([1, 2, 3], lambda p: total[p] + CASE WHEN p = best THEN size ELSE 0 END), CAST(best AS BIGINT)
+  FROM (SELECT w.i, w.have, w.total, v.c, v.size, list_min(list_transform([1, 2, 3], lambda p: {{'f': list_max(list_transform(range(1, len(v.c) + 1), lambda g: CASE WHEN v.c[g] > 0 THEN (w.have[p][g] + v.c[g]) / quo.q[p][g] END)), 't': w.total[p], 'p': p}})).p AS best
+        FROM walked w JOIN vec v ON v.i = w.i + 1, quo)
+), given AS (SELECT o.profile, count(*) FILTER (WHERE w.pick = 1) AS a, count(*) FILTER (WHERE w.pick <= 2) AS b FROM ord o JOIN walked w ON w.i = o.i GROUP BY o.profile),
+placed AS (SELECT o.cluster, CASE WHEN o.k <= n.a THEN 'train' WHEN o.k <= n.b THEN 'val' ELSE 'test' END AS split FROM ord o JOIN given n ON n.profile = o.profile)"""
+
+
+@query("cluster_split", f"WITH RECURSIVE {_GREEDY} SELECT c.doc_id, c.cluster, p.split FROM comp c JOIN placed p ON p.cluster = c.cluster")
 def cluster_split(spark, folder):
     return selection.split_clusters(_clusters(spark, folder), "cluster", "group").select("doc_id", "cluster", "split")
 
 
-@query("cluster_split_leaks", "SELECT 'x' AS \"check\", 'x' AS key, 'x' AS detail WHERE false")
+@query("cluster_split_leaks", f"""WITH RECURSIVE {_GREEDY}, moved AS (SELECT r.text_key, r.image_key, c.cluster, CASE WHEN c.doc_id % 9 = 4 THEN 'test' ELSE p.split END AS split FROM comp c JOIN placed p ON p.cluster = c.cluster JOIN records r ON r.doc_id = c.doc_id),
+l AS (SELECT 'text_key' AS c, text_key AS v, split FROM moved UNION ALL SELECT 'image_key', image_key, split FROM moved UNION ALL SELECT 'cluster', CAST(cluster AS VARCHAR), split FROM moved)
+SELECT 'leak' AS "check", c || '=' || v AS key, min(split) || ',' || max(split) AS detail FROM l GROUP BY c, v HAVING min(split) <> max(split)""")
 def cluster_split_leaks(spark, folder):
-    return quality.leaks(selection.split_clusters(_clusters(spark, folder), "cluster", "group"), ["text_key", "image_key", "cluster"])
+    """Every ninth row is moved to test, whatever its cluster, so that the check has something to find: leaks there, and none besides."""
+    split = selection.split_clusters(_clusters(spark, folder), "cluster", "group")
+    moved = split.withColumn("split", F.when(F.col("doc_id") % 9 == 4, "test").otherwise(F.col("split")))
+    return quality.leaks(moved, ["text_key", "image_key", "cluster"])
 
 
 # --- checks; `split` by the id, so that they have something to find
