@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType
+from pyspark.sql.types import ArrayType, FloatType
+
+from quillmark.functions import arrays
 
 #: Columns that tell the answer, or where it came from.
 NEVER_INPUT = frozenset("label label_binary label_index scenario group raw_label subcategory source split image_path rule".split())
@@ -31,28 +32,32 @@ def encoded(rows: DataFrame, make: Callable[[], Callable[..., np.ndarray]], inpu
     return rows.withColumn(name, predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=batch, input_tensor_shapes=shapes)(*inputs))
 
 
-def residual_head(parameters: dict[str, np.ndarray]):
-    """Vectors -> class probabilities of a linear skip plus one hidden layer of rectified units.
-
-    Both layers are one matrix each: the first gives skip and hidden units side by side, the second passes the former on
-    and weighs the latter.
-    """
-    p = {k: np.asarray(v, float) for k, v in parameters.items()}
-    classes = len(p["skip.bias"])
-    into = np.vstack([p["skip.weight"], p["hidden.weight"]])
-    shift = np.concatenate([p["skip.bias"] + p["output.bias"], p["hidden.bias"]])
-    floor = np.concatenate([np.full(classes, -np.inf), np.zeros(len(p["hidden.bias"]))])
-    onward = np.hstack([np.eye(classes), p["output.weight"]])
-
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def run(vectors: pd.Series) -> pd.Series:
-        if vectors.empty:
-            return vectors
-        scores = np.clip(np.einsum("nd,hd->nh", np.vstack(vectors.to_list()), into, optimize=True) + shift, floor, None) @ onward.T
-        odds = np.exp(scores - scores.max(1, keepdims=True))
-        return pd.Series(list(odds / odds.sum(1, keepdims=True)))
-
-    return run
+def _layer(vectors: Column, units: list[tuple[Column, float]]) -> Column:
+    return F.transform(F.array(arrays.doubles(vectors)), lambda v: F.array(*(arrays.dot(v, w) + b for w, b in units)))[0]
+
+
+def layered_scores(vectors: Column, layers: list[tuple[np.ndarray, np.ndarray]]) -> Column:
+    """Scores of layers of (weights, bias), one after another, rectified in between; for layers small enough for a plan."""
+    for k, (weights, bias) in enumerate(layers):
+        if k:
+            vectors = F.transform(vectors, lambda x: F.greatest(x, F.lit(0.0)))
+        rows = zip(np.asarray(weights, float), np.asarray(bias, float), strict=True)
+        # held in a variable, so that a layer is computed once and not once for each unit of the next
+        units = [(F.array(*(F.lit(float(x)) for x in row)), float(b)) for row, b in rows]
+        vectors = _layer(vectors, units)
+    return vectors
+
+
+def residual_head(parameters: dict[str, np.ndarray]) -> Callable[[Column | str], Column]:
+    """Vectors -> class probabilities of the sum of two heads: a linear one ("skip") and one with a hidden layer ("hidden", "output")."""
+    layer = lambda name: (parameters[f"{name}.weight"], parameters[f"{name}.bias"])
+
+    def probabilities(vectors: Column | str) -> Column:
+        x = F.col(vectors) if isinstance(vectors, str) else vectors
+        heads = F.zip_with(layered_scores(x, [layer("skip")]), layered_scores(x, [layer("hidden"), layer("output")]), lambda a, b: a + b)
+        return F.transform(F.array(heads), arrays.softmax)[0]
+
+    return probabilities
 
 
 def analysis(semantic_fake: Column, mismatch: Column, image_probability: Column, image_threshold: float, fusion: Column | None, classes: tuple[str, ...]) -> Column:

@@ -251,6 +251,24 @@ def midpoint_ridge(spark, folder):
     return spark.createDataFrame([(k, round(float(c), 4)) for k, c in enumerate([*coefficients, intercept])], "position int, coefficient double")
 
 
+def _labelled_vectors(spark, folder):
+    return table(spark, folder, "embeddings").where("label IS NOT NULL").select("vec_id", arrays.doubles(F.col("embedding")).alias("x"), F.pmod("label", F.lit(3)).alias("y"))
+
+
+@query("head_training")
+def head_training(spark, folder):
+    """Loss of each epoch of the residual head over three of four vectors, and the share of the others that it gets right."""
+    from quillmark.functions.models import residual_head
+    from quillmark.operators.heads import train_head
+
+    e = _labelled_vectors(spark, folder)
+    parameters, curve = train_head(e.where("vec_id % 4 <> 0"), "x", "y", "vec_id", 3)
+    held = e.where("vec_id % 4 = 0").withColumn("p", residual_head(parameters)("x"))
+    right = held.agg(F.lit("held_out_accuracy").alias("measure"), F.lit(-1).alias("epoch"), F.round(F.avg((arrays.argmax(F.col("p")) == F.col("y")).cast("double")), 6).alias("value"))
+    losses = spark.createDataFrame([("loss", k, round(x, 6)) for k, x in enumerate(curve)], "measure string, epoch int, value double")
+    return losses.unionByName(right)
+
+
 @query("shortcut_forest")
 def shortcut_forest(spark, folder):
     from quillmark.operators.linear import fake_probability, random_forest
