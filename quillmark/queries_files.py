@@ -12,7 +12,7 @@ from quillmark.functions import arrays, hashes, models, plugins
 from quillmark.operators import audits, filters, neardup, quality
 from quillmark.plans.fixtures import SCORED_SQL, scored
 from quillmark.plans.staging import new_path as _new
-from quillmark.sources import archives, files, images, sinks
+from quillmark.sources import archives, array_files, committed, files, images, sinks, stores
 from quillmark.sources.tables import table
 
 QUERIES: dict = {}
@@ -169,6 +169,32 @@ def fusion_bundle_scan(spark, folder):
     return files.fusion_bundle(e, {"pair": 64}, ("train", "val")).select("sample_id", "scenario")
 
 
+@query("verified_features", "SELECT CAST(vec_id AS VARCHAR) AS sample_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM embeddings")
+def verified_features(spark, folder):
+    """One condition of a store, its rows held against the hash that was stored with them."""
+    store = _new(spark, "features")
+    e = table(spark, folder, "embeddings").select(F.col("vec_id").cast("string").alias("sample_id"), arrays.doubles(F.col("embedding")).alias("features"))
+    sinks.write_features(e, store, "clip", "news", "clean", {"source": folder})
+    rows = sinks.verified_features(spark, store, "clip", "news", "clean")
+    return rows.select("sample_id", F.round(arrays.total(F.col("features")), 5).alias("total"))
+
+
+@query("array_bundle_scan", "SELECT CAST(vec_id AS VARCHAR) AS sample_ids, CASE WHEN vec_id % 4 = 0 THEN 'test' ELSE 'train' END AS split, CAST(vec_id % 5 + 1 AS BIGINT) AS scenario, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM embeddings")
+def array_bundle_scan(spark, folder):
+    """Vectors written as bundles of arrays with provenance, read back by row ranges, every block held against its hash."""
+    e = table(spark, folder, "embeddings").select(F.col("vec_id").cast("string").alias("sample_ids"), F.when(F.col("vec_id") % 4 == 0, "test").otherwise("train").alias("split"), (F.col("vec_id") % 5 + 1).alias("scenario"), F.col("embedding").cast("array<float>").alias("semantic"))
+    path = _new(spark, "bundle")
+    array_files.write_bundles(e, path, {"source": folder})
+    rows = array_files.read_bundles(spark, path, ("sample_ids", "split", "scenario", "semantic"), rows=array_files.BLOCK)
+    return rows.select("sample_ids", "split", "scenario", F.round(arrays.total(arrays.doubles(F.col("semantic"))), 5).alias("total"))
+
+
+@query("committed_write", "SELECT doc_id, md5(text) AS text_md5, lang FROM documents")
+def committed_write(spark, folder):
+    rows = table(spark, folder, "documents").repartition(8, "doc_id")
+    return committed.write_committed(rows, _new(spark, "committed")).select("doc_id", _md5("text").alias("text_md5"), "lang")
+
+
 @query("checked_write", "SELECT doc_id, md5(text) AS text_md5 FROM documents")
 def checked_write(spark, folder):
     back = sinks.write_checked(table(spark, folder, "documents"), _new(spark, "checked"))
@@ -262,6 +288,64 @@ def archive_members(spark, folder):
     return found.select("archive", "member", _md5("content").alias("content_md5"))
 
 
+class _Folders(archives.ArchiveSource):
+    """Archives of documents by language, each cut into two parts in the shared folder, and read there by ranges."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "quillmark_folders"
+
+    def archives(self) -> dict:
+        store, root = stores.opened(self.options["folder"])
+        size = lambda name: store.get_file_info(f"{root}/{name}").size
+        names = sorted({f.rsplit("/", 1)[-1].rsplit(".", 1)[0] for f in stores.listed(self.options["folder"], (".0", ".1"))})
+        return {n: [(f"{n}.{k}", size(f"{n}.{k}")) for k in (0, 1)] for n in names}
+
+    def transport(self):
+        folder = self.options["folder"]
+
+        def read(part: str, start: int, end: int) -> bytes:
+            store, root = stores.opened(folder)
+            with store.open_input_file(f"{root}/{part}") as file:
+                return file.read_at(end - start, start)
+
+        return read
+
+
+def _write_archives(folder: str):
+    """Writes the rows of a group (lang) as an archive of a member for each, cut in two. One group's texts are one task's work: fixture only."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    def run(rows: pa.Table) -> pa.Table:
+        raw, lang = io.BytesIO(), rows.column("lang")[0].as_py()
+        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+            for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
+                z.writestr(f"{'a' if doc_id % 3 else 'b'}/{doc_id}.txt", text)
+        store, root = stores.opened(folder)
+        store.create_dir(root, recursive=True)
+        for k, half in enumerate((raw.getvalue()[: raw.tell() // 3], raw.getvalue()[raw.tell() // 3 :])):
+            with store.open_output_stream(f"{root}/{lang}.{k}") as out:
+                out.write(half)
+        return pa.table({"lang": [lang]})
+
+    return run
+
+
+@query("archive_documents", "SELECT coalesce(lang, 'none') AS archive, 'b/' || doc_id || '.txt' AS member, md5(coalesce(text, '')) AS content_md5 FROM documents WHERE doc_id % 3 = 0")
+def archive_documents(spark, folder):
+    """All documents in archives by language; the members of one folder are asked for, and only they are fetched, an archive by several tasks."""
+    place = _new(spark, "archives")
+    rows = table(spark, folder, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    rows.groupBy("lang").applyInArrow(_write_archives(place), "lang string").count()
+    spark.dataSource.register(_Folders)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    found = spark.read.format("quillmark_folders").option("folder", place).option("bytes", 1 << 16).option("pushdown", "true").load()
+    return found.where(F.col("member").startswith("b/")).select("archive", "member", _md5("content").alias("content_md5"))
+
+
 # --- images and hashes
 
 

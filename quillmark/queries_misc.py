@@ -62,6 +62,31 @@ def rates_all(spark, folder):
     return verdict_rates(verdicts(_all_requests(spark, folder), 0.5))
 
 
+@query("served_verdicts", """WITH r AS (SELECT event_id, ts, event_type AS text, value / 100.0 AS score FROM events UNION ALL SELECT event_id, ts - INTERVAL '90 seconds', event_type, 1.0 - value / 100.0 FROM events WHERE event_id % 5 = 0),
+f AS (SELECT event_id, arg_min(CASE WHEN event_id % 7 = 0 THEN '  ' ELSE text END, ts) AS text, arg_min(score, ts) AS score, min(ts) AS ts FROM r GROUP BY event_id)
+SELECT CAST(event_id AS VARCHAR) AS request_id, ts, CASE WHEN trim(text) = '' THEN 'rejected' WHEN score >= 0.5 THEN 'fake' ELSE 'genuine' END AS verdict, CASE WHEN trim(text) = '' THEN 'empty_text' END AS reason FROM f""")
+def served_verdicts(spark, folder):
+    """All events as requests, answered by a stream that is stopped in the middle and started again.
+
+    Each fifth request comes a second time, 90 seconds earlier by its own time but in a later file.
+    """
+    from quillmark.plans.staging import new_path
+    from quillmark.streaming.serving import answers, serve
+
+    e = table(spark, folder, "events")
+    text = F.when(F.col("event_id") % 7 == 0, "  ").otherwise(F.col("event_type"))
+    once = e.select(F.col("event_id").cast("string").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), text.alias("text"), (F.col("value") / 100.0).alias("score"), F.col("ts").cast("timestamp").alias("_come"))
+    again = once.where(F.col("request_id").cast("long") % 5 == 0).withColumns({"ts": F.col("ts") - F.expr("INTERVAL 90 SECONDS"), "score": 1.0 - F.col("score")})
+    sent = once.withColumn("_turn", F.lit(0)).unionByName(again.withColumn("_turn", F.lit(1)))
+    halves = e.agg(F.expr("percentile_approx(cast(ts as timestamp), 0.5)")).first()[0]
+    requests, out, checkpoint = (new_path(spark, n) for n in ("requests", "answers", "stream-checkpoint"))
+    for half in (F.col("_come") <= F.lit(halves), F.col("_come") > F.lit(halves)):
+        for turn in (0, 1):
+            sent.where(half & (F.col("_turn") == turn)).drop("_come", "_turn").repartitionByRange(2, "ts").write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(requests)
+        serve(spark, requests, out, checkpoint, lateness_minutes=60 * 24 * 400).awaitTermination()
+    return answers(spark, out, 0.5).drop("revision")
+
+
 @query("split_scan", f"WITH {SCORED_SQL} SELECT doc_id, lang FROM scored WHERE evaluation_group = 'paired_news' AND scenario IN (1, 4)")
 def split_scan(spark, folder):
     paired = filters.of_splits(scored(spark, folder), ("paired_news",), split="evaluation_group")

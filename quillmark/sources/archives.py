@@ -1,8 +1,10 @@
-"""Members of ZIP archives that are cut into parts, as a Python data source: one partition for each archive.
+"""Members of ZIP archives that are cut into parts, as a Python data source: partitions of members, not of archives.
 
 The transport is a callable, `read(part, start, end) -> bytes`, so that parts may lie behind HTTP ranges,
-in an object store or in a folder. Central directories are read from the end, members by ranges, and
-every member's CRC is checked.
+in an object store or in a folder. Planning reads central directories alone, from the archives' ends. Members that are
+wanted (by suffix, and by filters on archive, member and crc that Spark pushes down) are put together into partitions of
+so many bytes, in the order in which they lie, so one archive is read by many tasks and nobody fetches what isn't wanted.
+A task fetches the range of each of its members, inflates it and checks its CRC; a lost task costs its own members.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringEndsWith, StringStartsWith
 
 Transport = Callable[[str, int, int], bytes]
 
@@ -82,14 +84,60 @@ def members(parts: list[tuple[str, int]], read: Transport, wanted: Callable[[str
                 yield info.filename, info.CRC, content
 
 
-class _Archive(InputPartition):
-    def __init__(self, name: str, parts: list[tuple[str, int]]):
-        super().__init__(name)
-        self.name, self.parts = name, parts
+class Members(InputPartition):
+    """Members of one archive: (name, CRC, method, place, bytes, content's bytes) each."""
+
+    def __init__(self, archive: str, parts: list[tuple[str, int]], wanted: list[tuple]):
+        super().__init__(f"{archive}:{wanted[0][3]}")
+        self.archive, self.parts, self.wanted = archive, parts, wanted
+
+
+def directory(parts: list[tuple[str, int]], read: Transport) -> list[tuple]:
+    """An archive's members in the order in which they lie, from its central directory."""
+    with zipfile.ZipFile(io.BufferedReader(Parts(parts, read), 1 << 16)) as archive:
+        found = [(i.filename, i.CRC, i.compress_type, i.header_offset, i.compress_size, i.file_size) for i in archive.infolist() if not i.is_dir()]
+    return sorted(found, key=lambda m: m[3])
+
+
+def grouped(members_: list[tuple], most: int) -> Iterator[list[tuple]]:
+    """Neighbours of `most` bytes together; a larger member is a group of its own."""
+    group, size = [], 0
+    for m in members_:
+        if group and size + m[4] > most:
+            yield group
+            group, size = [], 0
+        group.append(m)
+        size += m[4]
+    if group:
+        yield group
+
+
+#: A member's local header: fixed bytes, and where the lengths of its name and extra field stand.
+HEADER, LENGTHS = 30, slice(26, 30)
+
+
+def content(parts: Parts, member: tuple) -> bytes:
+    """A member's content, fetched by its range and checked."""
+    name, crc, method, place, size, whole = member
+    parts.seek(place)
+    head = parts.read(HEADER)
+    parts.seek(place + HEADER + int.from_bytes(head[LENGTHS][:2], "little") + int.from_bytes(head[LENGTHS][2:], "little"))
+    raw = parts.read(size)
+    if method == zipfile.ZIP_DEFLATED:
+        raw = zlib.decompress(raw, -zlib.MAX_WBITS)
+    elif method != zipfile.ZIP_STORED:
+        raise OSError(f"{name}: compression method {method}")
+    if len(raw) != whole or zlib.crc32(raw) != crc:
+        raise OSError(f"{name}: wrong CRC")
+    return raw
 
 
 class ArchiveSource(DataSource):
-    """Subclass with `archives()` and `transport()`; register with spark.dataSource.register."""
+    """Subclass with `archives()` and `transport()`; register with spark.dataSource.register.
+
+    Options: suffix (of wanted members), bytes (of a partition). Filters are pushed where the session allows it for Python
+    sources (spark.sql.python.filterPushdown.enabled) and the option "pushdown" is "true".
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -105,16 +153,53 @@ class ArchiveSource(DataSource):
         raise NotImplementedError
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.archives(), self.transport(), self.options.get("suffix", ""))
+        kind = _PushingReader if self.options.get("pushdown", "false") == "true" else _Reader
+        return kind(self.archives(), self.transport(), self.options.get("suffix", ""), int(self.options.get("bytes", 32 << 20)))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, archives: dict, read: Transport, suffix: str):
-        self.archives, self.fetch, self.suffix = archives, read, suffix
+    def __init__(self, archives: dict, read: Transport, suffix: str, most: int):
+        self.archives, self.fetch, self.suffix, self.most, self.tests = archives, read, suffix, most, []
 
-    def partitions(self) -> list[InputPartition]:
-        return [_Archive(name, parts) for name, parts in sorted(self.archives.items())]
+    def _wanted(self, archive: str, member: tuple) -> bool:
+        row = {"archive": archive, "member": member[0], "crc": member[1]}
+        return member[0].endswith(self.suffix) and all(test(row) for test in self.tests)
 
-    def read(self, partition: _Archive) -> Iterator[tuple]:
-        for name, crc, content in members(partition.parts, self.fetch, lambda n: n.endswith(self.suffix)):
-            yield partition.name, name, crc, content
+    def partitions(self) -> list[InputPartition]:
+        out = []
+        for archive, parts in sorted(self.archives.items()):
+            wanted = [m for m in directory(parts, self.fetch) if self._wanted(archive, m)]
+            out += [Members(archive, parts, g) for g in grouped(wanted, self.most)]
+        return out
+
+    def read(self, partition: Members) -> Iterator[tuple]:
+        parts = Parts(partition.parts, self.fetch)
+        for member in partition.wanted:
+            yield partition.archive, member[0], member[1], content(parts, member)
+
+
+class _PushingReader(_Reader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes what the central directory can answer; Spark filters by the rest."""
+        for f in filters:
+            test = _test(f)
+            if test:
+                self.tests.append(test)
+            else:
+                yield f
+
+
+def _test(f: Filter) -> Callable[[dict], bool] | None:
+    column = getattr(f, "attribute", ())
+    if len(column) != 1 or column[0] not in ("archive", "member", "crc"):
+        return None
+    name, value = column[0], getattr(f, "value", None)
+    if isinstance(f, EqualTo):
+        return lambda row: row[name] == value
+    if isinstance(f, In):
+        return lambda row: row[name] in value
+    if isinstance(f, StringStartsWith):
+        return lambda row: row[name].startswith(value)
+    if isinstance(f, StringEndsWith):
+        return lambda row: row[name].endswith(value)
+    return (lambda row: True) if isinstance(f, IsNotNull) else None

@@ -44,8 +44,20 @@ def write_dataset(rows: DataFrame, path: str, columns: tuple[str, ...] = DATASET
 def write_features(rows: DataFrame, store: str, encoder: str, dataset: str, condition: str, provenance: dict) -> None:
     """Appends one condition to the feature store, partitioned so that readers open what they ask for."""
     tagged = rows.withColumns({"encoder": F.lit(encoder), "dataset": F.lit(dataset), "condition": F.lit(condition)})
-    write_json(rows.sparkSession, provenance | {"rows_hash": content_hash(rows)}, f"{store}.provenance/{encoder}-{dataset}-{condition}")
     tagged.write.mode("append").partitionBy("encoder", "dataset", "condition").parquet(store)
+    # last, so that no hash stands for rows that a failed write has left out
+    write_json(rows.sparkSession, provenance | {"rows_hash": content_hash(rows)}, f"{store}.provenance/{encoder}-{dataset}-{condition}")
+
+
+def verified_features(spark: SparkSession, store: str, encoder: str, dataset: str, condition: str) -> DataFrame:
+    """Rows of one condition of the store, if they are those that its provenance tells of; changed rows are an error."""
+    from quillmark.sources.files import feature_rows
+
+    rows = feature_rows(spark, store, encoder, dataset, condition)
+    told = read_json(spark, f"{store}.provenance/{encoder}-{dataset}-{condition}")["rows_hash"]
+    if content_hash(rows.drop("encoder", "dataset", "condition")) != told:
+        raise OSError(f"{encoder}, {dataset}, {condition}: the rows aren't those of the provenance")
+    return rows
 
 
 def append_lines(rows: DataFrame, path: str) -> None:

@@ -203,3 +203,24 @@ def test_a_tampered_split_is_reported(spark):
     assert quality.verified(spark.createDataFrame(rows, schema)).count() == 0
     rows[0] = (*rows[0][:5], "t99", rows[0][6])
     assert {r.check for r in quality.verified(spark.createDataFrame(rows, schema)).collect()} == {"leak"}
+
+
+def test_a_served_stream_goes_on_after_a_restart(spark, tmp_path):
+    """The first by time wins whatever the order of arrival; copies count, late rows are counted and get no answer."""
+    from quillmark.streaming import serving
+
+    folder, out, checkpoint = (f"{tmp_path}/{n}" for n in ("in", "out", "checkpoint"))
+    row = lambda i, minute, text, score: {"request_id": i, "ts": f"2024-01-01T00:{minute:02d}:00.000001Z", "text": text, "score": score}
+
+    def arrive(name, *rows):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
+        query = serving.serve(spark, folder, out, checkpoint, lateness_minutes=10)
+        query.awaitTermination()
+        return serving.late_rows(query)
+
+    assert arrive("1.json", row("a", 5, "x", 0.9), row("b", 5, " ", 0.9), row("c", 5, "x", None), row(None, 5, "x", 0.9)) == 0
+    assert arrive("2.json", row("a", 3, "x", 0.1), row("a", 4, "x", 0.9), row("b", 6, "x", 0.9), row("d", 40, "x", 0.9)) == 0
+    assert arrive("3.json", row("e", 1, "x", 0.9), row("f", 41, "x", 0.2)) == 1
+    got = {r.request_id: (r.verdict, r.reason, r.revision) for r in serving.answers(spark, out, 0.5).collect()}
+    assert got == {"a": ("genuine", None, 2), "b": ("rejected", "empty_text", 1), "c": ("rejected", "no_score", 1), "d": ("fake", None, 1), "f": ("genuine", None, 1)}
