@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.plans.prefix import running
+from quillmark.plans.sizing import shuffle_partitions
+from quillmark.plans.staging import staged
 
 Z95 = 1.959963984540054
 
@@ -210,41 +214,72 @@ def source_recall(rows: DataFrame, threshold: float, source: str = "source", sub
     return rows.where(F.col(scenario) == 4).groupBy(name.alias("origin")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(score) < threshold).cast("double")).alias("genuine_recall"))
 
 
-#: Blocks that rows are dealt into for a bootstrap, and repetitions whose draws are held at once.
-BOOTSTRAP_BLOCKS, BOOTSTRAP_CHUNK = 64, 250
+#: Distinct values of a bootstrap that are drawn from together, and repetitions that are drawn at once.
+BOOTSTRAP_VALUES, BOOTSTRAP_CHUNK = 256, 500
+
+
+def block_draws(n: int, weights: np.ndarray, block: int, repetitions: int, seed: list[int]) -> np.ndarray:
+    """How many of each repetition's n draws fall into one block of all, by weights.
+
+    Draws go down a tree over the blocks, at each fork by one keyed binomial for every repetition, so all blocks' numbers sum to n
+    and each block finds its own without the others.
+    """
+    upto, low, high, here = np.r_[0, np.cumsum(weights)], 0, len(weights), np.full(repetitions, n)
+    while high - low > 1:
+        middle = (low + high) // 2
+        left = np.random.default_rng([*seed, low, high]).binomial(here, (upto[middle] - upto[low]) / (upto[high] - upto[low]))
+        here, low, high = (left, low, middle) if block < middle else (here - left, middle, high)
+    return here
+
+
+def drawn_sums(values: np.ndarray, counts: np.ndarray, draws: np.ndarray, seed: list[int]) -> np.ndarray:
+    """The sum of the values drawn, for each repetition; a value is drawn by its count."""
+    out = np.empty(len(draws))
+    for k in range(0, len(draws), BOOTSTRAP_CHUNK):
+        times = np.random.default_rng([*seed, k]).multinomial(draws[k : k + BOOTSTRAP_CHUNK], counts / counts.sum())
+        out[k : k + BOOTSTRAP_CHUNK] = times @ values
+    return out
 
 
 def bootstrap_difference(values: DataFrame, key: str, metrics: list[str], repetitions: int = 5000, seed: int = 7) -> DataFrame:
     """(metric, difference, low, high): 95 % percentile intervals of means; each repetition draws n of the n rows with replacement.
 
-    Rows are dealt into blocks by a hash of the key. How many of a repetition's n draws fall into each block is one
-    multinomial draw by the blocks' sizes; which rows of the block they are, is drawn in the block. Both come from
-    generators of seed, repetition and block, so the result doesn't depend on partitions, and only sums are shuffled.
+    An interval needs only how often each value of its metric is drawn, so equal values are counted first: most metrics have a
+    few. Distinct values are dealt into blocks whose number grows with theirs; a block is one row, works by itself, and only
+    sums leave a task. Generators are of seed, metric and block, so the result doesn't depend on partitions. Rows whose
+    value is null don't count for that metric.
     """
-    dealt = values.select(F.col(key).alias("_k"), *(F.col(m).cast("double").alias(m) for m in metrics), F.pmod(F.xxhash64(key), F.lit(BOOTSTRAP_BLOCKS)).cast("int").alias("_b"))
-    sizes = {r[0]: r[1] for r in dealt.groupBy("_b").count().collect()}
-    n, blocks = sum(sizes.values()), sorted(sizes)
-    if not n:
+    long = values.select(F.explode(F.array(*(F.struct(F.lit(i).alias("metric"), F.col(m).cast("double").alias("value")) for i, m in enumerate(metrics)))).alias("x")).select("x.*").where("value IS NOT NULL")
+    counted = staged(long.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n")), "bootstrap-values")
+    sizes = {r[0]: r[1] for r in counted.groupBy("metric").count().collect()}
+    if len(sizes) < len(metrics):
         raise ValueError("no rows to draw from")
-    share = np.array([sizes[b] for b in blocks]) / n
-    draws = np.array([np.random.default_rng([seed, rep]).multinomial(n, share) for rep in range(repetitions)])
-    of_block = dealt.sparkSession.sparkContext.broadcast({b: draws[:, i] for i, b in enumerate(blocks)})
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        block = int(group["_b"].iloc[0])
-        rows = group.sort_values("_k")[metrics].to_numpy(float)
-        sums = np.zeros((repetitions, len(metrics)))
-        for rep, times in enumerate(of_block.value[block].tolist()):
-            picked = np.random.default_rng([seed, rep, block + 1]).integers(0, len(rows), times)
-            sums[rep] = np.bincount(picked, minlength=len(rows)) @ rows
-        return pd.DataFrame({"rep": np.arange(repetitions), **{m: sums[:, i] for i, m in enumerate(metrics)}})
-
-    parts = dealt.groupBy("_b").applyInPandas(run, "rep long, " + ", ".join(f"`{m}` double" for m in metrics))
-    means = parts.groupBy("rep").agg(*((F.sum(m) / n).alias(m) for m in metrics))
-    low_high = means.agg(*(F.percentile(m, [0.025, 0.975]).alias(m) for m in metrics))
-    whole = values.agg(*(F.avg(m).alias(m) for m in metrics))
-    stacked = lambda df, value: df.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias(value)) for m in metrics))).alias("s")).select("s.*")
-    return stacked(whole, "difference").join(stacked(low_high, "bounds"), "metric").select("metric", "difference", F.col("bounds")[0].alias("low"), F.col("bounds")[1].alias("high"))
+    blocks = F.element_at(F.array(*(F.lit(-(-sizes[i] // BOOTSTRAP_VALUES)) for i in range(len(metrics)))), F.col("metric") + 1)
+    dealt = counted.withColumn("block", F.pmod(F.xxhash64("value"), blocks)).groupBy("metric", "block").agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("rows"), F.sum("n").alias("weight"))
+    held = staged(dealt, "bootstrap-blocks")
+    weights = {i: np.zeros(-(-sizes[i] // BOOTSTRAP_VALUES), np.int64) for i in range(len(metrics))}
+    for r in held.select("metric", "block", "weight").collect():
+        weights[r["metric"]][r["block"]] = r["weight"]
+    shared = values.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for metric, block, rows in zip(*(batch.column(c).to_pylist() for c in ("metric", "block", "rows")), strict=True):
+                of = shared.value[metric]
+                draws = block_draws(int(of.sum()), of, block, repetitions, [seed, metric])
+                found = drawn_sums(np.array([x["value"] for x in rows]), np.array([x["n"] for x in rows]), draws, [seed, metric, block])
+                sums[metric] = sums.get(metric, 0.0) + found
+        for metric, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(repetitions, metric), pa.int32()), pa.array(np.arange(repetitions)), pa.array(total)], names=["metric", "rep", "total"])
+
+    parts = held.repartition(shuffle_partitions(values.sparkSession), "metric", "block").mapInArrow(run, "metric int, rep long, total double")
+    named = F.element_at(F.array(*map(F.lit, metrics)), F.col("metric") + 1).alias("metric")
+    n = F.element_at(F.array(*(F.lit(int(weights[i].sum())) for i in range(len(metrics)))), F.col("metric") + 1)
+    means = parts.groupBy("metric", "rep").agg(F.sum("total").alias("total")).withColumn("mean", F.col("total") / n)
+    bounds = means.groupBy("metric").agg(F.percentile("mean", [0.025, 0.975]).alias("b"))
+    whole = counted.groupBy("metric").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("difference"))
+    return whole.join(bounds, "metric").select(named, "difference", F.col("b")[0].alias("low"), F.col("b")[1].alias("high"))
 
 
 def enriched_metrics(scored: DataFrame, label: str, score: str, threshold: float, breakdown: DataFrame | None = None, part: str = "part") -> DataFrame:

@@ -6,13 +6,18 @@ how they were written.
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quillmark.functions import arrays, hashes, models, plugins
 from quillmark.operators import audits, filters, neardup, quality
 from quillmark.plans.fixtures import SCORED_SQL, scored
 from quillmark.plans.staging import new_path as _new
-from quillmark.sources import archives, array_files, committed, files, images, sinks, stores
+from quillmark.sources import archives, array_files, committed, files, images, png, sinks, stores
 from quillmark.sources.tables import table
 
 QUERIES: dict = {}
@@ -373,6 +378,45 @@ def image_fingerprints(spark, folder):
     return i.select("doc_id", "i.ok", "i.error", "i.sha256", "i.format", F.col("i.width").cast("long").alias("width"), "i.dhash")
 
 
+def _as_png():
+    """(doc_id, 72 grey values) -> a PNG of 9 x 8: the colour type, the rows' filters and the interlace by turns of doc_id."""
+    def filtered(rows: np.ndarray, step: int, turn: int) -> bytes:
+        """Rows of bytes, filtered by the five kinds in turn; of averages and nearest neighbours each byte for itself."""
+        out = b""
+        for k, row in enumerate(rows.astype(int)):
+            kind, above = (turn + k) % 5, rows[k - 1].astype(int) if k else np.zeros(rows.shape[1], int)
+            left, corner = (np.concatenate([np.zeros(step, int), x])[: len(row)] for x in (row, above))
+            guess = {0: 0, 1: left, 2: above, 3: (left + above) // 2, 4: np.array([png._nearest(*map(int, x)) for x in zip(left, above, corner, strict=True)])}[kind]
+            out += bytes([kind]) + ((row - guess) % 256).astype(np.uint8).tobytes()
+        return out
+
+    def one(doc_id: int, grey) -> bytes:
+        g, colour = np.array(grey, np.uint8).reshape(8, 9), (0, 2, 3, 4, 6)[doc_id % 5]
+        alpha = np.full_like(g, 200)
+        pixels = np.stack({0: [g], 2: [g] * 3, 3: [255 - g], 4: [g, alpha], 6: [g, g, g, alpha]}[colour], axis=2)
+        n, interlaced = pixels.shape[2], doc_id % 2
+        cut = [pixels[y::d, x::r] for x, y, r, d in png.PASSES] if interlaced else [pixels]
+        data = b"".join(filtered(p.reshape(len(p), -1), n, doc_id) for p in cut if p.size)
+        palette = [(b"PLTE", bytes(v for k in range(256) for v in [255 - k] * 3))] if colour == 3 else []
+        packed = zlib.compress(data)
+        parts = [(b"IHDR", struct.pack(">IIBBBBB", 9, 8, 8, colour, 0, 0, interlaced)), *palette, (b"IDAT", packed[:20]), (b"IDAT", packed[20:]), (b"IEND", b"")]
+        return png.SIGNATURE + b"".join(struct.pack(">I", len(c)) + name + c + struct.pack(">I", zlib.crc32(name + c)) for name, c in parts)
+
+    @F.pandas_udf("binary")
+    def run(doc_id: pd.Series, grey: pd.Series) -> pd.Series:
+        return pd.Series([one(d, g) for d, g in zip(doc_id, grey, strict=True)], dtype=object)
+
+    return run
+
+
+@query("png_fingerprints", f"WITH {_GREY_SQL} SELECT doc_id, true AS ok, 'PNG' AS format, CAST(9 AS BIGINT) AS width, {_HASH_SQL.format(sign='>')} AS dhash FROM p")
+def png_fingerprints(spark, folder):
+    """PNG files of all documents in five colour types, with all row filters, half of them interlaced: the fingerprints of their pixels."""
+    values = F.transform(F.filter(F.split("g", ""), lambda c: c != ""), lambda c: F.ascii(c))
+    i = _grey(spark, folder).select("doc_id", images.fingerprint_udf()(_as_png()("doc_id", values)).alias("i"))
+    return i.select("doc_id", "i.ok", "i.format", F.col("i.width").cast("long").alias("width"), "i.dhash")
+
+
 @query("usable_images", "SELECT lang AS \"group\", 'corrupt_image' AS reason, count(*) AS n FROM documents WHERE doc_id % 9 = 0 GROUP BY lang UNION ALL SELECT lang, 'missing_image', count(*) FROM documents WHERE doc_id % 9 = 1 GROUP BY lang")
 def usable_images(spark, folder):
     state = F.when(F.col("doc_id") % 9 == 0, "corrupt").when(F.col("doc_id") % 9 == 1, "missing")

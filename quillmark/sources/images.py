@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructType
 
+from quillmark.sources.png import decode_png
 
 def decode_netpbm(raw: bytes) -> np.ndarray:
     """Pixels (height, width, 3) of a binary PGM or PPM file with 8 bits a sample."""
@@ -58,8 +59,13 @@ def image_format(raw: bytes) -> str | None:
     return next((name for start, name in SIGNATURES if raw.startswith(start)), None)
 
 
-def fingerprint_udf(decode: Callable[[bytes], np.ndarray] = decode_netpbm, rising: bool = False):
-    """Content -> fingerprint. Other formats need a `decode` of their own; libraries for them aren't assumed."""
+def decode_image(raw: bytes) -> np.ndarray:
+    """Pixels (height, width, 3) of a PNG, PGM or PPM file."""
+    return decode_png(raw) if image_format(raw) == "PNG" else decode_netpbm(raw)
+
+
+def fingerprint_udf(decode: Callable[[bytes], np.ndarray] = decode_image, rising: bool = False):
+    """Content -> fingerprint. Formats besides PNG, PGM and PPM need a `decode` of their own; libraries for them aren't assumed."""
 
     @F.pandas_udf(INFO)
     def run(content: pd.Series) -> pd.DataFrame:

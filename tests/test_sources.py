@@ -224,3 +224,24 @@ def test_a_served_stream_goes_on_after_a_restart(spark, tmp_path):
     assert arrive("3.json", row("e", 1, "x", 0.9), row("f", 41, "x", 0.2)) == 1
     got = {r.request_id: (r.verdict, r.reason, r.revision) for r in serving.answers(spark, out, 0.5).collect()}
     assert got == {"a": ("genuine", None, 2), "b": ("rejected", "empty_text", 1), "c": ("rejected", "no_score", 1), "d": ("fake", None, 1), "f": ("genuine", None, 1)}
+
+
+def test_png_depths_and_damage():
+    import struct
+    import zlib
+
+    from quillmark.sources import png
+
+    def made(depth, colour, rows, palette=b"", interlaced=0):
+        size = len(rows[0]) * 8 // depth if colour in (0, 3) else len(rows[0]) * 8 // depth // png.SAMPLES[colour]
+        parts = [(b"IHDR", struct.pack(">IIBBBBB", size, len(rows), depth, colour, 0, 0, interlaced)), *([(b"PLTE", palette)] if palette else []), (b"tEXt", b"note"), (b"IDAT", zlib.compress(b"".join(b"\0" + r for r in rows))), (b"IEND", b"")]
+        return png.SIGNATURE + b"".join(struct.pack(">I", len(c)) + n + c + struct.pack(">I", zlib.crc32(n + c)) for n, c in parts)
+
+    assert png.decode_png(made(1, 0, [b"\xa0"]))[0, :, 0].tolist() == [255, 0, 255, 0, 0, 0, 0, 0]
+    assert png.decode_png(made(2, 0, [b"\x1b"]))[0, :, 0].tolist() == [0, 85, 170, 255]
+    assert png.decode_png(made(4, 3, [b"\x01"], palette=bytes(range(6)))).tolist() == [[[0, 1, 2], [3, 4, 5]]]
+    assert png.decode_png(made(16, 2, [bytes([7, 9, 8, 9, 9, 9])])).tolist() == [[[7, 8, 9]]]
+    good = made(8, 0, [b"ab", b"cd"])
+    for bad in (good[:-20], good.replace(b"note", b"nite"), made(8, 3, [b"\x05"], palette=bytes(6)), b"\x89PNG", good[:8]):
+        with pytest.raises((ValueError, KeyError, zlib.error)):
+            png.decode_png(bad)
