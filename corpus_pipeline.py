@@ -14,6 +14,9 @@ pass, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,28 +26,51 @@ from quillmark.plans.staging import drop_staged, staged
 from quillmark.sources.tables import table
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def carrying(stage: Stage) -> Stage:
+    """The stage for documents with any further columns."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = [c if c in COLUMNS else f"extra_{k}" for k, c in enumerate(docs.columns)]
+        kept = stage(spark, docs.toDF(*plain), sf_dir)
+        added = [c for c in kept.columns if c not in plain]
+        back = [F.col(own).alias(f"{c}_input" if c in added else c) for own, c in zip(plain, docs.columns, strict=True)]
+        return kept.select(*back, *added)
+
+    return run
+
+
+@carrying
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is undecided go; lang stays as it was labelled."""
     dictionaries = language_id.learn(docs.where(~F.coalesce(held_out(), F.lit(False))))
     return language_id.decided(docs, dictionaries)
 
 
+@carrying
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share go, but for one document; n_chars follows the text."""
     kept = line_dedup.dedup_lines(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long") if "n_chars" in docs.columns else F.lit(None)).select(*docs.columns)
 
 
+@carrying
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, linked by SimHash or by a 5-word similarity of 0.8 or more."""
     return similar_texts.keep_one(docs).select(*docs.columns)
 
 
+@carrying
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"), in_order=True)
 
 
+@carrying
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document gets its place in the mix of sources, by the exact weights."""
     return mixing.mix(docs)

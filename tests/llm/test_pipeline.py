@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +88,18 @@ def test_stages_bear_odd_rows(spark, small, odd, empty):
             assert out.columns == docs.columns
             out.count()
         corpus_pipeline.STAGES[-1][1](spark, docs, small).count()
+
+
+def test_extra_columns_pass_whatever_their_names(spark, small, odd):
+    import corpus_pipeline
+
+    names = ["kept_sha256", "n_lines", "n_dropped", "block", "mix_slot", "mix_position", "a.b", "__qm_h", "extra_0", "digest", "`q`", "fp"]
+    values = [F.concat(F.lit(f"{k}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for k in range(len(names))]
+    docs = odd.select("doc_id", *(v.alias(n) for v, n in zip(values, names, strict=True)), "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, small)
+        mixed = name == "mixing"
+        held = [f"{c}_input" if mixed and c in ("block", "mix_slot", "mix_position") else c for c in names]
+        assert out.columns == ["doc_id", *held, "text", "lang", "source", "n_chars"] + (["block", "mix_slot", "mix_position"] if mixed else [])
+        for r in out.collect():
+            assert list(r[1 : 1 + len(names)]) == [f"{k}:{'none' if r.doc_id is None else r.doc_id}" for k in range(len(names))]
