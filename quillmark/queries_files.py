@@ -431,6 +431,21 @@ def block_dct_energy(spark, folder):
     return e.select("vec_id", hashes.block_dct("g").alias("m")).select("vec_id", ((F.size("m") == 256) & arrays.all_finite(F.col("m"))).alias("finite"))
 
 
+def _dct_sql(n: int) -> str:
+    """Coefficients of blocks of n x n by rows, then by columns, as their logarithms."""
+    return f"""b{n} AS (SELECT u, x, cos(pi() * (2 * x + 1) * u / {2 * n}) * sqrt(2.0::DOUBLE / {n}) * CASE WHEN u = 0 THEN sqrt(0.5::DOUBLE) ELSE 1 END AS b FROM range({n}) a(u), range({n}) c(x)),
+r{n} AS (SELECT g.vec_id, g.r // {n} * {n} + b.u AS r, g.c, sum(b.b * g.v) AS v FROM g JOIN b{n} b ON b.x = g.r % {n} GROUP BY 1, 2, 3),
+m{n} AS (SELECT g.vec_id, g.r, g.c // {n} * {n} + b.u AS c, ln(abs(sum(b.b * g.v)) + 1e-8) AS v FROM r{n} g JOIN b{n} b ON b.x = g.c % {n} GROUP BY 1, 2, 3)"""
+
+
+@query("block_dct_values", f"WITH e AS (SELECT vec_id, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), g AS (SELECT vec_id, k * 4 + i // 16 AS r, i % 16 AS c, v FROM e, range(4) t(k)), {_dct_sql(8)}, {_dct_sql(16)} SELECT a.vec_id, round(avg((a.v + b.v) / 2), 4) AS mean, round(avg((a.v + b.v) / 2 * (a.r * 16 + a.c)), 2) AS mark FROM m8 a JOIN m16 b ON a.vec_id = b.vec_id AND a.r = b.r AND a.c = b.c GROUP BY a.vec_id")
+def block_dct_values(spark, folder):
+    """The same map's mean, and its mean weighed by place, of every vector."""
+    e = table(spark, folder, "embeddings").select("vec_id", F.flatten(F.array_repeat(arrays.doubles(F.col("embedding")), 4)).alias("g"))
+    m = e.select("vec_id", hashes.block_dct("g").alias("m"))
+    return m.select("vec_id", F.round(arrays.total(F.col("m")) / 256, 4).alias("mean"), F.round(arrays.total(F.transform("m", lambda x, i: x * i)) / 256, 2).alias("mark"))
+
+
 # --- encoders and plug-ins
 
 

@@ -294,6 +294,16 @@ def head_training(spark, folder):
     return losses.unionByName(right)
 
 
+@query("kernel_machine")
+def kernel_machine(spark, folder):
+    """Scores of a kernel machine for every fourth vector, fitted to the others."""
+    from quillmark.operators.kernel import fit_kernel, kernel_scored
+
+    e = _labelled_vectors(spark, folder).withColumn("y", (F.col("y") == 0).cast("int"))
+    machine = fit_kernel(e.where("vec_id % 4 <> 0"), "x", "y", "vec_id", c=0.5)
+    return kernel_scored(e.where("vec_id % 4 = 0"), machine, "x").select("vec_id", "y", F.round("score", 3).alias("score"))
+
+
 @query("shortcut_forest")
 def shortcut_forest(spark, folder):
     from quillmark.operators.linear import fake_probability, random_forest

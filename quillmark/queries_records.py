@@ -81,9 +81,9 @@ def url_subcategory(spark, folder):
     return table(spark, folder, "pages").select("page_id", F.nullif(text.subcategory(path), F.lit("")).alias("subcategory"))
 
 
-@query("short_labels", "SELECT g AS name, CASE WHEN len(string_split(g, '_')) >= 4 THEN string_split(g, '_')[1][1] || string_split(g, '_')[2][1] || '_' || string_split(g, '_')[3][1] || string_split(g, '_')[4][1] ELSE g END AS label FROM (SELECT unnest(" + _GROUPS_SQL + ") AS g)")
+@query("short_labels", f"WITH {_RECORDS}, g AS (SELECT doc_id, \"group\" AS g FROM records) SELECT doc_id, g AS name, CASE WHEN len(string_split(g, '_')) >= 4 THEN string_split(g, '_')[1][1] || string_split(g, '_')[2][1] || '_' || string_split(g, '_')[3][1] || string_split(g, '_')[4][1] ELSE g END AS label FROM g")
 def short_labels(spark, folder):
-    return labels.group_table(spark).select(F.col("group").alias("name"), text.short_label(F.col("group")).alias("label"))
+    return _records(spark, folder).select("doc_id", F.col("group").alias("name"), text.short_label(F.col("group")).alias("label"))
 
 
 @query("flags_to_group", "SELECT doc_id, CASE WHEN t = 0 AND i = 0 AND o = 1 THEN 'ooc' WHEN t = 1 AND i = 0 AND o = 0 THEN 'fake_text_real_image' WHEN t = 0 AND i = 1 AND o = 0 THEN 'real_text_fake_image' WHEN t = 0 AND i = 0 AND o = 0 THEN 'genuine' WHEN t = 1 AND i = 1 AND o = 0 THEN 'fake_text_fake_image' END AS \"group\" FROM (SELECT doc_id, doc_id % 2 AS t, doc_id // 2 % 2 AS i, doc_id // 4 % 2 AS o FROM documents)")
@@ -305,6 +305,24 @@ def feature_kinds(spark, folder):
     return sizes.select(F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("size")) for c in sizes.columns))).alias("s")).select("s.*")
 
 
+_PARTS_SQL = """p AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT vec_id, e[1:16] AS bh, e[17:32] AS vh, [e[1]] AS bl, [e[2]] AS vl, e[33:48] AS a, e[49:64] AS b FROM p),
+m AS (SELECT *, list_transform(range(1, 17), lambda i: a[i] * b[i]) AS prod, list_transform(range(1, 17), lambda i: abs(a[i] - b[i])) AS gap FROM q), o AS (SELECT *, [CAST(list_sum(prod) AS DOUBLE)] AS dot FROM m),
+k AS (SELECT vec_id, unnest([
+  {'kind': 'v1_only', 'v': vh || vl}, {'kind': 'clip_large_only', 'v': a || b || prod || gap || dot}, {'kind': 'blip', 'v': bh}, {'kind': 'blip_with_score', 'v': bh || bl}, {'kind': 'scores', 'v': bl || vl},
+  {'kind': 'blip_v1_score', 'v': bh || vl}, {'kind': 'blip_v1_features', 'v': bh || vh || bl || vl}, {'kind': 'blip_v1_clip_large', 'v': bh || vh || bl || vl || a || b || prod || gap || dot},
+  {'kind': 'blip_v1_clip_large_match', 'v': bh || vh || bl || vl || prod || gap || dot}, {'kind': 'blip_v1_clip_large_score', 'v': bh || vh || bl || vl || dot}]) AS x FROM o)"""
+
+
+@query("feature_kind_values", f"WITH {_PARTS_SQL} SELECT vec_id, x.kind AS kind, len(x.v) AS size, round(list_sum(list_transform(range(1, len(x.v) + 1), lambda i: i * x.v[i])), 5) AS mark FROM k")
+def feature_kind_values(spark, folder):
+    """All ten kinds of every vector: their sizes, and a sum that weighs each value by its place."""
+    e = table(spark, folder, "embeddings")
+    parts = e.select("vec_id", F.slice("embedding", 1, 16).alias("blip_hidden"), F.slice("embedding", 17, 16).alias("v1_hidden"), F.col("embedding")[0].alias("blip_logit"), F.col("embedding")[1].alias("v1_logit"), F.slice("embedding", 33, 16).alias("clip_image"), F.slice("embedding", 49, 16).alias("clip_text"))
+    kinds = parts.select("vec_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), features.feature_kind(k).alias("v")) for k in features.KINDS))).alias("x")).select("vec_id", "x.*")
+    mark = arrays.total(F.transform("v", lambda x, i: x * (i + 1)))
+    return kinds.select("vec_id", "kind", F.size("v").cast("long").alias("size"), F.round(mark, 5).alias("mark"))
+
+
 @query("train_moments", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY event_type")
 def train_moments(spark, folder):
     e = table(spark, folder, "events")
@@ -347,8 +365,12 @@ def length_stats(spark, folder):
 
 @query("value_coverage", "SELECT count(*) AS n, count(*) FILTER (WHERE value > 50) AS over_50, round(median(value), 6) AS median, round(avg(value), 6) AS mean FROM events")
 def value_coverage(spark, folder):
+    from quillmark.plans.prefix import quantiles
+
     e = table(spark, folder, "events")
-    return e.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("over_50"), F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.avg("value"), 6).alias("mean"))
+    middle = quantiles(e.where("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("n")), "value", "n", 2).where("i = 1")
+    whole = e.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("over_50"), F.round(F.avg("value"), 6).alias("mean"))
+    return whole.crossJoin(middle.select(F.round("q", 6).alias("median"))).select("n", "over_50", "median", "mean")
 
 
 # --- selection
