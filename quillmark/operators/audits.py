@@ -75,3 +75,18 @@ def promotion(baseline: DataFrame, candidate: DataFrame, key: str, value: str, m
     rows = joined.select(key, (F.col("_c") - F.col("_b")).alias("difference")).withColumn("passes", F.coalesce(F.col("difference") >= -most_drop - 1e-12, F.lit(False)))
     gate = F.every("passes") & F.lit(low_bound is None or low_bound > 0)
     return rows.crossJoin(F.broadcast(rows.agg(gate.alias("promote"))))
+
+
+def release_gates(before: DataFrame, after: DataFrame, most_drop: dict[str, float], intervals: DataFrame) -> DataFrame:
+    """(gate, key, value, passes, promote): all gates of a release, joined.
+
+    `before` and `after` are (kind, key, value); no value may drop by more than its kind's `most_drop`, and one that stands on
+    one side only fails. Of `intervals` (metric, low, high) each low end must be above 0. Without any gate nothing is promoted.
+    """
+    limit = F.try_element_at(F.create_map(*[F.lit(x) for p in most_drop.items() for x in p]), F.col("kind"))
+    both = before.select("kind", "key", F.col("value").alias("_b")).join(after.select("kind", "key", F.col("value").alias("_a")), ["kind", "key"], "full_outer")
+    drops = both.select(F.col("kind").alias("gate"), "key", (F.col("_a") - F.col("_b")).alias("value"), limit.alias("_limit"))
+    drops = drops.select("gate", "key", "value", F.coalesce(F.col("value") >= -F.col("_limit") - 1e-12, F.lit(False)).alias("passes"))
+    ends = intervals.select(F.lit("interval").alias("gate"), F.col("metric").alias("key"), F.col("low").alias("value"), F.coalesce(F.col("low") > 0, F.lit(False)).alias("passes"))
+    rows = drops.unionByName(ends)
+    return rows.crossJoin(F.broadcast(rows.agg(F.coalesce(F.every("passes"), F.lit(False)).alias("promote"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -208,6 +208,24 @@ def paired_summary(pairs: DataFrame, threshold: float) -> DataFrame:
     return pair_values(pairs, threshold).agg(F.count(F.lit(1)).alias("caption_pairs"), *(F.avg(m).alias(m) for m in PAIR_METRICS))
 
 
+def paired_interval(differences: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(metric, n, mean, low, high): the normal 95 % interval of each mean of paired differences, in one pass of sums."""
+    one = lambda c: F.struct(F.lit(c).alias("metric"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.try_divide(F.stddev_samp(c), F.sqrt(F.count(c))).alias("error"))
+    found = differences.agg(*(one(c).alias(c) for c in names)).select(F.explode(F.array(*(F.col(c) for c in names))).alias("r")).select("r.*")
+    return found.select("metric", "n", "mean", (F.col("mean") - Z95 * F.col("error")).alias("low"), (F.col("mean") + Z95 * F.col("error")).alias("high"))
+
+
+def validation_bundle(rows: DataFrame, domains: Sequence[str], paired: str, threshold: float, domain: str = "evaluation_group", label: str = "label", score: str = "prob", caption: str = "caption_id", scenario: str = "scenario") -> DataFrame:
+    """One row for a model: each domain's rows, balanced accuracy and AUC, the caption pairs of the domain `paired`, and `utility`, the mean of the balanced accuracies."""
+    out = None
+    for name in domains:
+        own = binary_metrics(rows.where(F.col(domain) == name), label, score, threshold).select(F.col("n").alias(f"{name}_n"), F.col("balanced_accuracy").alias(f"{name}_balanced_accuracy"), F.col("auc").alias(f"{name}_auc"))
+        out = own if out is None else out.crossJoin(F.broadcast(own))
+    pairs = caption_pairs(rows.where(F.col(domain) == paired), caption, scenario, score)
+    out = out.crossJoin(F.broadcast(paired_summary(pairs, threshold).withColumnRenamed("balanced_accuracy", "pair_balanced_accuracy")))
+    return out.withColumn("utility", sum((F.col(f"{n}_balanced_accuracy") for n in domains), F.lit(0.0)) / len(domains))
+
+
 def source_recall(rows: DataFrame, threshold: float, source: str = "source", subcategory: str = "subcategory", score: str = "prob", scenario: str = "scenario") -> DataFrame:
     """Recall of genuine rows by sub-category, or source where that is blank."""
     name = F.coalesce(F.nullif(F.col(subcategory), F.lit("")), F.col(source))

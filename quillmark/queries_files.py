@@ -96,37 +96,46 @@ def named_files_scan(spark, folder):
 # --- JSON
 
 
-def _one_file(spark, df, path: str) -> str:
-    df.coalesce(1).write.text(path)
-    return path
+#: Items of one JSON file of a fixture.
+ITEMS = 50
 
 
-@query("json_array_scan", "SELECT 'mm_items_' || k AS row_id, k AS ordinal, md5(text) AS text_md5 FROM (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark)")
+def _json_files(items, value, place: str, prefix: str = "part-") -> str:
+    """Writes `value`, an aggregate over up to `ITEMS` items, as files named by `prefix` and their number."""
+    parts = items.groupBy(F.floor(F.col("item_id") / ITEMS).alias("part")).agg(value.alias("content"))
+    stores.write_files(parts.withColumn("name", F.concat(F.lit(prefix), F.col("part").cast("string"), F.lit(".json"))), place)
+    return place
+
+
+@query("json_array_scan", "SELECT 'mm_part-' || item_id // 50 || '_' || k AS row_id, k AS ordinal, md5(text) AS text_md5 FROM (SELECT item_id, text, row_number() OVER (PARTITION BY item_id // 50 ORDER BY item_id) - 1 AS k FROM benchmark)")
 def json_array_scan(spark, folder):
-    """The whole benchmark as one array in a file."""
-    b = table(spark, folder, "benchmark").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("item_id", "text"))), lambda r: F.struct(r["text"].alias("text")))).alias("value"))
-    path = _new(spark, "array")
-    rows = files.json_array(spark, _one_file(spark, b, path), "struct<text: string>", "mm")
-    # Spark names the file itself, so the stem is replaced by the name of the array
-    return rows.select(F.concat(F.lit("mm_items_"), F.col("ordinal").cast("string")).alias("row_id"), F.col("ordinal").cast("long").alias("ordinal"), _md5("text").alias("text_md5"))
+    """The benchmark as arrays in files of 50 items; ids are made of the file's name and the place in its array."""
+    array = F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("item_id", "text"))), lambda r: F.struct(r["text"].alias("text"))))
+    path = _json_files(table(spark, folder, "benchmark"), array, _new(spark, "array"))
+    return files.json_array(spark, path, "struct<text: string>", "mm").select("row_id", F.col("ordinal").cast("long").alias("ordinal"), _md5("text").alias("text_md5"))
+
+
+def _annotation_files(items, place: str, prefix: str = "part-") -> str:
+    mark = F.struct(F.col("item_id").alias("id"), F.col("item_id").alias("image_id"), (F.col("item_id") % 5 == 0).alias("falsified"))
+    return _json_files(items, F.to_json(F.struct(F.collect_list(mark).alias("annotations"))), place, prefix)
 
 
 @query("annotation_scan", "SELECT CAST(item_id AS VARCHAR) AS id, CAST(item_id AS VARCHAR) AS image_id, CASE WHEN item_id % 3 = 0 THEN 2 ELSE 1 END AS files FROM benchmark WHERE item_id % 5 <> 0")
 def annotation_scan(spark, folder):
     """Each fifth annotation is falsified; each third stands in two files."""
-    b = table(spark, folder, "benchmark").select(F.col("item_id").alias("id"), F.col("item_id").alias("image_id"), (F.col("item_id") % 5 == 0).alias("falsified"))
-    whole = lambda df: df.agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("id", "image_id", "falsified"))).alias("annotations"))).alias("value"))
-    paths = [_one_file(spark, whole(b), _new(spark, "annotations")), _one_file(spark, whole(b.where("id % 3 = 0")), _new(spark, "annotations"))]
-    return files.annotations(spark, paths).select("id", "image_id", F.size("files").cast("long").alias("files"))
+    b, place = table(spark, folder, "benchmark"), _new(spark, "annotations")
+    _annotation_files(b, place)
+    _annotation_files(b.where("item_id % 3 = 0"), place, "again-")
+    return files.annotations(spark, place).select("id", "image_id", F.size("files").cast("long").alias("files"))
 
 
 @query("matched_candidates", "SELECT 'nc_genuine_' || item_id AS sample_id, md5(text) AS text_md5, 'newsclippings' AS source, 'img/' || item_id AS image_path FROM benchmark WHERE item_id % 5 <> 0")
 def matched_candidates(spark, folder):
     """A bank of captions by id, joined with what isn't falsified."""
     b = table(spark, folder, "benchmark")
-    bank = b.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("item_id").cast("string"), F.struct(F.col("text").alias("caption"), F.concat(F.lit("img/"), "item_id").alias("image_path")))))).alias("value"))
-    marks = b.agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("item_id").alias("id"), F.col("item_id").alias("image_id"), (F.col("item_id") % 5 == 0).alias("falsified"))).alias("annotations"))).alias("value"))
-    found = files.matched_candidates(files.json_map(spark, _one_file(spark, bank, _new(spark, "bank")), "struct<caption: string, image_path: string>"), files.annotations(spark, _one_file(spark, marks, _new(spark, "annotations"))))
+    record = F.struct(F.col("text").alias("caption"), F.concat(F.lit("img/"), "item_id").alias("image_path"))
+    bank = _json_files(b, F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("item_id").cast("string"), record)))), _new(spark, "bank"))
+    found = files.matched_candidates(files.json_map(spark, bank, "struct<caption: string, image_path: string>"), files.annotations(spark, _annotation_files(b, _new(spark, "annotations"))))
     return found.select("sample_id", _md5("text").alias("text_md5"), "source", "image_path")
 
 

@@ -7,6 +7,7 @@ written through Spark, so any store will do.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,3 +130,24 @@ def report_lines(rows: DataFrame, row: str, column: str, columns: tuple[str, ...
 
 def percent(share: float, digits: int = 1) -> str:
     return f"{100 * share:.{digits}f}%"
+
+
+def markdown_lines(title: str, table: DataFrame, shares: Sequence[str] = (), order: str | None = None) -> list[str]:
+    """A small table as a section of a Markdown report, by the values of `order` (its first column). `shares` are shown as percentages, other numbers with four digits after the point."""
+    def shown(name: str, value) -> str:
+        if value is None:
+            return ""
+        if name in shares:
+            return percent(value)
+        return f"{value:.4f}" if isinstance(value, float) else str(value).replace("|", "\\|").replace("\n", " ")
+
+    names = table.columns
+    rows = table.orderBy(order or names[0]).collect()
+    head = [f"## {title}", "", "| " + " | ".join(names) + " |", "|" + "|".join("---" for _ in names) + "|"]
+    return [*head, *("| " + " | ".join(shown(c, r[c]) for c in names) + " |" for r in rows)]
+
+
+def write_report(spark: SparkSession, sections: list[list[str]], path: str) -> None:
+    """Sections of a report as one text file at a new path."""
+    text = "\n\n".join("\n".join(s) for s in sections)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(path)

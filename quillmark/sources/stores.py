@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 
 from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -40,3 +42,25 @@ def get_json(uri: str) -> dict:
     store, path = opened(uri)
     with store.open_input_stream(path) as file:
         return json.loads(file.read())
+
+
+def write_files(files: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
+    """Writes each row's content (binary) as a file of its own in `folder`, by the tasks that hold it; returns how many.
+
+    A file is moved to its name when it is whole, so a task that runs again replaces it by the same. Names must differ; a null content is no file.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        store, root = opened(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for own, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{root}/.{own}.new") as out:
+                    out.write(data)
+                store.move(f"{root}/.{own}.new", f"{root}/{own}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows = files.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content")).where("content IS NOT NULL")
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
