@@ -3,7 +3,7 @@
 Words are runs of letters, digits and non-ASCII characters, lower-cased. Items form an inverted
 index: postings in item order, in blocks that know their largest weight. A document's
 distinct words are one query: verification counts the whole document, so an item whose pieces lie far apart
-must be retrieved like any other. `span`, once the words of a passage, is taken but decides nothing.
+must be retrieved like any other.
 
 A copy holds at least `similarity` of an item's distinct shingles of `width` words. If so, a word of the item can
 be missing only where shingles are missing, and each missing position costs a shingle; the BM25 weight
@@ -14,9 +14,9 @@ blocks of items whose largest weights sum to less than 1 and walks the rest pivo
 
 What it retrieves is verified: of the whole document, at least `similarity` of the item's shingles
 must be there; so must the question (the words before the last sentence) and the answer (the last
-sentence, or the last quarter of an item of one sentence), each by `PART_SIMILARITY` of its own
-shingles (words, where it is shorter than a shingle). With `in_order` a part of fewer than `SHORT_PART` words may instead
-have that share of its words in their order, close together: one edit costs it one word, not five shingles. An item with fewer words than a shingle counts as
+sentence, or the last quarter of an item of one sentence): at least `PART_SIMILARITY` of its neighbouring words
+must be neighbours in the document, too (of its words, where it has fewer than `PAIRED_FROM`). One edited word
+costs a part two of its pairs at most, so no single edit hides a part of two words or more. An item with fewer words than a shingle counts as
 one shingle.
 
 The index is broadcast if the items measure at most `broadcast_bytes`; beyond that the items are
@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +41,10 @@ from pyspark.sql import functions as F
 from quillmark.llm.texts import filter_rows, map_rows, raw_text
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Share of the question's and of the answer's own shingles; the answer is short, so one edit costs it much.
-PART_SIMILARITY = 0.5
-#: Parts with fewer words can lose half of their shingles by few edits.
-SHORT_PART = 20
+#: Share of the question's and of the answer's pairs of words, and the words from which on a part has pairs enough.
+PART_SIMILARITY, PAIRED_FROM = 0.5, 5
 K1, B, BLOCK = 1.2, 0.75, 8
-SPAN, BROADCAST_BYTES = 256, 32 << 20
+BROADCAST_BYTES = 32 << 20
 _OTHER = bytes(b for b in range(128) if not chr(b).isalnum())
 _TO_SPACE = bytes.maketrans(_OTHER, b" " * len(_OTHER))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
@@ -71,43 +70,29 @@ def parts_of(text: str) -> tuple[str, str]:
     return " ".join(words[:k]), " ".join(words[k:])
 
 
-def in_order_share(part: list[bytes], words: list[bytes]) -> float:
-    """The largest share of the part's words that stand in their order within some 2 len(part) words of the document."""
-    m, best = len(part), 0
-    own = set(part)
-    for at in range(0, max(len(words) - m, 1), max(1, m // 2)):
-        window = words[at : at + 2 * m]
-        if sum(w in own for w in window) <= best:
-            continue
-        row = [0] * (m + 1)
-        for w in window:
-            last = 0
-            for k, p in enumerate(part, 1):
-                last, row[k] = row[k], last + 1 if p == w else max(row[k], row[k - 1])
-        best = max(best, row[m])
-    return best / m
+def pairs_of(words: list[bytes]) -> list[bytes]:
+    """Neighbouring words, one pair for each place."""
+    return list(map(b" ".join, zip(words, words[1:], strict=False)))
 
 
 class Item:
-    __slots__ = ("answer", "item_id", "parts", "question", "shingles", "words")
+    __slots__ = ("answer", "item_id", "question", "shingles", "words")
 
     def __init__(self, item_id: int, text: str, width: int):
         self.item_id, self.words = item_id, words_of(text)
         self.shingles = shingles_of(self.words, width)
-        self.parts = [words_of(p) for p in parts_of(text)]
-        self.question, self.answer = (self._part(p, width) for p in self.parts)
+        self.question, self.answer = (self._part(words_of(p)) for p in parts_of(text))
 
     @staticmethod
-    def _part(words: list[bytes], width: int) -> tuple[bool, frozenset]:
-        """Shingles, or single words where there are too few."""
-        return (True, frozenset(shingles_of(words, width))) if len(words) >= width else (False, frozenset(words))
+    def _part(words: list[bytes]) -> tuple[bool, list[bytes]]:
+        """Pairs of words, or single words where there are too few; repeats count."""
+        return (True, pairs_of(words)) if len(words) >= PAIRED_FROM else (False, words)
 
 
 class Index:
     """Inverted index of items with weights divided by each item's threshold."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int = WIDTH, similarity: float = SIMILARITY, span: int = SPAN, in_order: bool = False):
-        self.in_order = in_order
+    def __init__(self, items: list[tuple[int, str]], width: int = WIDTH, similarity: float = SIMILARITY):
         self.width, self.similarity = width, similarity
         self.items = [x for x in (Item(i, t, width) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1]))) if x.words]
         n = max(len(self.items), 1)
@@ -119,8 +104,7 @@ class Index:
         self.postings: dict[bytes, list[tuple[int, float]]] = {}
         for k, x in enumerate(self.items):
             weights: dict[bytes, float] = {}
-            for w in set(x.words):
-                tf = x.words.count(w)
+            for w, tf in Counter(x.words).items():
                 weights[w] = math.log(1 + (n - frequency[w] + 0.5) / (frequency[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x.words) / mean))
             missing = self._may_miss(x)
             threshold = sum(sorted(weights.values())[: max(1, len(weights) - missing)])
@@ -201,8 +185,7 @@ class Index:
         if not found:
             return []
         own = shingles_of(words, self.width)
-        single = frozenset(words)
-        out = []
+        single, paired, out = frozenset(words), frozenset(pairs_of(words)), []
         for k in sorted(found):
             item = self.items[k]
             if len(item.words) < self.width:  # one short shingle: look for it at every place
@@ -212,9 +195,7 @@ class Index:
                 whole = len(item.shingles & own) / len(item.shingles)
             if whole < self.similarity:
                 continue
-            shares = [len(part & (own if long else single)) / len(part) if part else 1.0 for long, part in (item.question, item.answer)]
-            if self.in_order:
-                shares = [max(share, in_order_share(part, words)) if share < PART_SIMILARITY and len(part) < SHORT_PART else share for share, part in zip(shares, item.parts, strict=True)]
+            shares = [sum(unit in (paired if pairs else single) for unit in part) / len(part) if part else 1.0 for pairs, part in (item.question, item.answer)]
             if min(shares) >= PART_SIMILARITY:
                 out.append((item.item_id, whole, *shares))
         return out
@@ -240,12 +221,12 @@ def _parts(items: DataFrame, broadcast_bytes: int) -> list[DataFrame]:
     return [clean] if n == 1 else [clean.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * n)) == k) for k in range(2 * n)]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, span: int = SPAN, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Returns one row (doc_id, item_id, similarity, question_overlap, answer_overlap) for each document and item that it holds."""
     sc = docs.sparkSession.sparkContext
     out = None
     for part in _parts(items, broadcast_bytes):
-        worker = _Worker(sc.broadcast([(r.item_id, r.text) for r in part.collect()]), (width, similarity, span))
+        worker = _Worker(sc.broadcast([(r.item_id, r.text) for r in part.collect()]), (width, similarity))
 
         def rows(batch: pa.RecordBatch, worker: _Worker = worker) -> dict:
             found = [(d, *m) for d, x in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if x for m in worker.matches(x.decode("utf-8", "replace"))]
@@ -257,11 +238,10 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, similari
     return out
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
+def without_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of `docs` that hold no item, with all their columns. The texts are scanned where they lie; nothing is joined."""
     sc, out = docs.sparkSession.sparkContext, docs
-    values = (settings.get("width", WIDTH), settings.get("similarity", SIMILARITY), settings.get("span", SPAN), settings.get("in_order", False))
-    for part in _parts(items, settings.get("broadcast_bytes", BROADCAST_BYTES)):
-        worker = _Worker(sc.broadcast([(r.item_id, r.text) for r in part.collect()]), values)
+    for part in _parts(items, broadcast_bytes):
+        worker = _Worker(sc.broadcast([(r.item_id, r.text) for r in part.collect()]), (width, similarity))
         out = filter_rows(out, lambda text, worker=worker: not text or not worker.matches(text))
     return out

@@ -127,6 +127,10 @@ def _shingles(words: str) -> str:
     return f"list_distinct(list_transform(range(greatest(len({words}) - 4, 0)), lambda k: array_to_string({words}[k + 1 : k + 5], ' ')))"
 
 
+def _pairs(words: str) -> str:
+    return f"list_transform(range(greatest(len({words}) - 1, 0)), lambda k: array_to_string({words}[k + 1 : k + 2], ' '))"
+
+
 OP2_SQL = rf"""
 WITH raw AS (
   SELECT item_id, trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS t, string_split_regex(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '\s+') AS s FROM benchmark
@@ -137,16 +141,17 @@ WITH raw AS (
   SELECT item_id, {_words("t")} AS w, {_words("q")} AS q, {_words("a")} AS a FROM cut
 ), units AS (
   SELECT item_id, 'whole' AS part, 'shingle' AS kind, unnest({_shingles("w")}) AS unit FROM item WHERE len(w) >= 5
-  UNION ALL SELECT item_id, 'question', 'shingle', unnest({_shingles("q")}) FROM item WHERE len(q) >= 5
-  UNION ALL SELECT item_id, 'question', 'word', unnest(list_distinct(q)) FROM item WHERE len(q) < 5
-  UNION ALL SELECT item_id, 'answer', 'shingle', unnest({_shingles("a")}) FROM item WHERE len(a) >= 5
-  UNION ALL SELECT item_id, 'answer', 'word', unnest(list_distinct(a)) FROM item WHERE len(a) < 5
+  UNION ALL SELECT item_id, 'question', 'pair', unnest({_pairs("q")}) FROM item WHERE len(q) >= 5
+  UNION ALL SELECT item_id, 'question', 'word', unnest(q) FROM item WHERE len(q) < 5
+  UNION ALL SELECT item_id, 'answer', 'pair', unnest({_pairs("a")}) FROM item WHERE len(a) >= 5
+  UNION ALL SELECT item_id, 'answer', 'word', unnest(a) FROM item WHERE len(a) < 5
 ), sizes AS (
   SELECT item_id, part, count(*) AS n FROM units GROUP BY item_id, part
 ), doc AS (
   SELECT doc_id, {_words("text")} AS w FROM documents
 ), held AS (
   SELECT doc_id, 'shingle' AS kind, unnest({_shingles("w")}) AS unit FROM doc
+  UNION ALL SELECT doc_id, 'pair', unnest(list_distinct({_pairs("w")})) FROM doc
   UNION ALL SELECT doc_id, 'word', unnest(list_distinct(w)) FROM doc
 ), found AS (
   SELECT h.doc_id, u.item_id, count(*) FILTER (WHERE u.part = 'whole') AS whole, count(*) FILTER (WHERE u.part = 'question') AS question, count(*) FILTER (WHERE u.part = 'answer') AS answer
