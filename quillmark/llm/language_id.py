@@ -1,7 +1,8 @@
 """Language identification by compression.
 
-Training takes, for each language, the beginnings of a bounded sample of labelled documents: those with
-the least hashes of doc_id, `sample_docs` at most, `doc_bytes` of each, until `dict_bytes` are full. Each
+Training takes, for each language, pieces of a bounded sample of labelled documents: those with
+the least hashes of doc_id, `sample_docs` at most, and of each whole text a piece of `doc_bytes` from a place that another
+hash of doc_id picks, so that headers and mastheads weigh no more than what follows, until `dict_bytes` are full. Each
 language's bytes become a zstandard raw-content dictionary. Every language is learned; where there are
 very many, their samples and dictionaries get smaller, so that all of them hold MOST_ROWS and MOST_BYTES at most.
 
@@ -57,8 +58,10 @@ def training_texts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_bytes: i
     hashed = docs.select("doc_id", "lang").join(known, "lang").where(share <= 8.0 * sample_docs / F.greatest("_ids", F.lit(1))).select("doc_id", "lang", F.xxhash64("doc_id").alias("_h")).distinct()
     chosen = hashed.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_k") <= sample_docs)
     ids = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_k")
-    # of rows that share a doc_id the least text, so that a task run again learns the same
-    found = docs.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).groupBy("_lang", "_k").agg(F.min(F.substring("text", 1, doc_bytes)).alias("text"))
+    # of rows that share a doc_id the least piece, so that a task run again learns the same
+    start = 1 + F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.length("text") - doc_bytes, F.lit(0)) + 1)
+    piece = F.substring(F.col("text"), start.cast("int"), F.lit(doc_bytes))
+    found = docs.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).groupBy("_lang", "_k").agg(F.min(piece).alias("text"))
     by_lang: dict[str, list] = {}
     for row in found.toLocalIterator():
         by_lang.setdefault(row._lang, []).append((row._k, row.text))

@@ -33,6 +33,14 @@ def test_sample_is_bounded(spark):
     assert len(found["en"]) <= 8 * 101
 
 
+def test_pieces_come_from_all_of_a_text(spark):
+    """Texts that begin alike, and differ only behind their first kilobyte."""
+    df = spark.range(400).selectExpr("id AS doc_id", "concat(repeat('masthead ', 120), repeat(if(id % 2 = 0, 'katze hund ', 'chien chats '), 300)) AS text", "if(id % 2 = 0, 'de', 'fr') AS lang")
+    found = li.training_texts(df, sample_docs=64)
+    assert found["de"].count(b"katze") > 500 and found["fr"].count(b"chien") > 500 and b"masthead" in found["de"]
+    assert found == li.training_texts(df.repartition(7), sample_docs=64)
+
+
 def test_odd_rows(spark, odd, empty):
     dictionaries = {"en": b"one two three four the line that is long enough of its own", "ja": "日本語 です".encode()}
     by = {(r.doc_id): r for r in li.identify(odd, dictionaries).collect()}
