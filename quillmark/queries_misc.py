@@ -162,7 +162,18 @@ def image_keys(spark, folder):
 # --- builds, reservations, audits
 
 
-@query("dataset_build")
+def _build_sql() -> str:
+    """Selection, components of what is selected and the greedy split, in one; ids are text, as in the build."""
+    from quillmark.queries_records import _EDGES, _PLACED, _RECORDS, _chosen_sql
+
+    candidates = _RECORDS.replace("SELECT doc_id,", "SELECT CAST(doc_id AS VARCHAR) AS doc_id,", 1).replace("doc_id % 5", "CAST(documents.doc_id AS BIGINT) % 5")
+    links, placed = (sql.replace("FROM records", "FROM picked").replace("JOIN records", "JOIN picked") for sql in (_EDGES, _PLACED))
+    picked = "picked AS MATERIALIZED (SELECT r.* FROM records r JOIN chosen USING (doc_id))"
+    return f"""WITH RECURSIVE {candidates}, {_chosen_sql()}, {picked}, {links}, {placed}
+SELECT c.doc_id AS sample_id, r."group", c.cluster, p.split FROM comp c JOIN placed p ON p.cluster = c.cluster JOIN picked r ON r.doc_id = c.doc_id"""
+
+
+@query("dataset_build", _build_sql())
 def dataset_build(spark, folder):
     from quillmark.plans.build import build_dataset
     from quillmark.queries_records import _records

@@ -382,18 +382,18 @@ def candidate_order(spark, folder):
     return selection.candidate_order(r, "group", "source", "doc_id", 42).select("doc_id", F.col("rank").cast("long").alias("rank"))
 
 
-def _greedy_sql() -> str:
-    """The five groups in turn, each without the pairs taken before and cut at the common goal."""
+def _chosen_sql() -> str:
+    """CTEs over `records`: the five groups in turn, each without the pairs taken before and cut at the common goal; `chosen` is their union."""
     ctes, groups = [], list(labels.GROUPS)
     for k, g in enumerate(groups):
         earlier = " AND ".join(f"NOT EXISTS (SELECT 1 FROM t{j} x WHERE x.text_key = o.text_key AND x.image_key = o.image_key)" for j in range(k)) or "true"
         ctes.append(f"t{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text_key, image_key ORDER BY rank) AS copy FROM o WHERE \"group\" = '{g}' AND {earlier}) WHERE copy = 1 ORDER BY rank LIMIT (SELECT n FROM goal))")
     union = " UNION ALL ".join(f"SELECT * FROM (SELECT doc_id, \"group\", rank FROM t{k} ORDER BY rank LIMIT (SELECT n FROM final))" for k in range(5))
-    return f"""WITH {_RECORDS}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY source, md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rank FROM records), goal AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM o GROUP BY "group")),
-{", ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in ctes)}, final AS (SELECT least({", ".join(f"(SELECT count(*) FROM t{k})" for k in range(5))}) AS n) {union}"""
+    return f"""o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY source, md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rank FROM records), goal AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM o GROUP BY "group")),
+{", ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in ctes)}, final AS (SELECT least({", ".join(f"(SELECT count(*) FROM t{k})" for k in range(5))}) AS n), chosen AS MATERIALIZED ({union})"""
 
 
-@query("balanced_select", _greedy_sql())
+@query("balanced_select", f"WITH {_RECORDS}, {_chosen_sql()} SELECT * FROM chosen")
 def balanced_select(spark, folder):
     chosen = selection.select_balanced(_records(spark, folder), "group", "text_key", "image_key", "doc_id", "source")
     return chosen.select("doc_id", "group", F.col("rank").cast("long").alias("rank"))
@@ -491,7 +491,7 @@ def cluster_stats(spark, folder):
 
 
 #: One cluster after another, each where the largest share of a quota is least; then kinds of clusters are dealt by ranks.
-_GREEDY = f"""{_RECORDS}, {_EDGES}, cl AS (SELECT c.cluster, r."group" AS g, count(*) AS n FROM comp c JOIN records r ON r.doc_id = c.doc_id GROUP BY 1, 2),
+_PLACED = """cl AS (SELECT c.cluster, r."group" AS g, count(*) AS n FROM comp c JOIN records r ON r.doc_id = c.doc_id GROUP BY 1, 2),
 prof AS (SELECT cluster, string_agg(g || '=' || n, ',' ORDER BY g) AS profile, CAST(sum(n) AS BIGINT) AS size FROM cl GROUP BY cluster),
 ord AS (SELECT *, row_number() OVER (ORDER BY size DESC, profile, md5('42:' || CAST(cluster AS VARCHAR)), cluster) AS i, row_number() OVER (PARTITION BY profile ORDER BY md5('42:' || CAST(cluster AS VARCHAR)), cluster) AS k FROM prof),
 gs AS (SELECT "group" AS g, CAST(count(*) AS DOUBLE) AS n FROM records GROUP BY 1),
@@ -502,10 +502,11 @@ walked(i, have, total, pick) AS (
   UNION ALL
   SELECT i + 1, list_transform([1, 2, 3], lambda p: CASE WHEN p = best THEN list_transform(range(1, len(c) + 1), lambda g: have[p][g] + c[g]) ELSE have[p] END),
          list_transform([1, 2, 3], lambda p: total[p] + CASE WHEN p = best THEN size ELSE 0 END), CAST(best AS BIGINT)
-  FROM (SELECT w.i, w.have, w.total, v.c, v.size, list_min(list_transform([1, 2, 3], lambda p: {{'f': list_max(list_transform(range(1, len(v.c) + 1), lambda g: CASE WHEN v.c[g] > 0 THEN (w.have[p][g] + v.c[g]) / quo.q[p][g] END)), 't': w.total[p], 'p': p}})).p AS best
+  FROM (SELECT w.i, w.have, w.total, v.c, v.size, list_min(list_transform([1, 2, 3], lambda p: {'f': list_max(list_transform(range(1, len(v.c) + 1), lambda g: CASE WHEN v.c[g] > 0 THEN (w.have[p][g] + v.c[g]) / quo.q[p][g] END)), 't': w.total[p], 'p': p})).p AS best
         FROM walked w JOIN vec v ON v.i = w.i + 1, quo)
 ), given AS (SELECT o.profile, count(*) FILTER (WHERE w.pick = 1) AS a, count(*) FILTER (WHERE w.pick <= 2) AS b FROM ord o JOIN walked w ON w.i = o.i GROUP BY o.profile),
 placed AS (SELECT o.cluster, CASE WHEN o.k <= n.a THEN 'train' WHEN o.k <= n.b THEN 'val' ELSE 'test' END AS split FROM ord o JOIN given n ON n.profile = o.profile)"""
+_GREEDY = f"{_RECORDS}, {_EDGES}, {_PLACED}"
 
 
 @query("cluster_split", f"WITH RECURSIVE {_GREEDY} SELECT c.doc_id, c.cluster, p.split FROM comp c JOIN placed p ON p.cluster = c.cluster")
