@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -25,11 +27,11 @@ def zscored(df: DataFrame, train: DataFrame, features: str, least: float = 1e-6,
     return df.crossJoin(stats).withColumn(features, z).drop("mu", "sd")
 
 
-def moments(df: DataFrame, value: str, where: Column) -> DataFrame:
-    """(n, mean, deviation): one pass of sums over the rows of `where`; the population variance is at least 0."""
-    sums = df.where(where).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
+def moments(df: DataFrame, value: str, where: Column, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n, mean, deviation): one pass of sums over the rows of `where`; the population variance is at least 0."""
+    sums = df.where(where).groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
     mean = F.col("s") / F.col("n")
-    return sums.select("n", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean)).alias("deviation"))
+    return sums.select(*by, "n", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean)).alias("deviation"))
 
 
 # Fixed names: the feature kinds and their parts, in order.

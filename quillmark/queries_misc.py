@@ -8,6 +8,7 @@ from quillmark.functions import arrays, text
 from quillmark.operators import filters
 from quillmark.plans.fixtures import SCORED_SQL, scored
 from quillmark.queries_metrics import _rounded
+from quillmark.queries_records import _EDGES, _PLACED, _RECORDS, _chosen_sql
 from quillmark.sources.tables import table
 from quillmark.streaming.requests import verdict_rates, verdicts
 
@@ -164,8 +165,6 @@ def image_keys(spark, folder):
 
 def _build_sql() -> str:
     """Selection, components of what is selected and the greedy split, in one; ids are text, as in the build."""
-    from quillmark.queries_records import _EDGES, _PLACED, _RECORDS, _chosen_sql
-
     candidates = _RECORDS.replace("SELECT doc_id,", "SELECT CAST(doc_id AS VARCHAR) AS doc_id,", 1).replace("doc_id % 5", "CAST(documents.doc_id AS BIGINT) % 5")
     links, placed = (sql.replace("FROM records", "FROM picked").replace("JOIN records", "JOIN picked") for sql in (_EDGES, _PLACED))
     picked = "picked AS MATERIALIZED (SELECT r.* FROM records r JOIN chosen USING (doc_id))"
@@ -192,6 +191,21 @@ def dataset_build_leaks(spark, folder):
     return build_dataset(rows)[1]
 
 
+@query("dataset_build_planted", f"""SELECT 'leak' AS "check", c || '=' || v AS key, min(split) || ',' || max(split) AS detail FROM (
+ WITH b AS MATERIALIZED ({_build_sql()}), r AS (SELECT k.text_key, k.image_key, CASE WHEN CAST(b.sample_id AS BIGINT) % 9 = 4 THEN 'test' ELSE b.split END AS split FROM b JOIN (WITH {_RECORDS} SELECT * FROM records) k ON k.doc_id = CAST(b.sample_id AS BIGINT))
+ SELECT 'text_key' AS c, text_key AS v, split FROM r UNION ALL SELECT 'image_key', image_key, split FROM r) GROUP BY c, v HAVING min(split) <> max(split)""")
+def dataset_build_planted(spark, folder):
+    """A built data set of which every ninth row is moved to test: its checks find each content that then stands in two splits."""
+    from quillmark.operators.quality import verified
+    from quillmark.plans.build import build_dataset
+    from quillmark.queries_records import _records
+
+    rows = _records(spark, folder).withColumn("sample_id", F.col("doc_id").cast("string"))
+    built = build_dataset(rows)[0]
+    moved = built.withColumn("split", F.when(F.col("doc_id") % 9 == 4, "test").otherwise(F.col("split")))
+    return verified(moved).where("check = 'leak'").select("check", "key", "detail")
+
+
 @query("reserved_quotas", """WITH o AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id) AS k FROM documents)
 SELECT doc_id, lang, CASE WHEN k <= 3 THEN 'test' WHEN k <= 5 THEN 'val' ELSE 'train' END AS split FROM o WHERE k <= 10""")
 def reserved_quotas(spark, folder):

@@ -285,15 +285,15 @@ def zscore_train(spark, folder):
     return z.select("vec_id", F.round(F.col("embedding")[0], 6).alias("first_value"), F.round(F.element_at("embedding", -1), 6).alias("last_value"))
 
 
-@query("softmax_decision", "SELECT vec_id, CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS predicted, round(1 / CAST(list_sum(list_transform(l, lambda x: exp(x - list_max(l)))) AS DOUBLE), 9) AS confidence FROM (SELECT vec_id, list_transform(embedding[1:5], lambda x: CAST(x AS DOUBLE)) AS l FROM embeddings)")
+@query("softmax_decision", "SELECT vec_id, CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS predicted, round(1 / CAST(list_sum(list_transform(l, lambda x: exp(x - list_max(l)))) AS DOUBLE), 9) AS confidence FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS l FROM embeddings)")
 def softmax_decision(spark, folder):
-    e = table(spark, folder, "embeddings").select("vec_id", arrays.softmax(arrays.doubles(F.slice("embedding", 1, 5))).alias("p"))
+    e = table(spark, folder, "embeddings").select("vec_id", arrays.softmax(arrays.doubles(F.col("embedding"))).alias("p"))
     return e.select("vec_id", arrays.argmax(F.col("p")).alias("predicted"), F.round(F.array_max("p"), 9).alias("confidence"))
 
 
-@query("fake_margin", "SELECT vec_id, round(ln(CAST(list_sum(list_transform(l[2:5], lambda x: exp(x))) AS DOUBLE)) - l[1], 9) AS margin FROM (SELECT vec_id, list_transform(embedding[1:5], lambda x: CAST(x AS DOUBLE)) AS l FROM embeddings)")
+@query("fake_margin", "SELECT vec_id, round(ln(CAST(list_sum(list_transform(l[2:], lambda x: exp(x))) AS DOUBLE)) - l[1], 9) AS margin FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS l FROM embeddings)")
 def fake_margin(spark, folder):
-    e = table(spark, folder, "embeddings").select("vec_id", arrays.doubles(F.slice("embedding", 1, 5)).alias("z"))
+    e = table(spark, folder, "embeddings").select("vec_id", arrays.doubles(F.col("embedding")).alias("z"))
     return e.select("vec_id", F.round(arrays.fake_margin(F.col("z")), 9).alias("margin"))
 
 
@@ -323,13 +323,11 @@ def feature_kind_values(spark, folder):
     return kinds.select("vec_id", "kind", F.size("v").cast("long").alias("size"), F.round(mark, 5).alias("mark"))
 
 
-@query("train_moments", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY event_type")
+@query("train_moments", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation FROM events WHERE event_id % 4 <> 0 GROUP BY event_type")
 def train_moments(spark, folder):
-    e = table(spark, folder, "events")
-    first = e.agg(F.min("event_type").alias("event_type"))
-    own = e.join(F.broadcast(first), "event_type")
-    found = features.moments(own, "value", F.lit(True))
-    return first.crossJoin(found.select("n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation")))
+    """Moments of every type's training rows; each fourth row is held out."""
+    found = features.moments(table(spark, folder, "events"), "value", F.col("event_id") % 4 != 0, ["event_type"])
+    return found.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
 
 
 # --- weights and baselines
