@@ -60,9 +60,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillmark.llm.compression_bands import quality
+    from quillmark.llm.compression_bands import fit_bands, quality
 
-    return quality(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, fit_bands(docs, tables.table(spark, sf_dir, "labels")))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
