@@ -4,13 +4,16 @@ A page is cut into blocks of text at block-level tags, and its block-level eleme
 and elements are the nodes of a graph:
 
 * A linear classifier gives every block a cost from what it is made of: share of linked text, length,
-  closing punctuation, kind of its own tag, neighbours' lengths and copyright sign (`WEIGHTS`, fitted by `fit_costs`).
+  closing punctuation, kind of its own tag, neighbours' lengths, copyright sign and share of calls to the reader (`WEIGHTS`, fitted by `fit_costs`).
   Elements have the log odds of their tag, role and names, and of standing beside a marked article.
   A cost is the capacity of the node's terminal edge, to content if positive, to boilerplate if negative.
 * Smoothness edges join a block to its element, an element to its parent, and blocks that follow each
   other, the less the farther apart they are in the tree. An element that is itself marked as
   something else than its surroundings is joined weakly; inside an article the others are joined firmly.
 
+Of several marked articles the one with the most prose counts as marked (`_decided`), so that teasers and
+comments that are articles, too, go by their own costs.
+
 The minimum cut, by Dinic's maximum flow, separates content from boilerplate. Before it, nodes that
 settle themselves are taken out and bare elements are contracted; both leave the cut's cost as it is.
 
@@ -53,13 +56,18 @@ CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "
 
 # Costs of elements: log odds of content.
 STRONG = 6.0
-#: An article that is marked as such and isn't inside boilerplate is content, whatever stands in it.
+#: An article that is marked as such, isn't inside boilerplate and has the most prose is content, whatever stands in it.
 SEED = 1e6
+#: Of the prose of the page's longest article a sibling needs this share to be content as well.
+RIVAL = 0.5
 TAG_COSTS = {"article": SEED, "main": 4.0, "nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "menu": -6.0, "dialog": -6.0, "header": -6.0, "address": -1.0}
 ROLE_COSTS = {"article": SEED, "main": 4.0} | dict.fromkeys("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split(), -6.0)
 #: Names that mean boilerplate wherever they stand in a name, and those that do at its end only ("share-box", not "share-prices").
 BOILERPLATE = frozenset("advert adverts advertisement advertisements advertising sponsored cookie cookies gdpr navbar navigation breadcrumb breadcrumbs sidebar footer masthead comments disqus related recommended recommendations newsletter subscribe subscription signup login popup modal pagination pager".split())
-BOILERPLATE_LAST = frozenset("ad ads sponsor sponsors promo promos promotion banner consent notice notices alert alerts notification notifications nav menu menus header comment reply replies respond share sharing social overlay widget widgets toolbar skip disclaimer copyright".split())
+BOILERPLATE_LAST = frozenset("ad ads sponsor sponsors promo promos promotion banner consent notice notices alert alerts notification notifications nav menu menus header comment reply replies respond share sharing social overlay widget widgets toolbar skip disclaimer copyright discussion".split())
+#: Names that paragraphs of an article have, too, with the cost that leaves the verdict to the paragraph itself.
+AMBIGUOUS, DOUBT = frozenset("comment reply respond share sharing social notice".split()), -3.0
+PARAGRAPHS = frozenset("p blockquote pre".split())
 CONTENT_LAST = frozenset("article content main post entry story text body".split())
 #: What a name says besides its meaning.
 FILLERS = frozenset("area bar block box button buttons col column container group holder icons inner inline item items left link links list main mobile outer panel right row section slot text top unit wrap wrapper".split())
@@ -72,9 +80,13 @@ ROOTS = frozenset(["", "html", "body"])
 # Smoothness.
 FIRM, JOINED, LOOSE, ROOT, ADJACENT = 12.0, 3.0, 1.0, 0.25, 1.0
 
-FEATURES = ("bias", "linked", "length", "closed", "heading", "paragraph", "item", "beside", "copyright")
+FEATURES = ("bias", "linked", "length", "closed", "heading", "paragraph", "item", "beside", "copyright", "calls")
 #: Log odds of content by feature, as `fit_costs` finds them on pages whose article is known, rounded.
-WEIGHTS = (-2.0, -2.26, 0.91, 1.08, 1.27, 0.91, -1.55, 1.62, -2.12)
+WEIGHTS = (-2.72, -2.53, 1.26, 0.87, 1.6, 1.01, -1.66, 2.36, -2.73, -2.42)
+#: Fixed: words that call a reader to do something, or tell terms, in the languages of the given tables.
+CALLS = frozenset("newsletter subscribe subscription sign signup login register cookie cookies inbox advertisement sponsored abonnieren anmelden registrieren werbung anzeige abonner inscrivez connexion publicité suscríbete suscribirse regístrate publicidad".split())
+#: A block with a call in so many words, or fewer, has the whole feature.
+WORDS_A_CALL = 5
 #: No block outweighs the edge to its element alone.
 MOST_COST = 2.5
 
@@ -100,7 +112,8 @@ class Page:
     blocks: list[Block] = field(default_factory=list)
 
 
-def _name_cost(token: str) -> float:
+def _name_cost(token: str, tag: str = "", above: float = 0.0) -> float:
+    """Log odds of content of one name; paragraphs inside an article are only doubted where their name says little."""
     words = _NAME.findall(_HUMP.sub("-", token).lower())
     if not words or words[0] in NOT_ITS_OWN:
         return 0.0
@@ -109,6 +122,8 @@ def _name_cost(token: str) -> float:
     while len(words) > 1 and words[-1] in FILLERS and not words[-1] == "main":
         words.pop()
     if words[-1] in BOILERPLATE_LAST:
+        if above >= FRAME and tag in PARAGRAPHS and words[-1] in AMBIGUOUS:
+            return DOUBT
         return 0.0 if words[-1] == "header" and not CONTENT_LAST.isdisjoint(words) else -STRONG
     return 3.0 if words[-1] in CONTENT_LAST else 0.0
 
@@ -122,7 +137,7 @@ def _element_cost(tag: str, attributes: str, above: float) -> float:
         key, value = key.lower(), next((v for v in values if v), "")
         if key in ("class", "id"):
             if tag not in ("html", "body"):
-                costs += map(_name_cost, value.split())
+                costs += (_name_cost(x, tag, above) for x in value.split())
         elif key == "role":
             costs += (ROLE_COSTS.get(x, 0.0) for x in value.lower().split())
         elif key == "itemprop":
@@ -226,7 +241,37 @@ def parse(page: str) -> Page:
                 if not at:
                     break
     flush()
-    return out
+    return _decided(out)
+
+
+def _decided(page: Page) -> Page:
+    """Of several marked articles only the one with the most prose stays marked, with siblings that have nearly as much.
+
+    Prose is text outside links. Articles inside boilerplate stand back behind others, and behind other prose of the page where that is
+    more. Those that lose (teasers, comments) count like any element; so do articles in articles.
+    """
+    marked = [e for e, c in enumerate(page.cost) if c >= SEED]
+    if not marked:
+        return page
+    outer = [0] * len(page.tag)  # the outermost marked article around each element
+    for e in range(1, len(page.tag)):
+        outer[e] = outer[page.parent[e]] or (e if page.cost[e] >= SEED else 0)
+    prose: Counter = Counter()
+    for b in page.blocks:
+        mark = page.cost[page.mark[b.element]]
+        if mark > 0 or mark == 0 == outer[b.element]:
+            prose[outer[b.element]] += len(b.text) - b.linked
+    first = [e for e in marked if outer[e] == e]
+    free = [e for e in first if page.cost[page.mark[page.parent[e]]] >= 0] or [e for e in first if prose[e] > prose[0]]
+    best = max(free, key=lambda e: (prose[e], -e), default=0)  # the first of equals
+    stay = {e for e in free if e == best or page.parent[e] == page.parent[best] and prose[e] >= RIVAL * prose[best]}
+    lost = set(marked) - stay
+    for e in lost:
+        page.cost[e] = 0.0
+    for e in range(1, len(page.tag)):
+        if page.mark[e] in lost:
+            page.mark[e] = page.mark[page.parent[e]]
+    return page
 
 
 def features(page: Page) -> np.ndarray:
@@ -238,11 +283,13 @@ def features(page: Page) -> np.ndarray:
         tag = page.tag[b.element]
         heading, paragraph, item = re.fullmatch("h[1-6]", tag) is not None, tag in ("p", "blockquote", "pre"), tag in ("li", "dt", "dd", "td", "th")
         beside = long[max(i - 1, 0)] + long[min(i + 1, n - 1)]
-        out[i] = 1.0, b.linked / len(b.text), long[i], b.text[-1] in ".!?…:;\"”'»)", heading, paragraph, item, beside / 2, "©" in b.text
+        words = b.text.lower().split()
+        calls = min(1.0, WORDS_A_CALL * sum(w.strip(".,:;!?()") in CALLS for w in words) / max(len(words), 1))
+        out[i] = 1.0, b.linked / len(b.text), long[i], b.text[-1] in ".!?…:;\"”'»)", heading, paragraph, item, beside / 2, "©" in b.text, calls
     return out
 
 
-def fit_costs(pages: list[Page], content: list[list[bool]], penalty: float = 400.0, rounds: int = 20) -> np.ndarray:
+def fit_costs(pages: list[Page], content: list[list[bool]], penalty: float = 100.0, rounds: int = 20) -> np.ndarray:
     """WEIGHTS by penalised logistic regression over blocks whose label is known: Newton's method, pages and labels in one list each."""
     x, y = np.concatenate([features(p) for p in pages]), np.concatenate([np.array(c, float) for c in content])
     w, hold = np.zeros(x.shape[1]), np.diag([penalty] * x.shape[1])
@@ -260,7 +307,11 @@ def block_costs(page: Page, weights=WEIGHTS) -> list[float]:
 
 
 def element_costs(page: Page) -> list[float]:
-    """Log odds of content of each element; where the page marks an article, those neither in nor around it lose."""
+    """Log odds of content of each element; where the page marks an article, those neither in nor around it lose.
+
+    Where a page has blocks under marks of content, an element under a mark of boilerplate loses what its blocks can bring at most,
+    so that many of them together don't outweigh the mark.
+    """
     out, around = list(page.cost), set()
     for e, c in enumerate(page.cost):
         if c >= FRAME:
@@ -273,6 +324,11 @@ def element_costs(page: Page) -> list[float]:
                 out[e] -= STRONG
             elif e not in around and page.mark[e] == 0:
                 out[e] -= BESIDE
+    marks = [page.cost[page.mark[b.element]] for b in page.blocks]
+    if any(c > 0 for c in marks):
+        for b, c in zip(page.blocks, marks, strict=True):
+            if c <= -STRONG:
+                out[b.element] -= MOST_COST
     return out
 
 

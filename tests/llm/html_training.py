@@ -16,12 +16,21 @@ SAMPLE_PAGES = 512
 SHORT = "Home News Sport Menu Search Share Print Login Subscribe Tags: 12.03.2024 Advertisement More Top © Contact Imprint Privacy Next Previous".split()
 
 
+def _call(rng: random.Random, words: list[str]) -> str:
+    """A sentence of the page's own words with one or two calls to the reader among them."""
+    out = rng.choices(words, k=rng.randint(3, 12))
+    for call in rng.sample(sorted(h.CALLS), rng.randint(1, 2)):
+        out.insert(rng.randint(0, len(out)), call)
+    return " ".join(out) + rng.choice([".", "!", ""])
+
+
 def _around(rng: random.Random, words: list[str]) -> str:
     """A piece of boilerplate: links, short labels, or now and then a sentence."""
     out = []
     for _ in range(rng.randint(1, 6)):
         tag = rng.choice(["div", "p", "li", "td", "div"])
         text = " ".join(rng.choices(words, k=rng.randint(4, 14))) if rng.random() < 0.35 else rng.choice(SHORT)
+        text = _call(rng, words) if rng.random() < 0.5 else text
         link = rng.random() < 0.6
         out.append(f"<{tag}>{'<a href=/x>' if link else ''}{text}{'</a>' if link else ''}{rng.choice(['', '', ' |', '.'])}</{tag}>")
     return f"<div>{''.join(out)}</div>"

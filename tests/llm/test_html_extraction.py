@@ -167,3 +167,51 @@ def test_weights_are_those_of_the_training_pages():
 
     found = h.fit_costs(*labelled("/root/testdata/sf0.01"))
     assert all((a > 0) == (b > 0) for a, b in zip(found, h.WEIGHTS, strict=True))
+
+
+TEASER = "A short teaser that tells what the other story is about."
+REMARK = "I don't agree with this at all, the author has missed the most important point of the debate."
+NAV, FOOT = "<nav><a href=1>Home</a><a href=2>News</a></nav>", "<footer>© Example</footer>"
+
+#: What stands before and after the article, and how the article itself is marked: none of it is in the training pages.
+TEMPLATES = {
+    "teasers in articles": (NAV + "<article>", "</article><section><h2>Read more</h2>" + f"<article><h3><a href=1>Other</a></h3><p>{TEASER}</p></article>" * 3 + "</section>" + FOOT),
+    "remarks in articles": (NAV + "<main><article>", f"</article><section id=discussion><h2>12 replies</h2><article><p>{REMARK}</p></article><article><p>{REMARK} {REMARK}</p></article></section></main>"),
+    "remarks without a name": (NAV + "<article>", f"</article><section><h2>Replies</h2><article><p>{REMARK}</p></article></section>" + FOOT),
+    "articles in a sidebar": (f"<aside class=related><article><p>{TEASER} {TEASER} {TEASER}</p></article></aside><article>", "</article>" + FOOT),
+    "call without an article": ("<div><a href=1>Home</a> <a href=2>News</a></div><div>", "</div><div>Sign up for our newsletter and get the best stories in your inbox every week.</div>"),
+    "names of boxes": ("<div class=top-bar><a href=1>Home</a></div><div class=story>", f"</div><div class=share-box>Share</div><div class='reader-comments'><p>{REMARK}</p></div>"),
+    "table": ("<table><tr><td><a href=1>Home</a> | <a href=2>News</a></td></tr><tr><td>", "</td></tr><tr><td>© Example <a href=3>Imprint</a></td></tr></table>"),
+}
+
+
+def test_words_of_templates_that_training_never_saw(small):
+    """Precision and recall of words over the given articles in other surroundings."""
+    import re
+    from collections import Counter
+
+    import pyarrow.parquet as pq
+
+    articles = [re.search(r"<article>(.*?)(?:</article>|\Z)", r["html"], re.S)[1] for r in pq.read_table(f"{small}/pages.parquet").to_pylist()]
+    for name, (before, after) in TEMPLATES.items():
+        both = found = wanted = 0
+        for article in articles:
+            want = Counter(h.main_text(f"<article>{article}</article>").split())
+            got = Counter(h.main_text(f"<html><body>{before}{article}{after}</body></html>").split())
+            both, found, wanted = both + (want & got).total(), found + got.total(), wanted + want.total()
+        print(name, len(articles), round(both / found, 4), round(both / wanted, 4))
+        assert both > 0.97 * found and both > 0.97 * wanted, name
+
+
+def test_articles_compete_by_their_prose():
+    main = f"<article><h1>Title</h1><p>{P}</p><p>{P}</p></article>"
+    assert h.main_text(f"<article><p>{TEASER}</p></article><div>{main}</div>") == f"Title {P} {P}"
+    # parts of one article are siblings of like length; a link's text is no prose
+    assert h.main_text(f"<main><article><p>{P}</p></article><article><p>{P} x</p></article></main>") == f"{P} {P} x"
+    assert h.main_text(f"<div><article><a href=1>{P} {P} {P}</a></article></div>{main}") == f"Title {P} {P}"
+    assert h.main_text("<article></article><article></article>") == ""
+
+
+def test_names_only_doubt_paragraphs_of_an_article():
+    page = f"<article><p>{P}</p><p class=comment>{P}</p><p>{P}</p><p class=share>Share</p><p class=ad>{P}</p><div class=comment><p>{REMARK}</p></div></article>"
+    assert h.main_text(page) == f"{P} {P} {P}"
