@@ -216,3 +216,14 @@ def test_zscores_and_early_stop(spark):
     history = spark.createDataFrame([("r", e, m) for e, m in enumerate([0.1, 0.5, 0.4, 0.3, 0.9], 1)], "run string, epoch int, metric double")
     r = features.early_stop(history, "run", "epoch", "metric", 2).first()
     assert (r.best_epoch, r.best, r.stopped) == (2, 0.5, 4)
+
+
+def test_buckets_keep_the_order_and_split_where_the_bounds_are(spark):
+    from quillmark.plans.prefix import bucketed
+
+    rows = spark.range(5000).selectExpr("id * 37 % 1009 / 8.0D AS key").unionByName(spark.createDataFrame([(None,)], "key double"))
+    for n in (1, 2, 31, 32, 33, 200):
+        found = bucketed(rows, "key", n).groupBy("_bucket").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("key").alias("n")).orderBy("_bucket").collect()
+        assert [r._bucket for r in found] == list(range(len(found))) and sum(r.n for r in found) == 5000
+        assert all(a.high < b.low for a, b in zip(found, found[1:], strict=False))
+        assert len(found) == n and max(r.n for r in found) <= 5000 / n + 40
