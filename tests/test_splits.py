@@ -136,3 +136,26 @@ def test_parts_follow_the_size():
         for m in range(1, radius + 2):
             parts = neardup.cut(radius, m)
             assert sum(r + 1 for _, _, r in parts) == radius + 1 and sum(w for _, w, _ in parts) <= 64
+
+
+def test_wide_radii_meet_block_by_block_and_no_row_is_a_pair(spark, monkeypatch):
+    """Of a wide radius parts ask for thousands of values a fingerprint; blocks compare arrays, and counts and least distances make no pairs."""
+    from quillmark.operators import neardup
+
+    # 3 blocks a side, and rows that don't fill the last step
+    monkeypatch.setattr(neardup, "BLOCK", 100)
+    rng = random.Random(5)
+    prints = [rng.getrandbits(64) for _ in range(250)]
+    prints = [x - (1 << 64) if x >> 63 else x for x in [*prints, *(x ^ 5 for x in prints[:9]), 0, (1 << 64) - 1]]
+    df = spark.createDataFrame([*enumerate(prints), (900, prints[3]), (901, None)], "id long, fp long")
+    bits = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    assert neardup.best_parts(18, 600_000, neardup.ROW_COST) is None and neardup.best_parts(4, 600_000, neardup.ROW_COST)
+    pairs = neardup.pairs_within(df, df.where("id < 100"), 18)
+    want = sorted((a, b, bits(a, b)) for a in prints for b in prints[:100] if bits(a, b) <= 18)
+    assert sorted(map(tuple, pairs.collect())) == want and pairs.columns == ["a", "b", "distance"]
+    links = {r.a: r.links for r in neardup.neighbours(df, 18).collect()}
+    assert links == {x: n for x in prints if (n := sum(0 < bits(x, y) <= 18 for y in prints))}
+    nearest = {r.id: r.nearest for r in neardup.nearest_distance(df, "id").collect()}
+    assert nearest == {k: 0 if k == 3 else min(bits(x, y) for y in prints if x != y) for k, x in enumerate(prints)} | {900: 0, 901: None}
+    assert neardup.nearest_distance(df.where("id = 0"), "id").first().nearest is None
+    assert neardup.nearest_distance(df.limit(0), "id").count() == neardup.near_classes(df.limit(0), 18, "id").count() == 0
