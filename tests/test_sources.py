@@ -245,3 +245,30 @@ def test_png_depths_and_damage():
     for bad in (good[:-20], good.replace(b"note", b"nite"), made(8, 3, [b"\x05"], palette=bytes(6)), b"\x89PNG", good[:8]):
         with pytest.raises((ValueError, KeyError, zlib.error)):
             png.decode_png(bad)
+
+
+def test_states_of_many_ids_are_one_table(spark, tmp_path):
+    """Calls of the stream's function are as many as buckets, not ids; the answers are those of each id alone, in two batches."""
+    from quillmark.streaming import serving
+
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("requests", "answers", "checkpoint"))
+    rng = np.random.default_rng(3)
+    rows = [(f"r{i}", f"2024-01-01T00:{m:02d}:00.{k:06d}Z", None if k == 3 else f"t{k}", None if k == 5 else k / 10) for i in range(3000) for m, k in zip(rng.integers(0, 3, 3).tolist(), rng.integers(0, 10, 3).tolist(), strict=True)]
+    revisions: dict = {}
+    for half in (rows[::2], rows[1::2]):
+        spark.createDataFrame(half, "request_id string, ts string, text string, score double").coalesce(1).write.mode("append").json(folder)
+        serving.serve(spark, folder, out, checkpoint, lateness_minutes=60).awaitTermination()
+        now = {}
+        for r in rows[::2] if half == rows[::2] else rows:
+            key = (r[1], r[2] is not None, r[2] or "", r[3] is not None, r[3] or 0.0)
+            now[r[0]] = min(now.get(r[0], (key, r)), (key, r), key=lambda x: x[0])
+        for i, (key, _) in now.items():
+            if revisions.get(i, (None, 0))[0] != key:
+                revisions[i] = key, revisions.get(i, (None, 0))[1] + 1
+    got = {r.request_id: r for r in serving.answers(spark, out, 0.5).collect()}
+    assert set(got) == set(now)
+    for i, (key, r) in now.items():
+        reason = "empty_text" if r[2] is None else "no_score" if r[3] is None else None
+        assert (got[i].reason, got[i].verdict, got[i].revision) == (reason, "rejected" if reason else "fake" if r[3] >= 0.5 else "genuine", revisions[i][1])
+    copies = spark.read.schema(serving.ANSWER).parquet(out).groupBy("request_id").agg({"copies": "max"}).collect()
+    assert max(c[1] for c in copies) == 3
