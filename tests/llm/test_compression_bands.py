@@ -145,3 +145,20 @@ def test_junk_with_low_and_high_ratios_goes_at_each_length():
         few = " ".join(rng.choices(vocabulary[:12], k=n))[: 5 * n].encode()
         noise = bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=5 * n))
         assert cb.judged(good, z, bands)[2] and not cb.judged(few, z, bands)[2] and not cb.judged(noise, z, bands)[2], n
+
+
+def test_limits_come_from_every_labelled_document(spark):
+    """More good documents than any sample held before: one ratio in each counts, and the sum of the counts is all of them."""
+    texts = [" ".join(f"{(k + 1) * (j + 7):x}" for j in range(30)) for k in range(64)]
+    docs = spark.range(1 << 15).selectExpr("id AS doc_id", "cast(id % 64 AS int) AS k").join(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), "k").drop("k")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    seen = []
+    real, cb.fitted = cb.fitted, lambda counts, *more: seen.append(list(counts)) or cb.BANDS
+    try:
+        cb.fit_bands(docs, labels)
+    finally:
+        cb.fitted = real
+    z, want = cb.compressor(), Counter()
+    for x in texts:
+        want[cb.half_octave(len(x)), round(cb.ratios(x.encode(), z)[0] * cb.STEPS)] += 1 << 9
+    assert {(h, s): n for h, s, n in seen[0]} == want and sum(want.values()) == 1 << 15
