@@ -27,7 +27,7 @@ def raw_text(df: DataFrame, name: str = "text") -> Column:
 
 
 #: Most bytes of an Arrow batch: a batch is held several times over, in the JVM, in Python and as objects.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(df: DataFrame) -> None:
