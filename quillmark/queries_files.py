@@ -247,13 +247,22 @@ def wide_predictions(spark, folder):
     return sinks.wide_predictions(s.select("sample_id"), {"v1": head, "part": head.where("sample_id % 2 = 0")})
 
 
+#: Rows of a partition when a table is dealt anew.
+DEALT_ROWS = 1 << 14
+
+
+def _dealt(rows):
+    """The rows in another order and in other partitions, more of them as the table grows."""
+    return rows.repartition(max(3, -(-rows.count() // DEALT_ROWS)))
+
+
 @query("lock_check", "SELECT 0.5 AS threshold, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM labels) AS labels, true AS changed_found")
 def lock_check(spark, folder):
     """A lock over two inputs holds while they are as they were; the number of rows is part of each hash."""
     path = _new(spark, "lock")
     inputs = {"documents": table(spark, folder, "documents"), "labels": table(spark, folder, "labels")}
     sinks.write_lock(spark, path, {"threshold": 0.5}, inputs)
-    lock = sinks.check_lock(spark, path, {k: v.repartition(3) for k, v in inputs.items()})
+    lock = sinks.check_lock(spark, path, {k: _dealt(v) for k, v in inputs.items()})
     try:
         sinks.check_lock(spark, path, inputs | {"labels": inputs["labels"].where("toxic = 0")})
         found = False
