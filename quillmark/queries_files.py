@@ -312,7 +312,7 @@ def archive_members(spark, folder):
 
 
 class _Folders(archives.ArchiveSource):
-    """Archives of documents by language, each cut into two parts in the shared folder, and read there by ranges."""
+    """Archives of documents by language, in volumes that are each cut into two parts in the shared folder, and read there by ranges."""
 
     @classmethod
     def name(cls) -> str:
@@ -335,22 +335,27 @@ class _Folders(archives.ArchiveSource):
         return read
 
 
+#: Documents of all languages that share a volume's number, about.
+VOLUME_ROWS = 1 << 13
+
+
 def _write_archives(folder: str):
-    """Writes the rows of a group (lang) as an archive of a member for each, cut in two. One group's texts are one task's work: fixture only."""
+    """Writes the rows of a group (lang, volume) as an archive of a member for each, cut in two."""
     import io
     import zipfile
 
     import pyarrow as pa
 
     def run(rows: pa.Table) -> pa.Table:
-        raw, lang = io.BytesIO(), rows.column("lang")[0].as_py()
+        raw, lang, volume = io.BytesIO(), rows.column("lang")[0].as_py(), rows.column("volume")[0].as_py()
         with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
             for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
                 z.writestr(f"{'a' if doc_id % 3 else 'b'}/{doc_id}.txt", text)
         store, root = stores.opened(folder)
         store.create_dir(root, recursive=True)
-        for k, half in enumerate((raw.getvalue()[: raw.tell() // 3], raw.getvalue()[raw.tell() // 3 :])):
-            with store.open_output_stream(f"{root}/{lang}.{k}") as out:
+        whole = raw.getbuffer()
+        for k, half in enumerate((whole[: len(whole) // 3], whole[len(whole) // 3 :])):
+            with store.open_output_stream(f"{root}/{lang}~{volume}.{k}") as out:
                 out.write(half)
         return pa.table({"lang": [lang]})
 
@@ -359,14 +364,16 @@ def _write_archives(folder: str):
 
 @query("archive_documents", "SELECT coalesce(lang, 'none') AS archive, 'b/' || doc_id || '.txt' AS member, md5(coalesce(text, '')) AS content_md5 FROM documents WHERE doc_id % 3 = 0")
 def archive_documents(spark, folder):
-    """All documents in archives by language; the members of one folder are asked for, and only they are fetched, an archive by several tasks."""
+    """All documents in archives by language, in volumes of bounded size; the members of one folder are asked for, and only they are fetched, a volume by several tasks."""
     place = _new(spark, "archives")
     rows = table(spark, folder, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    rows.groupBy("lang").applyInArrow(_write_archives(place), "lang string").count()
+    volumes = -(-rows.count() // VOLUME_ROWS)
+    dealt = rows.withColumn("volume", F.pmod(F.xxhash64("doc_id"), F.lit(max(volumes, 1)).cast("long")))
+    dealt.groupBy("lang", "volume").applyInArrow(_write_archives(place), "lang string").count()
     spark.dataSource.register(_Folders)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     found = spark.read.format("quillmark_folders").option("folder", place).option("bytes", 1 << 16).option("pushdown", "true").load()
-    return found.where(F.col("member").startswith("b/")).select("archive", "member", _md5("content").alias("content_md5"))
+    return found.where(F.col("member").startswith("b/")).select(F.regexp_replace("archive", "~[0-9]+$", "").alias("archive"), "member", _md5("content").alias("content_md5"))
 
 
 # --- images and hashes

@@ -4,6 +4,7 @@ import gzip
 import io
 import json
 import zipfile
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -272,3 +273,20 @@ def test_states_of_many_ids_are_one_table(spark, tmp_path):
         assert (got[i].reason, got[i].verdict, got[i].revision) == (reason, "rejected" if reason else "fake" if r[3] >= 0.5 else "genuine", revisions[i][1])
     copies = spark.read.schema(serving.ANSWER).parquet(out).groupBy("request_id").agg({"copies": "max"}).collect()
     assert max(c[1] for c in copies) == 3
+
+
+def test_volumes_and_dealt_tables_grow_in_number_not_in_size(spark, small, monkeypatch):
+    """More documents give more volumes and partitions; the members and the lock stay the same."""
+    from quillmark import queries_files
+
+    want = sorted(map(tuple, queries_files.archive_documents(spark, small).collect()))
+    monkeypatch.setattr(queries_files, "VOLUME_ROWS", 20)
+    monkeypatch.setattr(queries_files, "DEALT_ROWS", 20)
+    sizes = []
+    monkeypatch.setattr(queries_files, "_new", lambda spark, name, own=queries_files._new: sizes.append(own(spark, name)) or sizes[-1])
+    assert sorted(map(tuple, queries_files.archive_documents(spark, small).collect())) == want
+    volumes = {p.name.rsplit(".", 1)[0] for p in Path(sizes[-1].removeprefix("file://")).iterdir() if "~" in p.name}
+    documents = spark.read.parquet(f"{small}/documents.parquet")
+    assert len(volumes) > documents.select("lang").distinct().count()
+    assert queries_files._dealt(documents).rdd.getNumPartitions() == -(-documents.count() // 20) > 3
+    assert queries_files.lock_check(spark, small).first().changed_found
