@@ -405,13 +405,18 @@ def image_fingerprints(spark, folder):
 
 def _as_png():
     """(doc_id, 72 grey values) -> a PNG of 9 x 8: the colour type, the rows' filters and the interlace by turns of doc_id."""
+    def nearest(left: np.ndarray, above: np.ndarray, corner: np.ndarray) -> np.ndarray:
+        """Of three neighbours the one nearest to left + above - corner, the first of equals, for a row at once."""
+        of = np.stack([left, above, corner])
+        return np.take_along_axis(of, np.abs(left + above - corner - of).argmin(axis=0)[None], 0)[0]
+
     def filtered(rows: np.ndarray, step: int, turn: int) -> bytes:
         """Rows of bytes, filtered by the five kinds in turn; of averages and nearest neighbours each byte for itself."""
         out = b""
         for k, row in enumerate(rows.astype(int)):
             kind, above = (turn + k) % 5, rows[k - 1].astype(int) if k else np.zeros(rows.shape[1], int)
             left, corner = (np.concatenate([np.zeros(step, int), x])[: len(row)] for x in (row, above))
-            guess = {0: 0, 1: left, 2: above, 3: (left + above) // 2, 4: np.array([png._nearest(*map(int, x)) for x in zip(left, above, corner, strict=True)])}[kind]
+            guess = (0, left, above, (left + above) // 2, nearest(left, above, corner) if kind == 4 else 0)[kind]
             out += bytes([kind]) + ((row - guess) % 256).astype(np.uint8).tobytes()
         return out
 

@@ -290,3 +290,11 @@ def test_volumes_and_dealt_tables_grow_in_number_not_in_size(spark, small, monke
     assert len(volumes) > documents.select("lang").distinct().count()
     assert queries_files._dealt(documents).rdd.getNumPartitions() == -(-documents.count() // 20) > 3
     assert queries_files.lock_check(spark, small).first().changed_found
+
+
+def test_the_nearest_neighbour_is_the_first_of_equals():
+    """Without the distances' list and key function, the same choice for all neighbours, ties included."""
+    from quillmark.sources import png
+
+    for left, above, corner in np.random.default_rng(2).integers(0, 6, (500, 3)).tolist() + [[255, 0, 255], [0, 255, 0]]:
+        assert png._nearest(left, above, corner) == min((left, above, corner), key=lambda x: abs(left + above - corner - x))
