@@ -9,8 +9,9 @@ differ, and at that radius a tree prunes nothing. So similar sets meet by keys:
 
 * In any common order of the shingles, sets of n and m with that similarity share one among the first
   n - ceil(4n/5) + 1 of the one and the like of the other: only those are keys. The order is by frequency
-  in a sample, rarest first, so that a passage of very many documents is nobody's key. The sample shapes
-  the keys, never the result.
+  in a sample, rarest first, so that a passage of many documents is nobody's key. The sample is a third of a
+  large table, not a fixed number of documents: else passages that it misses would have ever more documents, and
+  their keys' comparisons would grow with the square. The sample shapes the keys, never the result.
 * Equal sets are one row from the start, so copies cost nothing. A set is named by a 64-bit hash.
 * Each set first meets the least and the largest set of each of its keys, so that a crowd meets a few; then,
   under keys that still join different groups, those outside a key's largest group meet the others.
@@ -39,8 +40,10 @@ from quillmark.plans.components import components
 from quillmark.plans.staging import drop_staged, staged
 
 WIDTH = 5
-#: Documents whose shingles are counted for the order of keys, and most shingles that the broadcast order holds.
-SAMPLE_DOCS, MOST_COUNTED = 16_384, 1 << 18
+#: Shingles are counted for the order of keys in SAMPLE_DOCS documents, but in one of SAMPLE_SHARE at least; most shingles that the broadcast order holds.
+SAMPLE_DOCS, SAMPLE_SHARE, MOST_COUNTED = 16_384, 3, 1 << 20
+#: Most ranges of hashes that are counted apart.
+MOST_RANGES = 4096
 #: Most ids of candidates that are broadcast to pick their texts; beyond it they are joined.
 BROADCAST_IDS = 1 << 20
 #: Parities of the shingles over 1,024 bits, in longs.
@@ -90,14 +93,34 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return map_rows(texts, rows, "set long, odd array<long>, hashes array<long>")
 
 
+def _hash_ranges(texts: DataFrame, width: int, ranges: int) -> DataFrame:
+    """(range, hashes): the shingles of each batch's texts, 8 bytes each, by `ranges` ranges of hashes; far less to shuffle than rows."""
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        found = np.sort(np.concatenate([np.zeros(0, np.uint64), *(shingle_hashes(x.as_py() or b"", width) for x in batch.column("text"))]))
+        at = ((found >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        names, starts = np.unique(at, return_index=True)
+        return {"range": pa.array(names.astype(np.int32)), "hashes": [x.tobytes() for x in np.split(found, starts[1:])] if len(names) else []}
+
+    return map_rows(texts, rows, "range int, hashes binary")
+
+
+def _repeated(group: pa.Table) -> pa.Table:
+    """(h, times) of the hashes of one range that occur more than once."""
+    found, times = np.unique(np.frombuffer(b"".join(group.column("hashes").to_pylist()), np.uint64), return_counts=True)
+    return pa.table({"h": found[times > 1].view(np.int64), "times": times[times > 1].astype(np.int64)})
+
+
 def counted(texts: DataFrame, width: int, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that occur most in a sample, sorted, and in how many of its documents."""
-    step = max(1, texts.count() // sample_docs)
+    docs = texts.count()
+    step = min(SAMPLE_SHARE, max(1, docs // sample_docs))
     sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0)
-    found = _sets(sample, width).select(F.explode("hashes").alias("h")).groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(MOST_COUNTED).toArrow()
+    ranges = _hash_ranges(sample, width, min(MOST_RANGES, 16 + docs // 64))
+    found = ranges.groupBy("range").applyInArrow(_repeated, "h long, times long").orderBy(F.desc("times"), "h").limit(MOST_COUNTED).toArrow()
     h = found.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    return h[order], found.column("count").to_numpy()[order]
+    return h[order], np.minimum(found.column("times").to_numpy()[order], np.iinfo(np.int32).max).astype(np.int32)
 
 
 def marked(texts: DataFrame, width: int, sample_docs: int = SAMPLE_DOCS) -> DataFrame:

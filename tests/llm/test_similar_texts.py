@@ -71,3 +71,14 @@ def test_odd_rows(spark, odd, empty):
     kept = similar_texts.keep_one(odd)
     assert kept.columns == odd.columns and kept.where("doc_id IS NULL").count() == 1
     assert similar_texts.keep_one(empty).count() == 0
+
+
+def test_keys_stay_rare_however_small_the_sample(spark):
+    """A passage of one document in ten is nobody's key, though the wanted sample is a small part of the table."""
+    rng = random.Random(3)
+    text = lambda n: [f"w{rng.randrange(50000)}" for _ in range(n)]
+    passages = [text(40) for _ in range(10)]
+    texts = [(k, " ".join(text(100) + passages[k % 10] + text(40))) for k in range(400)]
+    marks = similar_texts.marked(similar_texts._texts(spark.createDataFrame(texts, "doc_id long, text string")), 5, sample_docs=4)
+    most = marks.selectExpr("set", "explode(keys) AS key").groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert most <= 2
