@@ -159,3 +159,19 @@ def test_wide_radii_meet_block_by_block_and_no_row_is_a_pair(spark, monkeypatch)
     assert nearest == {k: 0 if k == 3 else min(bits(x, y) for y in prints if x != y) for k, x in enumerate(prints)} | {900: 0, 901: None}
     assert neardup.nearest_distance(df.where("id = 0"), "id").first().nearest is None
     assert neardup.nearest_distance(df.limit(0), "id").count() == neardup.near_classes(df.limit(0), 18, "id").count() == 0
+
+
+def test_pairs_taken_before_are_never_broadcast(spark, small, monkeypatch):
+    from quillmark.queries_records import _records
+
+    plans, write = [], selection.staged
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(selection, "staged", seen)
+    selection.select_balanced(_records(spark, small), "group", "text_key", "image_key", "doc_id", "source")
+    taken = [plan for name, plan in plans if name == "taken"]
+    assert len(taken) == 5 and all("LeftAnti" in plan for plan in taken[1:])
+    assert not any("BroadcastHashJoin" in plan for plan in taken)
