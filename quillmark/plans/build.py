@@ -20,17 +20,20 @@ def records(raw: DataFrame, key: str = "row_id", path: str = "image_path", nfkc:
 
 
 def clustered(rows: DataFrame, contents: tuple[str, ...], key: str = "sample_id") -> DataFrame:
-    """Adds `cluster`, the least id of all rows that shared contents link, however indirectly; blanks link nothing."""
+    """Adds `cluster`, the least id of all rows that shared contents link, however indirectly; blanks link nothing.
+
+    Contents and clusters are as many as rows: they are merged, never broadcast.
+    """
 
     def edges(c: str) -> DataFrame:
         own = rows.where(F.col(c).isNotNull() & (F.col(c) != "")).select(F.col(c).alias("_c"), F.col(key).alias("a"))
-        return own.groupBy("_c").agg(F.min("a").alias("b")).join(own, "_c").select("a", "b")
+        return own.groupBy("_c").agg(F.min("a").alias("b")).hint("merge").join(own, "_c").select("a", "b")
 
     every = None
     for c in contents:
         every = edges(c) if every is None else every.unionByName(edges(c))
     found = components(every, "a", "b")
-    return rows.join(found, rows[key] == found["node"], "left").withColumn("cluster", F.coalesce("component", key)).drop("node", "component")
+    return rows.join(found.hint("merge"), rows[key] == found["node"], "left").withColumn("cluster", F.coalesce("component", key)).drop("node", "component")
 
 
 def build_dataset(candidates: DataFrame, seed: int = 42, balance: str = "equal_scenarios", target: int | None = None, priority: tuple[str, ...] | None = None, fractions: dict[str, float] | None = None, contents: tuple[str, ...] = ("text_key", "image_key", "image_dhash"), tolerance: float = 0.03) -> tuple[DataFrame, DataFrame]:

@@ -182,3 +182,25 @@ def test_joint_loss_gradient_and_descent(spark):
         assert abs((loss(theta + e)[0] - loss(theta - e)[0]) / 2e-5 - gradient[k]) < 1e-6
     best = linear.minimised(loss, theta, steps=15, tolerance=1e-3)
     assert loss(best)[0] < value and np.abs(loss(best)[1]).max() < 0.02
+
+
+def test_clusters_are_never_broadcast(spark, small, monkeypatch):
+    from quillmark.operators import selection
+    from quillmark.plans import build, components
+    from quillmark.queries_records import _records
+
+    plans, write = [], components.staged
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    for module in (build, components):
+        monkeypatch.setattr(module, "staged", seen)
+    monkeypatch.setattr(components, "MOST_BROADCAST", 0)
+    rows = _records(spark, small)
+    linked = seen(build.clustered(rows, ("text_key", "image_key"), "doc_id"), "clustered")
+    seen(selection.split_clusters(linked, "cluster", "group"), "data-set")
+    assert {"edges", "clustered", "data-set"} == {name for name, _ in plans} and len(plans) > 3
+    keys = [line for _, plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert all("_profile" in line for line in keys)  # kinds of clusters alone
