@@ -175,3 +175,18 @@ def test_pairs_taken_before_are_never_broadcast(spark, small, monkeypatch):
     taken = [plan for name, plan in plans if name == "taken"]
     assert len(taken) == 5 and all("LeftAnti" in plan for plan in taken[1:])
     assert not any("BroadcastHashJoin" in plan for plan in taken)
+
+
+def test_parts_of_ranks_are_never_broadcast(spark):
+    from pyspark.sql import Window
+
+    from quillmark.plans.prefix import hashed_rank
+
+    rng = random.Random(5)
+    rows = [(k, rng.choice([None, "a", "b", *map(str, range(400))]), rng.choice([None, "x", "y"])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, g string, m string")
+    ranked = hashed_rank(df, ["g"], [F.col("m")], selection.shuffled("id", 3), "id")
+    assert ranked.columns == ["id", "g", "m", "rank"]
+    over = Window.partitionBy("g").orderBy("m", selection.shuffled("id", 3), "id")
+    assert sorted((r.id, r["rank"]) for r in ranked.collect()) == sorted(tuple(r) for r in df.select("id", F.row_number().over(over).alias("rank")).collect())
+    assert "isFinalPlan=true" in (plan := ranked._jdf.queryExecution().executedPlan().toString()) and "BroadcastExchange" not in plan
