@@ -204,3 +204,22 @@ def test_clusters_are_never_broadcast(spark, small, monkeypatch):
     assert {"edges", "clustered", "data-set"} == {name for name, _ in plans} and len(plans) > 3
     keys = [line for _, plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line]
     assert all("_profile" in line for line in keys)  # kinds of clusters alone
+
+
+def test_the_build_and_its_report_broadcast_bounded_tables_alone(spark, small, monkeypatch):
+    import re
+
+    from quillmark.plans import components
+    from quillmark.queries_misc import dataset_build_leaks
+
+    monkeypatch.setattr(components, "MOST_BROADCAST", 0)
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    ran = lambda: [e.apply(k) for e in [store.executionsList()] for k in range(e.size())]
+    bus.waitUntilEmpty()
+    last = max((e.executionId() for e in ran()), default=-1)
+    assert dataset_build_leaks(spark, small).where("check = 'leak'").count() == 0
+    bus.waitUntilEmpty()
+    plans = [e.physicalPlanDescription() for e in ran() if e.executionId() > last]
+    joins = [k for plan in plans for k in re.findall(r"BroadcastHashJoin.*\nLeft keys \[\d+\]: \[(.*)\]\n", plan)]
+    # kinds of clusters, buckets, groups and splits; never parts of ranks, contents or clusters
+    assert len(plans) > 10 and {re.sub(r"#\d+L?", "", k) for k in joins} <= {"_profile", "_bucket", "g", "group", "g, s"}
