@@ -223,3 +223,29 @@ def test_the_build_and_its_report_broadcast_bounded_tables_alone(spark, small, m
     joins = [k for plan in plans for k in re.findall(r"BroadcastHashJoin.*\nLeft keys \[\d+\]: \[(.*)\]\n", plan)]
     # kinds of clusters, buckets, groups and splits; never parts of ranks, contents or clusters
     assert len(plans) > 10 and {re.sub(r"#\d+L?", "", k) for k in joins} <= {"_profile", "_bucket", "g", "group", "g, s"}
+
+
+def test_what_the_build_broadcasts_stays_as_the_table_grows(spark, small, monkeypatch):
+    from quillmark.plans import components
+    from quillmark.queries_misc import dataset_build_leaks
+
+    monkeypatch.setattr(components, "MOST_BROADCAST", 0, raising=False)
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    items = lambda found: [found.apply(k) for k in range(found.size())]
+
+    def sent(folder):
+        """Rows of all broadcasts, which the driver gathers."""
+        bus.waitUntilEmpty()
+        last, rows = max((e.executionId() for e in items(store.executionsList())), default=-1), 0
+        assert dataset_build_leaks(spark, folder).where("check = 'leak'").count() == 0
+        bus.waitUntilEmpty()
+        for k in (e.executionId() for e in items(store.executionsList()) if e.executionId() > last):
+            counted = {m.accumulatorId() for n in items(store.planGraph(k).allNodes()) if n.name() == "BroadcastExchange" for m in items(n.metrics()) if m.name() == "number of output rows"}
+            values = store.executionMetrics(k).iterator()
+            while values.hasNext():
+                v = values.next()
+                rows += int(v._2().replace(",", "")) if v._1() in counted else 0
+        return rows
+
+    few, many = sent(small), sent("/root/testdata/sf0.01")
+    assert 0 < few and many < few + 250, (few, many)  # five times the documents, 1,000: a few more kinds of clusters
